@@ -1,5 +1,5 @@
 """Oracle SQL of all registered queries."""
 
-from tapeloom.plans import series_oracles
+from tapeloom.plans import market_oracles, series_oracles
 
-ORACLES = {**series_oracles.ORACLES}
+ORACLES = {**series_oracles.ORACLES, **market_oracles.ORACLES}

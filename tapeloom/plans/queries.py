@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tapeloom.plans import series_queries  # noqa: F401  (registers its queries)
+from tapeloom.plans import market_queries, series_queries  # noqa: F401  (they register their queries)
 from tapeloom.plans.catalog import QUERIES
 
 __all__ = ["QUERIES"]

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.operators.bars import completeness
+from tapeloom.operators.bars import adjust_prices, completeness
 from tapeloom.operators.factors import strategy_window
 from tapeloom.operators.indicators import TECHNICAL_FIELDS, technical
 from tapeloom.operators.merge import pit_merge
@@ -162,16 +162,16 @@ VIEWS = {
 }
 
 
-def query_view(store: MarketStore, name: str, **params) -> DataFrame:
+def query_view(store: MarketStore, view_name: str, /, **params) -> DataFrame:
     """Run a view. Parameters: key values (``code``/``codes``), dates, the view's filters, fields, limit, offset."""
-    view = VIEWS[name]
+    view = VIEWS[view_name]
     df = store.table(view.table)
     if view.derive:
         return DERIVED[view.derive](store, view, df, **params)
     return TEMPLATES[view.template](view, df, **params)
 
 
-def _entities(view: View, df: DataFrame, code: str = "", codes: str = "") -> DataFrame:
+def _entities(view: View, df: DataFrame, /, code: str = "", codes: str = "") -> DataFrame:
     wanted = codes_of(code, codes, required=False)
     return keep_entities(df, view.key, wanted) if wanted else df
 
@@ -182,33 +182,33 @@ def _finish(view: View, df: DataFrame, order: tuple[str, ...], fields: str = "",
     return finite_doubles(pick_fields(ordered, fields, columns))
 
 
-def _equals(view: View, df: DataFrame, filters: dict) -> DataFrame:
+def _equals(view: View, df: DataFrame, /, filters: dict) -> DataFrame:
     unknown = set(filters) - set(view.filters)
     if unknown:
         raise ValueError(f"{view.name} has no filter {', '.join(sorted(unknown))}")
     return catalog_filter(df, **filters)
 
 
-def _range(view: View, df: DataFrame, code="", codes="", trade_date="", start_date="", end_date="", fields="", limit=None, offset=0, **filters) -> DataFrame:
+def _range(view: View, df: DataFrame, /, code="", codes="", trade_date="", start_date="", end_date="", fields="", limit=None, offset=0, **filters) -> DataFrame:
     rows = _equals(view, _entities(view, df, code, codes), filters).where(in_days(view.time, trade_date, start_date, end_date))
     return _finish(view, rows, (view.time, view.key, *view.columns), fields, limit, offset)
 
 
-def _period(view: View, df: DataFrame, code="", codes="", report_period="", start_period="", end_period="", fields="", limit=None, offset=0, **filters) -> DataFrame:
+def _period(view: View, df: DataFrame, /, code="", codes="", report_period="", start_period="", end_period="", fields="", limit=None, offset=0, **filters) -> DataFrame:
     return _range(view, df, code, codes, report_period, start_period, end_period, fields, limit, offset, **filters)
 
 
-def _snapshot(view: View, df: DataFrame, trade_date, codes="", fields="", limit=None, offset=0, **filters) -> DataFrame:
+def _snapshot(view: View, df: DataFrame, /, trade_date, codes="", fields="", limit=None, offset=0, **filters) -> DataFrame:
     if not trade_date:
         raise ValueError("trade_date is required")
     return _range(view, df, "", codes, trade_date, "", "", fields, limit, offset, **filters)
 
 
-def _single(view: View, df: DataFrame, code="", codes="") -> DataFrame:
+def _single(view: View, df: DataFrame, /, code="", codes="") -> DataFrame:
     return _finish(view, keep_entities(df, view.key, codes_of(code, codes)), (view.key,))
 
 
-def _catalog(view: View, df: DataFrame, codes="", name="", include_delisted=True, limit=None, offset=0, fields="", **filters) -> DataFrame:
+def _catalog(view: View, df: DataFrame, /, codes="", name="", include_delisted=True, limit=None, offset=0, fields="", **filters) -> DataFrame:
     # Accepted for compatibility, without effect.
     for ignored in {"market", "is_hs"} - set(view.filters):
         filters.pop(ignored, None)
@@ -217,19 +217,19 @@ def _catalog(view: View, df: DataFrame, codes="", name="", include_delisted=True
     return _finish(view, rows, (view.key, *(view.columns or df.columns)), fields, clamp_limit(limit), offset)
 
 
-def _as_of(view: View, df: DataFrame, code="", trade_date="", **filters) -> DataFrame:
+def _as_of(view: View, df: DataFrame, /, code="", trade_date="", **filters) -> DataFrame:
     rows = _equals(view, _entities(view, df, code), filters)
     day = parse_day(trade_date)
     return _finish(view, rows if day is None else rows.where(valid_on(F.lit(day))), (view.key,))
 
 
-def _history(view: View, df: DataFrame, code="", trade_date="", start_date="", end_date="", fields="", limit=None, offset=0, **filters) -> DataFrame:
+def _history(view: View, df: DataFrame, /, code="", trade_date="", start_date="", end_date="", fields="", limit=None, offset=0, **filters) -> DataFrame:
     first, last = (trade_date, trade_date) if trade_date else (start_date, end_date)
     rows = _equals(view, _entities(view, df, code), filters).where(overlaps(first, last))
     return _finish(view, rows, (view.key, "start_date", *view.columns), fields, limit, offset)
 
 
-def _calendar(view: View, df: DataFrame, exchange="", trade_date="", n=1, start_year=None, end_year=None) -> DataFrame:
+def _calendar(view: View, df: DataFrame, /, exchange="", trade_date="", n=1, start_year=None, end_year=None) -> DataFrame:
     rows = df.where(F.col("exchange") == option("exchange", exchange)).select(*view.columns)
     if view.name.endswith("yearly"):
         return rows.where((F.col("trade_date") >= F.make_date(F.lit(start_year), F.lit(1), F.lit(1))) & (F.col("trade_date") <= F.make_date(F.lit(end_year), F.lit(12), F.lit(31))))
@@ -253,7 +253,7 @@ TEMPLATES: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def _stock_quotes(store: MarketStore, view: View, df: DataFrame, code="", codes="", **options) -> DataFrame:
+def _stock_quotes(store: MarketStore, view: View, df: DataFrame, /, code="", codes="", **options) -> DataFrame:
     return stock_quote_result(store, code, codes, **options).items
 
 
@@ -267,7 +267,7 @@ def stock_minute_quotes(store: MarketStore, code="", codes="", **options) -> Dat
     return minute_quotes(store.table("fact.stock_bar_1m"), QuoteRequest(codes=codes_of(code, codes), **options))
 
 
-def _adj_factors(store, view, df, code, start_date="", end_date="", base_date="") -> DataFrame:
+def _adj_factors(store, view, df, /, code, start_date="", end_date="", base_date="") -> DataFrame:
     """Stored factors; with a base date, relative to the latest factor on or before it."""
     rows = keep_entities(df, "code", codes_of(code))
     wanted = rows.where(in_days("trade_date", "", start_date, end_date)).select(*view.columns)
@@ -277,10 +277,8 @@ def _adj_factors(store, view, df, code, start_date="", end_date="", base_date=""
     return wanted.join(base, "code", "left").withColumn("adj_factor", F.col("adj_factor") / F.nullif(F.col("_base"), F.lit(0.0))).select(*view.columns)
 
 
-def _technical(store, view, df, code="", codes="", trade_date="", start_date="", end_date="", adjust="", fields="", parity_window=False) -> DataFrame:
+def _technical(store, view, df, /, code="", codes="", trade_date="", start_date="", end_date="", adjust="", fields="", parity_window=False) -> DataFrame:
     """Indicators on the full history, then the window; ``parity_window`` restricts the input to the window first."""
-    from tapeloom.operators.bars import adjust_prices
-
     mode = option("adjust", adjust)
     rows = adjust_prices(_entities(view, df, code, codes), mode)
     window = in_days("trade_date", trade_date, start_date, end_date)
@@ -288,7 +286,7 @@ def _technical(store, view, df, code="", codes="", trade_date="", start_date="",
     return pick_fields(result, fields, TECHNICAL_FIELDS)
 
 
-def _strategy(store, view, df, start_date, end_date, codes="") -> DataFrame:
+def _strategy(store, view, df, /, start_date, end_date, codes="") -> DataFrame:
     """Factors need 39 earlier rows; the scan reaches 120 days before the window."""
     rows = _entities(view, df, "", codes).where(
         (F.col("trade_date") >= F.date_sub(F.lit(parse_day(start_date)), 120)) & (F.col("trade_date") <= F.lit(parse_day(end_date)))
@@ -297,27 +295,28 @@ def _strategy(store, view, df, start_date, end_date, codes="") -> DataFrame:
     return finite_doubles(result.select(*view.columns)).orderBy("trade_date", "code")
 
 
-def _money_flow_batch(store, view, df, codes, trade_date, view_name="") -> DataFrame:
+def _money_flow_batch(store, view, df, /, codes, trade_date, **filters) -> DataFrame:
     """One row per wanted code with a bar on the day; the net inflow is 0 where the detail is missing."""
     wanted = codes_of("", codes)
     bars = keep_entities(store.table("fact.stock_daily_1d"), "code", wanted).where(in_days("trade_date", trade_date)).select("code", "trade_date").distinct()
-    flows = df.where(in_days("trade_date", trade_date) & (F.col("view") == option("view", view_name))).drop("view")
-    joined = bars.join(flows, ["code", "trade_date"], "left").withColumn("view", F.lit(option("view", view_name)))
+    kind = option("view", filters.get("view", ""))
+    flows = df.where(in_days("trade_date", trade_date) & (F.col("view") == kind)).drop("view")
+    joined = bars.join(flows, ["code", "trade_date"], "left").withColumn("view", F.lit(kind))
     return joined.withColumn("net_inflow", F.coalesce("net_inflow", F.lit(0.0))).select(*view.columns)
 
 
-def _pit_period(store, view, df, report_period) -> DataFrame:
+def _pit_period(store, view, df, /, report_period) -> DataFrame:
     income = store.table("stocks.finance.pit.income")
     period = in_days("report_period", report_period)
     return pit_merge(df.where(period), income.where(period), ["code", "report_period", "announcement_date"])
 
 
-def _holder_changes(store, view, df, code="", trade_date="", start_date="", end_date="") -> DataFrame:
+def _holder_changes(store, view, df, /, code="", trade_date="", start_date="", end_date="") -> DataFrame:
     rows = _entities(view, df, code).where(in_days("trade_date", trade_date, start_date, end_date)).select("code", "trade_date", "holder_count")
     return count_change(rows, ["code"], "trade_date").select(*view.columns)
 
 
-def _etf_quotes(store, view, df, ts_codes, trade_date="", start_date="", end_date="", limit=None) -> DataFrame:
+def _etf_quotes(store, view, df, /, ts_codes, trade_date="", start_date="", end_date="", limit=None) -> DataFrame:
     return etf_quote_result(store, ts_codes, trade_date, start_date, end_date, limit)[0]
 
 
@@ -340,7 +339,7 @@ def etf_quote_result(store: MarketStore, ts_codes: str, trade_date="", start_dat
     return cut, meta, summary
 
 
-def _concept_quotes(store, view, df, concept_id="", concept_ids="", **options) -> DataFrame:
+def _concept_quotes(store, view, df, /, concept_id="", concept_ids="", **options) -> DataFrame:
     return simple_quotes(_named_concepts(store, df), QuoteRequest(codes=codes_of(concept_id, concept_ids, required=False), **options), "concept_id", view.columns, "concept_freq")
 
 
@@ -351,28 +350,28 @@ def _named_concepts(store: MarketStore, df: DataFrame) -> DataFrame:
     return df.join(names.select("concept_id", F.col("name").alias("concept_name")), "concept_id", "left")
 
 
-def _concept_snapshot(store, view, df, trade_date, fields="", limit=None, offset=0) -> DataFrame:
+def _concept_snapshot(store, view, df, /, trade_date, fields="", limit=None, offset=0) -> DataFrame:
     rows = _named_concepts(store, df.where(in_days("trade_date", trade_date)))
     quotes = simple_quotes(rows, QuoteRequest(codes=()), "concept_id", view.columns, "concept_freq")
     return pick_fields(page(quotes, ["trade_time", "concept_id"], limit, offset), fields, view.columns)
 
 
-def _member_history(store, view, df, code="", start_date="", end_date="") -> DataFrame:
+def _member_history(store, view, df, /, code="", start_date="", end_date="") -> DataFrame:
     return _entities(view, df, code).where(overlaps(start_date, end_date, "valid_from", "valid_to"))
 
 
-def _index_quotes(store, view, df, index_code="", index_codes="", **options) -> DataFrame:
+def _index_quotes(store, view, df, /, index_code="", index_codes="", **options) -> DataFrame:
     return simple_quotes(df, QuoteRequest(codes=codes_of(index_code, index_codes), **options), "index_code", view.columns, "index_freq")
 
 
-def _news(store, view, df, include_sources=False, **options) -> DataFrame:
+def _news(store, view, df, /, include_sources=False, **options) -> DataFrame:
     return news_events(df, sources=store.table("fact.news_event_source") if include_sources else None, **options)
 
 
 DERIVED: dict[str, Callable[..., DataFrame]] = {
     "stock_quotes": _stock_quotes,
-    "daily_snapshot": lambda store, view, df, **options: daily_snapshot(df, **options),
-    "local_window": lambda store, view, df, **options: local_window(df, **options),
+    "daily_snapshot": lambda store, view, df, /, **options: daily_snapshot(df, **options),
+    "local_window": lambda store, view, df, /, **options: local_window(df, **options),
     "adj_factors": _adj_factors,
     "technical": _technical,
     "strategy_window": _strategy,

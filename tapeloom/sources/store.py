@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +46,9 @@ UNGROUPED = "未分组"
 
 
 class MarketStore:
-    """Named market tables below one root folder, parquet partitioned by date, or given as DataFrames."""
+    """Named market tables below one root folder, parquet partitioned by date, or given as DataFrames or functions making them."""
 
-    def __init__(self, spark: SparkSession, root: str = "", tables: Mapping[str, DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, root: str = "", tables: Mapping[str, DataFrame | Callable[[], DataFrame]] | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.given = dict(tables or {})
@@ -57,7 +57,10 @@ class MarketStore:
         return f"{self.root}/{name.replace('.', '/')}"
 
     def table(self, name: str) -> DataFrame:
-        return self.given[name] if name in self.given else self.spark.read.parquet(self.path(name))
+        if name not in self.given:
+            return self.spark.read.parquet(self.path(name))
+        given = self.given[name]
+        return given() if callable(given) else given
 
     def find(self, name: str) -> DataFrame | None:
         """The table, or None where it does not exist."""

@@ -16,12 +16,12 @@ from tapeloom.operators.selection import keep_first
 from tapeloom.quality.checks import session_days, session_issues
 
 
-def read_events(spark: SparkSession, path: str, schema, time: str = "ts", files_per_trigger: int | None = None) -> DataFrame:
+def read_events(spark: SparkSession, folder: str, schema, time: str = "ts", files: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
     """Parquet event files as a stream; the event time becomes a zoned timestamp, which watermarks need."""
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path).withColumn(time, F.col(time).cast("timestamp"))
+    return reader.parquet(folder).withColumn(time, F.col(time).cast("timestamp"))
 
 
 def live_bars(ticks: DataFrame, width: str = "1 minute", delay: str = "10 minutes", key: str = "code", time: str = "ts", value: str = "value", order: str = "event_id") -> DataFrame:
