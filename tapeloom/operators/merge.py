@@ -106,9 +106,12 @@ def as_of_latest(
 
 
 def nest_children(parents: DataFrame, children: DataFrame, key: str, order: str, into: str) -> DataFrame:
-    """Attach the child rows of each parent as an array of structs ordered by ``order``."""
+    """Attach the child rows of each parent as an array of structs ordered by ``order``.
+
+    For children that are few per parent; those of other parents are dropped before they are gathered.
+    """
     fields = [order, *(name for name in children.columns if name not in (key, order))]
-    nested = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(into))
+    nested = children.join(parents.select(key), key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(into))
     return parents.join(nested, key, "left")
 
 

@@ -65,23 +65,25 @@ def missing_ranges(present: DataFrame, entities: DataFrame, days: Column, key: s
     Rows on days outside ``days`` are ignored; an entity without rows misses the whole range.
     """
     positions = day_positions(days, present.sparkSession).withColumnRenamed("trade_date", day)
-    seen = present.select(key, day).distinct().join(positions, day)
+    seen = present.select(key, day).distinct().join(positions, day).select(key, "position")
     window = series_window([key], "position")
-    last = F.size(days)
-    steps = seen.select(
-        key, F.lag("position", 1, -1).over(window).alias("_before"), F.col("position"), F.lead("position").over(window).alias("_after")
+    end = F.size(days) - 1
+    rows = entities.select(key).distinct().join(seen, key, "left").select(
+        key, "position", F.lag("position", 1, -1).over(window).alias("_before"), F.lead("position").over(window).alias("_after")
     )
-    inner = steps.select(key, (F.col("_before") + 1).alias("_from"), (F.col("position") - 1).alias("_to"))
-    tail = steps.where(F.col("_after").isNull()).select(key, (F.col("position") + 1).alias("_from"), (last - 1).alias("_to"))
-    empty = entities.select(key).distinct().join(seen.select(key).distinct(), key, "left_anti").select(
-        key, F.lit(0).alias("_from"), (last - 1).alias("_to")
-    )
-    gaps = inner.unionByName(tail).unionByName(empty).where(F.col("_from") <= F.col("_to"))
+
+    def gap(start: Column, stop: Column) -> Column:
+        return F.when(start <= stop, F.struct(start.alias("from"), stop.alias("to")))
+
+    before = gap(F.col("_before") + 1, F.coalesce(F.col("position") - 1, end))
+    after = gap(F.col("position") + 1, F.when(F.col("_after").isNull(), end))
+    gaps = rows.select(key, F.explode(F.array_compact(F.array(before, after))).alias("_gap"))
+    first, last = F.col("_gap.from"), F.col("_gap.to")
     return gaps.select(
         key,
-        F.element_at(days, F.col("_from") + 1).alias("start_date"),
-        F.element_at(days, F.col("_to") + 1).alias("end_date"),
-        (F.col("_to") - F.col("_from") + 1).cast("long").alias("day_count"),
+        F.element_at(days, first + 1).alias("start_date"),
+        F.element_at(days, last + 1).alias("end_date"),
+        (last - first + 1).cast("long").alias("day_count"),
     )
 
 

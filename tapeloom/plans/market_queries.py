@@ -415,7 +415,7 @@ def contract_tables(t: MarketTables) -> dict[str, DataFrame]:
     return {
         "index_daily": stored(t, priced(t.bars_daily, "index_code")),
         "concept_daily": stored(t, concept),
-        "stock_daily": stored(t, twice),
+        "stock_daily": twice,
         "board_daily": stored(t, priced(t.bars_sparse, "board_code")),
         "ref_index": types.where(F.col("p_type") != "LARGE").select(F.col("p_type").alias("index_code"), F.when(F.col("p_type") == "PROMO", "PR?MO").otherwise(F.col("p_type")).alias("index_name")),
         "ref_stock": t.stock_ref.where(F.col("code") != "000007"),

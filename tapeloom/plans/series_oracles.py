@@ -129,7 +129,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('R', 'A'
 SELECT code, trade_date, volume, CAST(source_rank AS BIGINT) AS source_rank FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY code, trade_date ORDER BY source_rank) = 1"""
 ORACLES["j15_sources"] = using("news", """
 SELECT e.event_id, e.event_type, COALESCE(STRING_AGG(d.doc_id || ':' || d.source, ',' ORDER BY d.doc_id), '') AS sources
-FROM news e LEFT JOIN documents d ON d.doc_id % 400 = e.event_id WHERE e.trade_date = DATE '2024-01-01' GROUP BY 1, 2""")
+FROM news e LEFT JOIN documents d ON d.doc_id // 3 = e.event_id WHERE e.trade_date = DATE '2024-01-01' GROUP BY 1, 2""")
 ORACLES["j16_active_members"] = using("membership", """
 SELECT m.concept_id, m.stock_market, m.stock_code FROM membership m JOIN stock_ref r ON r.market = m.stock_market AND r.code = m.stock_code
 WHERE DATE '2001-09-03' BETWEEN m.valid_from AND COALESCE(m.valid_to, DATE '9999-12-31') AND DATE '2001-09-03' BETWEEN r.listed_date AND COALESCE(r.delisted_date, DATE '9999-12-31')""")

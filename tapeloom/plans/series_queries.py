@@ -352,7 +352,7 @@ def _(t: MarketTables) -> DataFrame:
 @query("j15_sources")
 def _(t: MarketTables) -> DataFrame:
     """Events of one day with their documents as nested sources, shown as text."""
-    docs = t.raw("documents").select((F.col("doc_id") % 400).alias("event_id"), F.col("doc_id").alias("source_record_id"), F.col("source").alias("source_name"))
+    docs = t.raw("documents").select((F.floor(F.col("doc_id") / 3)).alias("event_id"), F.col("doc_id").alias("source_record_id"), F.col("source").alias("source_name"))
     events = t.news.where(F.col("trade_date") == F.lit("2024-01-01").cast("date")).select("event_id", "event_type")
     nested = merge.nest_children(events, docs, "event_id", "source_record_id", "sources")
     text = F.array_join(F.transform("sources", lambda s: F.concat(s.getField("source_record_id").cast("string"), F.lit(":"), s.getField("source_name"))), ",")

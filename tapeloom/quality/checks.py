@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import invalid_number
 from tapeloom.operators.predicates import recent
-from tapeloom.operators.series import missing_ranges, open_days
+from tapeloom.operators.series import open_days
 from tapeloom.quality.contract import compare_expectations, contract_metrics, duplicate_keys
 
 # Primary key of each known table.
@@ -310,18 +310,23 @@ def _open_day_gaps(checks: Checks, rule: Rule) -> DataFrame:
 
 def _reference(checks: Checks, rule: Rule) -> DataFrame:
     """Table not empty and, where a reference is named, no key without a reference row."""
-    title, healthy = rule.title, "有效" if rule.check_id in REFERENCE_TITLES else "正常"
+    healthy = "有效" if rule.check_id in REFERENCE_TITLES else "正常"
     df = checks.table(rule.object)
-    empty = df.limit(1).agg(F.count("*")).scalar() == 0
-    orphans = F.lit(0)
     if rule.reference:
         keys = rule.reference_keys or rule.fields
-        known = checks.table(rule.reference).select(*(F.col(there).alias(here) for here, there in zip(rule.fields, keys)))
-        orphans = df.select(*rule.fields).distinct().join(known, list(rule.fields), "left_anti").agg(F.count("*")).scalar()
-    status = F.when(empty, "warning").when(orphans > 0, "unhealthy").otherwise("healthy")
-    result = F.when(empty, "警告").when(orphans > 0, "异常").otherwise(healthy)
-    error = F.when(empty, f"依赖表 {rule.object} 为空").when(orphans > 0, F.concat(F.lit("引用缺失: "), orphans.cast("string"), F.lit(" 个"))).otherwise("")
-    return checks.spark.range(1).select(F.inline(F.array(checks.row(rule.check_id, title, status, result, error))))
+        known = checks.table(rule.reference).select(*(F.col(there).alias(here) for here, there in zip(rule.fields, keys))).distinct()
+        matched = df.select(*rule.fields).distinct().join(known.withColumn("_known", F.lit(True)), list(rule.fields), "left")
+        found = matched.agg(F.count("*").alias("n"), F.count_if(F.col("_known").isNull()).alias("orphans"))
+    else:
+        found = df.limit(1).agg(F.count("*").alias("n"), F.lit(0).alias("orphans"))
+    empty, orphaned = F.col("n") == 0, F.col("orphans") > 0
+    check = checks.row(
+        rule.check_id, rule.title,
+        F.when(empty, "warning").when(orphaned, "unhealthy").otherwise("healthy"),
+        F.when(empty, "警告").when(orphaned, "异常").otherwise(healthy),
+        F.when(empty, f"依赖表 {rule.object} 为空").when(orphaned, F.concat(F.lit("引用缺失: "), F.col("orphans").cast("string"), F.lit(" 个"))).otherwise(""),
+    )
+    return found.select(F.inline(F.array(check)))
 
 
 def _duplicates(checks: Checks, rule: Rule) -> DataFrame:
@@ -416,17 +421,15 @@ def _minute_session(checks: Checks, rule: Rule) -> DataFrame:
 
 
 def _continuity(checks: Checks, rule: Rule) -> DataFrame:
-    """The calendar has a row for every date of the last 90 days."""
+    """The calendar has a row for every date of the last 90 days. All arrays here hold at most 90 dates."""
     if checks.calendar() is None:
         return checks.fixed(rule.check_id, rule.title, "unhealthy", "异常", "交易日历不可用")
-    first, last = checks.today - dt.timedelta(days=90), checks.today - dt.timedelta(days=1)
-    dates = F.sequence(F.lit(first), F.lit(last))
-    rows = checks.calendar().where(F.col("exchange") == checks.exchange).withColumn("_all", F.lit("calendar"))
-    everyone = checks.spark.range(1).select(F.lit("calendar").alias("_all"))
-    gaps = missing_ranges(rows, everyone, dates, "_all")
-    found = gaps.agg(F.coalesce(F.sum("day_count"), F.lit(0)).alias("days"), F.count("*").alias("ranges"))
-    text = F.concat(F.lit("缺少 "), F.col("days").cast("string"), F.lit(" 天，"), F.col("ranges").cast("string"), F.lit(" 段"))
-    return found.select(F.inline(F.array(checks.verdict(rule.check_id, rule.title, F.col("days") > 0, text))))
+    dates = F.sequence(F.lit(checks.today - dt.timedelta(days=90)), F.lit(checks.today - dt.timedelta(days=1)))
+    known = checks.calendar().where((F.col("exchange") == checks.exchange) & recent("trade_date", checks.today))
+    missing = known.agg(F.array_except(dates, F.collect_set("trade_date")).alias("missing"))
+    starts = F.filter("missing", lambda day: ~F.array_contains("missing", F.date_sub(day, 1)))
+    text = F.concat(F.lit("缺少 "), F.size("missing").cast("string"), F.lit(" 天，"), F.size(starts).cast("string"), F.lit(" 段"))
+    return missing.select(F.inline(F.array(checks.verdict(rule.check_id, rule.title, F.size("missing") > 0, text))))
 
 
 def _long_empty(checks: Checks, rule: Rule) -> DataFrame:

@@ -61,10 +61,13 @@ class MarketTables:
 
     @cached_property
     def stock_ref(self) -> DataFrame:
-        """One stock per (brand, type): a catalogue whose size is the number of distinct pairs."""
+        """One stock per (brand, type), numbered in that order: within each brand, after the pairs of earlier brands."""
         pairs = self.raw("part").select("p_brand", "p_type").distinct()
+        sizes = pairs.groupBy("p_brand").agg(F.count("*").alias("size")).agg(F.array_sort(F.collect_list(F.struct("p_brand", "size"))).alias("brands"))
+        before = F.transform("brands", lambda _, i: F.aggregate(F.slice("brands", 1, i), F.lit(0).cast("long"), lambda total, brand: total + brand.getField("size")))
+        offsets = sizes.select(F.map_from_arrays(F.transform("brands", lambda brand: brand.getField("p_brand")), before)).scalar()
         n = F.col("n")
-        numbered = pairs.withColumn("n", F.row_number().over(Window.orderBy("p_brand", "p_type")))
+        numbered = pairs.withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_type")) + F.element_at(offsets, F.col("p_brand")))
         digit = F.when(n % 47 == 0, "7").when(n % 3 == 0, "6").when(n % 3 == 1, "0").otherwise("8")
         return numbered.select(
             F.when(n % 3 == 0, "SHSE").when(n % 3 == 1, "SZSE").otherwise("BJSE").alias("market"),

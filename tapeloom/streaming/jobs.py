@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tapeloom.operators.selection import keep_first
 from tapeloom.quality.checks import session_days, session_issues
 
 
@@ -43,16 +42,25 @@ def for_each_batch(df: DataFrame, handle: Callable[[DataFrame, int], None], chec
     return df.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_into(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def drop_repeats(stream: DataFrame, keys: Sequence[str], time: str = "ts", delay: str = "10 minutes") -> DataFrame:
+    """Drop repeated deliveries of a key; state is kept for the watermark delay only."""
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def upsert_into(path: str, keys: Sequence[str], order: str = "") -> Callable[[DataFrame, int], None]:
     """Batch handler: store each batch as a version; replaying a batch overwrites its own version.
 
-    Nothing is read back while writing, so the handler is idempotent and its cost follows the batch, not the
-    table. ``read_upserts`` gives the current rows and ``compact_upserts`` folds versions together.
+    With ``order`` a batch may hold several rows of a key and the one highest in ``order`` is kept. Nothing is
+    read back while writing, so the handler is idempotent and its cost follows the batch, not the table.
+    ``read_upserts`` gives the current rows and ``compact_upserts`` folds versions together.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        latest = keep_first(batch, keys, F.col("bar_end").desc()) if "bar_end" in batch.columns and "bar_end" not in keys else batch
-        latest.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        rows = batch
+        if order:
+            values = [name for name in batch.columns if name not in keys]
+            rows = batch.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_row")).select(*keys, "_row.*")
+        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
     return handle
 
