@@ -82,8 +82,7 @@ def _aggregate(bars: DataFrame, keys: Sequence[str], bucket: str, time: str) ->
     first = "open" if "open" in bars.columns else "close"
     parts = [
         F.min_by(first, time).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", time).alias("close"),
-        F.sum(F.col("volume").cast("decimal(28,4)")).cast("double").alias("volume"),
-        F.sum(F.col("amount").cast("decimal(28,4)")).cast("double").alias("amount"),
+        F.sum(F.col("volume").cast("double")).alias("volume"), F.sum("amount").alias("amount"),
         F.max(time).alias("trade_time"), F.count("*").alias("bar_count"),
     ]
     return bars.groupBy(*keys, bucket).agg(*parts)

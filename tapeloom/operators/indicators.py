@@ -88,19 +88,14 @@ def ewm_mean(
         active = [out for out, (_, alpha) in outputs.items() if reach < (min(look_back(alpha), rows) if dense else rows)]
         if not active:
             break
-        lags = {}
-        for out in active:
-            for k in (1, 2, 3):
-                lags[f"_p{k}_{out}"] = F.lag(f"_p_{out}", k * reach, 1.0).over(window)
-                lags[f"_q{k}_{out}"] = F.lag(f"_q_{out}", k * reach, 0.0).over(window)
-        work = work.withColumns(lags)
         composed: dict[str, Column] = {}
         for out in active:
-            p = [F.col(f"_p_{out}"), *(F.col(f"_p{k}_{out}") for k in (1, 2, 3))]
-            q = [F.col(f"_q_{out}"), *(F.col(f"_q{k}_{out}") for k in (1, 2, 3))]
+            # Before the series every step is the identity.
+            p = [F.col(f"_p_{out}"), *(F.lag(f"_p_{out}", k * reach, 1.0).over(window) for k in (1, 2, 3))]
+            q = [F.col(f"_q_{out}"), *(F.lag(f"_q_{out}", k * reach, 0.0).over(window) for k in (1, 2, 3))]
             composed[f"_q_{out}"] = q[0] + p[0] * (q[1] + p[1] * (q[2] + p[2] * q[3]))
             composed[f"_p_{out}"] = p[0] * p[1] * p[2] * p[3]
-        work = work.withColumns(composed).drop(*lags)
+        work = work.withColumns(composed)
         reach *= 4
     started = {out: F.when(F.col(x).isNotNull() | F.col(f"_prev_{x}").isNotNull(), F.col(f"_q_{out}")) for out, (x, _) in outputs.items()}
     return work.withColumns(started).select(*keep, *outputs)

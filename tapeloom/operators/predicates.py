@@ -59,7 +59,7 @@ def etf_codes_of(ts_codes: str) -> list[str]:
         number, _, suffix = code.partition(".")
         if not number.isdigit() or suffix.upper() not in ("SH", "SZ"):
             raise ValueError(f"ETF code needs an exchange suffix: {code}")
-    return [code.upper() for code in wanted]
+    return list(dict.fromkeys(code.upper() for code in wanted))
 
 
 def parse_day(text: str | dt.date) -> dt.date | None:

@@ -459,7 +459,7 @@ def _(t: MarketTables) -> DataFrame:
     folder = _new_folder(t, "live-bars")
     jobs.append_to(jobs.live_bars(_events_stream(t), "30 minutes"), f"{folder}/bars", f"{folder}/checkpoint").awaitTermination()
     rows = t.spark.read.parquet(f"{folder}/bars")
-    return rows.select("code", *(F.col(name).cast("timestamp_ntz").alias(name) for name in ("bar_time", "bar_end")), "open", "high", "low", "close", "volume", "amount")
+    return rows.select("code", *(F.col(name).cast("timestamp_ntz").alias(name) for name in ("bar_time", "bar_end")), "open", "high", "low", "close", "volume", rounded("amount", 2).alias("amount"))
 
 
 @query("s2_upsert")
@@ -468,7 +468,7 @@ def _(t: MarketTables) -> DataFrame:
     folder, keys = _new_folder(t, "upserts"), ["code", "bar_time"]
     jobs.for_each_batch(jobs.live_bars(_events_stream(t), "1 hour"), jobs.upsert_into(f"{folder}/bars", keys), f"{folder}/checkpoint").awaitTermination()
     rows = jobs.read_upserts(t.spark, f"{folder}/bars", keys)
-    return rows.select("code", F.col("bar_time").cast("timestamp_ntz").alias("bar_time"), "open", "close", "volume", "amount")
+    return rows.select("code", F.col("bar_time").cast("timestamp_ntz").alias("bar_time"), "open", "close", "volume", rounded("amount", 2).alias("amount"))
 
 
 @query("s3_gap_audit")

@@ -130,7 +130,7 @@ def _(t: MarketTables) -> DataFrame:
 
 
 def _weekly(t: MarketTables, freq: str) -> DataFrame:
-    return B.rollup_days(t.bars_sparse, freq)
+    return round_columns(B.rollup_days(t.bars_sparse, freq), ["volume", "amount"], 2)
 
 
 @query("q13_weekly")
@@ -145,12 +145,12 @@ def _(t: MarketTables) -> DataFrame:
 
 @query("q14_minutes")
 def _(t: MarketTables) -> DataFrame:
-    return B.rollup_minutes(t.bars_minute, 30)
+    return round_columns(B.rollup_minutes(t.bars_minute, 30), ["volume", "amount"], 2)
 
 
 @query("q14_session")
 def _(t: MarketTables) -> DataFrame:
-    return B.rollup_minutes(t.bars_minute, 60, sessions=(("09:30", "11:30"), ("13:00", "15:00")))
+    return round_columns(B.rollup_minutes(t.bars_minute, 60, sessions=(("09:30", "11:30"), ("13:00", "15:00"))), ["volume", "amount"], 2)
 
 
 def with_factor(bars: DataFrame) -> DataFrame:

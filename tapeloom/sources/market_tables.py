@@ -1,8 +1,8 @@
 """Market tables derived from retail tables.
 
 The library works on any bars, calendars and memberships; here they are derived from the given order and event
-tables so that queries have data of any size to run on. Money and quantities are summed as decimals, which makes
-sums independent of the row order. Every reduction happens before the join to reference rows.
+tables so that queries have data of any size to run on. Money and quantities are summed in cents, which makes sums
+independent of the row order. Every reduction happens before the join to reference rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 
 def exact_sum(column: str | Column) -> Column:
-    return F.sum(F.col(column).cast("decimal(18,2)") if isinstance(column, str) else column.cast("decimal(18,2)")).cast("double")
+    """Sum of an amount in whole cents: integers, so the same whatever the order of the rows."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.sum(F.floor(value * 100 + 0.5)) / F.lit(100.0)
 
 
 class MarketTables:

@@ -28,7 +28,7 @@ def live_bars(ticks: DataFrame, width: str = "1 minute", delay: str = "10 minute
     windowed = ticks.withWatermark(time, delay).groupBy(F.window(time, width), key)
     bars = windowed.agg(
         F.min_by(value, order).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, order).alias("close"),
-        F.count("*").alias("volume"), F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("amount"),
+        F.count("*").alias("volume"), F.sum(value).alias("amount"),
     )
     return bars.select(key, F.col("window.start").alias("bar_time"), F.col("window.end").alias("bar_end"), "open", "high", "low", "close", "volume", "amount")
 
