@@ -286,9 +286,7 @@ WITH b AS (SELECT event_type AS code, TIME_BUCKET(INTERVAL 30 MINUTE, ts) AS bar
 SELECT code, bar_time, bar_time + INTERVAL 30 MINUTE AS bar_end, open, high, low, close, volume, amount FROM b WHERE bar_time + INTERVAL 30 MINUTE <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE"""
 ORACLES["s2_upsert"] = f"""
 SELECT event_type AS code, TIME_BUCKET(INTERVAL 1 HOUR, ts) AS bar_time, MIN_BY(value, event_id) AS open, MAX_BY(value, event_id) AS close, COUNT(*) AS volume, {_money('value')} AS amount FROM events GROUP BY 1, 2"""
-ORACLES["s3_gap_audit"] = using("bars_minute", f"""
-WITH bars_raw AS (SELECT DATE_TRUNC('minute', ts) AS bar_time FROM events), {_SESSION.replace('FROM bars_minute', 'FROM bars_raw')}
-SELECT trade_date, minute_count, first_minute, last_minute, issue FROM issues WHERE issue <> ''""")
+ORACLES["s3_gap_audit"] = using("bars_minute", f"WITH {_SESSION} SELECT trade_date, minute_count, first_minute, last_minute, issue FROM issues WHERE issue <> ''")
 ORACLES["s4_news_lag"] = """
 WITH n AS (SELECT ts, ts + TO_MINUTES(CAST(event_id % 121 - 60 AS INT)) AS crawl_time FROM events),
 h AS (SELECT TIME_BUCKET(INTERVAL 1 HOUR, crawl_time) AS crawl_hour, COUNT(*) AS event_count, COUNT(*) FILTER (WHERE crawl_time > ts) AS late_count, MAX(EPOCH_US(crawl_time) - EPOCH_US(ts)) / 1e6 AS max_lag_seconds FROM n GROUP BY 1)

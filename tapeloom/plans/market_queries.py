@@ -473,12 +473,18 @@ def _(t: MarketTables) -> DataFrame:
 
 @query("s3_gap_audit")
 def _(t: MarketTables) -> DataFrame:
-    """Session issues found per batch of arriving events."""
-    folder = _new_folder(t, "audit")
-    days = completed_days(minute_checks(t), 30)
+    """Minute rows stored per batch, and the session issues of the days each batch touched."""
+    folder, keys = _new_folder(t, "audit"), ["code", "bar_time"]
     minutes = _events_stream(t).select("code", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("bar_time"))
-    jobs.for_each_batch(minutes, jobs.audit_gaps(f"{folder}/issues", days), f"{folder}/checkpoint", "append").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/issues").select("trade_date", "minute_count", "first_minute", "last_minute", "issue")
+    store = jobs.upsert_into(f"{folder}/bars", keys)
+    audit = jobs.audit_gaps(f"{folder}/issues", lambda: jobs.read_upserts(t.spark, f"{folder}/bars", keys), completed_days(minute_checks(t), 30))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        store(batch.distinct(), batch_id)
+        audit(batch, batch_id)
+
+    jobs.for_each_batch(minutes, handle, f"{folder}/checkpoint", "append").awaitTermination()
+    return jobs.read_issues(t.spark, f"{folder}/issues").select("trade_date", "minute_count", "first_minute", "last_minute", "issue")
 
 
 @query("s4_news_lag")

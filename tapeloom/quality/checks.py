@@ -347,11 +347,11 @@ def _coverage(checks: Checks, rule: Rule) -> DataFrame:
     start = max(checks.today - dt.timedelta(days=90), earliest)
     days = checks.expected_days(start)
     covered = _recent_days(checks, rule).where(F.col("trade_date") >= F.lit(start)).agg(
-        F.size(F.array_intersect(days, F.collect_set("trade_date"))).alias("actual"), F.size(F.first(days)).alias("expected")
-    )
+        F.size(F.array_intersect(days, F.collect_set("trade_date"))).alias("actual")
+    ).withColumn("expected", F.size(days))
     actual, expected, since = F.col("actual"), F.col("expected"), F.lit(f"provider 起点 {rule.provider_earliest_date} 后的最近窗口")
     counts = F.concat(since, F.lit("覆盖 "), actual.cast("string"), F.lit("/"), expected.cast("string"), F.lit(" 个交易日"))
-    none_expected, empty, partial = F.coalesce(expected, F.lit(0)) <= 0, actual <= 0, actual < expected
+    none_expected, empty, partial = expected <= 0, actual <= 0, actual < expected
     check = checks.row(
         rule.check_id, rule.title,
         F.when(none_expected, "unknown").when(empty, "unhealthy").when(partial, "warning").otherwise("healthy"),

@@ -69,6 +69,8 @@ def read_upserts(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFra
     """Latest version of every key: one map-side combined aggregation, no window."""
     rows = spark.read.parquet(path)
     values = [name for name in rows.columns if name not in (*keys, "batch_id")]
+    if not values:
+        return rows.select(*keys).distinct()
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_row")).select(*keys, "_row.*")
 
 
@@ -77,18 +79,28 @@ def compact_upserts(spark: SparkSession, path: str, into: str, keys: Sequence[st
     read_upserts(spark, path, keys).hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(into)
 
 
-def audit_gaps(path: str, days, expected_minutes: int = 240, min_row_ratio: float = 0.95, time: str = "bar_time") -> Callable[[DataFrame, int], None]:
-    """Batch handler: session issues of the days touched by the batch, written per batch."""
+def audit_gaps(
+    path: str, stored_bars: Callable[[], DataFrame], days, expected_minutes: int = 240, min_row_ratio: float = 0.95, time: str = "bar_time"
+) -> Callable[[DataFrame, int], None]:
+    """Batch handler: session issues of the days a batch touches, judged on all bars stored for them.
+
+    ``stored_bars`` reads the bars after the batch has been stored; ``days`` is the array of expected days. Each
+    batch writes a version of its days, and the latest version of a day is the one in force.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        issues = session_issues(session_days(batch, time, days), expected_minutes, min_row_ratio)
-        issues.where(F.col("issue").isNotNull()).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch_id").parquet(path)
+        touched = F.array_intersect(days, batch.agg(F.collect_set(F.col(time).cast("date"))).scalar())
+        issues = session_issues(session_days(stored_bars(), time, touched), expected_minutes, min_row_ratio)
+        issues.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
     return handle
 
 
+def read_issues(spark: SparkSession, path: str) -> DataFrame:
+    """Days whose latest audit found an issue."""
+    return read_upserts(spark, path, ["trade_date"]).where(F.col("issue").isNotNull())
+
+
 def lag_by_hour(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Per crawl hour: events, late events (crawled after their announcement) and the largest lag in seconds."""
     lag = F.col("crawl_time").cast("double") - F.col("announcement_time").cast("timestamp").cast("double")
