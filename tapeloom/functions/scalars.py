@@ -67,9 +67,9 @@ def hour_minute(value: Column) -> Column:
     return F.date_format(value, "HH:mm")
 
 
-def local_time(as_of_utc: Column, zone: str = "Asia/Shanghai") -> Column:
-    """UTC timestamp shown on the wall clock of ``zone``."""
-    return F.from_utc_timestamp(as_of_utc, zone)
+def local_time(utc: Column, zone: str = "Asia/Shanghai") -> Column:
+    """Zone-less UTC timestamp shown on the wall clock of ``zone``, whatever the session's zone."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
 def differs(stored: Column, recomputed: Column, relative: float = 0.0, absolute: float = 0.0) -> Column:

@@ -106,8 +106,8 @@ WITH {_STRATEGY.replace('FROM bars_sparse)', "FROM bars_sparse WHERE trade_date
 SELECT trade_date, code, active_buy_amount_proportion_all, price_band_state, mean_volume_5d_shares, ma10, ma20, ma40 FROM factors WHERE trade_date >= DATE '1998-01-01'""")
 ORACLES["e34_pit_period"] = using("reports_f reports_p", """
 SELECT code, report_period, announcement_date, f.value AS profit, COALESCE(f.order_count, p.order_count) AS order_count, p.value AS revenue
-FROM (SELECT * FROM reports_f WHERE order_count % 5 <> 0 AND report_period = DATE '1998-04-01') f
-FULL OUTER JOIN (SELECT * FROM reports_p WHERE order_count % 7 <> 0 AND report_period = DATE '1998-04-01') p USING (code, report_period, announcement_date)""")
+FROM (SELECT * FROM reports_f WHERE QUARTER(report_period) <> 2 AND report_period = DATE '1998-04-01') f
+FULL OUTER JOIN (SELECT * FROM reports_p WHERE QUARTER(report_period) <> 4 AND report_period = DATE '1998-04-01') p USING (code, report_period, announcement_date)""")
 ORACLES["e51_holder_changes"] = using("holder_counts", """
 WITH w AS (SELECT CAST(code AS VARCHAR) AS code, trade_date, holder_count, LAG(holder_count) OVER (ORDER BY trade_date) AS pre FROM holder_counts WHERE code = 7 AND trade_date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31')
 SELECT code, trade_date, holder_count, holder_count - pre AS change_count, ROUND((holder_count - pre) / NULLIF(pre, 0)::DOUBLE * 100, 4) AS change_pct FROM w""")

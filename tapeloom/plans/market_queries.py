@@ -13,7 +13,7 @@ from tapeloom.operators.predicates import in_days
 from tapeloom.operators.series import open_days, previous_change
 from tapeloom.plans.catalog import query, round_columns, rounded
 from tapeloom.plans.quotes import QuoteRequest, minute_quotes
-from tapeloom.plans.series_queries import _reports, stock_changes, strategy_rows, with_factor
+from tapeloom.plans.series_queries import pit_sources, stock_changes, strategy_rows, with_factor
 from tapeloom.plans.views import etf_quote_result, query_view, stock_quote_result
 from tapeloom.quality.checks import Checks, Rule, completed_days, session_days, session_issues
 from tapeloom.quality.contract import compare_expectations, contract_metrics, weighted_pct
@@ -111,8 +111,8 @@ def market_store(t: MarketTables) -> MarketStore:
             "stocks.ownership.shareholders.count": lambda: t.holder_counts.withColumns({"code": F.col("code").cast("string"), "avg_holding": F.lit(None).cast("double")}),
             "stocks.ownership.shareholders.top10": lambda: top_holders(t),
             "stocks.factors.strategy_window": factors,
-            "stocks.finance.pit.indicators": lambda: _reports(t, "F", "profit").where(F.col("order_count") % 5 != 0),
-            "stocks.finance.pit.income": lambda: _reports(t, "P", "revenue").where(F.col("order_count") % 7 != 0),
+            "stocks.finance.pit.indicators": lambda: pit_sources(t)[0],
+            "stocks.finance.pit.income": lambda: pit_sources(t)[1],
             "fact.news_event_agent_view": lambda: news_rows(t),
         },
     )

@@ -119,7 +119,7 @@ ORACLES["j11_left_two_keys"] = using("stock_daily membership", """
 SELECT m.concept_id, COUNT(*) AS member_count, COUNT(s.volume) AS with_bar FROM membership m LEFT JOIN stock_daily s ON s.market = m.stock_market AND s.code = m.stock_code AND s.trade_date = DATE '1997-03-03' GROUP BY 1""")
 ORACLES["j12_pit_merge"] = using("reports_f reports_p", """
 SELECT code, report_period, announcement_date, f.value AS profit, COALESCE(f.order_count, p.order_count) AS order_count, p.value AS revenue
-FROM (SELECT * FROM reports_f WHERE order_count % 5 <> 0) f FULL OUTER JOIN (SELECT * FROM reports_p WHERE order_count % 7 <> 0) p USING (code, report_period, announcement_date)""")
+FROM (SELECT * FROM reports_f WHERE QUARTER(report_period) <> 2) f FULL OUTER JOIN (SELECT * FROM reports_p WHERE QUARTER(report_period) <> 4) p USING (code, report_period, announcement_date)""")
 ORACLES["j13_column_exists"] = using("stock_ref", """
 SELECT 'board_type' AS column_name, CAST(0 AS BIGINT) AS missing_column, COUNT(*) FILTER (WHERE board_type = '') AS blank_count FROM stock_ref
 UNION ALL SELECT 'industry', 1, COUNT(*) FROM stock_ref""")
@@ -217,12 +217,14 @@ ORACLES["w06_extremes"] = using("bars_daily", f"WITH {_RSV.format(source='bars_d
 ORACLES["w07_rsv"] = using("bars_sparse", f"WITH {_RSV.format(source='bars_sparse')} SELECT code, trade_date, ROUND(rsv, 4) AS rsv FROM r")
 ORACLES["w08_kdj"] = using("bars_daily", f"WITH {_KDJ} SELECT code, trade_date, ROUND(kdj_k, 4) AS kdj_k, ROUND(kdj_d, 4) AS kdj_d, ROUND(3 * kdj_k - 2 * kdj_d, 4) AS kdj_j FROM kd")
 ORACLES["w09_boll"] = using("bars_daily", f"SELECT code, trade_date, {_BOLL} FROM bars_daily")
-ORACLES["w10_technical"] = using("bars_daily", f"""
-WITH {_EMA}, {_KDJ}, {_DELTA},
+_TECHNICAL = f"""
+{_EMA}, {_KDJ}, {_DELTA},
 s AS (SELECT code, trade_date, {_sma(5)}, {_sma(10)}, {_sma(20)}, {_sma(60)}, {_rsi(6)}, {_rsi(12)}, {_rsi(24)}, {_BOLL} FROM delta)
 SELECT s.code, s.trade_date, 'none' AS adjust, ma5, ma10, ma20, ma60, ROUND(ema12, 4) AS ema12, ROUND(ema26, 4) AS ema26, ROUND(dif, 4) AS dif, ROUND(dea, 4) AS dea, ROUND((dif - dea) * 2, 4) AS macd,
   rsi6, rsi12, rsi24, ROUND(kdj_k, 4) AS kdj_k, ROUND(kdj_d, 4) AS kdj_d, ROUND(3 * kdj_k - 2 * kdj_d, 4) AS kdj_j, boll_upper, boll_mid, boll_lower
-FROM s JOIN m USING (code, trade_date) JOIN kd USING (code, trade_date)""")
+FROM s JOIN m USING (code, trade_date) JOIN kd USING (code, trade_date)"""
+ORACLES["w10_technical"] = using("bars_daily", "WITH " + _TECHNICAL)
+ORACLES["w10_technical_minutes"] = using("bars_minute", "WITH minutes AS (SELECT * RENAME (bar_time AS trade_date) FROM bars_minute), " + _TECHNICAL.replace("bars_daily", "minutes"))
 ORACLES["w10_technical_segmented"] = ORACLES["w10_technical"]
 ORACLES["w11_holder_change"] = using("holder_counts", """
 WITH p AS (SELECT *, LAG(holder_count) OVER (PARTITION BY code ORDER BY trade_date) AS pre FROM holder_counts)

@@ -322,11 +322,14 @@ def _reports(t: MarketTables, status: str, value: str) -> DataFrame:
     return sums.withColumn("announcement_date", F.date_add("report_period", 20))
 
 
+def pit_sources(t: MarketTables) -> tuple[DataFrame, DataFrame]:
+    """Two sources of quarterly facts: the first has no second quarters, the second no fourth quarters."""
+    return _reports(t, "F", "profit").where(F.quarter("report_period") != 2), _reports(t, "P", "revenue").where(F.quarter("report_period") != 4)
+
+
 @query("j12_pit_merge")
 def _(t: MarketTables) -> DataFrame:
-    left = _reports(t, "F", "profit").where(F.col("order_count") % 5 != 0)
-    right = _reports(t, "P", "revenue").where(F.col("order_count") % 7 != 0)
-    return merge.pit_merge(left, right, ["code", "report_period", "announcement_date"])
+    return merge.pit_merge(*pit_sources(t), ["code", "report_period", "announcement_date"])
 
 
 @query("j13_column_exists")
@@ -550,6 +553,13 @@ def _(t: MarketTables) -> DataFrame:
     return round_columns(indicators.technical_by_segment(t.bars_daily, rows=1024), TECHNICAL_VALUES)
 
 
+@query("w10_technical_minutes")
+def _(t: MarketTables) -> DataFrame:
+    """Minute bars: few, very long series, cut into pieces of 2048 rows and numbered per day."""
+    minutes = t.bars_minute.withColumnRenamed("bar_time", "trade_date")
+    return round_columns(indicators.technical_by_segment(minutes, block=F.col("trade_date").cast("date"), rows=2048), TECHNICAL_VALUES)
+
+
 @query("w11_holder_change")
 def _(t: MarketTables) -> DataFrame:
     return round_columns(series.count_change(t.holder_counts, CODE, DAY), ["change_pct"])
@@ -684,7 +694,7 @@ def _(t: MarketTables) -> DataFrame:
 
 @query("f09_local_time")
 def _(t: MarketTables) -> DataFrame:
-    local = S.local_time(F.col("announcement_time").cast("timestamp"))
+    local = S.local_time(F.col("announcement_time"))
     return t.news.select("event_id", local.cast("date").alias("local_date"), S.hour_minute(local).alias("local_minute"))
 
 

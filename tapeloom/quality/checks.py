@@ -406,7 +406,10 @@ def _minute_session(checks: Checks, rule: Rule) -> DataFrame:
     if rule.expected_minutes <= 0 or rule.lookback_days <= 0:
         return checks.fixed(rule.check_id, rule.title, "unknown", "未执行", "分钟完整性检查配置非法")
     days = completed_days(checks, rule.lookback_days)
-    per_day = session_days(checks.table(rule.object), checks.time_columns.get(rule.object, "bar_time"), days)
+    time = checks.time_columns.get(rule.object, "bar_time")
+    first, after = checks.today - dt.timedelta(days=rule.lookback_days), checks.today + dt.timedelta(days=1)
+    looked_at = (F.col(time) >= F.lit(first).cast("timestamp_ntz")) & (F.col(time) < F.lit(after).cast("timestamp_ntz"))
+    per_day = session_days(checks.table(rule.object).where(looked_at), time, days)
     issues = session_issues(per_day, rule.expected_minutes, rule.min_row_ratio)
     listed = F.reverse(F.array_sort(F.collect_list(F.when(F.col("issue").isNotNull(), F.col("issue")))))
     found = issues.agg(F.count("*").alias("days"), listed.alias("issues"))
