@@ -167,8 +167,10 @@ def _count_check(check_id: str, title: str, text: str, condition: str) -> str:
 
 
 ORACLES["c12_fixed_field"] = using("faulty_bars", _count_check("freq_valid", "freq_valid 固定为 1d", "freq 不为 1d", "freq IS DISTINCT FROM '1d'"))
-ORACLES["c13_ohlc"] = using("faulty_bars", _count_check("ohlc_valid:fact.bars", "fact.bars OHLC 合法", "OHLC 关系异常", "low > high OR open < low OR open > high OR close < low OR close > high"))
-ORACLES["c14_non_negative"] = using("faulty_bars", _count_check("non_negative:fact.bars:volume", "fact.bars volume 数值合法", "volume 出现负数", "volume < 0") + " UNION ALL " + _count_check("non_negative:fact.bars:amount", "fact.bars amount 数值合法", "amount 出现负数", "amount < 0"))
+_OHLC_CHECK = _count_check("ohlc_valid:fact.bars", "fact.bars OHLC 合法", "OHLC 关系异常", "low > high OR open < low OR open > high OR close < low OR close > high")
+_SIGN_CHECKS = " UNION ALL ".join(_count_check(f"non_negative:fact.bars:{c}", f"fact.bars {c} 数值合法", f"{c} 出现负数", f"{c} < 0") for c in ("volume", "amount"))
+ORACLES["c13_ohlc"] = using("faulty_bars", _OHLC_CHECK)
+ORACLES["c14_non_negative"] = using("faulty_bars", _SIGN_CHECKS)
 ORACLES["c15_finite"] = using("faulty_bars", _count_check("money_flow_values_valid", "inflow/outflow/net_inflow 数值合法", "资金流字段出现非法数值", "inflow IS NULL OR NOT ISFINITE(inflow)"))
 
 
@@ -294,3 +296,8 @@ SELECT * FROM h WHERE crawl_hour + INTERVAL 1 HOUR <= (SELECT MAX(crawl_time) FR
 ORACLES["s4_news_lag_batch"] = using("news", f"""
 WITH {_NEWS} SELECT trade_date, COUNT(*) AS event_count, COUNT(*) FILTER (WHERE crawl_time > announcement_time) AS late_count,
   ROUND(AVG((EPOCH_US(crawl_time) - EPOCH_US(announcement_time)) / 1e6), 4) AS mean_lag_seconds, ROUND(MAX((EPOCH_US(crawl_time) - EPOCH_US(announcement_time)) / 1e6), 4) AS max_lag_seconds FROM n GROUP BY 1""")
+
+ORACLES["io4_result_round_trip"] = using("faulty_bars", f"{_OHLC_CHECK} UNION ALL {_SIGN_CHECKS}")
+ORACLES["io5_fill_write_back"] = f"""
+WITH s AS (SELECT p_brand AS code, CAST(DATE_TRUNC('month', l_shipdate) AS DATE) AS month, l_returnflag AS flag, {_money('l_quantity')} AS volume FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('R', 'A', 'N') GROUP BY 1, 2, 3)
+SELECT code, month, volume, flag FROM s WHERE flag <> 'R' OR QUARTER(month) <> 2 QUALIFY ROW_NUMBER() OVER (PARTITION BY code, month ORDER BY CASE flag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) = 1"""

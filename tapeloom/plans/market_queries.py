@@ -20,7 +20,7 @@ from tapeloom.quality.contract import compare_expectations, contract_metrics, we
 from tapeloom.quality.health import run_health
 from tapeloom.session import shared_folder
 from tapeloom.sources.market_tables import MarketTables, exact_sum
-from tapeloom.sources.store import MarketStore
+from tapeloom.sources.store import MarketStore, read_result, write_result
 from tapeloom.streaming import jobs
 
 # -- tables the views read ---------------------------------------------------------------------------------------
@@ -296,7 +296,7 @@ def _(t: MarketTables) -> DataFrame:
 
 @query("n1_news")
 def _(t: MarketTables) -> DataFrame:
-    rows = news_events(news_rows(t), "2024-01-05", stock_code="8", min_importance_score=1, sort_by="crawl_time", limit=30)
+    rows = query_view(market_store(t), "markets.events.news", trade_date="2024-01-05", stock_code="8", min_importance_score=1, sort_by="crawl_time", limit=30)
     return rows.select("event_id", "event_type", "announcement_time", "crawl_time", "importance_score", F.array_join("related_stock_codes", ",").alias("related"))
 
 
@@ -446,6 +446,30 @@ def _(t: MarketTables) -> DataFrame:
     return run_health(checks, ["bars", "keys", "calendar", "unlisted"], groups, rules)["groups"]
 
 
+# -- writing -----------------------------------------------------------------------------------------------------
+
+
+@query("io4_result_round_trip")
+def _(t: MarketTables) -> DataFrame:
+    """Check rows of two runs written below the shared folder; the latest is read back."""
+    folder, checks = _new_folder(t, "health"), checks_over(t)
+    write_result(checks.run(RULES["c06_calendar"]), folder, "first")
+    write_result(checks.run(RULES["c13_ohlc"] + RULES["c14_non_negative"]), folder, "second")
+    return read_result(t.spark, folder)
+
+
+@query("io5_fill_write_back")
+def _(t: MarketTables) -> DataFrame:
+    """Monthly volumes of one return flag stored, absent months filled from the other flags, written back and read."""
+    def source(flag: str) -> DataFrame:
+        month = F.date_trunc("month", "trade_date").cast("date").alias("month")
+        return t.trades.where(F.col("l_returnflag") == flag).groupBy(F.col("p_brand").alias("code"), month).agg(exact_sum("l_quantity").alias("volume"), F.lit(flag).alias("flag"))
+
+    store = MarketStore(t.spark, _new_folder(t, "store"))
+    store.write("fact.volumes", source("R").where(F.quarter("month") != 2), "month", ["code"])
+    return store.fill_and_write_back("fact.volumes", [source("A"), source("N")], ["code", "month"], "month")
+
+
 # -- streaming ---------------------------------------------------------------------------------------------------
 
 

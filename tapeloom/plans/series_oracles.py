@@ -275,3 +275,16 @@ ORACLES["f15_to_numeric"] = "SELECT o_orderpriority, MAX(TRY_CAST(SPLIT_PART(o_o
 ORACLES["f16_dates"] = using("calendar", "SELECT trade_date, trade_date AS compact, trade_date AS dashed, CAST(NULL AS DATE) AS bad FROM calendar")
 ORACLES["f17_code_list"] = "SELECT p_partkey, p_brand || '|' || p_type AS codes FROM part"
 ORACLES["f20_array_member"] = "SELECT event_id, user_id AS stock_code FROM events WHERE user_id IN (7, 8)"
+ORACLES["f01_coalesce"] = """
+SELECT p_brand, CAST(l_shipdate AS DATE) AS trade_date, COALESCE(CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) FILTER (WHERE l_returnflag = 'R') AS DOUBLE), 0.0) AS returned FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"""
+ORACLES["f04_tolerance"] = using("bars_daily", """
+SELECT code, COUNT(*) FILTER (WHERE ABS(close - (low + high) / 2) > GREATEST(1.0, ABS((low + high) / 2) * 0.5)) AS beyond_half, COUNT(*) FILTER (WHERE ABS(close - (low + high) / 2) > 100) AS beyond_100 FROM bars_daily GROUP BY 1""")
+ORACLES["f05_case"] = using("bars_sparse", "SELECT CASE WHEN close >= low * 2 THEN 'upper' WHEN close <= high / 2 THEN 'lower' ELSE 'inside' END AS price_band_state, COUNT(*) AS n FROM bars_sparse GROUP BY 1")
+ORACLES["f08_casts"] = "SELECT event_id, CAST(ts AS DATE) AS day, STRFTIME(ts, '%H:%M:%S') AS time_text, CAST(CAST(ts AS DATE) AS VARCHAR) AS day_text, CAST(FLOOR(value / 100) AS BIGINT) + 1 AS score FROM events"
+ORACLES["f11_sequence"] = using("bars_sparse", """
+WITH s AS (SELECT code, MIN(trade_date) AS a, MAX(trade_date) AS b FROM bars_sparse GROUP BY 1) SELECT code, CAST(UNNEST(GENERATE_SERIES(a, b, INTERVAL 1 DAY)) AS DATE) AS trade_date FROM s""")
+ORACLES["f13_invalid_number"] = "SELECT l_linestatus, COUNT(*) FILTER (WHERE l_tax IN (0, 0.01, 0.02)) AS invalid_count, COUNT(*) FILTER (WHERE l_tax IN (0, 0.01)) AS not_finite_count FROM lineitem GROUP BY 1"
+ORACLES["f14_diff_clip"] = using("bars_daily", f"WITH {_DELTA} SELECT code, trade_date, diff, gain, loss FROM delta")
+ORACLES["f18_join_texts"] = using("stock_daily", """
+SELECT CONCAT_WS(';', CASE WHEN is_st THEN 'st' END, CASE WHEN is_suspended THEN 'suspended' END, CASE WHEN volume < 10 THEN 'thin' END) AS issues, COUNT(*) AS n FROM stock_daily GROUP BY 1""")
+ORACLES["f19_hour_minute"] = using("bars_minute", "SELECT code, STRFTIME(MIN(bar_time), '%H:%M') AS first_minute, STRFTIME(MAX(bar_time), '%H:%M') AS last_minute FROM bars_minute GROUP BY 1")

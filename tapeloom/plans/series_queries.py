@@ -734,3 +734,64 @@ def _(t: MarketTables) -> DataFrame:
 def _(t: MarketTables) -> DataFrame:
     related = F.array(F.col("stock_code"), F.col("stock_code") + 1)
     return t.news.where(F.array_contains(related, F.lit(8).cast("long"))).select("event_id", "stock_code")
+
+
+@query("f01_coalesce")
+def _(t: MarketTables) -> DataFrame:
+    """Brand-days without a trade of one return flag count as zero."""
+    by_flag = t.trades.groupBy("p_brand", "trade_date").agg(exact_sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("returned"))
+    return by_flag.select("p_brand", "trade_date", F.coalesce("returned", F.lit(0.0)).alias("returned"))
+
+
+@query("f04_tolerance")
+def _(t: MarketTables) -> DataFrame:
+    """Close against the middle of the day's range: relative and absolute tolerances."""
+    middle = (F.col("low") + F.col("high")) / 2
+    return t.bars_daily.groupBy("code").agg(
+        F.count_if(S.differs(F.col("close"), middle, relative=0.5, absolute=1.0)).alias("beyond_half"), F.count_if(S.differs(F.col("close"), middle, absolute=100.0)).alias("beyond_100")
+    )
+
+
+@query("f05_case")
+def _(t: MarketTables) -> DataFrame:
+    state = factors.price_band_state(F.col("close"), F.col("low") * 2, F.col("high") / 2)
+    return t.bars_sparse.groupBy(state.alias("price_band_state")).agg(F.count("*").alias("n"))
+
+
+@query("f08_casts")
+def _(t: MarketTables) -> DataFrame:
+    ts = F.col("announcement_time")
+    return t.news.select("event_id", ts.cast("date").alias("day"), F.date_format(ts, "HH:mm:ss").alias("time_text"), ts.cast("date").cast("string").alias("day_text"), F.col("importance_score").cast("long").alias("score"))
+
+
+@query("f11_sequence")
+def _(t: MarketTables) -> DataFrame:
+    """Every date between the first and last bar of each brand."""
+    spans = t.bars_sparse.groupBy("code").agg(F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"))
+    return spans.select("code", F.explode(F.sequence("first_day", "last_day")).alias("trade_date"))
+
+
+@query("f13_invalid_number")
+def _(t: MarketTables) -> DataFrame:
+    tax = F.col("l_tax")
+    seeded = F.when(tax == 0, float("nan")).when(tax == 0.01, -float("inf")).when(tax != 0.02, F.col("l_extendedprice"))
+    return t.raw("lineitem").groupBy("l_linestatus").agg(F.count_if(S.invalid_number(seeded)).alias("invalid_count"), F.count_if(S.not_finite(seeded)).alias("not_finite_count"))
+
+
+@query("f14_diff_clip")
+def _(t: MarketTables) -> DataFrame:
+    window = series.series_window(CODE, DAY)
+    delta = F.col("close") - F.lag("close").over(window)
+    moved = t.bars_daily.withColumn("diff", delta)
+    return moved.select("code", "trade_date", "diff", F.when(F.col("diff").isNotNull(), F.greatest("diff", F.lit(0.0))).alias("gain"), F.when(F.col("diff").isNotNull(), F.greatest(-F.col("diff"), F.lit(0.0))).alias("loss"))
+
+
+@query("f18_join_texts")
+def _(t: MarketTables) -> DataFrame:
+    parts = F.concat_ws(";", F.when(F.col("is_st"), "st"), F.when(F.col("is_suspended"), "suspended"), F.when(F.col("volume") < 10, F.lit("thin")))
+    return t.stock_daily.groupBy(parts.alias("issues")).agg(F.count("*").alias("n"))
+
+
+@query("f19_hour_minute")
+def _(t: MarketTables) -> DataFrame:
+    return t.bars_minute.groupBy("code").agg(S.hour_minute(F.min("bar_time")).alias("first_minute"), S.hour_minute(F.max("bar_time")).alias("last_minute"))

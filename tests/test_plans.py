@@ -12,7 +12,7 @@ from tapeloom.operators.selection import last_n
 from tapeloom.plans.catalog import run
 from tapeloom.sources.market_tables import MarketTables
 
-EAGER = ("s1_stream_bars", "s2_upsert", "s3_gap_audit", "s4_news_lag", "h_contract_metrics", "a15_metrics_long")
+EAGER = ("io4_result_round_trip", "io5_fill_write_back", "s1_stream_bars", "s2_upsert", "s3_gap_audit", "s4_news_lag", "h_contract_metrics", "a15_metrics_long")
 
 
 def plan_of(df) -> str:
