@@ -83,6 +83,7 @@ def ewm_mean(
         steps[f"_p_{out}"] = F.when(value.isNull(), F.lit(1.0)).when(first, F.lit(0.0)).otherwise(old / (old + alpha))
         steps[f"_q_{out}"] = F.when(value.isNull(), F.lit(0.0)).when(first, value).otherwise(value * alpha / (old + alpha))
     work = work.withColumns(steps)
+    over = f"OVER (PARTITION BY {', '.join(f'`{key}`' for key in keys)} ORDER BY `{time}`)"
     reach = 1
     while True:
         active = [out for out, (_, alpha) in outputs.items() if reach < (min(look_back(alpha), rows) if dense else rows)]
@@ -91,10 +92,10 @@ def ewm_mean(
         composed: dict[str, Column] = {}
         for out in active:
             # Before the series every step is the identity.
-            p = [F.col(f"_p_{out}"), *(F.lag(f"_p_{out}", k * reach, 1.0).over(window) for k in (1, 2, 3))]
-            q = [F.col(f"_q_{out}"), *(F.lag(f"_q_{out}", k * reach, 0.0).over(window) for k in (1, 2, 3))]
-            composed[f"_q_{out}"] = q[0] + p[0] * (q[1] + p[1] * (q[2] + p[2] * q[3]))
-            composed[f"_p_{out}"] = p[0] * p[1] * p[2] * p[3]
+            p = [f"`_p_{out}`", *(f"lag(`_p_{out}`, {k * reach}, 1D) {over}" for k in (1, 2, 3))]
+            q = [f"`_q_{out}`", *(f"lag(`_q_{out}`, {k * reach}, 0D) {over}" for k in (1, 2, 3))]
+            composed[f"_q_{out}"] = F.expr(f"{q[0]} + {p[0]} * ({q[1]} + {p[1]} * ({q[2]} + {p[2]} * {q[3]}))")
+            composed[f"_p_{out}"] = F.expr(" * ".join(p))
         work = work.withColumns(composed)
         reach *= 4
     started = {out: F.when(F.col(x).isNotNull() | F.col(f"_prev_{x}").isNotNull(), F.col(f"_q_{out}")) for out, (x, _) in outputs.items()}
@@ -157,22 +158,22 @@ def bollinger(df: DataFrame, keys: Sequence[str], time: str, value: str = "close
 
 
 def _technical(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """The recursive means come first, while rows are narrow; the rolling columns are added last."""
     window = series_window(keys, time)
-    work = _gain_loss(df, window, "close")
-    work = work.withColumns(
+    work = ewm_mean(
+        df.withColumn("rsv", _rsv(window)), keys, time,
+        {"ema12": ("close", span_alpha(12)), "ema26": ("close", span_alpha(26)), "kdj_k": ("rsv", com_alpha(2))},
+    ).drop("rsv", "high", "low").withColumn("dif", F.col("ema12") - F.col("ema26"))
+    work = ewm_mean(work, keys, time, {"dea": ("dif", span_alpha(9)), "kdj_d": ("kdj_k", com_alpha(2))}, dense=True)
+    return _gain_loss(work, window, "close").withColumns(
         {
+            "macd": (F.col("dif") - F.col("dea")) * 2,
+            "kdj_j": F.col("kdj_k") * 3 - F.col("kdj_d") * 2,
             **{f"ma{n}": rolling(F.avg, "close", window, n) for n in (5, 10, 20, 60)},
             **{f"rsi{n}": _rsi_of(window, n) for n in (6, 12, 24)},
             **_bands(window, "close"),
-            "rsv": _rsv(window),
         }
-    ).drop("_delta", "_gain", "_loss")
-    work = ewm_mean(
-        work, keys, time,
-        {"ema12": ("close", span_alpha(12)), "ema26": ("close", span_alpha(26)), "kdj_k": ("rsv", com_alpha(2))},
-    ).withColumn("dif", F.col("ema12") - F.col("ema26"))
-    work = ewm_mean(work, keys, time, {"dea": ("dif", span_alpha(9)), "kdj_d": ("kdj_k", com_alpha(2))}, dense=True)
-    return work.withColumns({"macd": (F.col("dif") - F.col("dea")) * 2, "kdj_j": F.col("kdj_k") * 3 - F.col("kdj_d") * 2})
+    )
 
 
 def _clean(bars: DataFrame) -> DataFrame:
