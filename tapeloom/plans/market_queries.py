@@ -260,8 +260,7 @@ def _(t: MarketTables) -> DataFrame:
 def _(t: MarketTables) -> DataFrame:
     rows = query_view(market_store(t), "stocks.factors.strategy_window", start_date="1998-01-01", end_date="1998-06-30")
     names = ["mean_volume_5d_shares", "ma10", "ma20", "ma40"]
-    picked = round_columns(rows, names).withColumn("active_buy_amount_proportion_all", rounded("active_buy_amount_proportion_all", 8))
-    return picked.select("trade_date", "code", "active_buy_amount_proportion_all", "price_band_state", *names)
+    return round_columns(rows, names).select("trade_date", "code", "active_buy_amount_proportion_all", "price_band_state", *names)
 
 
 @query("e34_pit_period")

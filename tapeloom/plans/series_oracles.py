@@ -234,7 +234,7 @@ ORACLES["w13_moving_averages"] = using("bars_sparse", f"SELECT code, trade_date,
 _STRATEGY = f"""
 parts AS (SELECT p_brand AS code, CASE WHEN p_brand = 'Brand#3' THEN 0.0 ELSE {_money('p_retailprice')} END AS cap, CASE WHEN p_brand <> 'Brand#5' THEN CAST(SUM(p_size) AS DOUBLE) END AS shares FROM part GROUP BY p_brand),
 v AS (SELECT *, AVG(volume) OVER (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mv, {_sma(10)}, {_sma(20)}, {_sma(40)} FROM bars_sparse),
-factors AS (SELECT code, trade_date, ROUND(amount / 2 / NULLIF(cap * 10000, 0), 8) AS active_buy_amount_proportion_all, ROUND(mv / NULLIF(shares * 10000, 0), 8) AS mean_volume_5d_to_free_float_shares,
+factors AS (SELECT code, trade_date, amount / 2 / NULLIF(cap * 10000, 0) AS active_buy_amount_proportion_all, mv / NULLIF(shares * 10000, 0) AS mean_volume_5d_to_free_float_shares,
   CASE WHEN close >= low * 1.5 THEN 'upper' WHEN close <= high * 0.6 THEN 'lower' ELSE 'inside' END AS price_band_state, ROUND(mv, 4) AS mean_volume_5d_shares, ma10, ma20, ma40, amount, volume, close
   FROM v JOIN parts USING (code))"""
 ORACLES["w14_ratios"] = using("bars_sparse", f"WITH {_STRATEGY} SELECT * EXCLUDE (amount, volume, close) FROM factors")

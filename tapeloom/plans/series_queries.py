@@ -590,10 +590,7 @@ def strategy_rows(t: MarketTables) -> DataFrame:
 def _(t: MarketTables) -> DataFrame:
     result = factors.strategy_window(strategy_rows(t))
     names = ["mean_volume_5d_shares", "ma10", "ma20", "ma40"]
-    rounded_rows = round_columns(result, names).withColumns(
-        {name: rounded(name, 8) for name in ("active_buy_amount_proportion_all", "mean_volume_5d_to_free_float_shares")}
-    )
-    return rounded_rows.select("code", "trade_date", "active_buy_amount_proportion_all", "mean_volume_5d_to_free_float_shares", "price_band_state", *names)
+    return round_columns(result, names).select("code", "trade_date", "active_buy_amount_proportion_all", "mean_volume_5d_to_free_float_shares", "price_band_state", *names)
 
 
 @query("w15_latest_days")
