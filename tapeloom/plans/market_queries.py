@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.news import news_events, news_lag
-from tapeloom.operators.predicates import in_days
-from tapeloom.operators.series import open_days, previous_change
+from tapeloom.operators.series import previous_change
 from tapeloom.plans.catalog import query, round_columns, rounded
 from tapeloom.plans.quotes import QuoteRequest, minute_quotes
 from tapeloom.plans.series_queries import pit_sources, stock_changes, strategy_rows, with_factor

@@ -3,7 +3,6 @@ from __future__ import annotations
 import datetime as dt
 import shutil
 
-import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.session import shared_folder
