@@ -94,7 +94,8 @@ class MarketStore:
         """Store first: keys the table lacks are taken from later sources, written back, and the whole returned.
 
         Only partitions that gain rows are rewritten. They are merged into a folder of their own first, because a
-        job must not overwrite files it is still reading.
+        job must not overwrite files it is still reading; that folder stays until the next call, so a run whose
+        driver died while overwriting is completed by writing it again.
         """
         stored = self.table(name)
         columns = stored.columns
