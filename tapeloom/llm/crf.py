@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from math import exp, log1p
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -162,11 +163,33 @@ def text_score(field: Field, text: bytes) -> float:
     return _calibrated(field, _mean_marginal(field, features, size))
 
 
+def chain_marginals(node: list[float], stay: tuple[float, float]) -> list[float]:
+    """Marginals of good of one chain of any length: forward and backward messages as log odds of good."""
+
+    def softplus(x: float) -> float:
+        return max(x, 0.0) + log1p(exp(-abs(x)))
+
+    good, bad = stay
+
+    def passed(x: float) -> float:  # log odds after a step from log odds x
+        return softplus(x + good) - bad - softplus(x - bad)
+
+    ahead, x = [], 0.0
+    for k, own in enumerate(node):
+        x = own + (passed(x) if k else 0.0)
+        ahead.append(x)
+    out, back = [0.0] * len(node), 0.0
+    for k in range(len(node) - 1, -1, -1):
+        total = ahead[k] + back
+        out[k] = 1 / (1 + exp(-total)) if total > -700 else 0.0
+        back = passed(back + node[k])
+    return out
+
+
 def _mean_marginal(field: Field, features, size) -> float:
     import numpy as np
 
-    node = field.node(features)[None, :]
-    marginal = forward_backward(node, np.array([node.shape[1]]), field.stay)[0][0]
+    marginal = np.array(chain_marginals(field.node(features).tolist(), field.stay))
     return float((marginal * (size + 1)).sum() / (size + 1).sum())
 
 

@@ -16,4 +16,48 @@ best AS (
 SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best ON p.host = best.host AND p.path = best.path
 """
 
-ORACLES: dict[str, str] = {"op2_url_filter": _URLS}
+
+def _shares(name: str, path: list[str], above: str) -> str:
+    """CTEs that share the budget of ``above`` (columns of ``path`` but the last, and t) among the children."""
+    keys, up = ", ".join(path), path[:-1]
+    parent = f"PARTITION BY {', '.join(up)}" if up else ""
+    join = " AND ".join(f"n.{k} IS NOT DISTINCT FROM a.{k}" for k in up) or "true"
+    before = f"OVER ({parent} ORDER BY c::DOUBLE / w NULLS FIRST, {', '.join(f'{k} NULLS FIRST' for k in path)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""
+{name}_n AS (SELECT {keys}, sum(capacity)::HUGEINT AS c, max(w_{path[-1]})::HUGEINT AS w FROM leaf GROUP BY {keys}),
+{name}_s AS (
+  SELECT n.*, least(a.t, sum(c) OVER ({parent.replace('PARTITION BY ', 'PARTITION BY n.').replace(', ', ', n.')}))::HUGEINT AS t FROM {name}_n n JOIN {above} a ON {join}
+),
+{name}_o AS (SELECT *, coalesce(sum(c) {before}, 0)::HUGEINT AS c0, (sum(w) OVER ({parent}) - coalesce(sum(w) {before}, 0))::HUGEINT AS w1 FROM {name}_s),
+{name}_r AS (
+  SELECT *, min(CASE WHEN c * w1 > (t - c0) * w THEN c0 END) OVER ({parent}) AS r0, max(CASE WHEN c * w1 > (t - c0) * w THEN w1 END) OVER ({parent}) AS r1 FROM {name}_o
+),
+{name} AS (SELECT {keys}, least(c, CASE WHEN c * w1 > (t - c0) * w OR c0 > r0 THEN (t - r0) * w // r1 ELSE c END)::HUGEINT AS t FROM {name}_r)"""
+
+
+_MIX = (
+    r"""
+WITH d AS (
+  SELECT doc_id, lang, source, CASE WHEN number = '' THEN 'other' ELSE 'domain' || (number::BIGINT % 4) END AS domain,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens
+  FROM (SELECT *, regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) AS number FROM documents)
+), leaf AS (
+  SELECT domain, lang, source, sum(tokens)::HUGEINT AS tokens, sum(tokens)::HUGEINT * 3 AS capacity, 1 AS w_domain,
+         CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'es' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS w_lang, 1 AS w_source
+  FROM d GROUP BY ALL
+), top AS (SELECT floor(sum(tokens) * 0.5)::HUGEINT AS t FROM leaf),"""
+    + ",".join(_shares(name, path, above) for name, path, above in (("s1", ["domain"], "top"), ("s2", ["domain", "lang"], "s1"), ("s3", ["domain", "lang", "source"], "s2")))
+    + r""",
+e AS (
+  SELECT d.*, epoch, s3.t - epoch * leaf.tokens AS give,
+         coalesce(sum(d.tokens) OVER (PARTITION BY d.domain, d.lang, d.source, epoch
+           ORDER BY md5(concat_ws('|', 'mix', epoch::VARCHAR, coalesce(d.doc_id::VARCHAR, ''))), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
+  FROM d JOIN leaf ON d.domain = leaf.domain AND d.lang IS NOT DISTINCT FROM leaf.lang AND d.source IS NOT DISTINCT FROM leaf.source
+  JOIN s3 ON d.domain = s3.domain AND d.lang IS NOT DISTINCT FROM s3.lang AND d.source IS NOT DISTINCT FROM s3.source, range(3) AS x(epoch)
+  WHERE leaf.tokens > 0
+)
+SELECT doc_id, domain, lang, source, tokens, epoch::INTEGER AS epoch FROM e WHERE give > 0 AND (run < give OR give >= (SELECT max(leaf.tokens) FROM leaf WHERE leaf.domain = e.domain AND leaf.lang IS NOT DISTINCT FROM e.lang AND leaf.source IS NOT DISTINCT FROM e.source))
+"""
+)
+
+ORACLES: dict[str, str] = {"op2_url_filter": _URLS, "op8_source_mixing": _MIX}

@@ -123,14 +123,17 @@ def local_search(bins: Counter[Pattern], size: int) -> Counter[Pattern]:
     """Empties underfull bins into others until none can be emptied or the number of bins is the least possible.
 
     The emptiest bin gives to the fullest that can take something; each step raises the sum of squared fills, so the
-    search ends. A bin that can give nothing is set aside. Full bins take no part.
+    search ends. A bin that can give nothing is set aside until others have changed. Full bins take no part.
     """
     bins = Counter({p: n for p, n in bins.items() if n})
     total = sum(sum(p) * n for p, n in bins.items())
     fewest, used = -(-total // size), sum(bins.values())
     under = Counter({p: n for p, n in bins.items() if sum(p) < size})
-    done = bins - under
-    while used > fewest and under:
+    full, aside, gained = bins - under, Counter(), False
+    while used > fewest and (under or gained):
+        if not under:  # once more with all that could give nothing, since others have changed
+            under, aside, gained = aside, Counter(), False
+            continue
         small = min(under, key=lambda p: (sum(p), p))
         if not small:
             used -= under.pop(small)
@@ -143,12 +146,12 @@ def local_search(bins: Counter[Pattern], size: int) -> Counter[Pattern]:
                     if not under[p]:
                         del under[p]
                 for p in moved:
-                    (done if sum(p) == size else under)[p] += n
+                    (full if sum(p) == size else under)[p] += n
+                gained = True
                 break
         else:
-            done[small] += under.pop(small)
-    left = done + under
-    return Counter({p: n for p, n in left.items() if p})
+            aside[small] += under.pop(small)
+    return Counter({p: n for p, n in (full + under + aside).items() if p})
 
 
 # -- dealing ---------------------------------------------------------------------------------------------------------
