@@ -52,27 +52,36 @@ def base_counts(df: DataFrame) -> DataFrame:
         "*", F.size("_words").cast("long").alias("n_words"), _left(F.col("_text"), SPACE + "+").cast("long").alias("word_chars"),
         _left(F.col("_text"), r"[^#*$%&|<>]+").cast("long").alias("n_symbols"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
     ).drop("_lines")
+
+    def joined(name: str, step: int) -> Column:
+        """Hash of each element with the one ``step`` after it."""
+        n = F.greatest(F.size(name) - step, F.lit(0))
+        return F.zip_with(F.slice(name, F.lit(1), n), F.slice(name, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
+
     df = df.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
-    starts = F.slice("_h", F.lit(1), F.greatest(F.size("_h") - 7, F.lit(0)))
-    windows = F.transform(starts, lambda x, i: F.struct(F.xxhash64(x, *[F.get("_h", i + k) for k in range(1, 8)]).alias("h"), i.alias("i")))
-    df = df.withColumn("_w", F.sort_array(windows)).drop("_h")
-    twice = F.transform("_w", lambda s, i: F.when((s["h"] == F.get("_w", i - 1)["h"]) | (s["h"] == F.get("_w", i + 1)["h"]), s["i"]))
-    df = df.withColumn("_at", F.sort_array(F.filter(twice, lambda x: x.isNotNull()))).drop("_w")
+    for step in (1, 2, 4):  # windows of 2, 4, then 8 words
+        df = df.withColumn("_h", joined("_h", step))
+    order = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    df = df.withColumn("_w", order).drop("_h")
+    n = F.size("_w") - 1
+    twice = F.zip_with(F.slice("_w", F.lit(1), n), F.slice("_w", F.lit(2), n), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    df = df.withColumn("_at", F.sort_array(F.array_distinct(F.flatten(F.filter(twice, lambda x: x.isNotNull()))))).drop("_w")
     first = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("_at", first, lambda a, p: F.struct((p + 8).alias("end"), (a["n"] + p + 8 - F.greatest(p, a["end"])).alias("n")), lambda a: a["n"])
-    return df.withColumn("n_repeat_words", covered).drop("_at")
+    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_at")
 
 
 def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance (0 to 1) of two arrays of counts; null if either has no counts."""
 
-    def total(x: Column) -> Column:
-        return F.nullif(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), F.lit(0.0))
+    def shares_of(x: Column) -> Column:
+        total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+        return F.when(total > 0, F.zip_with(x, F.array_repeat(total, F.size(x)), lambda v, n: v / n))
 
     def term(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
 
-    shares = F.zip_with(F.transform(p, lambda x: x / total(p)), F.transform(q, lambda x: x / total(q)), lambda a, b: (term(a, b) + term(b, a)) / 2)
+    shares = F.zip_with(shares_of(p), shares_of(q), lambda a, b: (term(a, b) + term(b, a)) / 2)
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(shares, F.lit(0.0), lambda a, v: a + v)))
 
 
@@ -91,11 +100,12 @@ def references(df: DataFrame) -> DataFrame:
     both = classes.join(top, classes["_lang"].eqNullSafe(top["_lang"]), "left").drop(top["_lang"])
     used = F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     tail = F.concat(F.transform("top", lambda x: x["n"].cast("double")), F.array_repeat(F.lit(0.0), F.lit(COMMON) - F.size("top")), F.array((F.col("all_words") - used).cast("double")))
-    return both.select(F.col("_lang").alias("_l"), F.array(*[F.col(f"c{k}").cast("double") for k in range(len(CLASSES) + 2)]).alias("ref_classes"), F.transform("top", lambda x: x["word"]).alias("ref_words"), tail.alias("ref_counts"), "all_words")
+    longest = F.array_max(F.transform("top", lambda x: F.length(x["word"])))
+    return both.select(F.col("_lang").alias("_l"), longest.alias("ref_longest"), F.array(*[F.col(f"c{k}").cast("double") for k in range(len(CLASSES) + 2)]).alias("ref_classes"), F.transform("top", lambda x: x["word"]).alias("ref_words"), tail.alias("ref_counts"), "all_words")
 
 
 def judge_quality(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", class_limit: float = 0.25, word_limit: float = 0.45,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", class_limit: float = 0.25, word_limit: float = 0.3,
     least_chars: int = 300, least_words: int = 100, least_reference: int = 10_000,
 ) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept.
@@ -110,9 +120,7 @@ def judge_quality(
     few = held.count() <= BROADCAST_LANGUAGES
     rows = rows.join(F.broadcast(held) if few else held, rows["_lang"].eqNullSafe(held["_l"]), "left")
     rows = character_classes(base_counts(rows))
-    longest = F.aggregate("ref_words", F.lit(0), lambda a, w: F.greatest(a, F.length(w)))
-    rows = rows.withColumn("_longest", longest)
-    short = F.filter("_words", lambda w: F.length(w) <= F.col("_longest"))
+    short = F.filter("_words", lambda w: F.length(w) <= F.col("ref_longest"))
     marks = F.array_join(F.transform(short, lambda w: F.substring(F.lit(MARKS), F.nullif(F.array_position("ref_words", w), F.lit(0)).cast("int"), F.lit(1))), "")
     rows = rows.withColumn("_marks", marks)
     counts = [F.length("_marks") - F.length(F.replace("_marks", F.lit(m), F.lit(""))) for m in MARKS]
