@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import ratio
-from tapeloom.operators.series import day_positions, series_window
+from tapeloom.operators.series import day_edges, series_window
 
 PRICES = ("open", "high", "low", "close")
 
@@ -16,14 +16,14 @@ PRICES = ("open", "high", "low", "close")
 def completeness(bars: DataFrame, codes: DataFrame, days: Column, key: str = "code", day: str = "trade_date", value: str = "close") -> DataFrame:
     """Per code: expected and actual bar counts, first and last day, missing days, completeness.
 
-    ``days`` is the array of expected days. Only rows with a value count as covered. A code without rows keeps
+    ``days`` is the array of expected days (or times). Only rows with a value count as covered. A code without rows keeps
     a line. Days are collected as a set per code, so a group is bounded by the calendar.
     """
     covered = F.collect_set(F.when(F.col(value).isNotNull(), F.col(day)))
     stats = bars.groupBy(key).agg(
         F.count("*").alias("row_count"), F.min(day).alias("first_trade_time"), F.max(day).alias("last_trade_time"), covered.alias("_days")
     )
-    seen = F.coalesce(F.col("_days"), F.array().cast("array<date>"))
+    seen = F.coalesce(F.col("_days"), F.array_except(days, days))
     missing = F.array_except(days, seen)
     joined = codes.select(key).distinct().join(stats, key, "left")
     return joined.select(
@@ -42,19 +42,25 @@ def completeness(bars: DataFrame, codes: DataFrame, days: Column, key: str = "co
 def fill_suspended(bars: DataFrame, days: Column, key: str = "code", day: str = "trade_date") -> DataFrame:
     """Add a suspended placeholder for every expected day after a known bar that has no row of its own.
 
-    Prices are the previous close, volume and amount zero; there is none before the first close.
+    Prices are the previous close, volume and amount zero; there is none before the first close. Bars on days outside
+    ``days`` stay as they are; the next close after them is theirs.
     Each bar is expanded by the days up to the next bar: one window over the bars that exist, no grid.
     """
-    window = series_window([key], "_position")
-    positions = day_positions(days, bars.sparkSession).withColumnRenamed("position", "_position").withColumnRenamed("trade_date", day)
-    placed = bars.join(positions, day)
+    window = series_window([key], day)
     close = F.last("close", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.coalesce(F.lead("_position").over(window), F.size(days))
-    spread = placed.withColumn("_last", close).withColumn("_next", following)
-    gap = F.when(
-        F.col("_last").isNotNull() & (F.col("_next") > F.col("_position") + 1),
-        F.slice(days, F.col("_position") + 2, F.col("_next") - F.col("_position") - 1),
-    ).otherwise(F.array().cast("array<date>"))
+    # Positions of expected days: the first after this bar and the first not before the next one.
+    spread = bars.withColumn("_last", close).withColumn("_following", F.lead(day).over(window))
+    edges = day_edges(days, bars.sparkSession)
+    here = edges.select(F.col("trade_date").alias(day), F.col("after").alias("_from"))
+    there = edges.select(F.col("trade_date").alias("_following"), F.col("not_before").alias("_to"))
+    spread = spread.join(here, day, "left").join(there, "_following", "left")
+
+    def outside(name: str) -> Column:
+        return F.when(F.col(name) > F.array_max(days), F.size(days)).otherwise(F.lit(0))
+
+    first = F.coalesce("_from", outside(day))
+    stop = F.when(F.col("_following").isNull(), F.size(days)).otherwise(F.coalesce("_to", outside("_following")))
+    gap = F.when(F.col("_last").isNotNull() & (stop > first), F.slice(days, first + 1, stop - first)).otherwise(F.array().cast("array<date>"))
     rows = spread.withColumn("_day", F.explode(F.concat(F.array(F.col(day)), gap)))
     added = F.col("_day") != F.col(day)
 
@@ -124,16 +130,32 @@ def adjust_prices(
 ) -> DataFrame:
     """hfq multiplies prices by the factor; qfq also divides by the entity's latest factor (or that of base_date).
 
-    The latest factor is a map-side combined aggregate joined back, so a long series is never gathered.
+    A stored ``pre_close`` takes the factor of the row before (its own in the first row), and stored ``change`` and
+    ``pct_chg`` follow from the adjusted prices. The latest factor is a map-side combined aggregate joined back, so a
+    long series is never gathered.
     """
     present = [name for name in columns if name in bars.columns]
     if mode == "none":
         return bars
+    kept = bars.columns
+    if "pre_close" in kept:
+        before = F.coalesce(F.lag("adj_factor").over(series_window(keys, day)), F.col("adj_factor"))
+        bars = bars.withColumn("_pre_close", F.col("pre_close") * before / F.col("adj_factor"))
+        present.append("_pre_close")
+
+    def finished(adjusted: DataFrame) -> DataFrame:
+        if "pre_close" in kept:
+            adjusted = adjusted.withColumn("pre_close", F.col("_pre_close"))
+            change = F.col("close") - F.col("pre_close")
+            stored = {"change": change, "pct_chg": ratio(change, F.col("pre_close")) * 100}
+            adjusted = adjusted.withColumns({name: value for name, value in stored.items() if name in kept})
+        return adjusted.select(*kept)
+
     if mode == "hfq":
-        return bars.withColumns({name: F.col(name) * F.col("adj_factor") for name in present})
+        return finished(bars.withColumns({name: F.col(name) * F.col("adj_factor") for name in present}))
     known = bars.where(F.col("adj_factor").isNotNull())
     if base_date is not None:
         known = known.where(F.col(day) <= F.lit(base_date))
     base = known.groupBy(*keys).agg(F.max_by("adj_factor", day).alias("_base"))
     joined = bars.join(base, list(keys), "left")
-    return joined.withColumns({name: ratio(F.col(name) * F.col("adj_factor"), F.col("_base")) for name in present}).drop("_base")
+    return finished(joined.withColumns({name: ratio(F.col(name) * F.col("adj_factor"), F.col("_base")) for name in present}))

@@ -22,9 +22,6 @@ OPTIONS = {
     "meta_detail": ("summary", "full"),
     "sort_by": ("announcement_time", "crawl_time"),
 }
-DEFAULT_LIMIT = 200
-MAX_LIMIT = 5000
-INLINE_CODES = 1000
 
 
 def option(name: str, value: str = "") -> str:
@@ -36,11 +33,13 @@ def option(name: str, value: str = "") -> str:
     return actual
 
 
-def clamp_limit(limit: int | None, maximum: int = MAX_LIMIT) -> int:
-    actual = DEFAULT_LIMIT if limit is None else limit
-    if actual < 1:
+def clamp_limit(limit: int | None, maximum: int | None = None) -> int | None:
+    """The rows to return: None is all of them. ``maximum`` is a service's own bound, none unless it is given."""
+    if limit is None:
+        return maximum
+    if limit < 1:
         raise ValueError("limit must be at least 1")
-    return min(actual, maximum)
+    return limit if maximum is None else min(limit, maximum)
 
 
 def codes_of(code: str = "", codes: str = "", required: bool = True) -> list[str]:
@@ -72,11 +71,8 @@ def parse_day(text: str | dt.date) -> dt.date | None:
 
 
 def keep_entities(df: DataFrame, column: str, codes: list[str]) -> DataFrame:
-    """Rows of the given entities: an IN list while short (it reaches the scan), else a semi join."""
-    if len(codes) <= INLINE_CODES:
-        return df.where(F.col(column).isin(codes))
-    wanted = df.sparkSession.createDataFrame([(code,) for code in codes], f"{column} string")
-    return df.join(wanted, column, "left_semi")
+    """Rows of the given entities. The list is part of the request; it reaches the scan, whatever its length."""
+    return df.where(F.col(column).isin(codes))
 
 
 def in_days(column: str, trade_date: str = "", start_date: str = "", end_date: str = "") -> Column:

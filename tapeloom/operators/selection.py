@@ -48,9 +48,12 @@ def cut_counts(df: DataFrame, limit: int | None) -> DataFrame:
 
 
 def drop_flagged_entities(df: DataFrame, keys: Sequence[str], flag: str = "is_st") -> DataFrame:
-    """Drop every row of an entity with at least one flagged row in ``df`` (the requested window)."""
-    flagged = df.where(F.coalesce(F.col(flag), F.lit(False))).select(*keys).distinct()
-    return df.join(flagged, list(keys), "left_anti")
+    """Drop every row of an entity with at least one flagged row in ``df`` (the requested window).
+
+    One pass over ``df``: the flag's maximum per entity, in the partitioning that series operators need too.
+    """
+    flagged = F.max(F.coalesce(F.col(flag), F.lit(False))).over(Window.partitionBy(*keys))
+    return df.withColumn("_flagged", flagged).where(~F.col("_flagged")).drop("_flagged")
 
 
 def drop_flagged_rows(df: DataFrame, flag: str = "is_suspended") -> DataFrame:

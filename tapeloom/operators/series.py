@@ -58,6 +58,16 @@ def day_positions(days: Column, spark) -> DataFrame:
     return spark.range(1).select(F.posexplode(days).alias("position", "trade_date"))
 
 
+def day_edges(days: Column, spark) -> DataFrame:
+    """(trade_date, not_before, after) for every date from the first to the last of a day array: the positions of the
+    first day not before it and of the first day after it. At most one row per date of the span."""
+    until = F.coalesce(F.date_sub(F.get(days, F.col("position") + 1), 1), F.col("_open"))
+    spans = day_positions(days, spark).withColumnRenamed("trade_date", "_open")
+    dates = spans.select("position", "_open", F.explode(F.sequence(F.col("_open"), until)).alias("trade_date"))
+    after = F.col("position") + 1
+    return dates.select("trade_date", F.when(F.col("trade_date") == F.col("_open"), F.col("position")).otherwise(after).alias("not_before"), after.alias("after"))
+
+
 def missing_ranges(present: DataFrame, entities: DataFrame, days: Column, key: str, day: str = "trade_date") -> DataFrame:
     """Ranges of consecutive expected days without a row, per entity: (key, start_date, end_date, day_count).
 
@@ -116,6 +126,25 @@ def row_positions(df: DataFrame, keys: Sequence[str], time: str, block: Column)
     )
 
 
+def cut_segments(df: DataFrame, keys: Sequence[str], time: str, block: Column, rows: int) -> DataFrame:
+    """Add ``_pos`` and ``_segment``: pieces of ``rows`` consecutive rows of each series."""
+    return row_positions(df, keys, time, block).withColumn("_segment", (F.col("_pos") / rows).cast("long"))
+
+
+def with_halo(cut: DataFrame, keys: Sequence[str], halo: int, rows: int, compute: Callable[[DataFrame, Sequence[str]], DataFrame]) -> DataFrame:
+    """Run ``compute`` over the pieces of ``cut_segments``, each with the ``halo`` rows before it, which are dropped after.
+
+    Exact for what looks back at most ``halo`` rows, counted with rows whose values are null. ``compute`` gets the frame
+    and the partition keys to use.
+    """
+    if not 0 <= halo <= rows:
+        raise ValueError("halo must lie between 0 and rows")
+    segment = F.col("_segment")
+    copies = F.when(F.col("_pos") % rows >= rows - halo, F.array(segment, segment + 1)).otherwise(F.array(segment))
+    pieces = cut.withColumn("_own", segment).withColumn("_segment", F.explode(copies)).withColumn("_halo", F.col("_segment") != F.col("_own"))
+    return compute(pieces.drop("_own"), [*keys, "_segment"]).where(~F.col("_halo")).drop("_halo")
+
+
 def over_segments(
     df: DataFrame,
     keys: Sequence[str],
@@ -125,19 +154,10 @@ def over_segments(
     compute: Callable[[DataFrame, Sequence[str]], DataFrame],
     rows: int = 4096,
 ) -> DataFrame:
-    """Run a bounded-look-back computation over pieces of ``rows`` rows instead of over whole series.
+    """Run a computation that looks back at most ``halo`` rows over pieces of ``rows`` rows instead of whole series.
 
-    Each piece also receives the ``halo`` rows before it, so any operator that looks back at most ``halo``
-    rows gives the same result as on the whole series, while one long series (minute bars of one code, an
-    entity holding a third of the table) spreads over many tasks. ``compute`` gets the frame and the
-    partition keys to use.
+    One long series (minute bars of one code, an entity holding a third of the table) spreads over many tasks. What
+    carries values over gaps of any length has no such bound: see ``indicators.ewm_mean_by_segment``.
     """
-    if not 0 <= halo <= rows:
-        raise ValueError("halo must lie between 0 and rows")
-    numbered = row_positions(df, keys, time, block)
-    segment = (F.col("_pos") / rows).cast("long")
-    feeds_next = F.col("_pos") % rows >= rows - halo
-    copies = F.when(feeds_next, F.array(segment, segment + 1)).otherwise(F.array(segment))
-    pieces = numbered.withColumn("_segment", F.explode(copies)).withColumn("_halo", F.col("_segment") != segment)
-    result = compute(pieces.drop("_pos"), [*keys, "_segment"])
-    return result.where(~F.col("_halo")).drop("_segment", "_halo")
+    cut = cut_segments(df, keys, time, block, rows)
+    return with_halo(cut, keys, halo, rows, compute).drop("_segment", "_pos")

@@ -34,6 +34,9 @@ catalog AS (SELECT code, p_brand || ' ' || p_type AS name, CASE market WHEN 'SHS
 ORACLES["t3_single_view"] = using("stock_ref", f"WITH {_CATALOG} SELECT * FROM catalog WHERE code = '600003'")
 ORACLES["t4_catalog_view"] = using("stock_ref", f"""
 WITH {_CATALOG} SELECT code, name, exchange, list_status, list_date FROM catalog WHERE name LIKE '%MEDIUM%' AND exchange = 'SSE' AND delist_date IS NULL ORDER BY code LIMIT 20 OFFSET 1""")
+ORACLES["t4_catalog_counts"] = using("stock_ref", f"""
+WITH {_CATALOG} SELECT COUNT(*) AS total_rows, LEAST(COUNT(*), 7) AS returned_rows, COUNT(*) > 7 AS truncated FROM catalog WHERE exchange = 'SZSE'""")
+ORACLES["t4_catalog_all"] = using("stock_ref", f"WITH {_CATALOG} SELECT code, name, exchange, list_status, list_date FROM catalog")
 ORACLES["t5_members_as_of"] = using("membership", """
 SELECT concept_id, stock_market, stock_code, valid_from FROM membership WHERE concept_id = 'PROMO' AND valid_from <= DATE '2001-02-01' AND (valid_to IS NULL OR valid_to >= DATE '2001-02-01')""")
 ORACLES["t6_member_history"] = using("membership", "SELECT * FROM membership WHERE concept_id = 'SMALL' AND valid_from <= DATE '2001-12-31' AND (valid_to IS NULL OR valid_to >= DATE '2001-01-01')")
@@ -44,7 +47,7 @@ ORACLES["t7_range"] = using("calendar", "SELECT * FROM calendar WHERE trade_date
 
 _KEPT = f"""
 req AS (SELECT * FROM quote_bars WHERE {_CODES} AND {_WINDOW}),
-kept AS (SELECT *, LAG(close) OVER (PARTITION BY code ORDER BY trade_date) AS pre_close FROM req WHERE NOT is_suspended AND code NOT IN (SELECT code FROM req WHERE is_st))"""
+kept AS (SELECT * FROM (SELECT *, LAG(close) OVER (PARTITION BY code ORDER BY trade_date) AS pre_close FROM quote_bars WHERE NOT is_suspended) WHERE {_CODES} AND {_WINDOW} AND code NOT IN (SELECT code FROM req WHERE is_st))"""
 ORACLES["t8_quotes"] = using("bars_sparse", f"""
 WITH {_QUOTE_BARS}, {_KEPT}
 SELECT code, trade_date AS trade_time, '1d' AS freq, open, close, pre_close, (close - pre_close) / NULLIF(pre_close, 0) * 100 AS pct_chg, 'none' AS adjust, is_st FROM kept""")
@@ -80,13 +83,31 @@ s AS (SELECT *, CASE WHEN t BETWEEN 571 AND 690 THEN 570 WHEN t BETWEEN 781 AND
 b AS (SELECT code, DATE_TRUNC('day', bar_time) + TO_MINUTES(CAST(a + CEIL((t - a) / 15.0) * 15 AS INT)) AS trade_time, ARG_MIN(open, bar_time) AS open, MAX(high) AS high, MIN(low) AS low, ARG_MAX(close, bar_time) AS close
       FROM s WHERE a IS NOT NULL GROUP BY ALL)
 SELECT code, trade_time, '15m' AS freq, open, high, low, close FROM b QUALIFY ROW_NUMBER() OVER (PARTITION BY code ORDER BY trade_time DESC) <= 20""")
+_FIVE = """
+m AS (SELECT *, HOUR(bar_time) * 60 + MINUTE(bar_time) AS t FROM bars_minute WHERE code IN ('click', 'view') AND bar_time >= TIMESTAMP '2024-01-05' AND bar_time < TIMESTAMP '2024-01-08'),
+five AS (SELECT code, DATE_TRUNC('day', bar_time) + TO_MINUTES(CAST((t + 4) // 5 * 5 AS INT)) AS trade_time, ARG_MIN(open, bar_time) AS open, MAX(high) AS high, MIN(low) AS low, ARG_MAX(close, bar_time) AS close, SUM(volume)::DOUBLE AS volume
+  FROM m WHERE t BETWEEN 571 AND 690 OR t BETWEEN 781 AND 900 GROUP BY ALL)"""
+ORACLES["t8_quotes_5m"] = using("bars_minute", f"WITH {_FIVE} SELECT code, trade_time, '5m' AS freq, open, high, low, close, volume FROM five")
+ORACLES["t8_quotes_5m_meta"] = using("calendar bars_minute", f"""
+WITH {_FIVE}, slots AS (SELECT d.trade_date + TO_MINUTES(CAST(s.at AS INT)) AS trade_time
+  FROM (SELECT UNNEST([DATE '2024-01-05', DATE '2024-01-06', DATE '2024-01-07']) AS trade_date) d, (SELECT 570 + 5 * k AS at FROM RANGE(1, 25) x(k) UNION ALL SELECT 780 + 5 * k FROM RANGE(1, 25) x(k)) s)
+SELECT w.code, COUNT(*) AS expected_bar_count, COUNT(f.code) AS actual_bar_count, COUNT(*) - COUNT(f.code) AS missing_count, COUNT(*) = COUNT(f.code) AND COUNT(*) > 0 AS complete,
+  COALESCE(STRING_AGG(STRFTIME(s.trade_time, '%d %H:%M'), ',' ORDER BY s.trade_time) FILTER (WHERE f.code IS NULL), '') AS missing_trade_times
+FROM (SELECT UNNEST(['click', 'view']) AS code) w CROSS JOIN slots s LEFT JOIN five f ON f.code = w.code AND f.trade_time = s.trade_time GROUP BY 1""")
+ORACLES["t8_quotes_adjusted_change"] = using("bars_sparse", f"""
+WITH {_QUOTE_BARS}, c AS (SELECT *, LAG(close) OVER w AS pre, LAG(adj_factor) OVER w AS pre_factor, LAST_VALUE(adj_factor) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS base FROM quote_bars WINDOW w AS (PARTITION BY code ORDER BY trade_date)),
+a AS (SELECT *, close * adj_factor / base AS own, pre * COALESCE(pre_factor, adj_factor) / base AS before FROM c WHERE {_CODES} AND {_WINDOW} AND NOT is_suspended)
+SELECT code, trade_date AS trade_time, ROUND(own, 6) AS close, ROUND(before, 6) AS pre_close, ROUND(own - before, 6) AS change, ROUND((own - before) / NULLIF(before, 0) * 100, 6) AS pct_chg FROM a""")
+ORACLES["t8_concept_weekly"] = using("type_bars", """
+WITH w AS (SELECT code, DATE_TRUNC('week', trade_date) AS week, MAX(trade_date) AS trade_time, ARG_MAX(close, trade_date) AS close FROM type_bars WHERE code IN ('PROMO', 'SMALL') AND YEAR(trade_date) = 1999 GROUP BY 1, 2)
+SELECT code AS concept_id, LOWER(code) AS concept_name, trade_time, '1w' AS freq, close, LAG(close) OVER (PARTITION BY code ORDER BY week) AS pre_close FROM w""")
 ORACLES["t8_concept_quotes"] = using("type_bars", """
 SELECT code AS concept_id, LOWER(code) AS concept_name, trade_date AS trade_time, close, pre_close, amount FROM type_bars WHERE code IN ('PROMO', 'SMALL') AND trade_date BETWEEN DATE '1999-01-01' AND DATE '1999-02-28'""")
 ORACLES["t8_index_quotes"] = using("type_bars", """
 SELECT code AS index_code, MAX(trade_date) AS trade_time, '1mo' AS freq, ARG_MIN(open, trade_date) AS open, MAX(high) AS high, MIN(low) AS low, ARG_MAX(close, trade_date) AS close
 FROM type_bars WHERE code = 'PROMO' GROUP BY code, DATE_TRUNC('month', trade_date)""")
 ORACLES["e03_daily_snapshot"] = using("bars_sparse", f"""
-WITH {_QUOTE_BARS}, p AS (SELECT *, LAG(close) OVER (PARTITION BY code ORDER BY trade_date) AS pre_close FROM quote_bars WHERE trade_date BETWEEN DATE '1998-03-04' - 366 AND DATE '1998-03-04')
+WITH {_QUOTE_BARS}, p AS (SELECT *, LAG(close) OVER (PARTITION BY code ORDER BY trade_date) AS pre_close FROM quote_bars)
 SELECT code, trade_date AS trade_time, '1d' AS freq, open, close, pre_close, close - pre_close AS change, (close - pre_close) / NULLIF(pre_close, 0) * 100 AS pct_chg, is_st
 FROM p WHERE trade_date = DATE '1998-03-04' AND NOT is_suspended""")
 ORACLES["e04_local_window"] = using("bars_sparse", f"""
@@ -102,8 +123,8 @@ d AS (SELECT *, close - LAG(close) OVER (PARTITION BY code ORDER BY trade_date)
 g AS (SELECT *, GREATEST(diff, 0) + 0 * diff AS gain, GREATEST(-diff, 0) + 0 * diff AS loss FROM d)
 SELECT code, trade_date, {_sma(5)}, {_sma(60)}, {_rsi(6)}, ROUND({_gated('AVG', 'close', 20)}, 4) AS boll_mid FROM g""")
 ORACLES["e17_strategy_window"] = using("bars_sparse", f"""
-WITH {_STRATEGY.replace('FROM bars_sparse)', "FROM bars_sparse WHERE trade_date BETWEEN DATE '1998-01-01' - 120 AND DATE '1998-06-30')")}
-SELECT trade_date, code, active_buy_amount_proportion_all, price_band_state, mean_volume_5d_shares, ma10, ma20, ma40 FROM factors WHERE trade_date >= DATE '1998-01-01'""")
+WITH {_STRATEGY}
+SELECT trade_date, code, active_buy_amount_proportion_all, price_band_state, mean_volume_5d_shares, ma10, ma20, ma40 FROM factors WHERE trade_date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30'""")
 ORACLES["e34_pit_period"] = using("reports_f reports_p", """
 SELECT code, report_period, announcement_date, f.value AS profit, COALESCE(f.order_count, p.order_count) AS order_count, p.value AS revenue
 FROM (SELECT * FROM reports_f WHERE QUARTER(report_period) <> 2 AND report_period = DATE '1998-04-01') f
@@ -128,6 +149,8 @@ n AS (SELECT event_id, trade_date, announcement_time, announcement_time + TO_MIN
 ORACLES["n1_news"] = using("news", f"""
 WITH {_NEWS} SELECT event_id, event_type, announcement_time, crawl_time, importance_score, stock_code || ',' || (stock_code + 1) AS related FROM n
 WHERE trade_date = DATE '2024-01-05' AND stock_code IN (7, 8) AND importance_score >= 1 ORDER BY crawl_time DESC, importance_score DESC, event_id DESC LIMIT 30""")
+ORACLES["n1_news_counts"] = using("news", """
+SELECT COUNT(*) AS total_rows, LEAST(COUNT(*), 25) AS returned_rows, COUNT(*) > 25 AS truncated FROM news WHERE trade_date = DATE '2024-01-05' AND event_type = 'click'""")
 ORACLES["n1_news_filtered"] = using("news", f"""
 WITH {_NEWS} SELECT event_id, event_type, announcement_time, importance_score FROM n WHERE trade_date = DATE '2024-01-10' AND CAST(announcement_time AS DATE) = DATE '2024-01-10'
  AND CAST(crawl_time AS DATE) = DATE '2024-01-10' AND event_type = 'click' ORDER BY announcement_time DESC, importance_score DESC, event_id DESC LIMIT 40 OFFSET 5""")
@@ -203,80 +226,119 @@ texts AS (SELECT *, CONCAT_WS('，', CASE WHEN minute_count < 240 THEN '分钟
 issues AS (SELECT * EXCLUDE (parts), CASE WHEN minute_count = 0 THEN trade_date || ' 无 1m 数据' WHEN parts <> '' THEN trade_date || ' ' || parts ELSE '' END AS issue FROM texts)"""
 ORACLES["c17_session_days"] = using("bars_minute", f"WITH {_SESSION} SELECT * FROM issues")
 ORACLES["c17_minute_session"] = using("bars_minute", f"""
-WITH {_SESSION}, w AS (SELECT issue FROM issues WHERE trade_date >= DATE '2024-01-21' AND issue <> '' ORDER BY trade_date DESC LIMIT 8)
+WITH {_SESSION}, w AS (SELECT issue FROM issues WHERE trade_date >= DATE '2024-01-21' AND issue <> '')
 SELECT 'recent_minute_session_complete:fact.stock_bar_1m' AS check_id, 'fact.stock_bar_1m 最近交易日分钟完整性' AS title, 'warning' AS status, '警告' AS result_text, STRING_AGG(issue, '；' ORDER BY issue DESC) AS error_text FROM w""")
 
 # -- contract --
+# Fixture tables as the query seeds them, then one grouped row of metrics per table.
+_LIVE = "NOT is_suspended AND NOT is_st"
+_PRICED = f"{_LIVE} AND pct_chg IS NOT NULL AND amount > 0"
+
+
+def _holes(*columns: str) -> str:
+    """A row lacks one of the columns."""
+    return f"({' OR '.join(f'{c} IS NULL' for c in columns)})"
+
+
 _CONTRACT = f"""
-concept AS (SELECT m.concept_id, s.trade_date,
-    CAST(SUM(CAST(s.amount AS DECIMAL(18,2))) FILTER (WHERE NOT s.is_suspended AND NOT s.is_st) AS DOUBLE) + CASE WHEN m.concept_id = 'PROMO' THEN 100.0 ELSE 0.0 END AS amount,
-    CASE WHEN m.concept_id = 'ECONOMY' AND MONTH(s.trade_date) = 11 THEN NULL ELSE SUM(s.pct_chg * s.amount) FILTER (WHERE NOT s.is_suspended AND NOT s.is_st AND s.pct_chg IS NOT NULL AND s.amount > 0)
-      / NULLIF(SUM(s.amount) FILTER (WHERE NOT s.is_suspended AND NOT s.is_st AND s.pct_chg IS NOT NULL AND s.amount > 0), 0) + CASE WHEN m.concept_id = 'SMALL' THEN 0.5 ELSE 0 END END AS pct_chg
-  FROM stock_changes s JOIN membership m ON m.stock_market = s.market AND m.stock_code = s.code AND m.valid_from <= s.trade_date AND (m.valid_to IS NULL OR m.valid_to >= s.trade_date) GROUP BY 1, 2),
-stock AS (SELECT * FROM stock_changes UNION ALL SELECT * FROM stock_changes WHERE trade_date = DATE '1996-01-01' AND is_st),
-idx AS (SELECT code AS index_code, * EXCLUDE (code) FROM type_bars),
-ref_index AS (SELECT DISTINCT p_type AS index_code, CASE WHEN p_type = 'PROMO' THEN 'PR?MO' ELSE p_type END AS index_name FROM part WHERE p_type <> 'LARGE'),
+stock AS (SELECT * FROM stock_changes UNION ALL BY NAME SELECT * FROM stock_changes WHERE is_st AND trade_date = DATE '1996-01-01'),
+sums AS (
+  SELECT concept_id, trade_date, SUM(CAST(amount AS DECIMAL(18,2))) FILTER ({_LIVE}) AS total, SUM(pct_chg * amount) FILTER ({_PRICED}) / NULLIF(SUM(amount) FILTER ({_PRICED}), 0) AS weighted
+  FROM membership JOIN stock_changes ON market = stock_market AND code = stock_code AND trade_date >= valid_from AND trade_date <= COALESCE(valid_to, trade_date) GROUP BY ALL),
+concept AS (
+  SELECT concept_id, trade_date, CAST(total AS DOUBLE) + IF(concept_id = 'PROMO', 100.0, 0.0) AS amount,
+    IF(concept_id = 'ECONOMY' AND MONTH(trade_date) = 11, NULL, weighted + IF(concept_id = 'SMALL', 0.5, 0)) AS pct_chg FROM sums),
 ref_stock AS (SELECT * FROM stock_ref WHERE code <> '000007'),
-ref_concept AS (SELECT DISTINCT p_type AS concept_id, CASE WHEN p_type = 'LARGE' THEN '' ELSE p_type END AS name FROM part),
-target AS (SELECT LEAST((SELECT MAX(trade_date) FROM idx WHERE index_code = 'PROMO'), (SELECT MAX(trade_date) FROM concept), (SELECT MAX(trade_date) FROM stock), (SELECT MAX(trade_date) FROM brand_bars)) AS d),
-top_index AS (SELECT * FROM idx WHERE index_code = 'PROMO' AND trade_date <= (SELECT d FROM target) ORDER BY trade_date DESC LIMIT 6),
-d3 AS (SELECT DISTINCT trade_date FROM concept WHERE trade_date <= (SELECT d FROM target) ORDER BY 1 DESC LIMIT 3),
-d8 AS (SELECT DISTINCT trade_date FROM concept WHERE trade_date <= (SELECT d FROM target) ORDER BY 1 DESC LIMIT 8),
-active AS (SELECT DISTINCT concept_id, stock_market, stock_code FROM membership, target WHERE valid_from <= d AND (valid_to IS NULL OR valid_to >= d)),
-eligible AS (SELECT c.concept_id FROM concept c, target WHERE c.trade_date = d AND c.concept_id IN (SELECT concept_id FROM ref_concept WHERE name <> '') AND (SELECT COUNT(*) FROM active a WHERE a.concept_id = c.concept_id) BETWEEN 1 AND 500),
-cov3 AS (SELECT e.concept_id, COUNT(c.trade_date) AS n FROM eligible e CROSS JOIN d3 LEFT JOIN concept c ON c.concept_id = e.concept_id AND c.trade_date = d3.trade_date GROUP BY 1),
-cov8 AS (SELECT e.concept_id, COUNT(c.trade_date) AS n FROM eligible e CROSS JOIN d8 LEFT JOIN concept c ON c.concept_id = e.concept_id AND c.trade_date = d8.trade_date GROUP BY 1),
-rows8 AS (SELECT c.* FROM concept c JOIN eligible USING (concept_id) JOIN d8 USING (trade_date)),
-rows3 AS (SELECT c.* FROM concept c JOIN eligible USING (concept_id) JOIN d3 USING (trade_date)),
-members AS (SELECT a.* FROM active a JOIN eligible USING (concept_id) JOIN ref_stock r ON r.market = a.stock_market AND r.code = a.stock_code, target WHERE r.listed_date <= d AND (r.delisted_date IS NULL OR r.delisted_date >= d)),
-history AS (SELECT s.*, LAG(s.close) OVER (PARTITION BY s.market, s.code ORDER BY s.trade_date) AS pre FROM stock s, target WHERE s.trade_date BETWEEN d - 20 AND d),
-today AS (SELECT h.* FROM history h, target WHERE h.trade_date = d),
-joined AS (SELECT m.*, t.code AS bar, t.close, t.pre, t.pct_chg, t.amount, t.is_st, t.is_suspended FROM members m LEFT JOIN today t ON t.market = m.stock_market AND t.code = m.stock_code),
-expected AS (SELECT concept_id, SUM(amount) FILTER (WHERE NOT is_suspended AND NOT is_st AND close IS NOT NULL AND pre IS NOT NULL AND amount > 0) AS amount,
-  SUM(pct_chg * amount) FILTER (WHERE NOT is_suspended AND NOT is_st AND pct_chg IS NOT NULL AND amount > 0) / NULLIF(SUM(amount) FILTER (WHERE NOT is_suspended AND NOT is_st AND pct_chg IS NOT NULL AND amount > 0), 0) AS pct
-  FROM joined GROUP BY 1),
-pairs AS (SELECT c.concept_id, c.amount, c.pct_chg, e.amount AS e_amount, e.pct AS e_pct FROM concept c JOIN eligible USING (concept_id) JOIN expected e USING (concept_id), target WHERE c.trade_date = d),
-latest AS (SELECT MAX(trade_date) AS t FROM idx, target WHERE trade_date <= d UNION ALL SELECT MAX(trade_date) FROM concept, target WHERE trade_date <= d
-  UNION ALL SELECT MAX(trade_date) FROM stock, target WHERE trade_date <= d UNION ALL SELECT MAX(trade_date) FROM brand_bars, target WHERE trade_date <= d)"""
-_METRICS = {
-    "first_stage_index_trade_date_count": "SELECT COUNT(*) FROM top_index",
-    "first_stage_index_core_null_count": "SELECT COUNT(*) FROM top_index WHERE open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR pre_close IS NULL OR volume IS NULL OR amount IS NULL OR pct_chg IS NULL",
-    "first_stage_index_invalid_volume_amount_count": "SELECT COUNT(*) FROM top_index WHERE volume <= 0 OR amount <= 0",
-    "first_stage_ref_index_missing_count": "SELECT CASE WHEN COUNT(*) = 0 THEN 1 ELSE 0 END FROM ref_index WHERE index_code = 'PROMO'",
-    "first_stage_ref_index_bad_name_count": "SELECT COUNT(*) FROM ref_index WHERE index_code = 'PROMO' AND (index_name IS NULL OR index_name = '' OR index_name LIKE '%?%')",
-    "first_stage_concept_trade_date_count": "SELECT COUNT(*) FROM d3",
-    "first_stage_incomplete_concept_count": "SELECT COUNT(*) FROM cov3 WHERE n <> 3",
-    "first_stage_concept_core_invalid_count": "SELECT COUNT(*) FROM rows3 WHERE pct_chg IS NULL OR amount IS NULL OR amount <= 0",
-    "second_stage_trade_date_count": "SELECT COUNT(*) FROM d8",
-    "second_stage_incomplete_concept_count": "SELECT COUNT(*) FROM cov8 WHERE n <> 8",
-    "second_stage_null_pct_chg_count": "SELECT COUNT(*) FROM rows8 WHERE pct_chg IS NULL",
-    "second_stage_invalid_amount_count": "SELECT COUNT(*) FROM rows8 WHERE amount IS NULL OR amount <= 0",
-    "second_stage_missing_member_stock_count": "SELECT COUNT(*) FROM joined WHERE bar IS NULL",
-    "second_stage_missing_member_pre_close_count": "SELECT COUNT(*) FROM joined WHERE bar IS NOT NULL AND pre IS NULL",
-    "second_stage_invalid_market_code_count": """SELECT COUNT(*) FROM members WHERE NOT CASE stock_market WHEN 'SHSE' THEN stock_code[1] IN ('5', '6') OR stock_code[1:3] = '900'
-      WHEN 'BJSE' THEN stock_code[1] IN ('4', '8') OR stock_code[1:3] = '920' ELSE stock_code[1] NOT IN ('4', '5', '6', '8', '9') END""",
-    "second_stage_amount_mismatch_count": "SELECT COUNT(*) FROM pairs WHERE e_amount IS NULL OR ABS(amount - e_amount) > GREATEST(1.0, ABS(e_amount) * 0.000001)",
-    "second_stage_pct_chg_mismatch_count": "SELECT COUNT(*) FROM pairs WHERE e_pct IS NULL OR ABS(pct_chg - e_pct) > 0.001",
-    "global_latest_date_mismatch_count": "SELECT CASE WHEN COUNT(DISTINCT t) = 1 THEN 0 ELSE 1 END FROM latest",
-    "global_duplicate_concept_key_count": "SELECT COUNT(*) FROM (SELECT 1 FROM concept GROUP BY concept_id, trade_date HAVING COUNT(*) > 1)",
-    "global_duplicate_stock_key_count": "SELECT COUNT(*) FROM (SELECT 1 FROM stock GROUP BY market, code, trade_date HAVING COUNT(*) > 1)",
-    "global_duplicate_board_key_count": "SELECT COUNT(*) FROM (SELECT 1 FROM brand_bars GROUP BY board_code, trade_date HAVING COUNT(*) > 1)",
-    "global_duplicate_index_key_count": "SELECT COUNT(*) FROM (SELECT 1 FROM idx GROUP BY index_code, trade_date HAVING COUNT(*) > 1)",
-    "global_board_daily_core_null_count": "SELECT COUNT(*) FROM brand_bars, target WHERE trade_date = d AND (open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR pre_close IS NULL OR change IS NULL OR pct_chg IS NULL OR amount IS NULL OR volume IS NULL)",
-    "global_stock_daily_core_null_count": "SELECT COUNT(*) FROM stock, target WHERE trade_date = d AND (close IS NULL OR pre_close IS NULL OR pct_chg IS NULL OR amount IS NULL)",
-    "global_stock_daily_without_ref_count": "SELECT COUNT(*) FROM stock s, target WHERE trade_date = d AND NOT EXISTS (SELECT 1 FROM ref_stock r WHERE r.market = s.market AND r.code = s.code)",
-    "global_active_stock_without_daily_count": "SELECT COUNT(*) FROM ref_stock r, target WHERE r.listed_date <= d AND (r.delisted_date IS NULL OR r.delisted_date >= d) AND (r.market, r.code) NOT IN (SELECT (market, code) FROM today)",
-    "global_missing_board_type_column_count": "SELECT 0",
-    "global_blank_board_type_count": "SELECT COUNT(*) FROM ref_stock WHERE board_type = ''",
-    "global_board_type_listing_board_mismatch_count": "SELECT COUNT(*) FROM ref_stock WHERE board_type <> listing_board",
-    "global_index_daily_without_ref_count": "SELECT COUNT(*) FROM idx i, target WHERE trade_date = d AND NOT EXISTS (SELECT 1 FROM ref_index r WHERE r.index_code = i.index_code)",
-    "global_ref_index_bad_name_count": "SELECT COUNT(*) FROM ref_index WHERE index_name IS NULL OR index_name = '' OR index_name LIKE '%?%'",
-}
-_WANTED = {"first_stage_index_trade_date_count": 6, "first_stage_concept_trade_date_count": 3, "second_stage_trade_date_count": 8}
-_ROWS = " UNION ALL ".join(f"SELECT '{name}' AS metric, CAST(({sql}) AS BIGINT) AS actual, CAST({_WANTED.get(name, 0)} AS BIGINT) AS expected" for name, sql in _METRICS.items())
+ref_index AS (SELECT p_type AS index_code, MIN(IF(p_type = 'PROMO', 'PR?MO', p_type)) AS index_name FROM part WHERE p_type <> 'LARGE' GROUP BY p_type),
+day AS (
+  SELECT MIN(newest) AS d FROM (
+    SELECT MAX(trade_date) AS newest FROM stock UNION ALL SELECT MAX(trade_date) FROM concept
+    UNION ALL SELECT MAX(trade_date) FROM brand_bars UNION ALL SELECT MAX(trade_date) FROM type_bars WHERE code = 'PROMO')),
+-- every key of every fact once: copies and newest day by fact
+keys AS (
+  SELECT fact, COUNT(*) FILTER (n > 1) AS twice, MAX(trade_date) FILTER (trade_date <= d) AS newest
+  FROM (SELECT 'concept' AS fact, concept_id AS k, trade_date, COUNT(*) AS n FROM concept GROUP BY ALL
+    UNION ALL SELECT 'stock', market || code, trade_date, COUNT(*) FROM stock GROUP BY ALL
+    UNION ALL SELECT 'board', board_code, trade_date, COUNT(*) FROM brand_bars GROUP BY ALL
+    UNION ALL SELECT 'index', code, trade_date, COUNT(*) FROM type_bars GROUP BY ALL), day GROUP BY fact),
+of_keys AS (
+  SELECT SUM(twice) FILTER (fact = 'concept') AS global_duplicate_concept_key_count, SUM(twice) FILTER (fact = 'stock') AS global_duplicate_stock_key_count,
+    SUM(twice) FILTER (fact = 'board') AS global_duplicate_board_key_count, SUM(twice) FILTER (fact = 'index') AS global_duplicate_index_key_count,
+    IF(MIN(newest) = MAX(newest) AND COUNT(newest) = 4, 0, 1) AS global_latest_date_mismatch_count FROM keys),
+of_index AS (
+  SELECT COUNT(*) FILTER (age <= 6) AS first_stage_index_trade_date_count,
+    COUNT(*) FILTER (age <= 6 AND {_holes('open', 'high', 'low', 'close', 'pre_close', 'volume', 'amount', 'pct_chg')}) AS first_stage_index_core_null_count,
+    COUNT(*) FILTER (age <= 6 AND LEAST(volume, amount) <= 0) AS first_stage_index_invalid_volume_amount_count,
+    COUNT(*) FILTER (trade_date = d AND code NOT IN (SELECT index_code FROM ref_index)) AS global_index_daily_without_ref_count
+  FROM (SELECT *, IF(code = 'PROMO' AND trade_date <= d, ROW_NUMBER() OVER (PARTITION BY code, trade_date <= d ORDER BY trade_date DESC), NULL) AS age FROM type_bars, day)),
+of_index_names AS (
+  SELECT IF(BOOL_OR(index_code = 'PROMO'), 0, 1) AS first_stage_ref_index_missing_count, COUNT(*) FILTER (bad AND index_code = 'PROMO') AS first_stage_ref_index_bad_name_count,
+    COUNT(*) FILTER (bad) AS global_ref_index_bad_name_count FROM (SELECT index_code, COALESCE(index_name, '') = '' OR CONTAINS(index_name, '?') AS bad FROM ref_index)),
+of_board AS (
+  SELECT COUNT(*) FILTER ({_holes('open', 'high', 'low', 'close', 'pre_close', 'change', 'pct_chg', 'amount', 'volume')}) AS global_board_daily_core_null_count FROM brand_bars, day WHERE trade_date = d),
+-- each stock's bar of the day and the newest close before it
+bars AS (
+  SELECT market, code, ANY_VALUE(s) FILTER (WHERE s.trade_date = d) AS o, COUNT(*) FILTER (WHERE s.trade_date = d) AS n, ARG_MAX(s.close, s.trade_date) FILTER (WHERE s.trade_date < d) AS pre
+  FROM stock s, day GROUP BY ALL),
+listed AS (SELECT market, code, COALESCE(listed_date <= d AND COALESCE(delisted_date, d) >= d, FALSE) AS alive FROM ref_stock, day),
+of_stock AS (
+  SELECT COUNT(*) FILTER ({_holes('close', 'pre_close', 'pct_chg', 'amount')}) AS global_stock_daily_core_null_count,
+    COUNT(*) FILTER (l.code IS NULL) AS global_stock_daily_without_ref_count
+  FROM stock s JOIN day ON trade_date = d LEFT JOIN listed l ON l.market = s.market AND l.code = s.code),
+of_catalog AS (
+  SELECT COUNT(*) FILTER (alive AND COALESCE(n, 0) = 0) AS global_active_stock_without_daily_count FROM listed LEFT JOIN bars USING (market, code)),
+of_boards AS (
+  SELECT 0 AS global_missing_board_type_column_count, COUNT(*) FILTER (COALESCE(board_type, '') = '') AS global_blank_board_type_count,
+    COUNT(*) FILTER (COALESCE(board_type, '') <> COALESCE(listing_board, '')) AS global_board_type_listing_board_mismatch_count FROM ref_stock),
+-- concepts: named, with a bar and a member on the day
+wanted AS (
+  SELECT concept_id, ANY_VALUE(amount) AS amount, ANY_VALUE(pct_chg) AS pct_chg FROM concept JOIN day ON trade_date = d
+  WHERE concept_id <> 'LARGE' AND concept_id IN (SELECT concept_id FROM membership, day WHERE d BETWEEN valid_from AND COALESCE(valid_to, d)) GROUP BY 1),
+recent AS (SELECT *, DENSE_RANK() OVER (ORDER BY trade_date DESC) AS age FROM concept, day WHERE trade_date <= d),
+covered AS (
+  SELECT concept_id, COUNT(*) FILTER (age <= 3) AS n3, COUNT(*) FILTER (age <= 8) AS n8, COUNT(*) FILTER (age <= 3 AND (pct_chg IS NULL OR COALESCE(amount, 0) <= 0)) AS bad3,
+    COUNT(*) FILTER (age <= 8 AND pct_chg IS NULL) AS null8, COUNT(*) FILTER (age <= 8 AND COALESCE(amount, 0) <= 0) AS bad8 FROM recent SEMI JOIN wanted USING (concept_id) GROUP BY 1),
+of_days AS (SELECT LEAST(MAX(age), 3) AS first_stage_concept_trade_date_count, LEAST(MAX(age), 8) AS second_stage_trade_date_count FROM recent),
+of_coverage AS (
+  SELECT COUNT(*) FILTER (n3 <> 3) AS first_stage_incomplete_concept_count, SUM(bad3) AS first_stage_concept_core_invalid_count, COUNT(*) FILTER (n8 <> 8) AS second_stage_incomplete_concept_count,
+    SUM(null8) AS second_stage_null_pct_chg_count, SUM(bad8) AS second_stage_invalid_amount_count FROM covered),
+-- members checked per concept
+remade AS (
+  SELECT w.concept_id, ANY_VALUE(w.amount) AS amount, ANY_VALUE(w.pct_chg) AS pct_chg, COUNT(*) FILTER (COALESCE(n, 0) = 0) AS absent, COUNT(*) FILTER (n > 0 AND pre IS NULL) AS unpriced,
+    COUNT(*) FILTER (NOT REGEXP_FULL_MATCH(stock_code, CASE stock_market WHEN 'SHSE' THEN '(5|6|900).*' WHEN 'BJSE' THEN '(4|8|920).*' ELSE '[^45689].*' END)) AS misplaced,
+    SUM(o.amount) FILTER (NOT o.is_suspended AND NOT o.is_st AND o.close IS NOT NULL AND pre IS NOT NULL AND o.amount > 0) AS sum_amount,
+    SUM(o.pct_chg * o.amount) FILTER (NOT o.is_suspended AND NOT o.is_st AND o.pct_chg IS NOT NULL AND o.amount > 0)
+      / NULLIF(SUM(o.amount) FILTER (NOT o.is_suspended AND NOT o.is_st AND o.pct_chg IS NOT NULL AND o.amount > 0), 0) AS mean_pct
+  FROM wanted w JOIN day ON TRUE JOIN membership m ON m.concept_id = w.concept_id AND d BETWEEN valid_from AND COALESCE(valid_to, d)
+  JOIN listed l ON l.alive AND l.market = stock_market AND l.code = stock_code LEFT JOIN bars b ON b.market = stock_market AND b.code = stock_code GROUP BY 1),
+of_members AS (
+  SELECT SUM(absent) AS second_stage_missing_member_stock_count, SUM(unpriced) AS second_stage_missing_member_pre_close_count, SUM(misplaced) AS second_stage_invalid_market_code_count,
+    COUNT(*) FILTER (COALESCE(ABS(amount - sum_amount) > GREATEST(1.0, ABS(sum_amount) / 1e6), sum_amount IS NULL)) AS second_stage_amount_mismatch_count,
+    COUNT(*) FILTER (COALESCE(ABS(pct_chg - mean_pct) > 0.001, mean_pct IS NULL)) AS second_stage_pct_chg_mismatch_count FROM remade),
+whole AS (SELECT COLUMNS(*)::BIGINT FROM (SELECT * FROM of_keys, of_index, of_index_names, of_board, of_stock, of_catalog, of_boards, of_days, of_coverage, of_members)),
+metrics AS (UNPIVOT (SELECT COALESCE(COLUMNS(*), 0) FROM whole) ON COLUMNS(*) INTO NAME metric VALUE actual)"""
 _CONTRACT_TABLES = "stock_changes membership type_bars brand_bars"
-ORACLES["h_contract_metrics"] = using(_CONTRACT_TABLES, f"WITH {_CONTRACT} SELECT metric, actual FROM ({_ROWS})")
-ORACLES["a15_metrics_long"] = using(_CONTRACT_TABLES, f"WITH {_CONTRACT} SELECT metric, actual, expected, CASE WHEN actual = expected THEN 'healthy' ELSE 'unhealthy' END AS status FROM ({_ROWS})")
+ORACLES["h_contract_metrics"] = using(_CONTRACT_TABLES, f"WITH {_CONTRACT} SELECT metric, actual FROM metrics")
+ORACLES["a15_metrics_long"] = using(_CONTRACT_TABLES, f"""
+WITH {_CONTRACT}, compared AS (
+  SELECT metric, actual, CAST(CASE WHEN metric LIKE 'first_stage_index_trade%' THEN 6 WHEN metric LIKE 'first_stage_concept_trade%' THEN 3 WHEN metric LIKE 'second_stage_trade%' THEN 8 ELSE 0 END AS BIGINT) AS expected FROM metrics)
+SELECT *, IF(actual = expected, 'healthy', 'unhealthy') AS status FROM compared""")
+ORACLES["c03_table_exists"] = """
+SELECT 'table_exists:fact.lines' AS check_id, '依赖表 fact.lines' AS title, 'healthy' AS status, '正常' AS result_text, '' AS error_text FROM (SELECT COUNT(*) FROM lineitem)
+UNION ALL SELECT 'table_exists:fact.nowhere', '依赖表 fact.nowhere', 'unhealthy', '异常', '表不存在'"""
+
+
+def _outcomes(index: str) -> str:
+    """Outcomes of the contract for one index code, counted."""
+    wanted = "CASE WHEN metric LIKE 'first_stage_index_trade%' THEN 6 WHEN metric LIKE 'first_stage_concept_trade%' THEN 3 WHEN metric LIKE 'second_stage_trade%' THEN 8 ELSE 0 END"
+    return f"WITH {_CONTRACT} SELECT '{index.lower()}' AS capability_id, IF(actual = {wanted}, 'healthy', 'unhealthy') AS status, COUNT(*) AS checks FROM metrics GROUP BY 1, 2".replace("code = 'PROMO'", f"code = '{index}'")
+
+
+ORACLES["c20_contract_rules"] = using(_CONTRACT_TABLES, f"SELECT * FROM ({_outcomes('PROMO')}) UNION ALL SELECT * FROM ({_outcomes('SMALL')})")
+ORACLES["io3_profiles_run"] = using("faulty_bars", f"""
+WITH s AS (SELECT 'bars' AS c, COUNT(*) FILTER (WHERE low > high OR open < low OR open > high OR close < low OR close > high OR amount < 0) AS n FROM faulty_bars WHERE {_RECENT}
+UNION ALL SELECT 'keys', n FROM {_DUPLICATES} UNION ALL SELECT 'none', 1)
+SELECT c AS capability_id, 'facts' AS "group", IF(n > 0, 'unhealthy', 'healthy') AS status FROM s""")
 ORACLES["health_run"] = using("calendar faulty_bars", f"""
 WITH s AS (SELECT 'bars' AS c, 'facts' AS g, COUNT(*) FILTER (WHERE low > high OR open < low OR open > high OR close < low OR close > high OR volume < 0 OR amount < 0 OR inflow IS NULL OR NOT ISFINITE(inflow)) AS n FROM faulty_bars WHERE {_RECENT}
 UNION ALL SELECT 'keys', 'facts', n FROM {_DUPLICATES} UNION ALL SELECT 'calendar', 'reference', CASE WHEN COUNT(*) = 0 THEN 1 ELSE 0 END FROM calendar WHERE {_RECENT} UNION ALL SELECT 'unlisted', 'reference', 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -13,13 +14,13 @@ from tapeloom.operators.series import previous_change
 from tapeloom.plans.catalog import query, round_columns, rounded
 from tapeloom.plans.quotes import QuoteRequest, minute_quotes
 from tapeloom.plans.series_queries import pit_sources, stock_changes, strategy_rows, with_factor
-from tapeloom.plans.views import etf_quote_result, query_view, stock_quote_result
-from tapeloom.quality.checks import Checks, Rule, completed_days, session_days, session_issues
+from tapeloom.plans.views import etf_quote_result, query_view, stock_quote_result, view_counts
+from tapeloom.quality.checks import CONTRACT_TABLES, Checks, Rule, completed_days, session_days, session_issues
 from tapeloom.quality.contract import compare_expectations, contract_metrics, weighted_pct
 from tapeloom.quality.health import run_health
 from tapeloom.session import shared_folder
 from tapeloom.sources.market_tables import MarketTables, exact_sum
-from tapeloom.sources.store import MarketStore, read_result, write_result
+from tapeloom.sources.store import MarketStore, read_profiles, read_result, rules_of, write_result
 from tapeloom.streaming import jobs
 
 # -- tables the views read ---------------------------------------------------------------------------------------
@@ -126,7 +127,7 @@ def _day_text(column: str) -> F.Column:
 
 @query("t1_range_view")
 def _(t: MarketTables) -> DataFrame:
-    return query_view(market_store(t), "stocks.indicators.money_flow", code="Brand#7", start_date="1997-01-01", end_date="1997-06-30", view="main")
+    return query_view(market_store(t.between("1997-01-01", "1997-06-30")), "stocks.indicators.money_flow", code="Brand#7", start_date="1997-01-01", end_date="1997-06-30", view="main")
 
 
 @query("t1p_period_view")
@@ -137,12 +138,12 @@ def _(t: MarketTables) -> DataFrame:
 
 @query("t2_snapshot_view")
 def _(t: MarketTables) -> DataFrame:
-    return query_view(market_store(t), "stocks.indicators.money_flow.snapshot", trade_date="1997-03-05")
+    return query_view(market_store(t.between("1997-03-05", "1997-03-05")), "stocks.indicators.money_flow.snapshot", trade_date="1997-03-05")
 
 
 @query("t2_batch_view")
 def _(t: MarketTables) -> DataFrame:
-    return query_view(market_store(t), "stocks.indicators.money_flow.batch", codes="Brand#1,Brand#2,Brand#3,Brand#4,Brand#5,Brand#6,Brand#99", trade_date="2001-03-05")
+    return query_view(market_store(t.between("2001-03-05", "2001-03-05")), "stocks.indicators.money_flow.batch", codes="Brand#1,Brand#2,Brand#3,Brand#4,Brand#5,Brand#6,Brand#99", trade_date="2001-03-05")
 
 
 @query("t3_single_view")
@@ -156,6 +157,17 @@ def _(t: MarketTables) -> DataFrame:
     return rows.select("code", "name", "exchange", "list_status", "list_date")
 
 
+@query("t4_catalog_all")
+def _(t: MarketTables) -> DataFrame:
+    """Without a limit nothing is cut."""
+    return query_view(market_store(t), "stocks.catalog").select("code", "name", "exchange", "list_status", "list_date")
+
+
+@query("t4_catalog_counts")
+def _(t: MarketTables) -> DataFrame:
+    return view_counts(market_store(t), "stocks.catalog", limit=7, exchange="SZSE")
+
+
 @query("t5_members_as_of")
 def _(t: MarketTables) -> DataFrame:
     return query_view(market_store(t), "concepts.members", code="PROMO", trade_date="2001-02-01").select("concept_id", "stock_market", "stock_code", "valid_from")
@@ -186,6 +198,7 @@ def _(t: MarketTables) -> DataFrame:
     return query_view(market_store(t), "markets.calendar.trading", code="SSE", start_date="1997-01-01", end_date="1997-03-31", is_open=True)
 
 
+MINUTE_OPTIONS = {"codes": "click,view", "freq": "5m", "start_date": "2024-01-05", "end_date": "2024-01-07"}
 QUOTE_OPTIONS = {"codes": "Brand#1,Brand#2,Brand#4,Brand#5,Brand#99", "start_date": "1998-01-01", "end_date": "1998-03-31"}
 
 
@@ -217,8 +230,37 @@ def _(t: MarketTables) -> DataFrame:
 
 @query("t8_quotes_minutes")
 def _(t: MarketTables) -> DataFrame:
-    request = QuoteRequest(codes=("click", "view"), freq="15m", start_date="2024-01-05", end_date="2024-01-09", count=20)
-    return minute_quotes(t.bars_minute, request).select("code", "trade_time", "freq", "open", "high", "low", "close")
+    rows = query_view(market_store(t.between("2024-01-05", "2024-01-09")), "stocks.quotes", codes="click,view", freq="15m", start_date="2024-01-05", end_date="2024-01-09", count=20)
+    return rows.select("code", "trade_time", "freq", "open", "high", "low", "close")
+
+
+@query("t8_quotes_5m")
+def _(t: MarketTables) -> DataFrame:
+    rows = query_view(market_store(t.between("2024-01-05", "2024-01-07")), "stocks.quotes", **MINUTE_OPTIONS, fields="code,trade_time,freq,open,high,low,close,volume")
+    return rows
+
+
+@query("t8_quotes_5m_meta")
+def _(t: MarketTables) -> DataFrame:
+    """Completeness of the sessions of three open days, with the missing bar ends as text."""
+    narrow = t.between("2024-01-05", "2024-01-07")
+    calendar = narrow.news.select(F.lit("SSE").alias("exchange"), "trade_date", F.lit(True).alias("is_open")).distinct()
+    codes = minute_quotes(narrow.bars_minute, calendar, QuoteRequest(**{**MINUTE_OPTIONS, "codes": ("click", "view")})).codes
+    missing = F.array_join(F.transform("missing_trade_times", lambda x: F.date_format(x, "dd HH:mm")), ",")
+    return codes.select("code", "expected_bar_count", "actual_bar_count", "missing_count", "complete", missing.alias("missing_trade_times"))
+
+
+@query("t8_quotes_adjusted_change")
+def _(t: MarketTables) -> DataFrame:
+    """Quotes of a table with stored pre_close, change and pct_chg, adjusted."""
+    bars = previous_change(quote_bars(t), ["code"], "trade_date")
+    store = MarketStore(t.spark, tables={"fact.stock_daily_1d": bars, "ref.trade_calendar": t.calendar})
+    return round_columns(query_view(store, "stocks.quotes", **QUOTE_OPTIONS, adjust="qfq", fields="code,trade_time,close,pre_close,change,pct_chg"), ["close", "pre_close", "change", "pct_chg"], 6)
+
+
+@query("t8_concept_weekly")
+def _(t: MarketTables) -> DataFrame:
+    return query_view(market_store(t), "concepts.quotes", concept_ids="PROMO,SMALL", start_date="1999-01-01", end_date="1999-12-31", freq="1w", fields="concept_id,concept_name,trade_time,freq,close,pre_close")
 
 
 @query("t8_concept_quotes")
@@ -294,13 +336,18 @@ def _(t: MarketTables) -> DataFrame:
 
 @query("n1_news")
 def _(t: MarketTables) -> DataFrame:
-    rows = query_view(market_store(t), "markets.events.news", trade_date="2024-01-05", stock_code="8", min_importance_score=1, sort_by="crawl_time", limit=30)
+    rows = query_view(market_store(t.between("2024-01-05", "2024-01-05")), "markets.events.news", trade_date="2024-01-05", stock_code="8", min_importance_score=1, sort_by="crawl_time", limit=30)
     return rows.select("event_id", "event_type", "announcement_time", "crawl_time", "importance_score", F.array_join("related_stock_codes", ",").alias("related"))
 
 
+@query("n1_news_counts")
+def _(t: MarketTables) -> DataFrame:
+    return view_counts(market_store(t.between("2024-01-05", "2024-01-05")), "markets.events.news", limit=25, trade_date="2024-01-05", event_type="click")
+
+
 @query("n1_news_filtered")
 def _(t: MarketTables) -> DataFrame:
-    rows = news_events(news_rows(t), "20240110", announcement_date="2024-01-10", crawl_date="2024-01-10", event_type="click", limit=40, offset=5)
+    rows = news_events(news_rows(t.between("2024-01-10", "2024-01-10")), "20240110", announcement_date="2024-01-10", crawl_date="2024-01-10", event_type="click", limit=40, offset=5)
     return rows.select("event_id", "event_type", "announcement_time", "importance_score")
 
 
@@ -353,8 +400,17 @@ RULES = {
 }
 
 
+# Rules that look at the 90 days before the run only.
+RECENT_RULES = ("c07_closed_days", "c08_open_days", "c12_fixed_field", "c13_ohlc", "c14_non_negative", "c15_finite", "c16_coverage")
+
+
+def recent_tables(t: MarketTables) -> MarketTables:
+    last = AS_OF.date() - dt.timedelta(days=1)
+    return t.between((AS_OF.date() - dt.timedelta(days=90)).isoformat(), last.isoformat())
+
+
 def _register_rules(name: str, rules: tuple[Rule, ...]) -> None:
-    query(name)(lambda t: checks_over(t).run(rules))
+    query(name)(lambda t: checks_over(recent_tables(t) if name in RECENT_RULES else t).run(rules))
 
 
 for _name, _rules in RULES.items():
@@ -444,6 +500,34 @@ def _(t: MarketTables) -> DataFrame:
     return run_health(checks, ["bars", "keys", "calendar", "unlisted"], groups, rules)["groups"]
 
 
+@query("c03_table_exists")
+def _(t: MarketTables) -> DataFrame:
+    return checks_over(t).run((Rule("table_exists", "fact.lines"), Rule("table_exists", "fact.nowhere")))
+
+
+@query("c20_contract_rules")
+def _(t: MarketTables) -> DataFrame:
+    """The contract for two index codes as rules of two capabilities; outcomes counted per capability."""
+    short = {name: table for table, name in CONTRACT_TABLES.items()}
+    checks = Checks(t.spark, {short[name]: df for name, df in contract_tables(t).items()}, AS_OF)
+    rules = [(code.lower(), Rule("market_data_contract", index_code=code)) for code in ("PROMO", "SMALL")]
+    groups = t.spark.createDataFrame([("promo", "indexes"), ("small", "indexes")], "capability_id string, group string")
+    detail = run_health(checks, ["promo", "small"], groups, rules)["checks"]
+    return detail.groupBy("capability_id", "status").agg(F.count("*").alias("checks"))
+
+
+@query("io3_profiles_run")
+def _(t: MarketTables) -> DataFrame:
+    """A profile file written, read, run and rolled up: one capability per check family, one without checks."""
+    checks = {"bars": [{"type": "ohlc_valid", "object": "fact.bars"}, {"type": "non_negative", "object": "fact.bars", "column": "amount"}], "keys": [{"type": "primary_key_duplicate_absent", "object": "fact.lines"}], "none": []}
+    payload = {"capabilities": {name: {"group": "facts", "checks": rules} for name, rules in checks.items()}}
+    path = _new_folder(t, "profiles")
+    t.spark.createDataFrame([(json.dumps(payload),)], "value string").coalesce(1).write.text(path)
+    profiles = read_profiles(t.spark, path)
+    names = sorted(row.capability_id for row in profiles.select("capability_id").collect())  # configuration
+    return run_health(checks_over(t), names, profiles.select("capability_id", "group"), rules_of(profiles))["capabilities"].select("capability_id", "group", "status")
+
+
 # -- writing -----------------------------------------------------------------------------------------------------
 
 
@@ -488,7 +572,7 @@ def _(t: MarketTables) -> DataFrame:
 def _(t: MarketTables) -> DataFrame:
     """Bars of all windows, open ones included, upserted by key from a stream in update mode."""
     folder, keys = _new_folder(t, "upserts"), ["code", "bar_time"]
-    jobs.for_each_batch(jobs.live_bars(_events_stream(t), "1 hour"), jobs.upsert_into(f"{folder}/bars", keys), f"{folder}/checkpoint").awaitTermination()
+    jobs.for_each_batch(jobs.live_bars(_events_stream(t), "1 hour"), jobs.upsert_into(f"{folder}/bars", keys, time="bar_time"), f"{folder}/checkpoint").awaitTermination()
     rows = jobs.read_upserts(t.spark, f"{folder}/bars", keys)
     return rows.select("code", F.col("bar_time").cast("timestamp_ntz").alias("bar_time"), "open", "close", "volume", rounded("amount", 2).alias("amount"))
 
@@ -498,8 +582,8 @@ def _(t: MarketTables) -> DataFrame:
     """Minute rows stored per batch, and the session issues of the days each batch touched."""
     folder, keys = _new_folder(t, "audit"), ["code", "bar_time"]
     minutes = _events_stream(t).select("code", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("bar_time"))
-    store = jobs.upsert_into(f"{folder}/bars", keys)
-    audit = jobs.audit_gaps(f"{folder}/issues", lambda: jobs.read_upserts(t.spark, f"{folder}/bars", keys), completed_days(minute_checks(t), 30))
+    store = jobs.upsert_into(f"{folder}/bars", keys, time="bar_time")
+    audit = jobs.audit_gaps(f"{folder}/issues", lambda days: jobs.read_upserts(t.spark, f"{folder}/bars", keys, days), completed_days(minute_checks(t), 30))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         store(batch.distinct(), batch_id)

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.functions.scalars import ratio
 from tapeloom.operators.bars import adjust_prices, completeness, fill_suspended, rollup_days, rollup_minutes
 from tapeloom.operators.predicates import in_days, in_times, keep_entities, option, parse_day
 from tapeloom.operators.selection import cut_counts, drop_flagged_entities, drop_flagged_rows, last_n, page, pick_fields
-from tapeloom.operators.series import open_days, previous_change
+from tapeloom.operators.series import open_days, previous_change, series_window
 
 # Fields of quote items.
 STOCK_QUOTE_FIELDS = (
@@ -39,6 +40,7 @@ class QuoteRequest:
     skip_suspended: bool = True
     skip_st: bool = False
     fill_missing: bool = False
+    meta_detail: str = "full"
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,29 @@ def _requested(table: DataFrame, request: QuoteRequest, key: str, time: str) ->
     return rows.where(in_times(time, request.start_time, request.end_time)) if request.start_time or request.end_time else rows
 
 
+def _before_window(table: DataFrame, first_day: str, skip_suspended: bool) -> DataFrame | None:
+    """(code, _earlier): each code's close on its last day before the window; none where the window has no start."""
+    first = parse_day(first_day)
+    if first is None:
+        return None
+    earlier = table.where(F.col("trade_date") < F.lit(first))
+    if skip_suspended and "is_suspended" in table.columns:
+        earlier = drop_flagged_rows(earlier)
+    return earlier.groupBy("code").agg(F.max_by("close", "trade_date").alias("_earlier"))
+
+
+def window_change(rows: DataFrame, earlier: DataFrame | None) -> DataFrame:
+    """``previous_change`` of a window whose first rows take the close before the window."""
+    changed = previous_change(rows, ["code"], "trade_date")
+    if earlier is None:
+        return changed
+    first = F.row_number().over(series_window(["code"], "trade_date")) == 1
+    marked = changed.withColumn("_first", first).join(earlier, "code", "left")
+    pre_close = F.when(F.col("_first"), F.col("_earlier")).otherwise(F.col("pre_close"))
+    change = F.col("close") - F.col("pre_close")
+    return marked.withColumn("pre_close", pre_close).withColumns({"change": change, "pct_chg": ratio(change, F.col("pre_close")) * 100}).drop("_first", "_earlier")
+
+
 def day_quotes(table: DataFrame, calendar: DataFrame, request: QuoteRequest, exchange: str = "SSE") -> QuoteResult:
     """Daily, weekly or monthly stock quotes from daily bars.
 
@@ -62,11 +87,9 @@ def day_quotes(table: DataFrame, calendar: DataFrame, request: QuoteRequest, exc
     last N, cut, projection. Completeness is measured on the covered rows before any exclusion.
     """
     freq, mode = option("freq", request.freq), option("adjust", request.adjust)
-    requested = _requested(table, request, "code", "trade_date")
-    if mode != "none":
-        # The latest factor is that of the whole series, not of the window.
-        base = keep_entities(table, "code", list(request.codes))
-        requested = adjust_prices(base, mode).where(in_days("trade_date", request.trade_date, request.start_date, request.end_date))
+    # The latest factor and the row before the window are those of the whole series, not of the window.
+    base = adjust_prices(keep_entities(table, "code", list(request.codes)), mode)
+    requested = base.where(in_days("trade_date", request.trade_date, request.start_date, request.end_date))
     first = parse_day(request.trade_date or request.start_date)
     last = parse_day(request.trade_date or request.end_date)
     days = open_days(calendar, exchange, None if first is None else F.lit(first), None if last is None else F.lit(last))
@@ -80,7 +103,8 @@ def day_quotes(table: DataFrame, calendar: DataFrame, request: QuoteRequest, exc
         kept = drop_flagged_entities(kept, ["code"])
     if request.skip_suspended:
         kept = drop_flagged_rows(kept)
-    bars = previous_change(kept, ["code"], "trade_date") if "pre_close" not in kept.columns else kept
+    first_day = request.trade_date or request.start_date
+    bars = window_change(kept, _before_window(base, first_day, request.skip_suspended)) if "pre_close" not in kept.columns else kept
     if freq == "1d":
         shaped = bars.withColumn("trade_time", F.col("trade_date"))
     else:
@@ -91,16 +115,17 @@ def day_quotes(table: DataFrame, calendar: DataFrame, request: QuoteRequest, exc
         shaped = shaped.withColumn("open", F.lit(None).cast("double"))
     trimmed = last_n(shaped, ["code"], "trade_time", request.count)
     cut = page(trimmed, ["trade_time", "code"], request.limit) if request.limit else trimmed
-    return QuoteResult(pick_fields(cut, request.fields, STOCK_QUOTE_FIELDS), *_meta(covered, wanted, days, trimmed, cut, request))
+    codes, meta = _meta(covered, wanted, days, trimmed, cut, request)
+    return QuoteResult(pick_fields(cut, request.fields, STOCK_QUOTE_FIELDS), detailed(codes, request.meta_detail), meta)
 
 
-def _meta(covered: DataFrame, wanted: DataFrame, days, trimmed: DataFrame, cut: DataFrame, request: QuoteRequest) -> tuple[DataFrame, DataFrame]:
-    coverage = completeness(covered, wanted, days).drop("row_count", "first_trade_time", "last_trade_time", "complete")
-    returned = cut.groupBy("code").agg(
+def _meta(covered: DataFrame, wanted: DataFrame, days, trimmed: DataFrame, cut: DataFrame, request: QuoteRequest, key: str = "code") -> tuple[DataFrame, DataFrame]:
+    coverage = completeness(covered, wanted, days, key).drop("row_count", "first_trade_time", "last_trade_time", "complete")
+    returned = cut.groupBy(key).agg(
         F.count("*").alias("row_count"), F.min("trade_time").alias("first_trade_time"), F.max("trade_time").alias("last_trade_time")
     )
-    available = trimmed.groupBy("code").agg(F.count("*").alias("_available"))
-    joined = coverage.join(returned, "code", "left").join(available, "code", "left").fillna(0, ["row_count", "_available"])
+    available = trimmed.groupBy(key).agg(F.count("*").alias("_available"))
+    joined = coverage.join(returned, key, "left").join(available, key, "left").fillna(0, ["row_count", "_available"])
     truncated = F.col("row_count") < F.col("_available")
     codes = joined.withColumn("truncated", truncated).withColumn(
         "complete", (F.col("missing_count") == 0) & ~F.col("truncated") & (F.col("_available") > 0)
@@ -109,11 +134,54 @@ def _meta(covered: DataFrame, wanted: DataFrame, days, trimmed: DataFrame, cut:
     return codes, meta
 
 
-def minute_quotes(table: DataFrame, request: QuoteRequest, sessions=SESSIONS) -> DataFrame:
-    """Intraday quotes from one-minute bars; no placeholder or ST rule applies."""
-    freq = option("freq", request.freq)
-    minutes = int(freq.rstrip("m"))
-    rows = keep_entities(table, "code", list(request.codes))
+def minute_quotes(table: DataFrame, calendar: DataFrame, request: QuoteRequest, key: str = "code", fields: Sequence[str] = STOCK_QUOTE_FIELDS, exchange: str = "SSE", sessions=SESSIONS) -> QuoteResult:
+    """Intraday quotes from one-minute bars; no placeholder, ST or adjustment rule applies.
+
+    A code is complete if it has every bar of the sessions of the requested open days; ``missing_trade_times`` counts are
+    per code, and with ``meta_detail="full"`` the missing bar ends are listed (at most days x bars of a day).
+    """
+    freq, minutes = option(_freq_option(key), request.freq), int(request.freq.rstrip("m"))
+    if request.adjust != "none":
+        raise ValueError("intraday quotes are not adjusted")
+    trimmed = minute_bars(table, request, key, sessions)
+    trimmed = trimmed.withColumns({"freq": F.lit(freq), "adjust": F.lit("none")})
+    for name in fields:
+        if name not in trimmed.columns:
+            trimmed = trimmed.withColumn(name, F.lit(None).cast("string" if name == "concept_name" else "boolean" if name.startswith("is_") else "double"))
+    cut = page(trimmed, ["trade_time", key], request.limit) if request.limit else trimmed
+    first, last = (parse_day(request.trade_date or day) for day in (request.start_date, request.end_date))
+    days = open_days(calendar, exchange, None if first is None else F.lit(first), None if last is None else F.lit(last))
+    ends = F.flatten(F.transform(days, lambda day: F.array(*[day.cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(m)) for m in session_ends(minutes, sessions)])))
+    if request.start_time or request.end_time:
+        low, high = (F.lit(x).cast("timestamp_ntz") for x in (request.start_time or "0001-01-01", request.end_time or "9999-12-31"))
+        ends = F.filter(ends, lambda end: (end >= low) & (end <= high))
+    wanted = table.sparkSession.createDataFrame([(code,) for code in request.codes], f"{key} string")
+    codes, meta = _meta(trimmed.withColumn("trade_date", F.col("trade_time")), wanted, ends, trimmed, cut, request, key)
+    codes = codes.withColumnRenamed("missing_trade_dates", "missing_trade_times")
+    return QuoteResult(pick_fields(cut, request.fields, fields), detailed(codes, request.meta_detail), meta)
+
+
+def _freq_option(key: str) -> str:
+    return "freq" if key == "code" else "concept_freq"
+
+
+def session_ends(minutes: int, sessions=SESSIONS) -> list[int]:
+    """Minutes after midnight at which a day's bars end."""
+    spans = [[int(text[:2]) * 60 + int(text[3:]) for text in span] for span in sessions]
+    return [opens + minutes * (k + 1) for opens, closes in spans for k in range(-(-(closes - opens) // minutes))]
+
+
+def detailed(codes: DataFrame, meta_detail: str) -> DataFrame:
+    """Per-code completeness; ``summary`` (the default) has counts only, ``full`` the missing days or times too."""
+    if option("meta_detail", meta_detail) == "full":
+        return codes
+    return codes.drop("missing_trade_dates", "missing_trade_times")
+
+
+def minute_bars(table: DataFrame, request: QuoteRequest, key: str = "code", sessions=SESSIONS) -> DataFrame:
+    """Bars of one or more minutes with ``trade_time``, the last N of each code."""
+    minutes = int(request.freq.rstrip("m"))
+    rows = keep_entities(table, key, list(request.codes))
     start, end = parse_day(request.trade_date or request.start_date), parse_day(request.trade_date or request.end_date)
     # Bounds on the time column itself, so that statistics and partitions can prune.
     if start:
@@ -121,14 +189,32 @@ def minute_quotes(table: DataFrame, request: QuoteRequest, sessions=SESSIONS) ->
     if end:
         rows = rows.where(F.col("bar_time") < F.date_add(F.lit(end), 1).cast("timestamp_ntz"))
     rows = rows.where(in_times("bar_time", request.start_time, request.end_time))
-    bars = rows.withColumn("trade_time", F.col("bar_time")) if minutes == 1 else rollup_minutes(rows, minutes, sessions=sessions).withColumn("trade_time", F.col("bucket"))
-    bars = last_n(bars, ["code"], "trade_time", request.count).withColumn("freq", F.lit(freq))
-    return page(bars, ["trade_time", "code"], request.limit) if request.limit else bars
+    bars = rows.withColumn("trade_time", F.col("bar_time")) if minutes == 1 else rollup_minutes(rows, minutes, (key,), sessions=sessions).withColumn("trade_time", F.col("bucket"))
+    return last_n(bars, [key], "trade_time", request.count)
+
+
+def tick_quotes(table: DataFrame, request: QuoteRequest) -> QuoteResult:
+    """Ticks in time order; days and times bound ``trade_time`` itself. There is no expected number of ticks."""
+    rows = keep_entities(table, "code", list(request.codes)).where(in_times("trade_time", request.start_time, request.end_time))
+    start, end = parse_day(request.trade_date or request.start_date), parse_day(request.trade_date or request.end_date)
+    if start:
+        rows = rows.where(F.col("trade_time") >= F.lit(start).cast("timestamp_ntz"))
+    if end:
+        rows = rows.where(F.col("trade_time") < F.date_add(F.lit(end), 1).cast("timestamp_ntz"))
+    trimmed = last_n(rows, ["code"], "trade_time", request.count).withColumns({"freq": F.lit("tick"), "adjust": F.lit("none")})
+    for name in STOCK_QUOTE_FIELDS:
+        if name not in trimmed.columns:
+            trimmed = trimmed.withColumn(name, F.lit(None).cast("boolean" if name.startswith("is_") else "double"))
+    cut = page(trimmed, ["trade_time", "code"], request.limit) if request.limit else trimmed
+    codes = cut.groupBy("code").agg(F.count("*").alias("row_count"), F.min("trade_time").alias("first_trade_time"), F.max("trade_time").alias("last_trade_time"))
+    return QuoteResult(pick_fields(cut, request.fields, STOCK_QUOTE_FIELDS), codes, cut_counts(trimmed, request.limit))
 
 
 def simple_quotes(table: DataFrame, request: QuoteRequest, key: str, fields: Sequence[str], freq_option: str) -> DataFrame:
-    """Concept or index quotes: entity, date, last N, cut, projection."""
+    """Concept or index quotes of daily or longer frequency: entity, date, last N, cut, projection."""
     freq = option(freq_option, request.freq)
+    if freq not in DAY_FREQS:
+        raise ValueError(f"{freq} quotes need minute bars")
     rows = _requested(table, request, key, "trade_date") if request.codes else table.where(in_days("trade_date", request.trade_date, request.start_date, request.end_date))
     if freq in ("1w", "1mo"):
         rows = previous_change(rollup_days(rows, freq, (key,)), [key], "trade_time")
@@ -143,16 +229,18 @@ def simple_quotes(table: DataFrame, request: QuoteRequest, key: str, fields: Seq
 
 
 def daily_snapshot(
-    table: DataFrame, trade_date: str, skip_suspended: bool = True, skip_st: bool = False, limit: int = 10000, offset: int = 0, fields: str = "", look_back_days: int = 366
+    table: DataFrame, trade_date: str, skip_suspended: bool = True, skip_st: bool = False, limit: int | None = None, offset: int = 0, fields: str = "", look_back_days: int | None = None
 ) -> DataFrame:
     """All stocks on one day, with the change against the previous existing day of each; no rows if the day is absent.
 
-    The previous row is looked for in the ``look_back_days`` before the day, which keeps the scan to those partitions.
+    The previous row may be of any age; ``look_back_days`` keeps the scan to the partitions of so many days before.
     """
     day = F.lit(parse_day(trade_date))
-    recent = table.where((F.col("trade_date") <= day) & (F.col("trade_date") >= F.date_sub(day, look_back_days)))
-    today = recent.where(F.col("trade_date") == day)
-    before = recent.where(F.col("trade_date") < day).groupBy("code").agg(F.max_by("close", "trade_date").alias("_before"))
+    today = table.where(F.col("trade_date") == day)
+    earlier = table.where(F.col("trade_date") < day)
+    if look_back_days is not None:
+        earlier = earlier.where(F.col("trade_date") >= F.date_sub(day, look_back_days))
+    before = earlier.groupBy("code").agg(F.max_by("close", "trade_date").alias("_before"))
     today = today.drop("pre_close", "change", "pct_chg").join(before, "code", "left")
     change = F.col("close") - F.col("_before")
     rows = today.withColumns(
@@ -172,7 +260,7 @@ def daily_snapshot(
 
 
 def local_window(
-    table: DataFrame, start_date: str, end_date: str, skip_suspended: bool = True, skip_st: bool = False, limit: int = 50000, offset: int = 0, fields: str = ""
+    table: DataFrame, start_date: str, end_date: str, skip_suspended: bool = True, skip_st: bool = False, limit: int | None = None, offset: int = 0, fields: str = ""
 ) -> DataFrame:
     """All stocks in a date range: ST entities out, then suspended rows, then the page by (trade_time, code)."""
     rows = table.where(in_days("trade_date", "", start_date, end_date))
@@ -180,9 +268,9 @@ def local_window(
         rows = drop_flagged_entities(rows, ["code"])
     if skip_suspended:
         rows = drop_flagged_rows(rows)
-    rows = rows.withColumns({"trade_time": F.col("trade_date"), "freq": F.lit("1d"), "adjust": F.lit("none")})
     if "pre_close" not in rows.columns:
-        rows = previous_change(rows, ["code"], "trade_date")
+        rows = window_change(rows, _before_window(table, start_date, skip_suspended))
+    rows = rows.withColumns({"trade_time": F.col("trade_date"), "freq": F.lit("1d"), "adjust": F.lit("none")})
     for name in ("open", "high", "low"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("double"))

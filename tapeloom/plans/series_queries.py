@@ -46,7 +46,7 @@ def _(t: MarketTables) -> DataFrame:
     orders = t.raw("orders").select(F.col("o_orderdate").cast("date").alias("d"))
     line = t.raw("lineitem").select(F.col("l_shipdate").cast("date").alias("d"))
     events = t.raw("events").select(F.col("ts").cast("date").alias("d"))
-    return availability({"orders": (orders, "d"), "lineitem": (line, "d"), "events": (events, "d"), "absent": (None, "d")})
+    return availability(t.spark, {"orders": (orders, "d"), "lineitem": (line, "d"), "events": (events, "d"), "absent": (None, "d")})
 
 
 # -- predicates, projection, selection ---------------------------------------------------------------------------
@@ -72,17 +72,17 @@ def _(t: MarketTables) -> DataFrame:
 
 @query("q03_range")
 def _(t: MarketTables) -> DataFrame:
-    return t.bars_sparse.where(P.in_days("trade_date", "", "1997-03-01", "19970430")).select("code", "trade_date", "volume", "amount")
+    return t.between("1997-03-01", "1997-04-30").bars_sparse.where(P.in_days("trade_date", "", "1997-03-01", "19970430")).select("code", "trade_date", "volume", "amount")
 
 
 @query("q03_point")
 def _(t: MarketTables) -> DataFrame:
-    return t.bars_sparse.where(P.in_days("trade_date", "1997-03-05", "1990-01-01", "1990-01-02")).select("code", "trade_date", "volume", "amount")
+    return t.between("1997-03-05", "1997-03-05").bars_sparse.where(P.in_days("trade_date", "1997-03-05", "1990-01-01", "1990-01-02")).select("code", "trade_date", "volume", "amount")
 
 
 @query("q04_times")
 def _(t: MarketTables) -> DataFrame:
-    return t.bars_minute.where(P.in_times("bar_time", "2024-01-05 09:30:00", "2024-01-07 15:00:00")).select("code", "bar_time", "open", "close", "volume")
+    return t.between("2024-01-05", "2024-01-07").bars_minute.where(P.in_times("bar_time", "2024-01-05 09:30:00", "2024-01-07 15:00:00")).select("code", "bar_time", "open", "close", "volume")
 
 
 @query("q05_last_n")
@@ -92,17 +92,17 @@ def _(t: MarketTables) -> DataFrame:
 
 @query("q06_cut")
 def _(t: MarketTables) -> DataFrame:
-    return selection.cut_counts(t.bars_sparse.where(P.in_days("trade_date", "", "1997-01-01", "1997-12-31")), 500)
+    return selection.cut_counts(t.bars_sparse, 500)
 
 
 @query("q07_exclude_entity")
 def _(t: MarketTables) -> DataFrame:
-    return selection.drop_flagged_entities(t.stock_daily, CODE, "is_st").select("market", "code", "trade_date", "volume")
+    return selection.drop_flagged_entities(t.stock_daily, ["market", "code"], "is_st").select("market", "code", "trade_date", "volume")
 
 
 @query("q08_skip_suspended")
 def _(t: MarketTables) -> DataFrame:
-    return selection.drop_flagged_rows(selection.drop_flagged_entities(t.stock_daily, CODE, "is_st"), "is_suspended").select("market", "code", "trade_date", "volume")
+    return selection.drop_flagged_rows(selection.drop_flagged_entities(t.stock_daily, ["market", "code"], "is_st"), "is_suspended").select("market", "code", "trade_date", "volume")
 
 
 @query("q09_page")
@@ -197,7 +197,7 @@ def _(t: MarketTables) -> DataFrame:
 
 @query("q20_recent")
 def _(t: MarketTables) -> DataFrame:
-    return t.bars_sparse.where(P.recent("trade_date", "2000-07-01")).groupBy("code").agg(F.count("*").alias("n"), F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"))
+    return t.between("2000-04-02", "2000-06-30").bars_sparse.where(P.recent("trade_date", "2000-07-01")).groupBy("code").agg(F.count("*").alias("n"), F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"))
 
 
 # -- joins and merges --------------------------------------------------------------------------------------------
@@ -354,9 +354,9 @@ def _(t: MarketTables) -> DataFrame:
 
 @query("j15_sources")
 def _(t: MarketTables) -> DataFrame:
-    """Events of one day with their documents as nested sources, shown as text."""
+    """Events with their documents as nested sources, shown as text."""
     docs = t.raw("documents").select((F.floor(F.col("doc_id") / 3)).alias("event_id"), F.col("doc_id").alias("source_record_id"), F.col("source").alias("source_name"))
-    events = t.news.where(F.col("trade_date") == F.lit("2024-01-01").cast("date")).select("event_id", "event_type")
+    events = t.news.select("event_id", "event_type")
     nested = merge.nest_children(events, docs, "event_id", "source_record_id", "sources")
     text = F.array_join(F.transform("sources", lambda s: F.concat(s.getField("source_record_id").cast("string"), F.lit(":"), s.getField("source_name"))), ",")
     return nested.select("event_id", "event_type", F.coalesce(text, F.lit("")).alias("sources"))
@@ -438,8 +438,9 @@ def _(t: MarketTables) -> DataFrame:
 
 @query("a09_matched_count")
 def _(t: MarketTables) -> DataFrame:
-    matched = t.calendar.join(t.bars_daily.where(F.col("code") == "PROMO").select("trade_date", "volume"), "trade_date", "left")
-    return matched.groupBy(F.year("trade_date").alias("year")).agg(F.count("*").alias("expected_days"), F.count("volume").alias("actual_days"))
+    """Open days and days with a bar, per year, over the bars of all codes."""
+    matched = t.calendar.join(t.bars_daily.select("trade_date", "code", "volume"), "trade_date", "left")
+    return matched.groupBy(F.year("trade_date").alias("year"), "code").agg(F.count("*").alias("expected_days"), F.count("volume").alias("actual_days"))
 
 
 @query("a10_distinct")
@@ -662,7 +663,7 @@ def _(t: MarketTables) -> DataFrame:
 @query("u04_missing")
 def _(t: MarketTables) -> DataFrame:
     """Open days without a bar, per brand: the calendar exploded per brand, minus the bars."""
-    days = series.open_days(t.calendar, "SSE", F.lit("1998-01-01").cast("date"), F.lit("1998-06-30").cast("date"))
+    days = series.open_days(t.calendar)
     grid = t.raw("part").select(F.col("p_brand").alias("code")).distinct().withColumn("trade_date", F.explode(days))
     return merge.absent_rows(grid, t.bars_sparse, ["code", "trade_date"])
 

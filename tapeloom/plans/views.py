@@ -18,10 +18,10 @@ from tapeloom.operators.indicators import TECHNICAL_FIELDS, technical
 from tapeloom.operators.merge import pit_merge
 from tapeloom.operators.news import news_events
 from tapeloom.operators.predicates import catalog_filter, clamp_limit, codes_of, etf_codes_of, in_days, keep_entities, option, overlaps, parse_day, valid_on
-from tapeloom.operators.selection import cut_counts, finite_doubles, page, pick_fields
+from tapeloom.operators.selection import cut_counts, finite_doubles, last_n, page, pick_fields
 from tapeloom.operators.series import count_change, open_days
 from tapeloom.plans.quotes import (
-    CONCEPT_QUOTE_FIELDS, INDEX_QUOTE_FIELDS, QuoteRequest, STOCK_QUOTE_FIELDS, daily_snapshot, day_quotes, local_window, minute_quotes, simple_quotes,
+    CONCEPT_QUOTE_FIELDS, DAY_FREQS, INDEX_QUOTE_FIELDS, QuoteRequest, STOCK_QUOTE_FIELDS, daily_snapshot, day_quotes, local_window, minute_quotes, simple_quotes, tick_quotes,
 )
 from tapeloom.sources.store import MarketStore
 
@@ -171,6 +171,11 @@ def query_view(store: MarketStore, view_name: str, /, **params) -> DataFrame:
     return TEMPLATES[view.template](view, df, **params)
 
 
+def view_counts(store: MarketStore, view_name: str, /, limit: int | None = None, **params) -> DataFrame:
+    """One row (total_rows, returned_rows, truncated): what ``query_view`` has, and what it leaves out at ``limit``."""
+    return cut_counts(query_view(store, view_name, **params), limit)
+
+
 def _entities(view: View, df: DataFrame, /, code: str = "", codes: str = "") -> DataFrame:
     wanted = codes_of(code, codes, required=False)
     return keep_entities(df, view.key, wanted) if wanted else df
@@ -258,13 +263,26 @@ def _stock_quotes(store: MarketStore, view: View, df: DataFrame, /, code="", cod
 
 
 def stock_quote_result(store: MarketStore, code="", codes="", **options):
-    """Items, per-code completeness and summary of a stock quote query of daily or longer frequency."""
+    """Items, per-code completeness and summary of a stock quote query: daily or longer from daily bars, minutes from
+    one-minute bars, ticks from a table of ticks (code, trade_time, ...), which is an error where there is none."""
     request = QuoteRequest(codes=codes_of(code, codes), **options)
+    freq = option("freq", request.freq)
+    if freq == "tick":
+        return tick_quotes(_needed(store, "fact.stock_tick"), request)
+    if freq not in DAY_FREQS:
+        return minute_quotes(_needed(store, "fact.stock_bar_1m"), store.table("ref.trade_calendar"), request)
     return day_quotes(store.table("fact.stock_daily_1d"), store.table("ref.trade_calendar"), request)
 
 
+def _needed(store: MarketStore, name: str) -> DataFrame:
+    df = store.find(name)
+    if df is None:
+        raise ValueError(f"the store has no table {name}")
+    return df
+
+
 def stock_minute_quotes(store: MarketStore, code="", codes="", **options) -> DataFrame:
-    return minute_quotes(store.table("fact.stock_bar_1m"), QuoteRequest(codes=codes_of(code, codes), **options))
+    return stock_quote_result(store, code, codes, **options).items
 
 
 def _adj_factors(store, view, df, /, code, start_date="", end_date="", base_date="") -> DataFrame:
@@ -287,10 +305,10 @@ def _technical(store, view, df, /, code="", codes="", trade_date="", start_date=
 
 
 def _strategy(store, view, df, /, start_date, end_date, codes="") -> DataFrame:
-    """Factors need 39 earlier rows; the scan reaches 120 days before the window."""
-    rows = _entities(view, df, "", codes).where(
-        (F.col("trade_date") >= F.date_sub(F.lit(parse_day(start_date)), 120)) & (F.col("trade_date") <= F.lit(parse_day(end_date)))
-    )
+    """Factors need the 39 rows before the window, of any age; the rank is cut per task before the shuffle."""
+    rows = _entities(view, df, "", codes)
+    earlier = last_n(rows.where(F.col("trade_date") < F.lit(parse_day(start_date))), ["code"], "trade_date", 39)
+    rows = rows.where(in_days("trade_date", "", start_date, end_date)).unionByName(earlier)
     result = strategy_window(rows).where(in_days("trade_date", "", start_date, end_date))
     return finite_doubles(result.select(*view.columns)).orderBy("trade_date", "code")
 
@@ -340,7 +358,14 @@ def etf_quote_result(store: MarketStore, ts_codes: str, trade_date="", start_dat
 
 
 def _concept_quotes(store, view, df, /, concept_id="", concept_ids="", **options) -> DataFrame:
-    return simple_quotes(_named_concepts(store, df), QuoteRequest(codes=codes_of(concept_id, concept_ids, required=False), **options), "concept_id", view.columns, "concept_freq")
+    request = QuoteRequest(codes=codes_of(concept_id, concept_ids, required=False), **{**options, "fields": ""})
+    if option("concept_freq", request.freq) in DAY_FREQS:
+        rows = simple_quotes(df, request, "concept_id", view.columns, "concept_freq")
+    else:
+        rows = minute_quotes(_needed(store, "fact.concept_bar_1m"), store.table("ref.trade_calendar"), request, "concept_id", view.columns).items
+    if "concept_name" not in df.columns:  # names come last: a rollup keeps keys and prices only
+        rows = _named_concepts(store, rows.drop("concept_name"))
+    return pick_fields(rows if "concept_name" in rows.columns else rows.withColumn("concept_name", F.lit(None).cast("string")), options.get("fields", ""), view.columns)
 
 
 def _named_concepts(store: MarketStore, df: DataFrame) -> DataFrame:

@@ -59,7 +59,6 @@ CHECK_FIELDS = ("check_id", "title", "status", "result_text", "error_text")
 CHECK_SCHEMA = ", ".join(f"{name} string" for name in CHECK_FIELDS)
 SESSION_MINUTES = 240
 MORNING, AFTERNOON = (9 * 60 + 31, 11 * 60 + 30), (13 * 60 + 1, 15 * 60)
-ISSUES_SHOWN = 8
 
 
 @dataclass(frozen=True)
@@ -172,7 +171,8 @@ class Checks:
             stats = df.agg(*(metric.alias(f"m{i}") for i, (metric, _) in enumerate(parts)))
             rows = F.array(*(outcome(F.col(f"m{i}")) for i, (_, outcome) in enumerate(parts)))
             singles.append(stats.select(F.inline(rows)))
-        return reduce(DataFrame.unionByName, [frame.select(*CHECK_FIELDS) for frame in singles])
+        nothing = self.spark.createDataFrame([], CHECK_SCHEMA)
+        return reduce(DataFrame.unionByName, [frame.select(*CHECK_FIELDS) for frame in singles] or [nothing])
 
     def named(self, rule: Rule) -> Rule:
         """Rule with its check id and title filled in."""
@@ -204,11 +204,13 @@ class Checks:
         """Unknown row when a table the rule reads is absent."""
         if rule.type in ("table_exists", "trade_calendar_available", "logic_rule_registered", "market_data_contract") or rule.type not in {**FOLDED, **HANDLERS}:
             return None
-        needed = list(rule.required_objects) if rule.type == "long_empty" else [rule.object] if rule.object else []
+        if (rule.type == "non_negative" and not rule.column) or (rule.type == "money_flow_values_valid" and not rule.object):
+            return self.fixed(rule.check_id, rule.title, "not_applicable", "不适用")
+        needed = list(rule.required_objects) if rule.type == "long_empty" else [name for name in (rule.object, rule.reference) if name]
         absent = [name for name in needed if self.table(name) is None]
         if absent:
             if rule.type == "reference_valid":
-                return self.fixed(rule.check_id, rule.title, "unhealthy", "异常", f"缺少依赖表 {rule.object}")
+                return self.fixed(rule.check_id, rule.title, "unhealthy", "异常", "缺少依赖表 " + ", ".join(absent))
             return self.fixed(rule.check_id, rule.title, "unknown", "未执行", "缺少依赖表 " + ", ".join(absent))
         return None
 
@@ -341,7 +343,7 @@ def _duplicates(checks: Checks, rule: Rule) -> DataFrame:
 def _coverage(checks: Checks, rule: Rule) -> DataFrame:
     """Open days covered by rows since max(as_of - 90 days, provider start), compared as day sets of one exchange."""
     try:
-        earliest = dt.date.fromisoformat(rule.provider_earliest_date)
+        earliest = dt.datetime.strptime(rule.provider_earliest_date if len(rule.provider_earliest_date) == 10 else "", "%Y-%m-%d").date()
     except ValueError:
         return checks.fixed(rule.check_id, rule.title, "unknown", "未执行", f"provider_earliest_date 配置非法: {rule.provider_earliest_date}")
     start = max(checks.today - dt.timedelta(days=90), earliest)
@@ -418,7 +420,7 @@ def _minute_session(checks: Checks, rule: Rule) -> DataFrame:
         rule.check_id, rule.title,
         F.when(none, "unknown").when(bad, "warning").otherwise("healthy"),
         F.when(none, "未执行").when(bad, "警告").otherwise(F.concat(F.lit("最近 "), F.col("days").cast("string"), F.lit(" 个已完成交易日完整"))),
-        F.when(none, "最近窗口没有已完成交易日").when(bad, F.array_join(F.slice("issues", 1, ISSUES_SHOWN), "；")).otherwise(""),
+        F.when(none, "最近窗口没有已完成交易日").when(bad, F.array_join("issues", "；")).otherwise(""),
     )
     return found.select(F.inline(F.array(checks.needs_calendar(check, "交易日历不可用，无法判断分钟完整性"))))
 
@@ -461,7 +463,7 @@ def _contract(checks: Checks, rule: Rule) -> DataFrame:
     failed = F.col("status") == "unhealthy"
     text = F.concat(F.lit("实际 "), F.col("actual").cast("string"), F.lit("，期望 "), sign, F.lit(" "), F.col("expected").cast("string"))
     return compared.select(
-        F.concat(F.lit("market_data_contract:"), F.col("metric")).alias("check_id"), "title", "status",
+        F.concat(F.lit(f"{rule.check_id}:"), F.col("metric")).alias("check_id"), "title", "status",
         F.when(failed, "异常").otherwise(F.col("actual").cast("string")).alias("result_text"), F.when(failed, text).otherwise("").alias("error_text"),
     )
 

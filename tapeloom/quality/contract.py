@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import blank, differs, garbled_name, ratio, valid_market_code
@@ -50,8 +50,6 @@ EXPECTATIONS = (
     ("global_index_daily_without_ref_count", 0, "eq", "当日指数日线匹配指数目录"),
     ("global_ref_index_bad_name_count", 0, "eq", "指数目录名称有效"),
 )
-MAX_MEMBERS = 500
-STOCK_LOOK_BACK_DAYS = 20
 
 
 def any_null(*columns: str) -> Column:
@@ -72,24 +70,29 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
 
 
-def contract_metrics(tables: Mapping[str, DataFrame], index_code: str) -> DataFrame:
+def contract_metrics(tables: Mapping[str, DataFrame], index_code: str, max_members: int | None = None, look_back_days: int | None = None) -> DataFrame:
     """(metric, actual) for the tables index_daily, concept_daily, stock_daily, board_daily, ref_index, ref_stock,
-    ref_concept and membership."""
+    ref_concept and membership.
+
+    ``max_members`` leaves larger concepts out of the recomputation, and ``look_back_days`` looks for a stock's previous
+    bar in so many days only; neither cut is made unless asked for. The target day and the (at most eight) latest concept
+    days come to the driver, so that every later scan is pruned by literals.
+    """
     index, concept, stock, board = (tables[name] for name in ("index_daily", "concept_daily", "stock_daily", "board_daily"))
     ref_index, ref_stock, ref_concept = (tables[name] for name in ("ref_index", "ref_stock", "ref_concept"))
     day = F.col("trade_date")
 
-    # Latest day all facts share. A scalar subquery: it runs once and prunes date partitions at run time.
+    # Latest day all facts share; none if one of them is empty.
     maxima = [df.agg(F.max("trade_date").alias("d")) for df in (index.where(F.col("index_code") == index_code), concept, stock, board)]
-    target = reduce(DataFrame.unionByName, maxima).agg(F.min("d")).scalar()
-    days3, days8 = (latest_days(concept, n, target) for n in (3, 8))
-    first3, first8 = (days.agg(F.min("trade_date")).scalar() for days in (days3, days8))
+    target = F.lit(reduce(DataFrame.unionByName, maxima).agg(F.min("d")).first()[0]).cast("date")
+    latest = [row.trade_date for row in latest_days(concept, 8, target).collect()]
+    first3, first8 = (F.lit(min(latest[:n], default=None)).cast("date") for n in (3, 8))
+    one = index.sparkSession.range(1)
 
     frames = [
         _index_bars(index.where((F.col("index_code") == index_code) & (day <= target))),
         _index_reference(ref_index, index_code),
-        to_metrics(days3.agg(F.count("*").alias("first_stage_concept_trade_date_count"))),
-        to_metrics(days8.agg(F.count("*").alias("second_stage_trade_date_count"))),
+        to_metrics(one.select(F.lit(len(latest[:3])).alias("first_stage_concept_trade_date_count"), F.lit(len(latest)).alias("second_stage_trade_date_count"))),
         _keys_and_latest({"concept": (concept, ("concept_id",)), "stock": (stock, ("market", "code")), "board": (board, ("board_code",)), "index": (index, ("index_code",))}, target),
         to_metrics(
             board.where(day == target).agg(
@@ -110,12 +113,14 @@ def contract_metrics(tables: Mapping[str, DataFrame], index_code: str) -> DataFr
     ]
 
     active = tables["membership"].where(valid_on(target)).select("concept_id", "stock_market", "stock_code").distinct()
-    sizes = active.groupBy("concept_id").agg(F.count("*").alias("members")).where(F.col("members") <= MAX_MEMBERS)
+    sizes = active.groupBy("concept_id").agg(F.count("*").alias("members"))
+    if max_members is not None:
+        sizes = sizes.where(F.col("members") <= max_members)
     named = ref_concept.where(~blank(F.col("name"))).select("concept_id")
     eligible = concept.where(day == target).select("concept_id").join(named, "concept_id").join(sizes, "concept_id").select("concept_id")
     frames.append(_concept_days(concept.where((day >= first8) & (day <= target)), eligible, first3))
 
-    expected = _recomputed(active, eligible, ref_stock, stock, target)
+    expected = _recomputed(active, eligible, ref_stock, stock, target, look_back_days)
     frames.append(
         to_metrics(
             expected.agg(
@@ -233,16 +238,18 @@ def live_row() -> Column:
     return ~F.coalesce(F.col("is_suspended"), F.lit(False)) & ~F.coalesce(F.col("is_st"), F.lit(False))
 
 
-def _recomputed(active: DataFrame, eligible: DataFrame, ref_stock: DataFrame, stock: DataFrame, target: Column) -> DataFrame:
+def _recomputed(active: DataFrame, eligible: DataFrame, ref_stock: DataFrame, stock: DataFrame, target: Column, look_back_days: int | None) -> DataFrame:
     """Per concept: amount and weighted change recomputed from its members, and the members' faults."""
     alive = ref_stock.where(valid_on(target, "listed_date", "delisted_date")).select(F.col("market").alias("stock_market"), F.col("code").alias("stock_code"))
     members = active.join(eligible, "concept_id").join(alive, ["stock_market", "stock_code"])
-    recent = stock.where((F.col("trade_date") >= F.date_sub(target, STOCK_LOOK_BACK_DAYS)) & (F.col("trade_date") <= target))
-    previous = F.lag("close").over(Window.partitionBy("market", "code").orderBy("trade_date"))
-    today = recent.select(
+    recent = stock.where(F.col("trade_date") < target)
+    if look_back_days is not None:
+        recent = recent.where(F.col("trade_date") >= F.date_sub(target, look_back_days))
+    before = recent.groupBy("market", "code").agg(F.max_by("close", "trade_date").alias("pre_close"))
+    today = stock.where(F.col("trade_date") == target).drop("pre_close").join(before, ["market", "code"], "left").select(
         F.col("market").alias("stock_market"), F.col("code").alias("stock_code"), "trade_date", "close", "pct_chg", "amount", "is_st", "is_suspended",
-        previous.alias("pre_close"), F.lit(True).alias("_bar"),
-    ).where(F.col("trade_date") == target)
+        "pre_close", F.lit(True).alias("_bar"),
+    )
     joined = members.join(today, ["stock_market", "stock_code"], "left")
     counted = live_row() & F.col("close").isNotNull() & F.col("pre_close").isNotNull() & (F.col("amount") > 0)
     return joined.groupBy("concept_id").agg(

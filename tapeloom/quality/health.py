@@ -27,10 +27,11 @@ def run_health(checks: Checks, capabilities: Sequence[str], groups: DataFrame, r
     contract = {rule.check_id for _, rule in named if rule.type == "market_data_contract"}
     results = checks.run([rule for _, rule in named])
     owners = checks.spark.createDataFrame(sorted(set(used)), "capability_id string, rule_id string")
-    is_metric = F.col("check_id").startswith("market_data_contract:") & ~F.col("check_id").isin(sorted(contract))
-    rule_of_metric = F.lit(next(iter(sorted(contract)), ""))
-    rows = results.withColumn("rule_id", F.when(is_metric, rule_of_metric).otherwise(F.col("check_id")))
-    detail = owners.join(rows, "rule_id").drop("rule_id")
+    # A contract gives one row per metric, named after its rule.
+    rule_id = F.col("check_id")
+    for name in sorted(contract):
+        rule_id = F.when(F.col("check_id").startswith(f"{name}:"), F.lit(name)).otherwise(rule_id)
+    detail = owners.join(results.withColumn("rule_id", rule_id), "rule_id", "left").fillna("unknown", ["status"]).drop("rule_id")
     status = capability_status(detail).join(groups.select("capability_id", "group"), "capability_id", "left").fillna("未分组", ["group"])
     overall = overall_summary(status)
     total = overall.select("status").unionByName(status.select("status")).agg(worst("status").alias("status"))

@@ -2,11 +2,12 @@
 
 The library works on any bars, calendars and memberships; here they are derived from the given order and event
 tables so that queries have data of any size to run on. Money and quantities are summed in cents, which makes sums
-independent of the row order. Every reduction happens before the join to reference rows.
+independent of the row order.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,14 +21,28 @@ def exact_sum(column: str | Column) -> Column:
 
 
 class MarketTables:
-    """Lazy DataFrames over one folder of parquet tables."""
+    """Lazy DataFrames over one folder of parquet tables.
 
-    def __init__(self, spark: SparkSession, folder: str):
+    Days and minutes are derived from timestamps, so a condition on them cannot reach the scan. ``between`` puts the
+    same window on the stored column.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, first: dt.date | None = None, last: dt.date | None = None):
         self.spark = spark
         self.folder = folder
+        self.first, self.last = first, last
+
+    def between(self, first: str, last: str) -> MarketTables:
+        """The tables with trades and events of the days from ``first`` to ``last`` only; orders and references stay whole."""
+        return MarketTables(self.spark, self.folder, dt.date.fromisoformat(first), dt.date.fromisoformat(last))
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        time = {"lineitem": "l_shipdate", "events": "ts"}.get(name)
+        if time and self.first:
+            start, end = (dt.datetime.combine(day, dt.time()) for day in (self.first, self.last + dt.timedelta(days=1)))
+            df = df.where((F.col(time) >= F.lit(start).cast("timestamp_ntz")) & (F.col(time) < F.lit(end).cast("timestamp_ntz")))
+        return df
 
     @cached_property
     def trades(self) -> DataFrame:
@@ -63,13 +78,16 @@ class MarketTables:
 
     @cached_property
     def stock_ref(self) -> DataFrame:
-        """One stock per (brand, type), numbered in that order: within each brand, after the pairs of earlier brands."""
+        """One stock per (brand, type), numbered in that order: within each brand, after the pairs of earlier brands.
+
+        Only the brands' sizes, one narrow row each, are ordered together.
+        """
         pairs = self.raw("part").select("p_brand", "p_type").distinct()
-        sizes = pairs.groupBy("p_brand").agg(F.count("*").alias("size")).agg(F.array_sort(F.collect_list(F.struct("p_brand", "size"))).alias("brands"))
-        before = F.transform("brands", lambda _, i: F.aggregate(F.slice("brands", 1, i), F.lit(0).cast("long"), lambda total, brand: total + brand.getField("size")))
-        offsets = sizes.select(F.map_from_arrays(F.transform("brands", lambda brand: brand.getField("p_brand")), before)).scalar()
+        earlier = F.coalesce(F.sum("size").over(Window.orderBy("p_brand").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = pairs.groupBy("p_brand").agg(F.count("*").alias("size")).select("p_brand", earlier.alias("_before"))
         n = F.col("n")
-        numbered = pairs.withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_type")) + F.element_at(offsets, F.col("p_brand")))
+        own = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_type"))
+        numbered = pairs.withColumn("_own", own).join(offsets, "p_brand").withColumn("n", F.col("_own") + F.col("_before"))
         digit = F.when(n % 47 == 0, "7").when(n % 3 == 0, "6").when(n % 3 == 1, "0").otherwise("8")
         return numbered.select(
             F.when(n % 3 == 0, "SHSE").when(n % 3 == 1, "SZSE").otherwise("BJSE").alias("market"),

@@ -93,18 +93,21 @@ class MarketStore:
     def fill_and_write_back(self, name: str, later_sources: Sequence[DataFrame], keys: Sequence[str], partition_by: str) -> DataFrame:
         """Store first: keys the table lacks are taken from later sources, written back, and the whole returned.
 
-        Only partitions that gain rows are rewritten. They are merged into a folder of their own first, because a
-        job must not overwrite files it is still reading; that folder stays until the next call, so a run whose
-        driver died while overwriting is completed by writing it again.
+        Of the table only the keys are read, and only in the partitions that the sources have rows for (all of them if
+        the partition is no part of the key); partitions that gain rows get a file more, none is rewritten. What the
+        sources offer is computed once, into a folder of its own. A run whose driver died while appending is completed
+        by calling again: keys that are there are not taken twice.
         """
         stored = self.table(name)
         columns = stored.columns
-        merged = fill_missing_only([stored, *(source.select(*columns) for source in later_sources)], keys)
-        gaining = merged.where(F.col("source_rank") > 0).select(partition_by).distinct()
-        touched = merged.join(gaining, partition_by, "left_semi").select(*columns)
-        staging = f"{self.path(name)}__incoming"
-        touched.write.mode("overwrite").parquet(staging)
-        self.write(name, self.spark.read.parquet(staging), partition_by, [key for key in keys if key != partition_by])
+        staging = f"{self.path(name)}__offered"
+        fill_missing_only([source.select(*columns) for source in later_sources], keys).select(*columns).write.mode("overwrite").parquet(staging)
+        offered = self.spark.read.schema(stored.schema).parquet(staging)
+        held = stored.select(*dict.fromkeys([*keys, partition_by]))
+        if partition_by in keys:
+            held = held.join(offered.select(partition_by).distinct(), partition_by, "left_semi")
+        gained = offered.join(held.select(*keys).distinct(), list(keys), "left_anti").hint("rebalance", partition_by)
+        gained.sortWithinPartitions(partition_by, *[key for key in keys if key != partition_by]).write.mode("append").partitionBy(partition_by).parquet(self.path(name))
         self.spark.catalog.refreshByPath(self.path(name))
         return self.spark.read.parquet(self.path(name)).select(*columns)
 
@@ -142,7 +145,7 @@ def rules_of(profiles: DataFrame) -> list[tuple[str, Rule]]:
     return pairs
 
 
-def availability(tables: Mapping[str, tuple[DataFrame | None, str]]) -> DataFrame:
+def availability(spark: SparkSession, tables: Mapping[str, tuple[DataFrame | None, str]]) -> DataFrame:
     """(name, table_exists, row_count, min_value, max_value) per table; ``tables`` maps name to (table, column)."""
     rows = []
     for name, (df, column) in tables.items():
@@ -155,9 +158,7 @@ def availability(tables: Mapping[str, tuple[DataFrame | None, str]]) -> DataFram
         )
     absent = [(name, False, 0, "", "") for name, (df, _) in tables.items() if df is None]
     schema = "name string, table_exists boolean, row_count long, min_value string, max_value string"
-    spark = next(df for df, _ in tables.values() if df is not None).sparkSession
-    if absent:
-        rows.append(spark.createDataFrame(absent, schema))
+    rows.append(spark.createDataFrame(absent, schema))
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -6,6 +6,7 @@ driver or executor resumes where it was.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +48,14 @@ def drop_repeats(stream: DataFrame, keys: Sequence[str], time: str = "ts", delay
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def upsert_into(path: str, keys: Sequence[str], order: str = "") -> Callable[[DataFrame, int], None]:
+STORED_DAY = "stored_day"
+
+
+def upsert_into(path: str, keys: Sequence[str], order: str = "", time: str = "") -> Callable[[DataFrame, int], None]:
     """Batch handler: store each batch as a version; replaying a batch overwrites its own version.
 
+    With ``time`` (one of the keys) versions are kept per day, so that readers of some days prune the others.
+
     With ``order`` a batch may hold several rows of a key and the one highest in ``order`` is kept. Nothing is
     read back while writing, so the handler is idempotent and its cost follows the batch, not the table.
     ``read_upserts`` gives the current rows and ``compact_upserts`` folds versions together.
@@ -60,15 +66,23 @@ def upsert_into(path: str, keys: Sequence[str], order: str = "") -> Callable[[Da
         if order:
             values = [name for name in batch.columns if name not in keys]
             rows = batch.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_row")).select(*keys, "_row.*")
-        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        parts = ["batch_id"]
+        if time:
+            rows, parts = rows.withColumn(STORED_DAY, F.col(time).cast("date")), [STORED_DAY, "batch_id"]
+        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
     return handle
 
 
-def read_upserts(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Latest version of every key: one map-side combined aggregation, no window."""
+def read_upserts(spark: SparkSession, path: str, keys: Sequence[str], days: Sequence[dt.date] | None = None) -> DataFrame:
+    """Latest version of every key: one map-side combined aggregation, no window.
+
+    ``days`` of a store kept per day limits the read to their partitions.
+    """
     rows = spark.read.parquet(path)
-    values = [name for name in rows.columns if name not in (*keys, "batch_id")]
+    if days is not None:
+        rows = rows.where(F.col(STORED_DAY).isin(list(days)))
+    values = [name for name in rows.columns if name not in (*keys, "batch_id", STORED_DAY)]
     if not values:
         return rows.select(*keys).distinct()
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_row")).select(*keys, "_row.*")
@@ -79,18 +93,46 @@ def compact_upserts(spark: SparkSession, path: str, into: str, keys: Sequence[st
     read_upserts(spark, path, keys).hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(into)
 
 
+def fold_versions(spark: SparkSession, path: str, keys: Sequence[str], days: Sequence[dt.date]) -> None:
+    """Replace the versions of some days of a store kept per day by one, the newest of each day.
+
+    The folded rows take the place of the day's newest version, which they agree with, and older versions are deleted
+    after that: a reader sees the same rows at every moment, and a run that breaks off is repeated.
+    """
+    staging = f"{path.rstrip('/')}__folded"
+    newest = spark.read.parquet(path).where(F.col(STORED_DAY).isin(list(days))).groupBy(STORED_DAY).agg(F.max("batch_id").alias("batch_id"))
+    folded = read_upserts(spark, path, keys, days)
+    time = next(name for name, kind in folded.dtypes if name in keys and kind.startswith(("timestamp", "date")))
+    folded.withColumn(STORED_DAY, F.col(time).cast("date")).join(newest, STORED_DAY).write.mode("overwrite").parquet(staging)
+    kept = spark.read.parquet(staging)
+    kept.hint("rebalance", STORED_DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(STORED_DAY, "batch_id").parquet(path)
+    last = {row[STORED_DAY]: row.batch_id for row in kept.select(STORED_DAY, "batch_id").distinct().collect()}  # a row per day
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for day, batch_id in last.items():
+        folder = hadoop(f"{path.rstrip('/')}/{STORED_DAY}={day}")
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for version in files.listStatus(folder):
+            name = version.getPath().getName()
+            if name.startswith("batch_id=") and int(name.split("=")[1]) < batch_id:
+                files.delete(version.getPath(), True)
+    spark.catalog.refreshByPath(path)
+
+
 def audit_gaps(
-    path: str, stored_bars: Callable[[], DataFrame], days, expected_minutes: int = 240, min_row_ratio: float = 0.95, time: str = "bar_time"
+    path: str, stored_bars: Callable[[list[dt.date]], DataFrame], days, expected_minutes: int = 240, min_row_ratio: float = 0.95, time: str = "bar_time"
 ) -> Callable[[DataFrame, int], None]:
     """Batch handler: session issues of the days a batch touches, judged on all bars stored for them.
 
-    ``stored_bars`` reads the bars after the batch has been stored; ``days`` is the array of expected days. Each
+    ``stored_bars`` reads the bars of the days it is given, after the batch has been stored; ``days`` is the array of
+    expected days, which bounds those given. The cost of a batch follows the days it touches and not the store. Each
     batch writes a version of its days, and the latest version of a day is the one in force.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        touched = F.array_intersect(days, batch.agg(F.collect_set(F.col(time).cast("date"))).scalar())
-        issues = session_issues(session_days(stored_bars(), time, touched), expected_minutes, min_row_ratio)
+        expected = batch.sparkSession.range(1).select(F.explode(days).alias("d"))
+        dates = [row.d for row in batch.select(F.col(time).cast("date").alias("d")).join(expected, "d").distinct().collect()]
+        touched = F.array(*map(F.lit, dates)).cast("array<date>")
+        issues = session_issues(session_days(stored_bars(dates), time, touched), expected_minutes, min_row_ratio)
         issues.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
     return handle

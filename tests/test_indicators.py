@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.operators import indicators as I
-from tapeloom.operators.series import over_segments, previous_change, row_positions
+from tapeloom.operators.series import cut_segments, over_segments, previous_change, row_positions
 
 
 def series(spark, values, code="a", name="close"):
@@ -30,8 +30,8 @@ def close_to(actual, expected, tolerance=1e-9):
             assert abs(a - e) <= tolerance * max(1.0, abs(e)), (a, e)
 
 
-def mean(spark, data, alpha, **options):
-    return values(I.ewm_mean(series(spark, data), ["code"], "trade_date", {"y": ("close", alpha)}, **options), "y")
+def mean(spark, data, alpha):
+    return values(I.ewm_mean(series(spark, data), ["code"], "trade_date", {"y": ("close", alpha)}), "y")
 
 
 def test_recursive_mean_weights_interior_nulls(spark):
@@ -53,7 +53,41 @@ def test_recursive_mean_of_sparse_series_matches_pandas(spark):
 def test_recursive_mean_of_long_dense_series(spark):
     data = np.random.default_rng(5).normal(1000, 300, 3000)
     expected = pd.Series(data).ewm(span=26, adjust=False).mean()
-    close_to(mean(spark, data, I.span_alpha(26), dense=True), list(expected), 1e-11)
+    close_to(mean(spark, data, I.span_alpha(26)), list(expected), 1e-11)
+
+
+def numbered(spark, data):
+    return spark.createDataFrame([("x", i, None if x is None or math.isnan(x) else float(x)) for i, x in enumerate(data)], "code string, n int, close double")
+
+
+@pytest.mark.parametrize("plan", ["whole", "segments"])
+def test_recursive_mean_across_a_gap_of_17000_rows(spark, plan):
+    """No bound on history: the mean is carried over any run of nulls, and the value after it is weighted by its length."""
+    data = np.full(20_000, math.nan)
+    data[:10], data[17_010:] = 5.0, np.random.default_rng(2).normal(7, 1, 2_990)
+    outputs = {"y": ("close", 1 / 3), "z": ("close", I.span_alpha(26))}
+    df = numbered(spark, data)
+    if plan == "whole":
+        got = I.ewm_mean(df, ["code"], "n", outputs)
+    else:
+        got = I.ewm_mean_by_segment(cut_segments(df, ["code"], "n", (F.col("n") / 3000).cast("int"), 1024), ["code"], outputs)
+    rows = got.orderBy("n").collect()
+    for name, (_, alpha) in outputs.items():
+        close_to([row[name] for row in rows], list(pd.Series(data).ewm(alpha=alpha, adjust=False).mean()), 1e-11)
+    assert rows[16_999].y == 5.0
+
+
+def test_segments_carry_values_over_a_long_flat_run(spark):
+    """Minute bars flat for longer than two segments have no RSV there; K and D are those of the whole series."""
+    close = 100 + np.cumsum(np.random.default_rng(4).normal(0, 1, 3000))
+    close[101:2499] = close[101]
+    rows = [("x", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), float(c), float(c), float(c)) for i, c in enumerate(close)]
+    bars = spark.createDataFrame(rows, "code string, trade_date timestamp_ntz, close double, high double, low double")
+    whole = I.technical(bars).orderBy("trade_date").collect()
+    cut = I.technical_by_segment(bars, block=F.col("trade_date").cast("date"), rows=512).orderBy("trade_date").collect()
+    for name in I.TECHNICAL_FIELDS[3:]:
+        close_to([row[name] for row in cut], [row[name] for row in whole])
+    assert whole[2000].kdj_k is not None
 
 
 def test_sample_deviation(spark):

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.quality.checks import CHECK_FIELDS, Checks, Rule, session_days, session_issues
+from tapeloom.quality.checks import CHECK_FIELDS, CONTRACT_TABLES, Checks, Rule, session_days, session_issues
 from tapeloom.quality.contract import EXPECTATIONS, compare_expectations, contract_metrics
 from tapeloom.quality.health import run_health
 from tapeloom.quality.rollup import capability_status, group_summary, overall_summary, worst
@@ -290,7 +290,29 @@ def test_contract_rule_belongs_to_its_capability(spark):
     result = run_health(made, ["contract"], groups, [("contract", Rule("market_data_contract", metrics=("global_board_daily_core_null_count", "global_duplicate_index_key_count")))])
     rows = {r.check_id: (r.status, r.result_text, r.error_text) for r in result["checks"].collect()}
     assert rows == {
-        "market_data_contract:global_board_daily_core_null_count": ("unhealthy", "异常", "实际 1，期望 = 0"),
-        "market_data_contract:global_duplicate_index_key_count": ("healthy", "0", ""),
+        "market_data_contract:000001:global_board_daily_core_null_count": ("unhealthy", "异常", "实际 1，期望 = 0"),
+        "market_data_contract:000001:global_duplicate_index_key_count": ("healthy", "0", ""),
     }
     assert result["capabilities"].first().status == "unhealthy"
+
+
+def test_two_contract_rules_keep_their_capabilities(spark):
+    inputs = contract_inputs(spark)
+    names = {short: name for name, short in CONTRACT_TABLES.items()}
+    made = Checks(spark, {"ref.trade_calendar": calendar(spark), **{names[short]: df for short, df in inputs.items()}}, AS_OF)
+    groups = spark.createDataFrame([("x", "all"), ("y", "all")], "capability_id string, group string")
+    rules = [("x", Rule("market_data_contract", metrics=("first_stage_ref_index_missing_count",))), ("y", Rule("market_data_contract", index_code="nope", metrics=("first_stage_ref_index_missing_count",)))]
+    result = run_health(made, ["x", "y"], groups, rules)
+    assert {r.capability_id: r.check_id for r in result["checks"].collect()} == {
+        "x": "market_data_contract:000001:first_stage_ref_index_missing_count", "y": "market_data_contract:nope:first_stage_ref_index_missing_count"}
+    assert {r.capability_id: r.status for r in result["capabilities"].collect()}["y"] == "unhealthy"
+
+
+def test_rules_that_cannot_run_say_so(spark):
+    made = checks(spark, [good(d) for d in DAYS])
+    assert made.run([]).count() == 0
+    rules = [Rule("non_negative", "t"), Rule("money_flow_values_valid"), Rule("reference_valid", "t", fields=("code",), reference="ref.absent"), Rule("recent_coverage_90d", "t", provider_earliest_date="20240101")]
+    rows = {r.check_id: (r.status, r.error_text) for r in made.run(rules).collect()}
+    assert rows["non_negative:t:"][0] == rows["money_flow_values_valid"][0] == "not_applicable"
+    assert rows["reference_valid:t"] == ("unhealthy", "缺少依赖表 ref.absent")
+    assert rows["recent_coverage_90d:t"][0] == "unknown"

@@ -44,10 +44,27 @@ def test_later_sources_fill_the_store(spark, tmp_path):
 
 
 def test_availability_lists_absent_tables(spark):
-    rows = {r.name: (r.table_exists, r.row_count, r.min_value, r.max_value) for r in availability({"x": (frame(spark, ("a", day(1), 1.0), ("a", day(3), 1.0)), "trade_date"), "y": (None, "d")}).collect()}
+    rows = {r.name: (r.table_exists, r.row_count, r.min_value, r.max_value) for r in availability(spark, {"x": (frame(spark, ("a", day(1), 1.0), ("a", day(3), 1.0)), "trade_date"), "y": (None, "d")}).collect()}
     assert rows == {"x": (True, 2, "2024-01-01", "2024-01-03"), "y": (False, 0, "", "")}
 
 
+def test_availability_of_absent_tables_only(spark):
+    assert [tuple(r) for r in availability(spark, {"y": (None, "d")}).collect()] == [("y", False, 0, "", "")]
+    assert availability(spark, {}).count() == 0
+
+
+def test_a_fill_leaves_other_partitions_alone(spark, tmp_path):
+    store = MarketStore(spark, str(tmp_path))
+    store.write("fact.x", frame(spark, ("a", day(1), 1.0), ("a", day(2), 2.0)), "trade_date")
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path).rglob("part-*") if "__offered" not in str(p)}
+    before = files()
+    store.fill_and_write_back("fact.x", [frame(spark, ("b", day(2), 3.0))], ["code", "trade_date"], "trade_date")
+    after = files()
+    assert all(after[p] == t for p, t in before.items()) and len(after) == len(before) + 1
+    again = store.fill_and_write_back("fact.x", [frame(spark, ("b", day(2), 3.0))], ["code", "trade_date"], "trade_date")
+    assert again.count() == 3
+
+
 def test_results_are_read_from_the_latest_whole_run(spark, tmp_path):
     root = str(tmp_path / "health")
     schema = "check_id string, title string, status string, result_text string, error_text string"
@@ -116,8 +133,15 @@ def test_gap_audit_judges_touched_days_on_stored_bars(spark, tmp_path):
     minutes = [*range(571, 691), *range(781, 901)]
     rows = lambda n, wanted: spark.createDataFrame([("a", dt.datetime(2024, 1, n, m // 60, m % 60)) for m in wanted], "code string, bar_time timestamp_ntz")
     bars, issues, keys = str(tmp_path / "bars"), str(tmp_path / "issues"), ["code", "bar_time"]
-    store = jobs.upsert_into(bars, keys)
-    audit = jobs.audit_gaps(issues, lambda: jobs.read_upserts(spark, bars, keys), F.array(*(F.lit(day(n)) for n in (2, 3, 4))))
+    store, asked = jobs.upsert_into(bars, keys, time="bar_time"), []
+
+    def stored(days):
+        asked.append(sorted(d.day for d in days))
+        df = jobs.read_upserts(spark, bars, keys, days)
+        assert "stored_day" in df._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+        return df
+
+    audit = jobs.audit_gaps(issues, stored, F.array(*(F.lit(day(n)) for n in (2, 3, 4))))
     current = lambda: {r.trade_date.day: r.issue for r in jobs.read_issues(spark, issues).collect()}
     for batch_id, batch in enumerate([rows(2, minutes[:100]).unionByName(rows(3, [m for m in minutes if m != 600])), rows(2, minutes[90:])]):
         store(batch, batch_id)
@@ -125,3 +149,8 @@ def test_gap_audit_judges_touched_days_on_stored_bars(spark, tmp_path):
         if batch_id == 0:
             assert current() == {2: "2024-01-02 分钟数 100/240，首尾分钟 09:31-11:10", 3: "2024-01-03 分钟数 239/240"}
     assert current() == {3: "2024-01-03 分钟数 239/240"}
+    assert asked == [[2, 3], [2]]
+    before = sorted(map(str, jobs.read_upserts(spark, bars, keys).collect()))
+    jobs.fold_versions(spark, bars, keys, [day(2)])
+    assert sorted(map(str, jobs.read_upserts(spark, bars, keys).collect())) == before
+    assert [p.name for p in (tmp_path / "bars" / "stored_day=2024-01-02").glob("batch_id=*")] == ["batch_id=1"]
