@@ -67,9 +67,9 @@ WITH {_QUOTE_BARS}, {_KEPT}, {_META}
 SELECT (SELECT COUNT(*) FROM kept) AS total_rows, LEAST(60, (SELECT COUNT(*) FROM kept)) AS returned_rows, (SELECT COUNT(*) FROM kept) > 60 AS truncated, (SELECT BOOL_AND(complete) FROM meta) AS complete""")
 ORACLES["t8_quotes_filled"] = using("calendar bars_sparse", f"""
 WITH {_QUOTE_BARS}, days AS (SELECT trade_date FROM calendar WHERE {_WINDOW}), req AS (SELECT * FROM quote_bars WHERE {_CODES} AND {_WINDOW}),
-grid AS (SELECT c.code, d.trade_date, r.close, r.volume, r.is_suspended FROM (SELECT DISTINCT code FROM req) c CROSS JOIN days d LEFT JOIN req r ON r.code = c.code AND r.trade_date = d.trade_date),
-filled AS (SELECT *, LAST_VALUE(close IGNORE NULLS) OVER (PARTITION BY code ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS carried FROM grid)
-SELECT code, trade_date AS trade_time, carried AS close, COALESCE(volume, 0) AS volume, COALESCE(is_suspended, true) AS is_suspended FROM filled WHERE carried IS NOT NULL""")
+gaps AS (SELECT c.code, trade_date FROM (SELECT DISTINCT code FROM req) c CROSS JOIN days ANTI JOIN req USING (code, trade_date))
+SELECT code, trade_date AS trade_time, close, volume, is_suspended FROM req
+UNION ALL SELECT g.code, g.trade_date, r.close, 0, TRUE FROM gaps g ASOF JOIN req r ON r.code = g.code AND r.trade_date < g.trade_date""")
 ORACLES["t8_quotes_weekly"] = using("bars_sparse", f"""
 WITH {_QUOTE_BARS},
 q AS (SELECT b.code, b.trade_date, b.is_suspended, b.high * b.adj_factor / f.base AS high, b.close * b.adj_factor / f.base AS close

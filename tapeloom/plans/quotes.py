@@ -151,10 +151,10 @@ def minute_quotes(table: DataFrame, calendar: DataFrame, request: QuoteRequest,
     cut = page(trimmed, ["trade_time", key], request.limit) if request.limit else trimmed
     first, last = (parse_day(request.trade_date or day) for day in (request.start_date, request.end_date))
     days = open_days(calendar, exchange, None if first is None else F.lit(first), None if last is None else F.lit(last))
-    ends = F.flatten(F.transform(days, lambda day: F.array(*[day.cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(m)) for m in session_ends(minutes, sessions)])))
-    if request.start_time or request.end_time:
-        low, high = (F.lit(x).cast("timestamp_ntz") for x in (request.start_time or "0001-01-01", request.end_time or "9999-12-31"))
-        ends = F.filter(ends, lambda end: (end >= low) & (end <= high))
+    midnights = table.sparkSession.range(1).select(F.explode(days).alias("d"))
+    expected = midnights.select(F.explode(F.array(*[F.col("d").cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(m)) for m in session_ends(minutes, sessions)])).alias("end"))
+    expected = expected.where(in_times("end", request.start_time, request.end_time))
+    ends = F.coalesce(expected.agg(F.array_sort(F.collect_list("end"))).scalar(), F.array().cast("array<timestamp_ntz>"))
     wanted = table.sparkSession.createDataFrame([(code,) for code in request.codes], f"{key} string")
     codes, meta = _meta(trimmed.withColumn("trade_date", F.col("trade_time")), wanted, ends, trimmed, cut, request, key)
     codes = codes.withColumnRenamed("missing_trade_dates", "missing_trade_times")

@@ -7,8 +7,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.plans.quotes import QuoteRequest, day_quotes
-from tapeloom.plans.views import VIEWS, etf_quote_result, query_view, stock_minute_quotes, stock_quote_result
+from tapeloom.plans.quotes import STOCK_QUOTE_FIELDS, QuoteRequest, day_quotes
+from tapeloom.plans.views import VIEWS, etf_quote_result, query_view, stock_minute_quotes, stock_quote_result, view_counts
 from tapeloom.sources.store import MarketStore
 
 DAYS = [dt.date(2024, 1, n) for n in (2, 3, 4, 5)]
@@ -201,7 +201,38 @@ def test_technical_view_window(store):
     assert parity.ema12 == 13.0 and full.ema12 < 13.0
 
 
-def test_quote_plan_filters_before_windows(store):
-    """The requested window reaches the scan side of the plan, below the lag."""
+def test_first_row_of_a_window_has_the_close_before_it(store):
+    before = query_view(store, "stocks.quotes", codes="a", trade_date="2024-01-02").first()
     result = day_quotes(store.table("fact.stock_daily_1d"), store.table("ref.trade_calendar"), QuoteRequest(codes=["a"], trade_date="2024-01-03"))
-    assert result.items.first().pre_close is None
+    row = result.items.first()
+    assert (row.pre_close, row.change) == (before.close, row.close - before.close) and before.pre_close is None
+
+
+def test_meta_detail_and_refused_frequencies(store):
+    options = {"codes": "a,b", "start_date": "2024-01-02", "end_date": "2024-01-05"}
+    assert "missing_trade_dates" not in stock_quote_result(store, **options, meta_detail="summary").codes.columns
+    assert "missing_trade_dates" in stock_quote_result(store, **options, meta_detail="full").codes.columns
+    minutes = stock_quote_result(store, code="a", freq="5m", trade_date="2024-01-02")
+    row = minutes.codes.first()
+    assert (row.expected_bar_count, row.actual_bar_count, row.complete) == (48, 2, False) and len(row.missing_trade_times) == 46
+    assert minutes.items.columns == list(STOCK_QUOTE_FIELDS)
+    for wrong in ({"freq": "tick"}, {"freq": "5m", "adjust": "qfq"}, {"meta_detail": "all"}):
+        with pytest.raises(ValueError):
+            stock_quote_result(store, code="a", **wrong)
+    with pytest.raises(ValueError):
+        query_view(store, "concepts.quotes", concept_id="K1", freq="5m")
+
+
+def test_a_long_pause_does_not_hide_earlier_bars(spark):
+    rows = [("x", dt.date(2023, 1, 1) + dt.timedelta(days=i), 10.0 + i) for i in range(60)] + [("x", dt.date(2024, 3, 1), 99.0)]
+    bars = spark.createDataFrame(rows, "code string, trade_date date, close double").withColumns({"volume": F.lit(1.0), "amount": F.lit(1.0), "is_st": F.lit(False), "is_suspended": F.lit(False)})
+    store = MarketStore(spark, tables={"fact.stock_daily_1d": bars})
+    assert query_view(store, "stocks.quotes.daily_snapshot", trade_date="2024-03-01").first().pre_close == 69.0
+
+
+def test_limits_are_asked_for(spark):
+    catalog = spark.range(700).selectExpr("cast(id as string) as code", "'n' as name", "'SSE' as exchange", "'L' as list_status", "date'2020-01-01' as list_date", "cast(null as date) as delist_date", "'' as market", "'' as industry", "'' as area")
+    store = MarketStore(spark, tables={"stocks.catalog": catalog})
+    assert query_view(store, "stocks.catalog").count() == 700 and query_view(store, "stocks.catalog", limit=9).count() == 9
+    assert tuple(view_counts(store, "stocks.catalog", limit=9).first()) == (700, 9, True)
+    assert tuple(view_counts(store, "stocks.catalog").first()) == (700, 700, False)
