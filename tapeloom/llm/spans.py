@@ -1,7 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-Texts are cut into sentences without loss: after a sentence mark with white space, after a newline, and after every
-``unit_words`` words of a longer sentence. Every run of at least ``run`` consecutive sentences and ``least_words`` words
+Texts are cut into sentences without loss: after a sentence mark with white space and after a newline. Sentences of more
+than ``unit_words`` words are cut further after words that their own hash picks (one of eight), so that parts shared by
+long sentences fall into step again, and after twice ``unit_words`` words in any case. Every run of at least ``run`` consecutive sentences and ``least_words`` words
 that is shortest from its first sentence on, or back from its last, is hashed. Runs are joined globally by 128 bits;
 sentences covered by any run that is not the first of its kind are removed, first meaning the smallest (doc_id, text
 key, position).
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import stored, text_key
 
+WORD = re.compile(r"\s*(\S+)\s*")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 
 
@@ -28,8 +31,12 @@ def sentences(text: str, unit_words: int = 16) -> list[tuple[str, list[str]]]:
         piece, start = text[start:end], end
         words = piece.split()
         if len(words) > unit_words:
-            parts = re.findall(r"\s*(?:\S+\s*){1,%d}" % unit_words, piece)
-            out += [(p, p.split()) for p in parts]
+            at = held = 0
+            for word in WORD.finditer(piece):
+                held += 1
+                if held >= 2 * unit_words or crc32(word[1].encode("utf-8", "surrogatepass")) % 8 == 0 or word.end() == len(piece):
+                    out.append((piece[at : word.end()], piece[at : word.end()].split()))
+                    at, held = word.end(), 0
         elif piece:
             out.append((piece, words))
     return out
