@@ -119,13 +119,94 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return _grouped(df, doc_id, text, shingle, distance).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``docs``, one of each component: that with the smallest doc_id.
+# -- similar texts ---------------------------------------------------------------------------------------------------
 
-    A null doc_id comes after all others; of repeated rows, and of texts under one doc_id, one stays.
+#: Min-wise samples of a text's shingles, and how many of them a band joins.
+SAMPLES, BAND = 256, 4
+#: Bands that are compared; a pair of similarity 0.8 shares none of them with probability (1 - 0.8^4)^24 = 3e-6.
+BANDS = 24
+#: Texts of one band value that are paired at once; larger groups are paired with their ends only.
+GROUP_AT_ONCE = 32
+
+
+def _samples(text: bytes | None, shingle: int):
+    """The least hash of the text's shingles under each of ``SAMPLES`` permutations, as 32-bit integers."""
+    import numpy as np
+    import xxhash
+
+    draw = np.random.default_rng(9)
+    factors = draw.integers(1 << 62, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    words = (text or b"").lower().split()
+    n, digest, join = max(1, len(words) - shingle + 1), xxhash.xxh64_digest, b" ".join
+    least = np.full(SAMPLES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for start in range(0, n, 1 << 11):
+        raw = b"".join([digest(join(words[i : i + shingle]), 7) for i in range(start, min(n, start + (1 << 11)))])
+        hashes = np.frombuffer(raw, dtype=">u8").astype(np.uint64)
+        np.minimum(least, (hashes[:, None] * factors).min(axis=0), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _sketches(df: DataFrame, shingle: int) -> DataFrame:
+    """(_t1, sketch: array of ints) of the rows (_t1, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                sketches = pa.array([_samples(x.as_py(), shingle) for x in part.column(1)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), sketches], names=["_t1", "sketch"])
+
+    return df.select("_t1", F.col("text").cast("binary").alias("text")).mapInArrow(run, "_t1 long, sketch array<int>")
+
+
+def similar_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) of text keys ``_t1``: pairs that agree in ``similarity`` of their min-wise samples.
+
+    The share of equal samples is the Jaccard similarity of the shingles with a standard error of 0.025 at 0.8.
+    Candidates share a band of samples. In a band value with many texts each is compared with the two ends of the group
+    only, which links the group's texts to each other through them, in as many comparisons as there are texts.
+    """
+    once = stored(_sketches(texts, shingle).groupBy("_t1").agg(F.first("sketch").alias("sketch")), "simhash-sketches")
+    bands = F.array(*[F.xxhash64(F.lit(k), F.slice("sketch", k * BAND + 1, BAND)) for k in range(BANDS)])
+    rows = once.select(F.col("_t1").alias("node"), F.explode(bands).alias("band"))
+    groups = stored(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"), "simhash-bands")
+    rows = stored(rows.join(groups, "band"), "simhash-members")
+    few = rows.where(F.col("n") <= GROUP_AT_ONCE).select("band", "node")
+    pairs = few.select("band", F.col("node").alias("a")).join(few.select("band", F.col("node").alias("b")), "band").where("a < b").select("a", "b")
+    ends = rows.where(F.col("n") > GROUP_AT_ONCE).select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
+    pairs = stored(pairs.union(ends.select(F.least("node", "end"), F.greatest("node", "end"))).distinct(), "simhash-pairs")
+    wanted = pairs.select(F.col("a").alias("_t1")).union(pairs.select("b")).distinct()
+    held = stored(once.join(wanted, "_t1", "left_semi"), "simhash-compared")
+    left = held.select(F.col("_t1").alias("a"), F.col("sketch").alias("one"))
+    right = held.select(F.col("_t1").alias("b"), F.col("sketch").alias("two"))
+    both = pairs.join(left, "a").join(right, "b")
+    equal = F.size(F.filter(F.zip_with("one", "two", lambda x, y: x == y), lambda x: x))
+    return both.where(equal >= similarity * SAMPLES).select("a", "b")
+
+
+def _similar(df: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Per row: doc_id, root (that names the group), text key; groups join texts of near fingerprints and similar texts."""
+    narrow = df.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), F.col(text).alias("text"))
+    rows = stored(fingerprints(narrow), "simhash-prints")
+    first = stored(rows.groupBy("fingerprint").agg(F.min("_t1").alias("first")), "simhash-distinct")
+    same = rows.select("fingerprint", "_t1").distinct().join(first, "fingerprint").where("_t1 <> first").select(F.col("_t1").alias("a"), F.col("first").alias("b"))
+    near = links(first)
+    for end in ("a", "b"):
+        near = near.join(first.select(F.col("fingerprint").alias(end), F.col("first").alias("_to")), end).drop(end).withColumnRenamed("_to", end)
+    edges = same.union(near.select("a", "b")).union(similar_pairs(narrow.select("_t1", "text"), shingle, similarity))
+    named = components(edges, "simhash-components").withColumnRenamed("node", "_t1")
+    return rows.join(named, "_t1", "left").select("doc_id", "_t1", "_t2", F.coalesce("component", "_t1").alias("root"))
+
+
+def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, one of each group of near copies: that with the smallest doc_id.
+
+    Near copies have fingerprints at three or fewer bits, or ``similarity`` of their ``shingle``-word shingles in common,
+    which three bits alone find too seldom. A null doc_id comes after all others; of repeated rows, and of texts under
+    one doc_id, one stays. Null and empty texts are copies of each other.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_t1", "_t2")
-    chosen = _grouped(docs, doc_id, text, shingle, distance).groupBy("root").agg(F.min(order).alias("keep"))
+    chosen = _similar(docs, doc_id, text, shingle, similarity).groupBy("root").agg(F.min(order).alias("keep"))
     chosen = stored(chosen.select(F.col("keep.doc_id").alias("_id"), F.col("keep._t1").alias("_k1"), F.col("keep._t2").alias("_k2")), "simhash-kept")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).alias("_own"), *text_key(F.col(text)))
     same = (rows["_t1"] == chosen["_k1"]) & (rows["_t2"] == chosen["_k2"]) & rows["_own"].eqNullSafe(chosen["_id"])

@@ -72,6 +72,32 @@ def test_one_of_each_group_stays(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("3", "A b  c d"), ("7", ""), ("9", "other words stand here"), ("None", "lone text without a name")]
 
 
+def shingles(text, k=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+@pytest.mark.parametrize("at_once", [32, 2])
+def test_similar_texts_form_groups(spark, monkeypatch, at_once):
+    """Copies with some words changed are one group, whatever its size; unlike texts stay."""
+    monkeypatch.setattr(simhash, "GROUP_AT_ONCE", at_once)
+    draw, rows = random.Random(8), []
+    for group in range(6):
+        words = invented(600 + group, 400, 100_000).split()
+        rows.append((group * 100, " ".join(words)))
+        for k in range(1, 9):
+            changed = list(words)
+            for at in draw.sample(range(400), 1 + k % 4):
+                changed[at] = f"changed{group}{k}{at}"
+            rows.append((group * 100 + k, " ".join(changed)))
+            assert len(shingles(rows[-1][1]) & shingles(" ".join(words))) / len(shingles(rows[-1][1]) | shingles(" ".join(words))) >= 0.85
+    rows += [(1000 + k, invented(700 + k, 200, 100_000)) for k in range(20)]
+    half = invented(650, 300, 100_000).split()
+    rows += [(2000, " ".join(half)), (2001, " ".join(half[:150] + invented(651, 150, 100_000).split()))]
+    kept = {r.doc_id for r in simhash.first_of_groups(frame(spark, rows)).collect()}
+    assert kept == {0, 100, 200, 300, 400, 500, 2000, 2001} | {1000 + k for k in range(20)}
+
+
 def test_no_rows(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     assert simhash.first_of_groups(frame(spark, [])).count() == 0
