@@ -34,23 +34,23 @@ def _left(text: Column, drop: str) -> Column:
 
 
 def character_classes(df: DataFrame) -> DataFrame:
-    """Adds ``_classes``: characters of each class of ``_text`` as doubles."""
+    """Adds ``_classes``: characters of each class of ``_text`` as doubles, and ``_rest``: all but its lower-case letters."""
     df = df.withColumn("_rest", F.regexp_replace("_text", "[a-z]+", ""))
     own = [_left(F.col("_rest"), f"[^{c[1:]}+") for c in CLASSES]
     df = df.withColumn("_own", F.array(F.length("_text") - F.length("_rest"), *own))
     known = F.aggregate("_own", F.lit(0), lambda a, x: a + x)
-    return df.withColumn("_classes", F.transform(F.concat("_own", F.array(F.length("_text") - known)), lambda x: x.cast("double"))).drop("_rest", "_own")
+    return df.withColumn("_classes", F.transform(F.concat("_own", F.array(F.length("_text") - known)), lambda x: x.cast("double"))).drop("_own")
 
 
 def base_counts(df: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words from ``_text`` and ``_words``.
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words from ``_text``, ``_words`` and character classes.
 
     Windows of 8 words are hashed and sorted once per text; a window that equals a neighbour in the order repeats.
     """
     lines = F.filter(F.split("_text", "\n"), lambda s: F.btrim(s, F.lit(SPACES)) != "")
     df = df.withColumn("_lines", lines).select(
-        "*", F.size("_words").cast("long").alias("n_words"), _left(F.col("_text"), SPACE + "+").cast("long").alias("word_chars"),
-        _left(F.col("_text"), r"[^#*$%&|<>]+").cast("long").alias("n_symbols"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        "*", F.size("_words").cast("long").alias("n_words"), (F.length("_text") - F.element_at("_classes", 2 + CLASSES.index(SPACE))).cast("long").alias("word_chars"),
+        _left(F.col("_rest"), r"[^#*$%&|<>]+").cast("long").alias("n_symbols"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
     ).drop("_lines")
 
     def joined(name: str, step: int) -> Column:
@@ -90,7 +90,7 @@ def references(df: DataFrame) -> DataFrame:
 
     Counts cover all documents. The top words are cut per task before they are ranked, so a hot language spreads.
     """
-    classes = character_classes(df.select("_lang", "_text", F.size("_words").alias("_n")))
+    classes = character_classes(df.select("_lang", "_text", F.size("_words").alias("_n"))).drop("_rest")
     sums = [F.sum(F.element_at("_classes", k + 1)).alias(f"c{k}") for k in range(len(CLASSES) + 2)]
     classes = classes.groupBy("_lang").agg(F.sum("_n").alias("all_words"), *sums)
     counts = df.select("_lang", F.explode("_words").alias("word")).groupBy("_lang", "word").agg(F.count(F.lit(1)).alias("n"))
@@ -119,7 +119,7 @@ def judge_quality(
     held = stored(references(rows), "divergence-references")
     few = held.count() <= BROADCAST_LANGUAGES
     rows = rows.join(F.broadcast(held) if few else held, rows["_lang"].eqNullSafe(held["_l"]), "left")
-    rows = character_classes(base_counts(rows))
+    rows = base_counts(character_classes(rows)).drop("_rest")
     short = F.filter("_words", lambda w: F.length(w) <= F.col("ref_longest"))
     marks = F.array_join(F.transform(short, lambda w: F.substring(F.lit(MARKS), F.nullif(F.array_position("ref_words", w), F.lit(0)).cast("int"), F.lit(1))), "")
     rows = rows.withColumn("_marks", marks)
