@@ -125,8 +125,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 SAMPLES, BAND = 256, 4
 #: Bands that are compared; a pair of similarity 0.8 shares none of them with probability (1 - 0.8^4)^24 = 3e-6.
 BANDS = 24
-#: Texts of one band value that are paired at once; larger groups are paired with their ends only.
+#: Texts of one band value that are paired at once; larger groups are linked by rounds and blocks instead.
 GROUP_AT_ONCE = 32
+#: Rounds in which the texts of a large group meet one of them, before all pairs of still different components do.
+ROUNDS = 2
+#: Texts on a side of a block of such pairs.
+SIDE = 1024
 
 
 def _samples(text: bytes | None, shingle: int):
@@ -159,29 +163,95 @@ def _sketches(df: DataFrame, shingle: int) -> DataFrame:
     return df.select("_t1", F.col("text").cast("binary").alias("text")).mapInArrow(run, "_t1 long, sketch array<int>")
 
 
+def _alike(pairs: DataFrame, once: DataFrame, least: float) -> DataFrame:
+    """(a, b, equal) of the pairs (a, b) that agree in ``least`` samples or more."""
+    wanted = pairs.select(F.col("a").alias("_t1")).union(pairs.select("b")).distinct()
+    held = stored(once.join(wanted, "_t1", "left_semi"), "simhash-compared")
+    left = held.select(F.col("_t1").alias("a"), F.col("sketch").alias("one"))
+    right = held.select(F.col("_t1").alias("b"), F.col("sketch").alias("two"))
+    equal = F.size(F.filter(F.zip_with("one", "two", lambda x, y: x == y), lambda x: x))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", equal.alias("equal")).where(F.col("equal") >= least)
+
+
+def _apart(crowded: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (band, node, bands, component) of the groups that the links leave in several components; of each such
+    band, ``n``, ``others`` (members outside its largest component, ``main``), and the most central member of all and of the others."""
+    named = components(links, "simhash-linked")
+    members = stored(crowded.join(named, "node", "left").select("band", "node", "bands", F.coalesce("component", "node").alias("component")), "simhash-named")
+    parts = stored(members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("bands", "node")).alias("lead")), "simhash-parts")
+    main = stored(parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1"), "simhash-main")
+    rest = F.col("component") != F.col("main.component")
+    groups = parts.join(main, "band").groupBy("band", F.col("main.component").alias("main")).agg(
+        F.sum("n").alias("n"), F.sum(F.when(rest, F.col("n"))).alias("others"), F.max("lead")["node"].alias("centre"), F.max(F.when(rest, F.col("lead")))["node"].alias("other"))
+    return members, stored(groups, "simhash-apart")
+
+
+def _block_pairs(members: DataFrame, groups: DataFrame, once: DataFrame, least: float) -> DataFrame:
+    """(a, b, equal) of all pairs of a band and of different components that agree in ``least`` samples or more.
+
+    Members outside the largest component meet all members of the group, in blocks of about ``SIDE`` by ``SIDE``.
+    """
+    lefts, rights = F.ceil(F.col("others") / SIDE).cast("int"), F.ceil(F.col("n") / SIDE).cast("int")
+    rows = members.join(groups, "band").select("band", "node", "component", "main", lefts.alias("lefts"), rights.alias("rights"))
+    rows = stored(rows.join(once.withColumnRenamed("_t1", "node"), "node"), "simhash-sides")
+    dealt, every = (lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    rest = ["node", "component", "main", "sketch"]
+    left = rows.where("component <> main").select("band", dealt("lefts").alias("x"), every("rights").alias("y"), F.lit(True).alias("left"), *rest)
+    right = rows.select("band", every("lefts").alias("x"), dealt("rights").alias("y"), F.lit(False).alias("left"), *rest)
+    names = ["a", "b", "equal"]
+
+    def compare(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        node, component, main, first = (table.column(c).to_numpy() for c in ("node", "component", "main", "left"))
+        sketch = np.array(table.column("sketch").combine_chunks().values).reshape(-1, SAMPLES)
+        second = np.flatnonzero(~first)
+        whole, node2, component2 = sketch[second], node[second], component[second]
+        out = ([], [], [])
+        for k in np.flatnonzero(first):
+            apart = np.flatnonzero((component2 != component[k]) & ((component2 == main[second]) | (node2 > node[k])))
+            equal = (whole[apart] == sketch[k]).sum(axis=1)
+            hit = equal >= least
+            met = node2[apart[hit]]
+            for column, found in zip(out, (np.minimum(met, node[k]), np.maximum(met, node[k]), equal[hit])):
+                column.append(found)
+        columns = [np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in out]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()))], names=names)
+
+    return left.union(right).groupBy("band", "x", "y").applyInArrow(compare, "a long, b long, equal int").distinct()
+
+
 def similar_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) of text keys ``_t1``: pairs that agree in ``similarity`` of their min-wise samples.
+    """Links (a, b) of text keys ``_t1`` with the components of all pairs that agree in ``similarity`` of their min-wise samples.
 
     The share of equal samples is the Jaccard similarity of the shingles with a standard error of 0.025 at 0.8.
-    Candidates share a band of samples. In a band value with many texts each is compared with the two ends of the group
-    only, which links the group's texts to each other through them, in as many comparisons as there are texts.
+    Candidates share a band of samples. The texts of a large group first meet the one of them that is in most large
+    groups, as an original is; then one of those left over. After that, all pairs that are still in different components
+    are compared in blocks, so no pair that could join two components is passed over.
     """
     once = stored(_sketches(texts, shingle).groupBy("_t1").agg(F.first("sketch").alias("sketch")), "simhash-sketches")
     bands = F.array(*[F.xxhash64(F.lit(k), F.slice("sketch", k * BAND + 1, BAND)) for k in range(BANDS)])
     rows = once.select(F.col("_t1").alias("node"), F.explode(bands).alias("band"))
-    groups = stored(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"), "simhash-bands")
+    groups = stored(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-bands")
     rows = stored(rows.join(groups, "band"), "simhash-members")
     few = rows.where(F.col("n") <= GROUP_AT_ONCE).select("band", "node")
     pairs = few.select("band", F.col("node").alias("a")).join(few.select("band", F.col("node").alias("b")), "band").where("a < b").select("a", "b")
-    ends = rows.where(F.col("n") > GROUP_AT_ONCE).select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    pairs = stored(pairs.union(ends.select(F.least("node", "end"), F.greatest("node", "end"))).distinct(), "simhash-pairs")
-    wanted = pairs.select(F.col("a").alias("_t1")).union(pairs.select("b")).distinct()
-    held = stored(once.join(wanted, "_t1", "left_semi"), "simhash-compared")
-    left = held.select(F.col("_t1").alias("a"), F.col("sketch").alias("one"))
-    right = held.select(F.col("_t1").alias("b"), F.col("sketch").alias("two"))
-    both = pairs.join(left, "a").join(right, "b")
-    equal = F.size(F.filter(F.zip_with("one", "two", lambda x, y: x == y), lambda x: x))
-    return both.where(equal >= similarity * SAMPLES).select("a", "b")
+    least = similarity * SAMPLES
+    links = stored(_alike(stored(pairs.distinct(), "simhash-pairs"), once, least).select("a", "b"), "simhash-links")
+    crowded = rows.where(F.col("n") > GROUP_AT_ONCE).select("band", "node")
+    if crowded.isEmpty():
+        return links
+    crowded = stored(crowded.join(crowded.groupBy("node").agg(F.count(F.lit(1)).alias("bands")), "node"), "simhash-crowded")
+    for turn in range(ROUNDS + 1):
+        members, groups = _apart(crowded, links)
+        if groups.isEmpty():
+            return links
+        if turn < ROUNDS:
+            heads = stored(groups.select("band", F.col("other" if turn else "centre").alias("head")), "simhash-heads")
+            heads = stored(heads.join(members.select("band", F.col("node").alias("head"), F.col("component").alias("_own")), ["band", "head"]), "simhash-heads")
+            met = members.join(heads, "band").where(F.col("component") != F.col("_own")).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+            links = links.union(stored(_alike(stored(met.distinct(), "simhash-pairs"), once, least).select("a", "b"), "simhash-links"))
+    return links.union(stored(_block_pairs(members, groups, once, least).select("a", "b"), "simhash-links"))
 
 
 def _similar(df: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:

@@ -98,6 +98,50 @@ def test_similar_texts_form_groups(spark, monkeypatch, at_once):
     assert kept == {0, 100, 200, 300, 400, 500, 2000, 2001} | {1000 + k for k in range(20)}
 
 
+def plain_groups(rows):
+    """The doc_ids that stay: the least of each component of exact Jaccard similarity 0.8 or more, all pairs compared."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, one in enumerate(sets):
+        for j in range(i):
+            if (shared := len(one & sets[j])) and shared >= 0.8 * (len(one) + len(sets[j]) - shared):
+                root[find(i)] = find(j)
+    least = {}
+    for k, (doc_id, _) in enumerate(rows):
+        least[find(k)] = min(doc_id, least.get(find(k), doc_id))
+    return set(least.values())
+
+
+def star(seed, n, first, edits):
+    """An original of 400 words and ``n`` copies with ``edits`` words changed each, at random places; the original is in the middle of the ids."""
+    draw, words = random.Random(seed), invented(seed, 400, 100_000).split()
+    rows = []
+    for k in range(n):
+        changed = list(words)
+        for at in draw.sample(range(400), edits):
+            changed[at] = f"changed{seed}x{k}x{at}"
+        rows.append((first + k + (k >= n // 2), " ".join(changed)))
+    return rows + [(first + n // 2, " ".join(words))]
+
+
+@pytest.mark.parametrize("rounds, side", [(2, 1024), (0, 64)])
+def test_star_of_copies_is_one_group(spark, monkeypatch, rounds, side):
+    """Copies that are like the original and not like each other are one group, however many share a band value."""
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    monkeypatch.setattr(simhash, "SIDE", side)
+    rows = star(31, 200, 1000, 6) + star(32, 120, 2000, 6) + [(5000 + k, invented(900 + k, 200, 100_000)) for k in range(10)]
+    sets = [shingles(t) for _, t in rows[:40]]
+    assert sum(len(a & b) < 0.8 * len(a | b) for a in sets for b in sets) > 1000
+    kept = {r.doc_id for r in simhash.first_of_groups(frame(spark, rows)).collect()}
+    assert kept == plain_groups(rows) == {1000, 2000} | {5000 + k for k in range(10)}
+
+
 def test_no_rows(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     assert simhash.first_of_groups(frame(spark, [])).count() == 0
