@@ -131,6 +131,8 @@ GROUP_AT_ONCE = 32
 ROUNDS = 2
 #: Texts on a side of a block of such pairs.
 SIDE = 1024
+#: By how much the share of equal samples may lie below the asked similarity: five standard errors. Sets decide.
+SLACK = 0.125
 
 
 def _samples(text: bytes | None, shingle: int):
@@ -150,6 +152,27 @@ def _samples(text: bytes | None, shingle: int):
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
+    """(_t1, shingles: array of the distinct 64-bit hashes) of the rows (_t1, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import xxhash
+
+        digest, join = xxhash.xxh64_intdigest, b" ".join
+        for batch in batches:
+            for start in range(0, batch.num_rows, 100):
+                part = batch.slice(start, 100)
+                sets = []
+                for text in part.column(1):
+                    words = (text.as_py() or b"").lower().split()
+                    found = {digest(join(words[i : i + shingle]), 7) for i in range(max(1, len(words) - shingle + 1))}
+                    sets.append(np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["_t1", "shingles"])
+
+    return df.select("_t1", F.col("text").cast("binary").alias("text")).mapInArrow(run, "_t1 long, shingles array<long>")
+
+
 def _sketches(df: DataFrame, shingle: int) -> DataFrame:
     """(_t1, sketch: array of ints) of the rows (_t1, text)."""
 
@@ -173,6 +196,14 @@ def _alike(pairs: DataFrame, once: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", equal.alias("equal")).where(F.col("equal") >= least)
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
+    left = sets.select(F.col("_t1").alias("a"), F.col("shingles").alias("one"))
+    right = sets.select(F.col("_t1").alias("b"), F.col("shingles").alias("two"))
+    both, shared = pairs.select("a", "b").join(left, "a").join(right, "b"), F.size(F.array_intersect("one", "two"))
+    return both.select("a", "b", shared.alias("shared"), (F.size("one") + F.size("two")).alias("total")).where(F.col("shared") >= F.lit(float(similarity)) * (F.col("total") - F.col("shared"))).select("a", "b")
+
+
 def _apart(crowded: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (band, node, bands, component) of the groups that the links leave in several components; of each such
     band, ``n``, ``others`` (members outside its largest component, ``main``), and the most central member of all and of the others."""
@@ -222,12 +253,12 @@ def _block_pairs(members: DataFrame, groups: DataFrame, once: DataFrame, least:
 
 
 def similar_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) of text keys ``_t1`` with the components of all pairs that agree in ``similarity`` of their min-wise samples.
+    """Links (a, b) of text keys ``_t1`` with the components of all pairs at a Jaccard similarity of ``similarity`` or more.
 
-    The share of equal samples is the Jaccard similarity of the shingles with a standard error of 0.025 at 0.8.
-    Candidates share a band of samples. The texts of a large group first meet the one of them that is in most large
-    groups, as an original is; then one of those left over. After that, all pairs that are still in different components
-    are compared in blocks, so no pair that could join two components is passed over.
+    Candidates share a band of min-wise samples and lie above ``similarity`` less ``SLACK`` by all samples; the sets of
+    shingles decide. The texts of a large group first meet the one of them that is in most large groups, as an original
+    is; then one of those left over. After that, all pairs that are still in different components are compared in blocks,
+    so no pair that could join two components is passed over.
     """
     once = stored(_sketches(texts, shingle).groupBy("_t1").agg(F.first("sketch").alias("sketch")), "simhash-sketches")
     bands = F.array(*[F.xxhash64(F.lit(k), F.slice("sketch", k * BAND + 1, BAND)) for k in range(BANDS)])
@@ -236,9 +267,12 @@ def similar_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     rows = stored(rows.join(groups, "band"), "simhash-members")
     few = rows.where(F.col("n") <= GROUP_AT_ONCE).select("band", "node")
     pairs = few.select("band", F.col("node").alias("a")).join(few.select("band", F.col("node").alias("b")), "band").where("a < b").select("a", "b")
-    least = similarity * SAMPLES
-    links = stored(_alike(stored(pairs.distinct(), "simhash-pairs"), once, least).select("a", "b"), "simhash-links")
+    least = (similarity - SLACK) * SAMPLES
+    close = stored(_alike(stored(pairs.distinct(), "simhash-pairs"), once, least), "simhash-close")
     crowded = rows.where(F.col("n") > GROUP_AT_ONCE).select("band", "node")
+    wanted = close.select(F.col("a").alias("_t1")).union(close.select("b")).union(crowded.select("node")).distinct()
+    sets = stored(_shingle_sets(texts.join(wanted, "_t1", "left_semi").groupBy("_t1").agg(F.first("text").alias("text")), shingle), "simhash-sets")
+    links = stored(_verified(close, sets, similarity), "simhash-links")
     if crowded.isEmpty():
         return links
     crowded = stored(crowded.join(crowded.groupBy("node").agg(F.count(F.lit(1)).alias("bands")), "node"), "simhash-crowded")
@@ -250,8 +284,16 @@ def similar_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             heads = stored(groups.select("band", F.col("other" if turn else "centre").alias("head")), "simhash-heads")
             heads = stored(heads.join(members.select("band", F.col("node").alias("head"), F.col("component").alias("_own")), ["band", "head"]), "simhash-heads")
             met = members.join(heads, "band").where(F.col("component") != F.col("_own")).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-            links = links.union(stored(_alike(stored(met.distinct(), "simhash-pairs"), once, least).select("a", "b"), "simhash-links"))
-    return links.union(stored(_block_pairs(members, groups, once, least).select("a", "b"), "simhash-links"))
+            close = stored(_alike(stored(met.distinct(), "simhash-pairs"), once, least), "simhash-close")
+            links = links.union(stored(_verified(close, sets, similarity), "simhash-links"))
+    close = stored(_block_pairs(members, groups, once, least), "simhash-close")
+    best = close.groupBy("a").agg(F.max(F.struct("equal", "b"))["b"].alias("b"))
+    links = links.union(stored(_verified(best, sets, similarity), "simhash-links"))
+    named = components(links, "simhash-linked")
+    for end in ("a", "b"):  # pairs that the best ones have joined need no further look
+        close = close.join(named.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    close = stored(close.where("_a <> _b").select("a", "b"), "simhash-close")
+    return links.union(stored(_verified(close, sets, similarity), "simhash-links"))
 
 
 def _similar(df: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:

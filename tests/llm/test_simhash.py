@@ -142,6 +142,19 @@ def test_star_of_copies_is_one_group(spark, monkeypatch, rounds, side):
     assert kept == plain_groups(rows) == {1000, 2000} | {5000 + k for k in range(10)}
 
 
+@pytest.mark.parametrize("at_once, side", [(32, 1024), (2, 8)])
+def test_similarity_is_exact(spark, monkeypatch, at_once, side):
+    """Pairs on both sides of 0.8 are told apart by their shingles, not by an estimate."""
+    monkeypatch.setattr(simhash, "GROUP_AT_ONCE", at_once)
+    monkeypatch.setattr(simhash, "SIDE", side)
+    rows = []
+    for k in range(60):  # 44 words at the end differ: 352 of 440 shingles; 45 differ: 351 of 441
+        words, changed = invented(7000 + k, 400, 100_000).split(), 44 + k % 2
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(words[:-changed] + [f"other{k}x{i}" for i in range(changed)]))]
+    kept = {r.doc_id for r in simhash.first_of_groups(frame(spark, rows)).collect()}
+    assert kept == plain_groups(rows) == {10 * k for k in range(60)} | {10 * k + 1 for k in range(1, 60, 2)}
+
+
 def test_no_rows(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     assert simhash.first_of_groups(frame(spark, [])).count() == 0
