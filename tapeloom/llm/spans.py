@@ -1,8 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
-Texts are cut into sentences without loss: after a sentence mark with white space and after a newline. Sentences of more
-than ``unit_words`` words are cut further after words that their own hash picks (one of eight), so that parts shared by
-long sentences fall into step again, and after twice ``unit_words`` words in any case. Every run of at least ``run`` consecutive sentences and ``least_words`` words
+Texts are cut into sentences without loss: after a sentence mark with white space and after a newline. Sentences are cut
+further where their words say so (winnowing): of every ``unit_words // 2`` consecutive words of the text, after that with
+the least hash, the last of equals. A unit so has at most ``unit_words // 2`` words (8), and units of shared words are the
+same from the eighth word on to the eighth from the end, wherever in a sentence they stand: any 50 shared words hold a
+whole run of three units and 12 words. Every run of at least ``run`` consecutive units and ``least_words`` words
 that is shortest from its first sentence on, or back from its last, is hashed. Runs are joined globally by 128 bits;
 sentences covered by any run that is not the first of its kind are removed, first meaning the smallest (doc_id, text
 key, position).
@@ -24,21 +26,27 @@ WORD = re.compile(r"\s*(\S+)\s*")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 
 
+def _picked(words: list[str], width: int):
+    """Places of the words with the least hash of ``width`` consecutive ones, ascending; the last one of equal hashes."""
+    import numpy as np
+
+    hashes = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint32, count=len(words))
+    if len(words) < width:
+        return []
+    windows = np.lib.stride_tricks.sliding_window_view(hashes[::-1], width)
+    return np.unique(len(words) - 1 - (np.arange(len(windows)) + windows.argmin(axis=1))).tolist()
+
+
 def sentences(text: str, unit_words: int = 16) -> list[tuple[str, list[str]]]:
     """(piece, its words) in order; the pieces' concatenation is the text. Texts of white space are one piece."""
+    found = list(WORD.finditer(text))
+    words = [m[1] for m in found]
+    ends = {found[k].end() for k in _picked(words, max(1, unit_words // 2))} | {m.end() for m in SENTENCE_END.finditer(text)} | {len(text)}
     out, start = [], 0
-    for end in [m.end() for m in SENTENCE_END.finditer(text)] + [len(text)]:
-        piece, start = text[start:end], end
-        words = piece.split()
-        if len(words) > unit_words:
-            at = held = 0
-            for word in WORD.finditer(piece):
-                held += 1
-                if held >= 2 * unit_words or crc32(word[1].encode("utf-8", "surrogatepass")) % 8 == 0 or word.end() == len(piece):
-                    out.append((piece[at : word.end()], piece[at : word.end()].split()))
-                    at, held = word.end(), 0
-        elif piece:
-            out.append((piece, words))
+    for end in sorted(ends):
+        if end > start:
+            out.append((text[start:end], text[start:end].split()))
+        start = end
     return out
 
 

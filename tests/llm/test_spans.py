@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
 from cases import frame, invented, odd_rows
@@ -65,5 +66,27 @@ def test_planted_passage_stays_once(spark):
     assert all(got[i] == t for i, t in rows if i >= 50 or i == 0)
 
 
+def test_passages_inside_sentences(spark):
+    """51 shared words without marks, begun and ended inside unlike sentences, stay in one document; brute force over words."""
+    draw, rows, passages = random.Random(4), [], []
+    for k in range(300):
+        passages.append([f"p{k}x{draw.randrange(10**6)}" for _ in range(51)])
+        for copy in (0, 1):
+            around = [f"o{k}x{copy}x{draw.randrange(10**6)}" for _ in range(60)]
+            at = draw.randrange(10, 50)
+            rows.append((2 * k + copy, " ".join(around[:at] + passages[-1] + around[at:])))
+    got = {r.doc_id: r.text.split() for r in spans.remove_repeated_spans(frame(spark, rows)).collect()}
+    for k, passage in enumerate(passages):
+        assert got[2 * k] == rows[2 * k][1].split()
+        left = set(got[2 * k + 1])
+        assert not left.issuperset(passage) and [w for w in rows[2 * k + 1][1].split() if w[0] == "o"] == [w for w in got[2 * k + 1] if w[0] == "o"]
+        assert len(left.intersection(passage)) < 40
+
+
+def test_units_are_small():
+    for _, text, *_ in odd_rows():
+        assert max((len(w) for _, w in spans.sentences(text or "")), default=0) <= 8
+
+
 def test_no_rows(spark):
     assert spans.remove_repeated_spans(frame(spark, [])).count() == 0
