@@ -6,8 +6,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +78,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         live = stored(live.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), label)
         if live.isEmpty():
             return labels
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a piece holds at most ``limit`` bytes of the string ``column``, or one row."""
+    for batch in batches:
+        sizes = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))])
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(sizes, sizes[low] + limit, side="right")) - 1)
+            yield batch.slice(low, high - low)
+            low = high

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import crf, divergence, hnsw, mixing, packing, simhash, spans, suffix, tokens, urls
+from tapeloom.llm import crf, divergence, hnsw, middles, mixing, packing, simhash, spans, suffix, tokens, urls
 from tapeloom.llm.common import ship
 
 #: The rules of the host and path filter.
@@ -63,10 +63,16 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, folder, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    cut = middles.transform(_table(spark, folder, "documents"))
+    digests = [F.sha2(x.cast("binary"), 256).alias(name) for name, x in (("output_sha256", F.col("output")), ("restored_sha256", middles.restored(F.col("output"), F.col("form"))))]
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_url_filter, op3_quality_classifier, op4_suffix_dedup, op5_best_fit_packing, op6_quality_rules, op7_embedding_dedup,
-        op8_source_mixing, op9_simhash_dedup, op10_token_counts,
+        op8_source_mixing, op9_simhash_dedup, op10_token_counts, op13_fill_in_middle,
     )
 }
