@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tapeloom.llm import secrets
+
 _URLS = r"""
 WITH p AS (
   SELECT page_id,
@@ -80,4 +82,44 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
 FROM c
 """
 
-ORACLES: dict[str, str] = {"op2_url_filter": _URLS, "op8_source_mixing": _MIX, "op13_fill_in_middle": _MIDDLES}
+
+def _found(number: int, part: str, pattern: str, strong: str = "false") -> str:
+    """Matches of one pattern with their places; ``strong`` judges a match x."""
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+  SELECT rid, {number} AS g, '{part}' AS part, {strong.replace("PATTERN", quoted)} AS strong, x, gap, i FROM (
+    SELECT rid, unnest(f) AS x, unnest(list_transform(s[1:len(f)], lambda y: length(y))) AS gap, unnest(range(len(f))) AS i
+    FROM (SELECT rid, regexp_extract_all(t, {quoted}, 0) AS f, string_split_regex(t, {quoted}) AS s FROM d)
+  )"""
+
+
+_NEAR = "EXISTS (FROM k AS y WHERE y.rid = x.rid AND y.part IN ({parts}) AND y.a <= x.b + 300 AND y.b >= x.a - 300 AND NOT EXISTS (FROM k AS z WHERE z.rid = x.rid AND z.part = 'break' AND z.a >= least(x.b, y.b) AND z.b <= greatest(x.a, y.a)))"
+_SECRETS = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join([
+    _found(0, "assign", secrets.ASSIGN, "length(regexp_extract(x, PATTERN, 2)) >= 8"), _found(1, "access", secrets.ACCESS, "length(x) >= 16"), _found(2, "hex", secrets.HEX, "length(x) >= 32"),
+    *[_found(3 + k, part, pattern) for k, (part, pattern) in enumerate(secrets.WEAK)],
+])}),
+named AS (SELECT rid FROM d WHERE regexp_matches(t, '{secrets.IDENTIFIER.replace("'", "''")}') OR contains(t, 'AKIA')),
+placed AS (
+  SELECT rid, g, part, strong, x, b - length(x) AS a, b FROM (SELECT *, sum(gap + length(x)) OVER (PARTITION BY rid, g ORDER BY i) AS b FROM m)
+),
+p AS MATERIALIZED (
+  SELECT * FROM placed WHERE (g < 3 OR rid IN (FROM named)) AND NOT (part = 'hex' AND NOT strong AND NOT (regexp_matches(x, '[a-f]') AND regexp_matches(x, '[0-9]')))
+),
+k AS MATERIALIZED (
+  FROM p WHERE strong OR part = 'break' OR NOT EXISTS (
+    FROM p AS y WHERE y.rid = p.rid AND y.a < p.b AND y.b > p.a AND (y.strong OR (p.part = 'unlabelled' AND y.part = 'identifier')))
+),
+told AS (
+  SELECT rid, a, b, CASE WHEN strong OR part IN ('identifier', 'endpoint') THEN part WHEN part = 'access' THEN 'identifier' ELSE 'secret' END AS kind
+  FROM (SELECT *, {_NEAR.format(parts="'access', 'identifier'")} AS near_i, {_NEAR.format(parts="'assign', 'hex', 'labelled', 'unlabelled'")} AS near_s FROM k AS x)
+  WHERE part <> 'break' AND CASE WHEN strong THEN true WHEN part IN ('access', 'identifier') THEN near_s WHEN part = 'endpoint' THEN near_i AND near_s ELSE near_i END
+),
+r AS (SELECT rid, kind, a, list_position(['assign', 'access', 'hex', 'identifier', 'secret', 'endpoint'], kind) AS place, kind || ':' || a::BIGINT || ':' || b::BIGINT AS s, b FROM told)
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(s, ',' ORDER BY a, place, b) FILTER (place <= 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY a, place, b), '') AS spans
+FROM d LEFT JOIN r USING (rid) GROUP BY rid, doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_url_filter": _URLS, "op8_source_mixing": _MIX, "op12_secret_scan": _SECRETS, "op13_fill_in_middle": _MIDDLES}

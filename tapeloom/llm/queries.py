@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import crf, divergence, hnsw, middles, mixing, packing, simhash, spans, squares, suffix, tokens, urls
+from tapeloom.llm import crf, divergence, hnsw, middles, mixing, packing, secrets, simhash, spans, squares, suffix, tokens, urls
 from tapeloom.llm.common import ship
 
 #: The rules of the host and path filter.
@@ -88,6 +88,17 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(_table(spark, folder, "documents"))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("found", lambda x: x["kind"].isin(*kinds))
+
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.LEAST]
+    digest = F.sha2(secrets.listed(of(*secrets.LEAST)).cast("binary"), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"))
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     cut = middles.transform(_table(spark, folder, "documents"))
     digests = [F.sha2(x.cast("binary"), 256).alias(name) for name, x in (("output_sha256", F.col("output")), ("restored_sha256", middles.restored(F.col("output"), F.col("form"))))]
@@ -98,6 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_url_filter, op3_quality_classifier, op4_suffix_dedup, op5_best_fit_packing, op6_quality_rules, op7_embedding_dedup,
-        op8_source_mixing, op9_simhash_dedup, op10_token_counts, op11_periodic_runs, op13_fill_in_middle,
+        op8_source_mixing, op9_simhash_dedup, op10_token_counts, op11_periodic_runs, op12_secret_scan, op13_fill_in_middle,
     )
 }
