@@ -1,45 +1,84 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 
+import xxhash
 from cases import frame, invented, odd_rows
 
 from tapeloom.llm import spans
 
 
-def plain(rows, run=3, least=12):
+def slow_units(text, width=8):
+    """(piece, its words, whether it ends a line) in order, word by word."""
+    data = (text or "").encode()
+    places = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    hashes = [int.from_bytes(xxhash.xxh3_128_digest(data[a:b])[:8], "little") for a, b in places]
+    picked = {max(range(i, i + width), key=lambda k: (-hashes[k], k)) for i in range(len(places) - width + 1)}
+    out, start, held = [], 0, []
+    for k, (a, b) in enumerate(places):
+        held.append(data[a:b])
+        after = places[k + 1][0] if k + 1 < len(places) else len(data)
+        line = b"\n" in data[b:after] or k + 1 == len(places)
+        if line or data[b - 1 : b] in (b".", b"!", b"?") or k in picked:
+            out.append((data[start:after], tuple(held), line))
+            start, held = after, []
+    return out
+
+
+def slow_runs(units, run=3, least=24):
+    found, size = set(), [len(w) for _, w, _ in units]
+    for i in range(len(units)):
+        for j in range(i + run, len(units) + 1):
+            if sum(size[i:j]) >= least:
+                found.add((i, j))
+                break
+    for j in range(run, len(units) + 1):
+        if units[j - 1][2]:
+            found.update([(i, j) for i in range(j - run, -1, -1) if sum(size[i:j]) >= least][:1])
+    return sorted(found)
+
+
+def plain(rows):
     """Texts after removal: every run compared by its words."""
     seen = defaultdict(list)
     docs = sorted({(i is None, i or 0, t) for i, t, *_ in rows if t})
     order = {d: k for k, d in enumerate(docs)}
-    units = {d: spans.sentences(d[2]) for d in docs}
+    units = {d: slow_units(d[2]) for d in docs}
     for d in docs:
-        n = len(units[d])
-        size = [len(w) for _, w in units[d]]
-        for i in range(n):
-            for j in range(i + run, n + 1):
-                enough = sum(size[i:j]) >= least
-                shortest = j == i + run or sum(size[i : j - 1]) < least or sum(size[i + 1 : j]) < least
-                if enough and shortest:
-                    seen[tuple(" ".join(w) for _, w in units[d][i:j])].append((order[d], i, j, d))
+        for i, j in slow_runs(units[d]):
+            seen[tuple(w for _, words, _ in units[d][i:j] for w in words)].append((order[d], i, j, d))
     gone = defaultdict(set)
     for places in seen.values():
         for _, i, j, d in sorted(places)[1:]:
             gone[d] |= set(range(i, j))
-    return {d: "".join(p for k, (p, _) in enumerate(units[d]) if k not in gone[d]) for d in docs}
-
-
-def test_sentences_lose_nothing():
-    for _, text, *_ in odd_rows():
-        assert "".join(p for p, _ in spans.sentences(text or "")) == (text or "")
-
-
-def test_runs_are_shortest_from_both_ends():
-    assert spans.runs([5, 5, 5, 5], 3, 12) == [(0, 3), (1, 4)]
-    assert spans.runs([1, 1, 1, 20], 3, 12) == [(0, 4), (1, 4)]
-    assert spans.runs([20, 1, 1, 1], 3, 12) == [(0, 3), (0, 4)]
-    assert spans.runs([20], 3, 12) == [] == spans.runs([1, 1, 1], 3, 12)
+    return {d: b"".join(p for k, (p, *_) in enumerate(units[d]) if k not in gone[d]).decode() if gone[d] else d[2] for d in docs}
+
+
+def test_units_and_runs_equal_a_slow_version():
+    texts = [t or "" for _, t, *_ in odd_rows()] + ["", " ", "a", "\n\na b\n c. d", "é漢. x" * 30, invented(3, 500), "", "w " * 100] + [invented(k, k) for k in range(40)]
+    units = spans.Units([t.encode() for t in texts], 8)
+    low, high = units.runs(3, 24)
+    h1, h2 = units.named(low, high)
+    named = defaultdict(set)
+    for k, text in enumerate(texts):
+        slow = slow_units(text)
+        first, last = units.first[k], units.first[k + 1]
+        edges = [int(units.begin[k]), *units.end[first:last].tolist()]
+        assert [units.body[a:b] for a, b in zip(edges, edges[1:])] == [p for p, *_ in slow]
+        mine = [(int(a - first), int(b - first)) for a, b in zip(low, high) if first <= a < last]
+        assert mine == slow_runs(slow)
+        for a, b, *h in zip(low.tolist(), high.tolist(), h1.tolist(), h2.tolist()):
+            if first <= a < last:
+                named[tuple(h)].add(tuple(w for _, words, _ in slow[a - first : b - first] for w in words))
+    assert all(len(x) == 1 for x in named.values()) and len(named) == len({next(iter(x)) for x in named.values()})
+
+
+def test_units_lose_nothing():
+    texts = [(t or "").encode() for _, t, *_ in odd_rows()]
+    left, removed = spans.without(texts, [[] for _ in texts], 8)
+    assert [a for a, b in zip(left, texts) if b.strip(b" \t\n\x0b\x0c\r")] == [b for b in texts if b.strip(b" \t\n\x0b\x0c\r")] and not any(removed)
 
 
 def test_against_brute_force(spark):
@@ -85,7 +124,7 @@ def test_passages_inside_sentences(spark):
 
 def test_units_are_small():
     for _, text, *_ in odd_rows():
-        assert max((len(w) for _, w in spans.sentences(text or "")), default=0) <= 8
+        assert max((len(w) for _, w, _ in slow_units(text)), default=0) <= 8
 
 
 def test_no_rows(spark):
