@@ -45,7 +45,9 @@ def news_events(
         rows = rows.drop("content_text")
     order = [F.col(option("sort_by", sort_by)).desc(), F.col("importance_score").desc(), F.col("event_id").desc()]
     chosen = page(rows, order, clamp_limit(limit), offset)
-    return chosen if sources is None else nest_children(chosen, sources, "event_id", "source_record_id", "sources")
+    if sources is None:
+        return chosen
+    return nest_children(chosen, sources, "event_id", "source_record_id", "sources").orderBy(*order)  # a join keeps no order
 
 
 def news_lag(events: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import ratio
 from tapeloom.operators.bars import adjust_prices, completeness, fill_suspended, rollup_days, rollup_minutes
+from tapeloom.operators.lookback import rows_before
 from tapeloom.operators.predicates import in_days, in_times, keep_entities, option, parse_day
 from tapeloom.operators.selection import cut_counts, drop_flagged_entities, drop_flagged_rows, last_n, page, pick_fields
 from tapeloom.operators.series import open_days, previous_change, series_window
@@ -57,15 +59,14 @@ def _requested(table: DataFrame, request: QuoteRequest, key: str, time: str) ->
     return rows.where(in_times(time, request.start_time, request.end_time)) if request.start_time or request.end_time else rows
 
 
-def _before_window(table: DataFrame, first_day: str, skip_suspended: bool) -> DataFrame | None:
-    """(code, _earlier): each code's close on its last day before the window; none where the window has no start."""
+def _before_window(table: DataFrame, rows: DataFrame, first_day: str, skip_suspended: bool) -> DataFrame | None:
+    """(code, _earlier): the close on the last day before the window of each code of ``rows``; none where the window has no start."""
     first = parse_day(first_day)
     if first is None:
         return None
-    earlier = table.where(F.col("trade_date") < F.lit(first))
     if skip_suspended and "is_suspended" in table.columns:
-        earlier = drop_flagged_rows(earlier)
-    return earlier.groupBy("code").agg(F.max_by("close", "trade_date").alias("_earlier"))
+        table = drop_flagged_rows(table)
+    return rows_before(table.select("code", "trade_date", "close"), rows, ["code"], first).select("code", F.col("close").alias("_earlier"))
 
 
 def window_change(rows: DataFrame, earlier: DataFrame | None) -> DataFrame:
@@ -103,8 +104,7 @@ def day_quotes(table: DataFrame, calendar: DataFrame, request: QuoteRequest, exc
         kept = drop_flagged_entities(kept, ["code"])
     if request.skip_suspended:
         kept = drop_flagged_rows(kept)
-    first_day = request.trade_date or request.start_date
-    bars = window_change(kept, _before_window(base, first_day, request.skip_suspended)) if "pre_close" not in kept.columns else kept
+    bars = window_change(kept, _before_window(base, wanted, request.trade_date or request.start_date, request.skip_suspended)) if "pre_close" not in kept.columns else kept
     if freq == "1d":
         shaped = bars.withColumn("trade_time", F.col("trade_date"))
     else:
@@ -114,7 +114,7 @@ def day_quotes(table: DataFrame, calendar: DataFrame, request: QuoteRequest, exc
     if "open" not in shaped.columns:
         shaped = shaped.withColumn("open", F.lit(None).cast("double"))
     trimmed = last_n(shaped, ["code"], "trade_time", request.count)
-    cut = page(trimmed, ["trade_time", "code"], request.limit) if request.limit else trimmed
+    cut = page(trimmed, ["trade_time", "code"], request.limit or None)
     codes, meta = _meta(covered, wanted, days, trimmed, cut, request)
     return QuoteResult(pick_fields(cut, request.fields, STOCK_QUOTE_FIELDS), detailed(codes, request.meta_detail), meta)
 
@@ -148,7 +148,7 @@ def minute_quotes(table: DataFrame, calendar: DataFrame, request: QuoteRequest,
     for name in fields:
         if name not in trimmed.columns:
             trimmed = trimmed.withColumn(name, F.lit(None).cast("string" if name == "concept_name" else "boolean" if name.startswith("is_") else "double"))
-    cut = page(trimmed, ["trade_time", key], request.limit) if request.limit else trimmed
+    cut = page(trimmed, ["trade_time", key], request.limit or None)
     first, last = (parse_day(request.trade_date or day) for day in (request.start_date, request.end_date))
     days = open_days(calendar, exchange, None if first is None else F.lit(first), None if last is None else F.lit(last))
     midnights = table.sparkSession.range(1).select(F.explode(days).alias("d"))
@@ -205,7 +205,7 @@ def tick_quotes(table: DataFrame, request: QuoteRequest) -> QuoteResult:
     for name in STOCK_QUOTE_FIELDS:
         if name not in trimmed.columns:
             trimmed = trimmed.withColumn(name, F.lit(None).cast("boolean" if name.startswith("is_") else "double"))
-    cut = page(trimmed, ["trade_time", "code"], request.limit) if request.limit else trimmed
+    cut = page(trimmed, ["trade_time", "code"], request.limit or None)
     codes = cut.groupBy("code").agg(F.count("*").alias("row_count"), F.min("trade_time").alias("first_trade_time"), F.max("trade_time").alias("last_trade_time"))
     return QuoteResult(pick_fields(cut, request.fields, STOCK_QUOTE_FIELDS), codes, cut_counts(trimmed, request.limit))
 
@@ -224,7 +224,7 @@ def simple_quotes(table: DataFrame, request: QuoteRequest, key: str, fields: Seq
     for name in fields:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string" if name == "concept_name" else "double"))
-    cut = page(rows, ["trade_time", key], request.limit) if request.limit else rows
+    cut = page(rows, ["trade_time", key], request.limit or None)
     return pick_fields(cut, request.fields, fields)
 
 
@@ -233,14 +233,12 @@ def daily_snapshot(
 ) -> DataFrame:
     """All stocks on one day, with the change against the previous existing day of each; no rows if the day is absent.
 
-    The previous row may be of any age; ``look_back_days`` keeps the scan to the partitions of so many days before.
+    The previous row may be of any age and is looked for in steps of 32, 64 … days; ``look_back_days`` ends the search.
     """
-    day = F.lit(parse_day(trade_date))
-    today = table.where(F.col("trade_date") == day)
-    earlier = table.where(F.col("trade_date") < day)
-    if look_back_days is not None:
-        earlier = earlier.where(F.col("trade_date") >= F.date_sub(day, look_back_days))
-    before = earlier.groupBy("code").agg(F.max_by("close", "trade_date").alias("_before"))
+    day = parse_day(trade_date)
+    today = table.where(F.col("trade_date") == F.lit(day))
+    oldest = None if look_back_days is None else day - dt.timedelta(days=look_back_days)
+    before = rows_before(table.select("code", "trade_date", "close"), today, ["code"], day, oldest=oldest).select("code", F.col("close").alias("_before"))
     today = today.drop("pre_close", "change", "pct_chg").join(before, "code", "left")
     change = F.col("close") - F.col("_before")
     rows = today.withColumns(
@@ -269,7 +267,7 @@ def local_window(
     if skip_suspended:
         rows = drop_flagged_rows(rows)
     if "pre_close" not in rows.columns:
-        rows = window_change(rows, _before_window(table, start_date, skip_suspended))
+        rows = window_change(rows, _before_window(table, rows, start_date, skip_suspended))
     rows = rows.withColumns({"trade_time": F.col("trade_date"), "freq": F.lit("1d"), "adjust": F.lit("none")})
     for name in ("open", "high", "low"):
         if name not in rows.columns:

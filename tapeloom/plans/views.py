@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from tapeloom.operators.bars import adjust_prices, completeness
 from tapeloom.operators.factors import strategy_window
 from tapeloom.operators.indicators import TECHNICAL_FIELDS, technical
+from tapeloom.operators.lookback import rows_before
 from tapeloom.operators.merge import pit_merge
 from tapeloom.operators.news import news_events
 from tapeloom.operators.predicates import catalog_filter, clamp_limit, codes_of, etf_codes_of, in_days, keep_entities, option, overlaps, parse_day, valid_on
-from tapeloom.operators.selection import cut_counts, finite_doubles, last_n, page, pick_fields
+from tapeloom.operators.selection import cut_counts, finite_doubles, page, pick_fields
 from tapeloom.operators.series import count_change, open_days
 from tapeloom.plans.quotes import (
     CONCEPT_QUOTE_FIELDS, DAY_FREQS, INDEX_QUOTE_FIELDS, QuoteRequest, STOCK_QUOTE_FIELDS, daily_snapshot, day_quotes, local_window, minute_quotes, simple_quotes, tick_quotes,
@@ -305,10 +306,10 @@ def _technical(store, view, df, /, code="", codes="", trade_date="", start_date=
 
 
 def _strategy(store, view, df, /, start_date, end_date, codes="") -> DataFrame:
-    """Factors need the 39 rows before the window, of any age; the rank is cut per task before the shuffle."""
+    """Factors need the 39 rows before the window, of any age: looked for in steps, and for the window's codes only."""
     rows = _entities(view, df, "", codes)
-    earlier = last_n(rows.where(F.col("trade_date") < F.lit(parse_day(start_date))), ["code"], "trade_date", 39)
-    rows = rows.where(in_days("trade_date", "", start_date, end_date)).unionByName(earlier)
+    window = rows.where(in_days("trade_date", "", start_date, end_date))
+    rows = window.unionByName(rows_before(rows, window, ["code"], parse_day(start_date), 39))
     result = strategy_window(rows).where(in_days("trade_date", "", start_date, end_date))
     return finite_doubles(result.select(*view.columns)).orderBy("trade_date", "code")
 
@@ -348,7 +349,7 @@ def etf_quote_result(store: MarketStore, ts_codes: str, trade_date="", start_dat
     days = open_days(store.table("ref.trade_calendar"), "SSE", None if first is None else F.lit(first), None if last is None else F.lit(last))
     codes = store.spark.createDataFrame([(code,) for code in wanted], "ts_code string")
     items = rows.select(*ETF_BARS)
-    cut = page(items, ["trade_date", "ts_code"], limit) if limit else items
+    cut = page(items, ["trade_date", "ts_code"], limit or None)
     returned = cut.groupBy("ts_code").agg(F.count("*").alias("_returned"))
     meta = completeness(rows, codes, days, "ts_code").join(returned, "ts_code", "left").withColumn(
         "complete", F.col("complete") & (F.coalesce("_returned", F.lit(0)) == F.col("row_count"))
@@ -364,7 +365,7 @@ def _concept_quotes(store, view, df, /, concept_id="", concept_ids="", **options
     else:
         rows = minute_quotes(_needed(store, "fact.concept_bar_1m"), store.table("ref.trade_calendar"), request, "concept_id", view.columns).items
     if "concept_name" not in df.columns:  # names come last: a rollup keeps keys and prices only
-        rows = _named_concepts(store, rows.drop("concept_name"))
+        rows = _named_concepts(store, rows.drop("concept_name")).orderBy("trade_time", "concept_id")
     return pick_fields(rows if "concept_name" in rows.columns else rows.withColumn("concept_name", F.lit(None).cast("string")), options.get("fields", ""), view.columns)
 
 

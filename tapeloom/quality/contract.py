@@ -6,6 +6,7 @@ Each table is read with as few passes as its metrics allow; one-row results are
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import blank, differs, garbled_name, ratio, valid_market_code
+from tapeloom.operators.lookback import rows_before
 from tapeloom.operators.predicates import valid_on
 from tapeloom.operators.series import latest_days
 
@@ -84,7 +86,8 @@ def contract_metrics(tables: Mapping[str, DataFrame], index_code: str, max_membe
 
     # Latest day all facts share; none if one of them is empty.
     maxima = [df.agg(F.max("trade_date").alias("d")) for df in (index.where(F.col("index_code") == index_code), concept, stock, board)]
-    target = F.lit(reduce(DataFrame.unionByName, maxima).agg(F.min("d")).first()[0]).cast("date")
+    target_day = reduce(DataFrame.unionByName, maxima).agg(F.min("d")).first()[0]
+    target = F.lit(target_day).cast("date")
     latest = [row.trade_date for row in latest_days(concept, 8, target).collect()]
     first3, first8 = (F.lit(min(latest[:n], default=None)).cast("date") for n in (3, 8))
     one = index.sparkSession.range(1)
@@ -120,7 +123,7 @@ def contract_metrics(tables: Mapping[str, DataFrame], index_code: str, max_membe
     eligible = concept.where(day == target).select("concept_id").join(named, "concept_id").join(sizes, "concept_id").select("concept_id")
     frames.append(_concept_days(concept.where((day >= first8) & (day <= target)), eligible, first3))
 
-    expected = _recomputed(active, eligible, ref_stock, stock, target, look_back_days)
+    expected = _recomputed(active, eligible, ref_stock, stock, target_day, look_back_days)
     frames.append(
         to_metrics(
             expected.agg(
@@ -238,15 +241,22 @@ def live_row() -> Column:
     return ~F.coalesce(F.col("is_suspended"), F.lit(False)) & ~F.coalesce(F.col("is_st"), F.lit(False))
 
 
-def _recomputed(active: DataFrame, eligible: DataFrame, ref_stock: DataFrame, stock: DataFrame, target: Column, look_back_days: int | None) -> DataFrame:
-    """Per concept: amount and weighted change recomputed from its members, and the members' faults."""
+def _recomputed(active: DataFrame, eligible: DataFrame, ref_stock: DataFrame, stock: DataFrame, day: dt.date | None, look_back_days: int | None) -> DataFrame:
+    """Per concept: amount and weighted change recomputed from its members, and the members' faults.
+
+    The previous close of each stock of the day may be of any age, unless ``look_back_days`` says otherwise.
+    """
+    target = F.lit(day).cast("date")
     alive = ref_stock.where(valid_on(target, "listed_date", "delisted_date")).select(F.col("market").alias("stock_market"), F.col("code").alias("stock_code"))
     members = active.join(eligible, "concept_id").join(alive, ["stock_market", "stock_code"])
-    recent = stock.where(F.col("trade_date") < target)
-    if look_back_days is not None:
-        recent = recent.where(F.col("trade_date") >= F.date_sub(target, look_back_days))
-    before = recent.groupBy("market", "code").agg(F.max_by("close", "trade_date").alias("pre_close"))
-    today = stock.where(F.col("trade_date") == target).drop("pre_close").join(before, ["market", "code"], "left").select(
+    today = stock.where(F.col("trade_date") == target)
+    closes = stock.select("market", "code", "trade_date", F.col("close").alias("pre_close"))
+    if day is None:
+        before = closes.limit(0)
+    else:
+        before = rows_before(closes, today, ["market", "code"], day, oldest=None if look_back_days is None else day - dt.timedelta(days=look_back_days))
+    before = before.drop("trade_date")
+    today = today.drop("pre_close").join(before, ["market", "code"], "left").select(
         F.col("market").alias("stock_market"), F.col("code").alias("stock_code"), "trade_date", "close", "pct_chg", "amount", "is_st", "is_suspended",
         "pre_close", F.lit(True).alias("_bar"),
     )

@@ -236,3 +236,36 @@ def test_limits_are_asked_for(spark):
     assert query_view(store, "stocks.catalog").count() == 700 and query_view(store, "stocks.catalog", limit=9).count() == 9
     assert tuple(view_counts(store, "stocks.catalog", limit=9).first()) == (700, 9, True)
     assert tuple(view_counts(store, "stocks.catalog").first()) == (700, 700, False)
+
+
+def test_rows_come_in_the_order_of_the_contract(spark):
+    """Quotes by time and code, news newest first, with and without a limit, and after names and sources are joined."""
+    days = spark.range(60).selectExpr("date_add(date'2024-01-01', cast(id as int)) as trade_date", "id")
+    codes = spark.range(30).selectExpr("concat('c', lpad(cast(id as string), 2, '0')) as code")
+    bars = days.join(codes, F.lit(True)).selectExpr("code", "trade_date", "1D as open", "2D as high", "0D as low", "cast(id as double) as close", "1D as volume", "1D as amount", "false as is_suspended", "false as is_st").repartition(7)
+    concepts = bars.drop("is_suspended", "is_st").withColumnRenamed("code", "concept_id")
+    events = spark.range(200).selectExpr("concat('e', id) as event_id", "date'2024-01-02' as trade_date", "timestamp_ntz'2024-01-02 00:00:00' + make_dt_interval(0, 0, cast(id * 37 % 50 as int)) as announcement_time", "cast(id % 3 as int) as importance_score", "'t' as event_type").repartition(7)
+    sources = spark.range(400).selectExpr("concat('e', id % 190) as event_id", "concat('r', id) as source_record_id")
+    tables = {
+        "fact.stock_daily_1d": bars, "fact.concept_daily_1d": concepts, "fact.index_bar_1d": bars.withColumnRenamed("code", "index_code"), "fact.news_event_agent_view": events, "fact.news_event_source": sources,
+        "ref.concept": codes.selectExpr("code as concept_id", "concat('name ', code) as name"), "ref.trade_calendar": days.selectExpr("'SSE' as exchange", "trade_date", "true as is_open"),
+    }
+    store = MarketStore(spark, tables=tables)
+    everything = ",".join(f"c{k:02}" for k in range(30))
+    held = {name: spark.conf.get(name) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions") if spark.conf.get(name, None)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        for limit in (None, 369):
+            for view, key, options in (("stocks.quotes", "code", {"codes": everything}), ("concepts.quotes", "concept_id", {"concept_ids": everything}), ("indexes.quotes", "index_code", {"index_codes": everything})):
+                rows = query_view(store, view, **options, **({"limit": limit} if limit else {})).collect()
+                order = [(r.trade_time, r[key]) for r in rows]
+                assert order == sorted(order) and len(order) == (limit or 1800), view
+            for nested in (False, True):
+                rows = query_view(store, "markets.events.news", trade_date="2024-01-02", include_sources=nested, **({"limit": 150} if limit else {})).collect()
+                order = [(r.announcement_time, r.importance_score, r.event_id) for r in rows]
+                assert order == sorted(order, reverse=True) and len(order) == (150 if limit else 200)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name, value in held.items():
+            spark.conf.set(name, value)
