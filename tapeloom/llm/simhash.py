@@ -153,7 +153,7 @@ def _samples(text: bytes | None, shingle: int):
 
 
 def _shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
-    """(_t1, shingles: array of the distinct 64-bit hashes) of the rows (_t1, text)."""
+    """(_t1, shingles: sorted array of the distinct 64-bit hashes) of the rows (_t1, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -167,7 +167,7 @@ def _shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
                 for text in part.column(1):
                     words = (text.as_py() or b"").lower().split()
                     found = {digest(join(words[i : i + shingle]), 7) for i in range(max(1, len(words) - shingle + 1))}
-                    sets.append(np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64))
+                    sets.append(np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["_t1", "shingles"])
 
     return df.select("_t1", F.col("text").cast("binary").alias("text")).mapInArrow(run, "_t1 long, shingles array<long>")
@@ -217,39 +217,54 @@ def _apart(crowded: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, stored(groups, "simhash-apart")
 
 
-def _block_pairs(members: DataFrame, groups: DataFrame, once: DataFrame, least: float) -> DataFrame:
-    """(a, b, equal) of all pairs of a band and of different components that agree in ``least`` samples or more.
+def _forest(table: pa.Table, least: float, similarity: float) -> list[tuple[int, int]]:
+    """Links (a, b) that join what of a block is similar and in different components, one per join.
 
-    Members outside the largest component meet all members of the group, in blocks of about ``SIDE`` by ``SIDE``.
+    ``left`` rows meet the others. Pairs with ``least`` equal samples or more are candidates; the sorted sets of shingles
+    decide. Whatever a link has joined is not compared again.
+    """
+    import numpy as np
+
+    node, component, main, first = (table.column(c).to_numpy() for c in ("node", "component", "main", "left"))
+    sketch = np.array(table.column("sketch").combine_chunks().values).reshape(-1, SAMPLES)
+    sets = table.column("shingles").combine_chunks()
+    starts, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+    label, out = np.unique(component, return_inverse=True)[1], []
+    second = np.flatnonzero(~first)
+    for k in np.flatnonzero(first):
+        met = second[(label[second] != label[k]) & ((component[second] == main[second]) | (node[second] > node[k]))]
+        equal = (sketch[met] == sketch[k]).sum(axis=1)
+        for j in met[equal >= least][np.argsort(-equal[equal >= least], kind="stable")].tolist():
+            if label[j] == label[k]:
+                continue
+            one, two = values[starts[k] : starts[k + 1]], values[starts[j] : starts[j + 1]]
+            shared = len(np.intersect1d(one, two, assume_unique=True))
+            if shared and shared >= similarity * (len(one) + len(two) - shared):
+                out.append((min(int(node[k]), int(node[j])), max(int(node[k]), int(node[j]))))
+                label[label == label[j]] = label[k]
+    return out
+
+
+def _block_links(members: DataFrame, groups: DataFrame, once: DataFrame, sets: DataFrame, least: float, similarity: float) -> DataFrame:
+    """Links (a, b) that join all similar texts of a band which are in different components.
+
+    Members outside the largest component meet all members of the group, in blocks of about ``SIDE`` by ``SIDE``; a block
+    returns fewer links than it has members.
     """
     lefts, rights = F.ceil(F.col("others") / SIDE).cast("int"), F.ceil(F.col("n") / SIDE).cast("int")
     rows = members.join(groups, "band").select("band", "node", "component", "main", lefts.alias("lefts"), rights.alias("rights"))
-    rows = stored(rows.join(once.withColumnRenamed("_t1", "node"), "node"), "simhash-sides")
+    rows = rows.join(once.withColumnRenamed("_t1", "node"), "node").join(sets.withColumnRenamed("_t1", "node"), "node")
+    rows = stored(rows, "simhash-sides")
     dealt, every = (lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    rest = ["node", "component", "main", "sketch"]
+    rest = ["node", "component", "main", "sketch", "shingles"]
     left = rows.where("component <> main").select("band", dealt("lefts").alias("x"), every("rights").alias("y"), F.lit(True).alias("left"), *rest)
     right = rows.select("band", every("lefts").alias("x"), dealt("rights").alias("y"), F.lit(False).alias("left"), *rest)
-    names = ["a", "b", "equal"]
 
     def compare(table: pa.Table) -> pa.Table:
-        import numpy as np
-
-        node, component, main, first = (table.column(c).to_numpy() for c in ("node", "component", "main", "left"))
-        sketch = np.array(table.column("sketch").combine_chunks().values).reshape(-1, SAMPLES)
-        second = np.flatnonzero(~first)
-        whole, node2, component2 = sketch[second], node[second], component[second]
-        out = ([], [], [])
-        for k in np.flatnonzero(first):
-            apart = np.flatnonzero((component2 != component[k]) & ((component2 == main[second]) | (node2 > node[k])))
-            equal = (whole[apart] == sketch[k]).sum(axis=1)
-            hit = equal >= least
-            met = node2[apart[hit]]
-            for column, found in zip(out, (np.minimum(met, node[k]), np.maximum(met, node[k]), equal[hit])):
-                column.append(found)
-        columns = [np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in out]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()))], names=names)
+        found = _forest(table, least, similarity)
+        return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return left.union(right).groupBy("band", "x", "y").applyInArrow(compare, "a long, b long, equal int").distinct()
+    return left.union(right).groupBy("band", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def similar_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -286,28 +301,31 @@ def similar_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             met = members.join(heads, "band").where(F.col("component") != F.col("_own")).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
             close = stored(_alike(stored(met.distinct(), "simhash-pairs"), once, least), "simhash-close")
             links = links.union(stored(_verified(close, sets, similarity), "simhash-links"))
-    close = stored(_block_pairs(members, groups, once, least), "simhash-close")
-    best = close.groupBy("a").agg(F.max(F.struct("equal", "b"))["b"].alias("b"))
-    links = links.union(stored(_verified(best, sets, similarity), "simhash-links"))
-    named = components(links, "simhash-linked")
-    for end in ("a", "b"):  # pairs that the best ones have joined need no further look
-        close = close.join(named.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
-    close = stored(close.where("_a <> _b").select("a", "b"), "simhash-close")
-    return links.union(stored(_verified(close, sets, similarity), "simhash-links"))
+    return links.union(stored(_block_links(members, groups, once, sets, least, similarity), "simhash-links"))
+
+
+def _distinctly_named(rows: DataFrame) -> DataFrame:
+    """(doc_id, _t1, _t2, _name, text): ``_name`` is ``_t1``, but different texts (other ``_t2``) that share it get others."""
+    clash = rows.groupBy("_t1").agg(F.min("_t2").alias("_least"), F.max("_t2").alias("_most")).where("_least <> _most")
+    clash = stored(clash.select("_t1", "_least"), "simhash-clashes")
+    if clash.isEmpty():  # as long as there are far fewer than 2^32 texts
+        return rows.select("*", F.col("_t1").alias("_name"))
+    name = F.when(F.col("_t2") != F.col("_least"), F.xxhash64("_t1", "_t2")).otherwise(F.col("_t1"))
+    return rows.join(clash, "_t1", "left").select("doc_id", "_t1", "_t2", name.alias("_name"), "text")
 
 
 def _similar(df: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
     """Per row: doc_id, root (that names the group), text key; groups join texts of near fingerprints and similar texts."""
-    narrow = df.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), F.col(text).alias("text"))
+    narrow = _distinctly_named(df.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), F.col(text).alias("text")))
     rows = stored(fingerprints(narrow), "simhash-prints")
-    first = stored(rows.groupBy("fingerprint").agg(F.min("_t1").alias("first")), "simhash-distinct")
-    same = rows.select("fingerprint", "_t1").distinct().join(first, "fingerprint").where("_t1 <> first").select(F.col("_t1").alias("a"), F.col("first").alias("b"))
+    first = stored(rows.groupBy("fingerprint").agg(F.min("_name").alias("first")), "simhash-distinct")
+    same = rows.select("fingerprint", "_name").distinct().join(first, "fingerprint").where("_name <> first").select(F.col("_name").alias("a"), F.col("first").alias("b"))
     near = links(first)
     for end in ("a", "b"):
         near = near.join(first.select(F.col("fingerprint").alias(end), F.col("first").alias("_to")), end).drop(end).withColumnRenamed("_to", end)
-    edges = same.union(near.select("a", "b")).union(similar_pairs(narrow.select("_t1", "text"), shingle, similarity))
-    named = components(edges, "simhash-components").withColumnRenamed("node", "_t1")
-    return rows.join(named, "_t1", "left").select("doc_id", "_t1", "_t2", F.coalesce("component", "_t1").alias("root"))
+    edges = same.union(near.select("a", "b")).union(similar_pairs(narrow.select(F.col("_name").alias("_t1"), "text"), shingle, similarity))
+    named = components(edges, "simhash-components").withColumnRenamed("node", "_name")
+    return rows.join(named, "_name", "left").select("doc_id", "_t1", "_t2", F.coalesce("component", "_name").alias("root"))
 
 
 def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

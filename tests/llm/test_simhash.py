@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 import xxhash
 from cases import frame, invented, odd_rows
+from pyspark.sql import functions as F
 
 from tapeloom.llm import simhash
 
@@ -155,6 +157,28 @@ def test_similarity_is_exact(spark, monkeypatch, at_once, side):
     assert kept == plain_groups(rows) == {10 * k for k in range(60)} | {10 * k + 1 for k in range(1, 60, 2)}
 
 
+def test_texts_whose_names_collide_stay_apart(spark, monkeypatch):
+    """One name for all texts in the first half: the second half tells them apart."""
+    key = simhash.text_key
+    monkeypatch.setattr(simhash, "text_key", lambda text: [F.lit(7).cast("long").alias("_t1"), key(text)[1]])
+    rows = [(k, invented(8000 + k, 120, 100_000)) for k in range(6)] + [(10, invented(8000, 120, 100_000)), (11, invented(8001, 120, 100_000) + " more")]
+    kept = simhash.first_of_groups(frame(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(6))
+
+
+def test_blocks_return_a_forest(spark):
+    """A block of like texts gives fewer links than it has members, whatever the number of its pairs."""
+    sets = [sorted(range(k, 400 + k)) for k in range(50)]
+    sketch = [[v for v in range(simhash.SAMPLES)] for _ in sets]
+    table = pa.table({
+        "node": list(range(50)) * 2, "component": list(range(50)) * 2, "main": [0] * 100, "left": [True] * 50 + [False] * 50,
+        "sketch": pa.array(sketch * 2, pa.list_(pa.int32())), "shingles": pa.array(sets * 2, pa.list_(pa.int64())),
+    })
+    found = simhash._forest(table, 200, 0.8)
+    assert len(found) == 49 and all(a < b for a, b in found)
+    assert all(len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]}) for a, b in found)
+
+
 def test_no_rows(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     assert simhash.first_of_groups(frame(spark, [])).count() == 0
