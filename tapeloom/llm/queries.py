@@ -35,7 +35,9 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix.remove_repeated_bytes(_table(spark, folder, "documents")).drop("kept")
+    """The contract's columns, then ``text``: what is left, with bytes of cut characters replaced."""
+    left = suffix.remove_repeated_bytes(_table(spark, folder, "documents"))
+    return left.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
