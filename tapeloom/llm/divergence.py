@@ -1,8 +1,8 @@
 """Quality rules: distribution divergence from language references. DataFrame functions only.
 
 Each text's histogram of character classes and of its language's common words is compared with the language's own
-(all documents of the language) by Jensen-Shannon distance. Texts too short to fill a histogram are not judged by it,
-nor are texts of languages with too little text for a reference.
+(all documents of the language) by Jensen-Shannon distance; with that of all texts where a language has too little text
+for a reference. Texts too short to fill a histogram are not judged by it.
 """
 
 from __future__ import annotations
@@ -85,23 +85,41 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(shares, F.lit(0.0), lambda a, v: a + v)))
 
 
-def references(df: DataFrame) -> DataFrame:
+def references(df: DataFrame, least_words: int) -> DataFrame:
     """Per language of (_lang, _text, _words): characters by class, the common words and their counts.
 
-    Counts cover all documents. The top words are cut per task before they are ranked, so a hot language spreads.
+    Counts cover all documents. The top words are cut per task before they are ranked, so a hot language spreads. A
+    language of fewer than ``least_words`` words has the counts of all languages.
     """
+    names = [f"c{k}" for k in range(len(CLASSES) + 2)]
     classes = character_classes(df.select("_lang", "_text", F.size("_words").alias("_n"))).drop("_rest")
-    sums = [F.sum(F.element_at("_classes", k + 1)).alias(f"c{k}") for k in range(len(CLASSES) + 2)]
-    classes = classes.groupBy("_lang").agg(F.sum("_n").alias("all_words"), *sums)
+    classes = classes.groupBy("_lang").agg(F.sum("_n").alias("all_words"), *[F.sum(F.element_at("_classes", k + 1)).alias(c) for k, c in enumerate(names)])
+    classes = stored(classes, "divergence-classes")
     counts = df.select("_lang", F.explode("_words").alias("word")).groupBy("_lang", "word").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))
-    top = counts.withColumn("k", rank).where(F.col("k") <= COMMON)
-    top = top.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("k", "word", "n"))).alias("top"))  # COMMON rows
-    both = classes.join(top, classes["_lang"].eqNullSafe(top["_lang"]), "left").drop(top["_lang"])
+    top = counts.withColumn("k", rank).where(F.col("k") <= COMMON).groupBy("_lang").agg(_listed())
+    own = classes.join(top, classes["_lang"].eqNullSafe(top["_lang"]), "left").drop(top["_lang"])
+    small = classes.where(F.col("all_words") < least_words)
+    whole = own.where(F.col("all_words") >= least_words).select("_lang", *_reference(names))
+    if small.isEmpty():
+        return whole
+    common = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON).agg(_listed())
+    pooled = classes.agg(F.sum("all_words").alias("all_words"), *[F.sum(c).alias(c) for c in names])
+    pooled = stored(pooled.select("*", common.scalar().alias("top")).select(*_reference(names)), "divergence-pooled")
+    return whole.unionByName(small.select("_lang", *[pooled.select(c).scalar().alias(c) for c in pooled.columns]))
+
+
+def _listed() -> Column:
+    """Words (word, n) of a group from the most frequent on; ties by the word."""
+    return F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "word", "n"))), lambda x: F.struct(x["word"].alias("word"), x["n"].alias("n"))).alias("top")  # COMMON rows
+
+
+def _reference(names: list[str]) -> list[Column]:
+    """ref_longest, ref_classes, ref_words, ref_counts of rows (all_words, classes, top)."""
     used = F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     tail = F.concat(F.transform("top", lambda x: x["n"].cast("double")), F.array_repeat(F.lit(0.0), F.lit(COMMON) - F.size("top")), F.array((F.col("all_words") - used).cast("double")))
     longest = F.array_max(F.transform("top", lambda x: F.length(x["word"])))
-    return both.select(F.col("_lang").alias("_l"), longest.alias("ref_longest"), F.array(*[F.col(f"c{k}").cast("double") for k in range(len(CLASSES) + 2)]).alias("ref_classes"), F.transform("top", lambda x: x["word"]).alias("ref_words"), tail.alias("ref_counts"), "all_words")
+    return [longest.alias("ref_longest"), F.array(*[F.col(c).cast("double") for c in names]).alias("ref_classes"), F.transform("top", lambda x: x["word"]).alias("ref_words"), tail.alias("ref_counts")]
 
 
 def judge_quality(
@@ -111,12 +129,13 @@ def judge_quality(
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept.
 
     ``class_distance`` is null for texts of fewer than ``least_chars`` characters, ``word_distance`` for those of fewer
-    than ``least_words`` words, both for languages of fewer than ``least_reference`` words; a null never rejects. Null
-    texts are empty. A null language is one of its own. Repeated rows come back as often as given.
+    than ``least_words`` words; a null never rejects. Texts of languages of fewer than ``least_reference`` words are held
+    against all texts together. Null texts are empty. A null language is one of its own. Repeated rows come back as
+    often as given.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = rows.withColumn("_words", words_of(F.col("_text")))
-    held = stored(references(rows), "divergence-references")
+    held = stored(references(rows, least_reference).withColumnRenamed("_lang", "_l"), "divergence-references")
     few = held.count() <= BROADCAST_LANGUAGES
     rows = rows.join(F.broadcast(held) if few else held, rows["_lang"].eqNullSafe(held["_l"]), "left")
     rows = base_counts(character_classes(rows)).drop("_rest")
@@ -125,9 +144,8 @@ def judge_quality(
     rows = rows.withColumn("_marks", marks)
     counts = [F.length("_marks") - F.length(F.replace("_marks", F.lit(m), F.lit(""))) for m in MARKS]
     rows = rows.withColumn("_counts", F.transform(F.array(*counts, F.col("n_words").cast("int") - F.length("_marks")), lambda x: x.cast("double")))
-    known = F.col("all_words") >= least_reference
-    rows = rows.withColumn("class_distance", F.when(known & (F.length("_text") >= least_chars), distance(F.col("_classes"), F.col("ref_classes"))))
-    rows = rows.withColumn("word_distance", F.when(known & (F.col("n_words") >= least_words), distance(F.col("_counts"), F.col("ref_counts"))))
+    rows = rows.withColumn("class_distance", F.when((F.length("_text") >= least_chars), distance(F.col("_classes"), F.col("ref_classes"))))
+    rows = rows.withColumn("word_distance", F.when(F.col("n_words") >= least_words, distance(F.col("_counts"), F.col("ref_counts"))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     far = F.coalesce(F.col("class_distance") > class_limit, F.lit(False)) | F.coalesce(F.col("word_distance") > word_limit, F.lit(False))
     return rows.withColumn("base_failed", failed).select(
