@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 from math import exp, log1p
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -205,22 +206,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, sample_lines: int = 256, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Field:
-    """A field from at most ``sample_docs`` labelled documents that are not held out, ``sample_lines`` lines of each.
+def _spread(lines: int, stretches: int, length: int, seed: int):
+    """Places of the lines looked at: all, or one stretch at a place drawn by ``seed`` in each of as many equal parts."""
+    import numpy as np
+
+    if lines <= stretches * length:
+        return np.arange(lines)
+    edges = np.linspace(0, lines, stretches + 1).astype(int)
+    room = np.diff(edges) - length + 1
+    starts = edges[:-1] + np.random.default_rng(seed).integers(0, room)
+    return (starts[:, None] + np.arange(length)).ravel()
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, stretches: int = 8, stretch_lines: int = 32, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Field:
+    """A field from at most ``sample_docs`` labelled documents that are not held out.
 
-    The sample is that of the smallest hashes of doc_id; it bounds what the driver gets (features, no texts). A doc_id
-    with several labels takes the smallest; null labels are passed over.
+    The sample is that of the smallest hashes of doc_id, one text of each; of a text with more lines it has ``stretches``
+    stretches of ``stretch_lines``, spread over the whole text. That bounds what the driver gets (features, no texts). A
+    doc_id with several labels takes the smallest; null labels are passed over.
     """
     import numpy as np
 
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text")).join(F.broadcast(known), "_id").select("_y", "_text")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text")).join(F.broadcast(known), "_id")
+    rows = rows.groupBy("_id", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")).select("_y", "_text")  # however often a doc_id stands
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [line_features(x.as_py())[0][:sample_lines].astype("<f4").tobytes() for x in batch.column(1)]
-            size = [len(x.as_py()) for x in batch.column(1)]
+            found, size = [], []
+            for text in batch.column(1).to_pylist():
+                lines = line_features(text)[0]
+                found.append(lines[_spread(len(lines), stretches, stretch_lines, crc32(text))].astype("<f4").tobytes())
+                size.append(len(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(size, pa.int64())], names=["y", "x", "n"])
 
     got = rows.mapInArrow(features, "y int, x binary, n long").orderBy("y", "n", F.xxhash64("x")).collect()

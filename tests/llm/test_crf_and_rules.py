@@ -69,6 +69,28 @@ def test_held_out_labels_and_no_labels(spark):
     assert {r.score for r in crf.score(docs, crf.fit(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_sampled_lines_are_spread_over_the_text():
+    assert crf._spread(256, 8, 32, 1).tolist() == list(range(256)) and crf._spread(0, 8, 32, 1).tolist() == []
+    for lines in (257, 300, 5000):
+        places = crf._spread(lines, 8, 32, lines).tolist()
+        assert places == sorted(set(places)) and len(places) == 256 and 0 <= places[0] and places[-1] < lines
+        assert [sum(a * lines // 8 - 1 <= p <= (a + 1) * lines // 8 for p in places) >= 32 for a in range(8)] == [True] * 8
+    assert crf._spread(5000, 8, 32, 1).tolist() != crf._spread(5000, 8, 32, 2).tolist()
+
+
+def test_the_driver_gets_one_text_of_a_sampled_document(spark, monkeypatch):
+    """However often a doc_id stands in the table, and with whatever texts."""
+    rows, labels = labelled(spark)
+    seen = []
+    fit_field = crf.fit_field
+    monkeypatch.setattr(crf, "fit_field", lambda sample: seen.append(len(sample)) or fit_field(sample))
+    once = crf.fit(frame(spark, rows), labels)
+    assert crf.fit(frame(spark, rows + [rows[0]] * 500 + [rows[3]] * 500), labels) == once
+    some = rows[0][0]
+    crf.fit(frame(spark, rows + [(some, invented(k, 50)) for k in range(300)]), labels)
+    assert len(set(seen)) == 1
+
+
 def plain_base(text):
     words = re.findall(r"[^\x20\x09-\x0d]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
@@ -104,20 +126,32 @@ def test_rules_against_brute_force(spark):
     for row, lang, own in zip(rows, langs, words):
         text = row[1] or ""
         of_lang = [k for k, other in enumerate(langs) if other == lang]
+        if sum(len(words[k]) for k in of_lang) < 1000:  # too little text: all texts are the reference
+            of_lang = range(len(rows))
         counts = Counter(w for k in of_lang for w in words[k])
         top = sorted(counts, key=lambda w: (-counts[w], w.encode()))[: divergence.COMMON]
         base = plain_base(text)
         by_class = by_word = None
-        if sum(counts.values()) >= 1000:
-            if len(text) >= 300:
-                by_class = plain_distance(classes(text), np.sum([classes(rows[k][1] or "") for k in of_lang], axis=0))
-            if len(own) >= 100:
-                mine = [own.count(w) for w in top]
-                ref = [counts[w] for w in top]
-                by_word = plain_distance([*mine, len(own) - sum(mine)], [*ref, sum(counts.values()) - sum(ref)])
+        if len(text) >= 300:
+            by_class = plain_distance(classes(text), np.sum([classes(rows[k][1] or "") for k in of_lang], axis=0))
+        if len(own) >= 100:
+            mine = [own.count(w) for w in top]
+            ref = [counts[w] for w in top]
+            by_word = plain_distance([*mine, len(own) - sum(mine)], [*ref, sum(counts.values()) - sum(ref)])
         kept = not base[-1] and not (by_class or 0) > 0.25 and not (by_word or 0) > 0.3
         expected.append((str(row[0]), *base, *(None if x is None else round(float(x), 6) for x in (by_class, by_word)), kept))
     result = [(str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, *(None if x is None else round(x, 6) for x in (r.class_distance, r.word_distance)), r.kept) for r in got]
     assert sorted(map(str, result)) == sorted(map(str, expected))
     assert not any(r.kept for r in got if r.doc_id in (200, 201))
     assert divergence.judge_quality(frame(spark, [])).count() == 0
+
+
+def test_a_rare_language_is_judged_as_a_common_one(spark):
+    """The same junk goes, and the same good text stays, where its language has little text and where it has much."""
+    draw = random.Random(9)
+    others = [(k, invented(k, 400), "en", "s") for k in range(40)]
+    good, junk = (900, invented(900, 300), "xx", "s"), (901, " ".join(draw.choice(["7/7", "0|0", "#$%", "@@9"]) for _ in range(400)), "xx", "s")
+    for more in (0, 3, 40):
+        rows = others + [good, junk] + [(500 + k, invented(500 + k, 400), "xx", "s") for k in range(more)]
+        kept = {r.doc_id: r.kept for r in divergence.judge_quality(frame(spark, rows)).collect()}
+        assert kept[900] and not kept[901], more
