@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: (host, path, verdict)
@@ -40,18 +40,23 @@ def _hosts(host: str) -> list[str]:
 
 
 def write_index(rules: Iterable[Rule], path: str) -> None:
-    """Sorted digest array of ``host + path`` at ``path``. A string that stands twice keeps its last verdict."""
+    """Sorted digest array of ``host + path`` at ``path``. A string that stands twice has its greatest verdict."""
     import numpy as np
     import xxhash
 
-    named = {(h + p).encode("utf-8"): (len(p), v) for h, p, v in rules}
+    named: dict[bytes, str] = {}
+    lengths = set()
+    for h, p, v in rules:
+        key = (h + p).encode("utf-8")
+        named[key] = max(v, named.get(key, v))
+        lengths.add(len(p))
     keys = sorted(named, key=lambda k: (xxhash.xxh64_intdigest(k), k))
-    verdicts = sorted({v for _, v in named.values()})
+    verdicts = sorted(set(named.values()))
     blocks = [
         np.array([xxhash.xxh64_intdigest(k) for k in keys], dtype="<u8"),
         np.cumsum([0, *map(len, keys)], dtype="<u8"),
-        np.array([verdicts.index(named[k][1]) for k in keys], dtype="<u8"),
-        np.array(sorted({n for n, _ in named.values()}), dtype="<u8"),
+        np.array([verdicts.index(named[k]) for k in keys], dtype="<u8"),
+        np.array(sorted(lengths), dtype="<u8"),
     ]
     names = "\n".join(verdicts).encode()
     head = np.array([len(keys), len(blocks[3]), len(names)], dtype="<u8")
@@ -105,7 +110,8 @@ def _probes(host: str, path: str, lengths: list[int]) -> list[str]:
 def judge(df: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """Per row: page_id, ``host``, ``path``, ``rule`` (null: none fits) and ``verdict`` (the rule's, else ``default``).
 
-    A rule fits its host and all subdomains if the path starts with the rule's; the longest wins. Null urls and those
+    A rule fits its host and all subdomains if the path starts with the rule's; the longest wins, of equal strings the
+    greatest verdict (``block`` before ``allow``), of others alike in length that of the longer host. Null urls and those
     without ``://`` have no host, fit no rule and get ``default``. Repeated rows come back as often as given.
     """
     size = sum(len(h) + len(p) for h, p, _ in rules) * 4 + 32 * len(rules)
@@ -149,7 +155,8 @@ def judge_by_join(df: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat_ws(".", F.slice(parts, k, F.size(parts))))
     probes = places.select("host", "path", F.explode(suffixes).alias("_own")).withColumn("_d", F.xxhash64("_own"))
-    held = rules.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("verdict").alias("_v")).withColumn("_e", F.xxhash64("_h"))
+    verdict = F.max("verdict").over(Window.partitionBy(F.concat("host", "path")))
+    held = rules.select(F.col("host").alias("_h"), F.col("path").alias("_p"), verdict.alias("_v")).distinct().withColumn("_e", F.xxhash64("_h"))
     fits = probes.join(held, (F.col("_d") == F.col("_e")) & (F.col("_own") == F.col("_h")) & F.col("path").startswith(F.col("_p")))
     string = F.concat("_h", "_p")
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length(string).alias("n"), F.length("_h").alias("m"), string.alias("rule"), F.col("_v").alias("verdict"))).alias("best"))

@@ -42,3 +42,18 @@ def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
     index = urls.DigestIndex(str(tmp_path / "index"))
     found = index.find([b"a.com/", b"b.com/", b"cc.com/x", b"d.com/", b"zz.com/y"])
     assert [index.verdicts[int(index.verdict_of[k])] if k >= 0 else None for k in found] == ["block", "allow", "block", None, None]
+
+
+@pytest.mark.parametrize("rules", [
+    [("net", "/", "block"), ("net", "/", "allow")], [("net", "/", "allow"), ("net", "/", "block")],
+    [("a.net", "/x", "allow"), ("net", "/x/yz", "block"), ("a.net", "/x", "block")], [("b.net", "/longer", "allow"), ("b.net", "/longer", "allow")],
+])
+def test_equal_rules_have_one_verdict_by_either_way(spark, monkeypatch, rules):
+    """Whatever the order of the rules and the size of the list: the greatest verdict of equal strings."""
+    df = spark.createDataFrame([(1, "http://a.net/x/yz"), (2, "http://net/"), (3, "http://b.net/longer/")], "page_id long, url string")
+    found = []
+    for limit in (urls.INDEX_BYTES, 0):
+        monkeypatch.setattr(urls, "INDEX_BYTES", limit)
+        found.append(sorted((r.page_id, r.rule, r.verdict) for r in urls.judge(df, rules).collect()))
+    assert found[0] == found[1] and len(found[0]) == 3
+    assert rules[0][0] != "net" or {v for _, _, v in found[0]} == {"block"}
