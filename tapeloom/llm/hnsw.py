@@ -1,6 +1,6 @@
 """Embedding near-duplicates: a hierarchical navigable small-world graph per shard, every shard queried by every vector.
 
-Equal vectors are one node with a count, so copies cost nothing. A shard holds a bounded number of nodes; its graph is
+Equal vectors are one node with a count, so copies cost nothing. A shard holds nodes of a bounded size; its graph is
 built in one task and written to the shared folder. Blocks of queries meet the shards in a cogroup. A block's beam
 widens until an audit of some of its queries against all vectors of the shard finds at least the wanted share of the
 links. Beams that are full of links go on along the links themselves, so large groups are found whole. Cosines are
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import components, stored
 
-SHARDS, SHARD_ROWS, BLOCK_ROWS = 4, 200_000, 20_000
+SHARDS, SHARD_ROWS = 4, 200_000
+#: Bytes of the vectors of a shard, which are one value of a row, and of a block of queries; a task holds one of each.
+SHARD_BYTES, BLOCK_BYTES = 256 << 20, 128 << 20
 #: Neighbours in the upper layers and in the lowest, and the beam while building.
 M, M0, BUILD_BEAM = 12, 24, 48
 
@@ -166,11 +168,11 @@ class SmallWorld:
         return beam_search(self.vectors[: len(self.layers[-1])], self.layers[-1], queries, entries, width)
 
     def within(self, queries, least: float, width: int):
-        """Lists of ids with cosine >= ``least`` (in single precision) per query."""
+        """Ids with cosine >= ``least`` (in single precision), one query after the other: a dense group is held once."""
         import numpy as np
 
         ids, cos = self.nearest(queries, min(width, max(len(self.vectors), 1)))
-        graph, out = self.layers[-1], []
+        graph = self.layers[-1]
         heads, tails = np.nonzero(graph >= 0)
         ends = graph[heads, tails]
         order = np.argsort(ends, kind="stable")
@@ -189,8 +191,7 @@ class SmallWorld:
                     edge = near[self.vectors[near] @ queries[k] >= least]
                     found.append(edge)
                 mine = np.concatenate(found)
-            out.append(mine)
-        return out
+            yield mine
 
 
 def _unit(column):
@@ -243,8 +244,7 @@ def _query(least: float, recall: float, width: int, audited: int):
             truth = [np.flatnonzero(exact @ mine[k] >= least) for k in checked]
             wanted, beam = sum(map(len, truth)), width
             while True:
-                found = world.within(single[checked], margin, beam)
-                hit = sum(len(np.intersect1d(a, b)) for a, b in zip(found, truth))
+                hit = sum(len(np.intersect1d(a, b)) for a, b in zip(world.within(single[checked], margin, beam), truth))
                 if hit >= recall * wanted or beam >= len(ids):
                     break
                 beam *= 2
@@ -280,7 +280,7 @@ def _query(least: float, recall: float, width: int, audited: int):
 
 def near_vectors(
     df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.95, recall: float = 0.99, width: int = 48, audited: int = 64,
-    shards: int = SHARDS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS,
+    shards: int = SHARDS, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Per row: vec_id, ``n_links``, ``component_id``, ``kept``.
 
@@ -298,7 +298,8 @@ def near_vectors(
     found = None
     for dim, total in sorted((r["dim"], r["count"]) for r in nodes.groupBy("dim").count().collect()):  # a few lengths
         some = nodes.where(F.col("dim") == dim)
-        parts, blocks = max(shards, -(-total // shard_rows)), max(3, -(-total // block_rows))
+        room, size = max(1, min(shard_rows, shard_bytes // (8 * dim))), max(1, block_bytes // (8 * dim))
+        parts, blocks = max(shards, -(-total // room)), max(3, -(-total // size))  # few blocks: the index goes to each
         placed = some.select(F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(parts)).cast("int").alias("shard"), "node", "n", "embedding")
         index = stored(placed.groupBy("shard").applyInArrow(build_shard, "shard int, ids binary, copies binary, vectors binary, layers binary, sizes array<int>"), "hnsw-index")
         index = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
