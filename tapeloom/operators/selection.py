@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import finite
+from tapeloom.sources.scratch import new_folder
+
+#: Offset from which on a page is taken from range partitions; below it, so many rows may pass through one task.
+DEEP = 100_000
 
 
 def last_n(df: DataFrame, keys: Sequence[str], time: str, count: int | None) -> DataFrame:
@@ -29,15 +33,55 @@ def keep_first(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 
 
 def page(df: DataFrame, order: Sequence[str | Column], limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Ordered page; the order must be total for a repeatable page."""
+    """Ordered page; the order must be total for a repeatable page. Offsets from ``DEEP`` on go by :class:`Pages`."""
     if offset < 0:
         raise ValueError("offset must not be negative")
+    if offset >= DEEP:
+        return Pages(df, order).page(limit, offset)
     ordered = df.orderBy(*order)
     if offset:
         ordered = ordered.offset(offset)
     return ordered if limit is None else ordered.limit(limit)
 
 
+class Pages:
+    """The pages of an ordered set: sorted once into range partitions, of which a page reads only those that hold it.
+
+    The partitions' row counts, one number each, tell where an offset falls; nothing but the partitions of a page is
+    sorted or passed on for it, at any depth. The sorted rows stay in the shared folder, so further pages cost their own
+    rows only. The order must be total for repeatable pages; rows alike in it keep the place they were written at.
+    """
+
+    def __init__(self, df: DataFrame, order: Sequence[str | Column], partitions: int | None = None):
+        spark = df.sparkSession
+        n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+        path = new_folder(spark, "pages")
+        ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*order)
+        ranged.write.partitionBy("_part").parquet(path)
+        self.order, self.columns = list(order), df.columns
+        self.table = spark.read.schema(ranged.schema).parquet(path)
+        self.counts = sorted((row["_part"], row["n"]) for row in self.table.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+
+    def holding(self, limit: int | None, offset: int) -> tuple[list[int], int]:
+        """Partitions that hold the page, and how many of their rows come before it."""
+        chosen, seen, skipped = [], 0, 0
+        for part, n in self.counts:
+            if seen + n > offset and (limit is None or seen < offset + limit):
+                if not chosen:
+                    skipped = offset - seen
+                chosen.append(part)
+            seen += n
+        return chosen, skipped
+
+    def page(self, limit: int | None = None, offset: int = 0) -> DataFrame:
+        if offset < 0:
+            raise ValueError("offset must not be negative")
+        chosen, skipped = self.holding(limit, offset)
+        rows = self.table.where(F.col("_part").isin(chosen)).orderBy("_part", *self.order).select(*self.columns)
+        rows = rows.offset(skipped) if skipped else rows
+        return rows if limit is None else rows.limit(limit)
+
+
 def cut_counts(df: DataFrame, limit: int | None) -> DataFrame:
     """One row (total_rows, returned_rows, truncated) for a result cut at ``limit``."""
     total = F.col("total_rows")

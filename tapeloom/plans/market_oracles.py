@@ -127,8 +127,8 @@ WITH {_STRATEGY}
 SELECT trade_date, code, active_buy_amount_proportion_all, price_band_state, mean_volume_5d_shares, ma10, ma20, ma40 FROM factors WHERE trade_date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30'""")
 ORACLES["e34_pit_period"] = using("reports_f reports_p", """
 SELECT code, report_period, announcement_date, f.value AS profit, COALESCE(f.order_count, p.order_count) AS order_count, p.value AS revenue
-FROM (SELECT * FROM reports_f WHERE QUARTER(report_period) <> 2 AND report_period = DATE '1998-04-01') f
-FULL OUTER JOIN (SELECT * FROM reports_p WHERE QUARTER(report_period) <> 4 AND report_period = DATE '1998-04-01') p USING (code, report_period, announcement_date)""")
+FROM (SELECT * FROM reports_f WHERE report_period = DATE '1998-04-01') f
+FULL OUTER JOIN (SELECT * FROM reports_p WHERE report_period = DATE '1998-04-01') p USING (code, report_period, announcement_date)""")
 ORACLES["e51_holder_changes"] = using("holder_counts", """
 WITH w AS (SELECT CAST(code AS VARCHAR) AS code, trade_date, holder_count, LAG(holder_count) OVER (ORDER BY trade_date) AS pre FROM holder_counts WHERE code = 7 AND trade_date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31')
 SELECT code, trade_date, holder_count, holder_count - pre AS change_count, ROUND((holder_count - pre) / NULLIF(pre, 0)::DOUBLE * 100, 4) AS change_pct FROM w""")
@@ -348,6 +348,32 @@ SELECT g AS "group", CASE WHEN COUNT(*) FILTER (WHERE n > 0) > 0 THEN 'unhealthy
 ORACLES["s1_stream_bars"] = f"""
 WITH b AS (SELECT event_type AS code, TIME_BUCKET(INTERVAL 30 MINUTE, ts) AS bar_time, MIN_BY(value, event_id) AS open, MAX(value) AS high, MIN(value) AS low, MAX_BY(value, event_id) AS close, COUNT(*) AS volume, {_money('value')} AS amount FROM events GROUP BY 1, 2)
 SELECT code, bar_time, bar_time + INTERVAL 30 MINUTE AS bar_end, open, high, low, close, volume, amount FROM b WHERE bar_time + INTERVAL 30 MINUTE <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE"""
+_FINISHED = f"""
+b1 AS (SELECT event_type AS code, TIME_BUCKET(INTERVAL 1 MINUTE, ts) AS bar_time, MIN_BY(value, event_id) AS open, MAX(value) AS high, MIN(value) AS low, MAX_BY(value, event_id) AS close, COUNT(*) AS volume, {_money('value')} AS amount
+  FROM events GROUP BY 1, 2 HAVING TIME_BUCKET(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE)"""
+
+
+def _coarser(name: str, minutes: int, finer: str) -> str:
+    return f"""
+{name} AS (SELECT * FROM (SELECT code, TIME_BUCKET(INTERVAL {minutes} MINUTE, bar_time) AS bar_time, MIN_BY(open, bar_time) AS open, MAX(high) AS high, MIN(low) AS low, MAX_BY(close, bar_time) AS close, SUM(volume) AS volume, SUM(amount) AS amount
+  FROM {finer} GROUP BY 1, TIME_BUCKET(INTERVAL {minutes} MINUTE, bar_time)) WHERE bar_time + INTERVAL {minutes} MINUTE <= (SELECT MAX(bar_time) FROM {finer}))"""
+
+
+ORACLES["s1_chained_bars"] = f"WITH {_FINISHED}, {_coarser('b5', 5, 'b1')}, {_coarser('b30', 30, 'b5')}, {_coarser('b60', 60, 'b30')} " + " UNION ALL ".join(
+    f"SELECT '{width}' AS width, code, bar_time, open, high, low, close, volume::BIGINT AS volume, ROUND(amount, 2) AS amount FROM {name}"
+    for name, width in (("b1", "1 minute"), ("b5", "5 minutes"), ("b30", "30 minutes"), ("b60", "60 minutes")))
+ORACLES["s3_session_audit"] = f"""
+WITH {_FINISHED} SELECT code, CAST(bar_time AS DATE) AS trade_date, COUNT(*) AS minute_count, 240 - COUNT(*) AS missing_count, STRFTIME(MIN(bar_time), '%H:%M') AS first_minute, STRFTIME(MAX(bar_time), '%H:%M') AS last_minute
+FROM b1 WHERE HOUR(bar_time) * 60 + MINUTE(bar_time) BETWEEN 571 AND 690 OR HOUR(bar_time) * 60 + MINUTE(bar_time) BETWEEN 781 AND 900
+GROUP BY 1, 2 HAVING CAST(bar_time AS DATE) + INTERVAL 901 MINUTE <= (SELECT MAX(bar_time) FROM b1)"""
+ORACLES["s4_sources_joined"] = """
+WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, ts AS source_ts, event_id AS source_id FROM events WHERE event_type = 'click'),
+j AS (SELECT p.*, source_ts, source_id FROM p LEFT JOIN c ON p.user_id = c.user_id AND source_ts >= ts AND source_ts <= ts + INTERVAL 30 MINUTE)
+SELECT * FROM j WHERE source_id IS NOT NULL OR ts + INTERVAL 30 MINUTE < LEAST((SELECT MAX(ts) FROM p), (SELECT MAX(source_ts) FROM c)) - INTERVAL 10 MINUTE"""
+ORACLES["q13_stored_levels"] = using("bars_minute", " UNION ALL ".join(
+    f"SELECT '{freq}' AS freq, code, MAX(CAST(bar_time AS DATE)) AS trade_time, ARG_MIN(open, bar_time) AS open, MAX(high) AS high, MIN(low) AS low, ARG_MAX(close, bar_time) AS close, SUM(volume)::DOUBLE AS volume, ROUND(SUM(amount), 2) AS amount, COUNT(*) AS bar_count FROM bars_minute GROUP BY code, DATE_TRUNC('{unit}', bar_time)"
+    for freq, unit in (("1d", "day"), ("1w", "week"), ("1mo", "month"))))
+ORACLES["c14_observed"] = using("faulty_bars", f"{_OHLC_CHECK} UNION ALL {_SIGN_CHECKS}".replace(f"WHERE {_RECENT} AND", "WHERE"))
 ORACLES["s2_upsert"] = f"""
 SELECT event_type AS code, TIME_BUCKET(INTERVAL 1 HOUR, ts) AS bar_time, MIN_BY(value, event_id) AS open, MAX_BY(value, event_id) AS close, COUNT(*) AS volume, {_money('value')} AS amount FROM events GROUP BY 1, 2"""
 ORACLES["s3_gap_audit"] = using("bars_minute", f"WITH {_SESSION} SELECT trade_date, minute_count, first_minute, last_minute, issue FROM issues WHERE issue <> ''")
@@ -362,4 +388,4 @@ WITH {_NEWS} SELECT trade_date, COUNT(*) AS event_count, COUNT(*) FILTER (WHERE
 ORACLES["io4_result_round_trip"] = using("faulty_bars", f"{_OHLC_CHECK} UNION ALL {_SIGN_CHECKS}")
 ORACLES["io5_fill_write_back"] = f"""
 WITH s AS (SELECT p_brand AS code, CAST(DATE_TRUNC('month', l_shipdate) AS DATE) AS month, l_returnflag AS flag, {_money('l_quantity')} AS volume FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('R', 'A', 'N') GROUP BY 1, 2, 3)
-SELECT code, month, volume, flag FROM s WHERE flag <> 'R' OR QUARTER(month) <> 2 QUALIFY ROW_NUMBER() OVER (PARTITION BY code, month ORDER BY CASE flag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) = 1"""
+SELECT code, month, volume, flag FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY code, month ORDER BY CASE flag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) = 1"""

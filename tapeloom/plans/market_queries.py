@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from tapeloom.operators.news import news_events, news_lag
 from tapeloom.operators.series import previous_change
 from tapeloom.plans.catalog import query, round_columns, rounded
-from tapeloom.plans.quotes import QuoteRequest, minute_quotes
+from tapeloom.plans.quotes import QuoteRequest, minute_quotes, session_ends
 from tapeloom.plans.series_queries import pit_sources, stock_changes, strategy_rows, with_factor
 from tapeloom.plans.views import etf_quote_result, query_view, stock_quote_result, view_counts
 from tapeloom.quality.checks import CONTRACT_TABLES, Checks, Rule, completed_days, session_days, session_issues
 from tapeloom.quality.contract import compare_expectations, contract_metrics, weighted_pct
 from tapeloom.quality.health import run_health
-from tapeloom.session import shared_folder
+from tapeloom.sources.bar_store import BarStore
 from tapeloom.sources.market_tables import MarketTables, exact_sum
+from tapeloom.sources.scratch import new_folder, written
 from tapeloom.sources.store import MarketStore, read_profiles, read_result, rules_of, write_result
 from tapeloom.streaming import jobs
 
@@ -438,14 +439,12 @@ def _(t: MarketTables) -> DataFrame:
 
 
 def _new_folder(t: MarketTables, name: str) -> str:
-    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return new_folder(t.spark, name)
 
 
 def stored(t: MarketTables, df: DataFrame) -> DataFrame:
     """The rows written once below the shared folder: the contract reads each fact several times."""
-    path = _new_folder(t, "contract")
-    df.write.parquet(path)
-    return t.spark.read.parquet(path)
+    return written(df, "contract")
 
 
 def contract_tables(t: MarketTables) -> dict[str, DataFrame]:
@@ -502,7 +501,11 @@ def _(t: MarketTables) -> DataFrame:
 
 @query("c03_table_exists")
 def _(t: MarketTables) -> DataFrame:
-    return checks_over(t).run((Rule("table_exists", "fact.lines"), Rule("table_exists", "fact.nowhere")))
+    """A table written to a store and one that was not, looked up in the store."""
+    store = MarketStore(t.spark, _new_folder(t, "store"))
+    store.write("fact.lines", t.trades.groupBy("trade_date").agg(F.count("*").alias("lines")))
+    names = ("fact.lines", "fact.nowhere")
+    return Checks(t.spark, {name: store.find(name) for name in names}, AS_OF).run([Rule("table_exists", name) for name in names])
 
 
 @query("c20_contract_rules")
@@ -542,16 +545,35 @@ def _(t: MarketTables) -> DataFrame:
 
 @query("io5_fill_write_back")
 def _(t: MarketTables) -> DataFrame:
-    """Monthly volumes of one return flag stored, absent months filled from the other flags, written back and read."""
+    """Monthly volumes of returned lines stored, months without any filled from the other flags, written back and read."""
     def source(flag: str) -> DataFrame:
         month = F.date_trunc("month", "trade_date").cast("date").alias("month")
         return t.trades.where(F.col("l_returnflag") == flag).groupBy(F.col("p_brand").alias("code"), month).agg(exact_sum("l_quantity").alias("volume"), F.lit(flag).alias("flag"))
 
     store = MarketStore(t.spark, _new_folder(t, "store"))
-    store.write("fact.volumes", source("R").where(F.quarter("month") != 2), "month", ["code"])
+    store.write("fact.volumes", source("R"), "month", ["code"])
     return store.fill_and_write_back("fact.volumes", [source("A"), source("N")], ["code", "month"], "month")
 
 
+@query("q13_stored_levels")
+def _(t: MarketTables) -> DataFrame:
+    """Daily, weekly and monthly bars merged from stored states; every seventh minute first comes wrong and is corrected."""
+    store = BarStore(t.spark, _new_folder(t, "levels"))
+    minutes = t.bars_minute
+    wrong = F.minute("bar_time") % 7 == 0
+    store.apply(minutes.withColumns({name: F.when(wrong, F.col(name) + 1000).otherwise(F.col(name)) for name in ("open", "high", "low", "close", "amount")}))
+    store.apply(minutes.where(wrong))
+    levels = [store.bars(freq).withColumns({"freq": F.lit(freq), "trade_time": F.col("trade_time").cast("date")}) for freq in ("1d", "1w", "1mo")]
+    return round_columns(reduce(DataFrame.unionByName, levels), ["amount"], 2)
+
+
+@query("c14_observed")
+def _(t: MarketTables) -> DataFrame:
+    """Row checks observed while a table is written, without reading it again."""
+    store, rows = MarketStore(t.spark, _new_folder(t, "observed")), faulty_bars(t)
+    return store.write_checked("fact.bars", rows, checks_over(t), RULES["c13_ohlc"] + RULES["c14_non_negative"])
+
+
 # -- streaming ---------------------------------------------------------------------------------------------------
 
 
@@ -568,6 +590,38 @@ def _(t: MarketTables) -> DataFrame:
     return rows.select("code", *(F.col(name).cast("timestamp_ntz").alias(name) for name in ("bar_time", "bar_end")), "open", "high", "low", "close", "volume", rounded("amount", 2).alias("amount"))
 
 
+@query("s1_chained_bars")
+def _(t: MarketTables) -> DataFrame:
+    """Bars of 1, 5, 30 and 60 minutes, each level a stream over the stored bars of the one before."""
+    folder, widths = _new_folder(t, "chained-bars"), ("1 minute", "5 minutes", "30 minutes", "60 minutes")
+    jobs.append_to(jobs.live_bars(_events_stream(t)), f"{folder}/bars/1-minute", f"{folder}/checkpoint/1-minute").awaitTermination()
+    jobs.chain_bars(t.spark, f"{folder}/bars", f"{folder}/checkpoint", widths)
+    levels = [t.spark.read.parquet(f"{folder}/bars/{width.replace(' ', '-')}").withColumn("width", F.lit(width)) for width in widths]
+    rows = reduce(DataFrame.unionByName, levels)
+    return rows.select("width", "code", F.col("bar_time").cast("timestamp_ntz").alias("bar_time"), "open", "high", "low", "close", "volume", rounded("amount", 2).alias("amount"))
+
+
+@query("s3_session_audit")
+def _(t: MarketTables) -> DataFrame:
+    """Missing session minutes of each code and day, from a stream of finished minute bars when the day's close has passed."""
+    folder = _new_folder(t, "session-audit")
+    jobs.append_to(jobs.live_bars(_events_stream(t)), f"{folder}/bars", f"{folder}/checkpoint/bars").awaitTermination()
+    bars = t.spark.readStream.schema(t.spark.read.parquet(f"{folder}/bars").schema).parquet(f"{folder}/bars")
+    jobs.append_to(jobs.session_audit(bars, session_ends(1)), f"{folder}/days", f"{folder}/checkpoint/days").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/days")
+
+
+@query("s4_sources_joined")
+def _(t: MarketTables) -> DataFrame:
+    """Purchases with the clicks of the same user in the half hour after, joined while both streams run."""
+    folder = _new_folder(t, "sources")
+    one, two = (_events_stream(t).where(F.col("code") == kind) for kind in ("purchase", "click"))
+    events, sources = one.select("event_id", "user_id", "ts"), two.select("user_id", F.col("ts").alias("source_ts"), F.col("event_id").alias("source_id"))
+    jobs.append_to(jobs.with_sources(events, sources, ["user_id"], "ts", "source_ts"), f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    rows = t.spark.read.parquet(f"{folder}/rows")
+    return rows.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("ts", "source_ts")})
+
+
 @query("s2_upsert")
 def _(t: MarketTables) -> DataFrame:
     """Bars of all windows, open ones included, upserted by key from a stream in update mode."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import ratio
 from tapeloom.operators.bars import adjust_prices, completeness, fill_suspended, rollup_days, rollup_minutes
+from tapeloom.operators.bits import bit_counts, day_bits, expected_bits, missing_bits, missing_times
 from tapeloom.operators.lookback import rows_before
 from tapeloom.operators.predicates import in_days, in_times, keep_entities, option, parse_day
 from tapeloom.operators.selection import cut_counts, drop_flagged_entities, drop_flagged_rows, last_n, page, pick_fields
@@ -115,12 +116,13 @@ def day_quotes(table: DataFrame, calendar: DataFrame, request: QuoteRequest, exc
         shaped = shaped.withColumn("open", F.lit(None).cast("double"))
     trimmed = last_n(shaped, ["code"], "trade_time", request.count)
     cut = page(trimmed, ["trade_time", "code"], request.limit or None)
-    codes, meta = _meta(covered, wanted, days, trimmed, cut, request)
+    coverage = completeness(covered, wanted, days).drop("row_count", "first_trade_time", "last_trade_time", "complete")
+    codes, meta = _meta(coverage, trimmed, cut, request)
     return QuoteResult(pick_fields(cut, request.fields, STOCK_QUOTE_FIELDS), detailed(codes, request.meta_detail), meta)
 
 
-def _meta(covered: DataFrame, wanted: DataFrame, days, trimmed: DataFrame, cut: DataFrame, request: QuoteRequest, key: str = "code") -> tuple[DataFrame, DataFrame]:
-    coverage = completeness(covered, wanted, days, key).drop("row_count", "first_trade_time", "last_trade_time", "complete")
+def _meta(coverage: DataFrame, trimmed: DataFrame, cut: DataFrame, request: QuoteRequest, key: str = "code") -> tuple[DataFrame, DataFrame]:
+    """Per code, its coverage with what was returned of it; and the summary row."""
     returned = cut.groupBy(key).agg(
         F.count("*").alias("row_count"), F.min("trade_time").alias("first_trade_time"), F.max("trade_time").alias("last_trade_time")
     )
@@ -151,14 +153,22 @@ def minute_quotes(table: DataFrame, calendar: DataFrame, request: QuoteRequest,
     cut = page(trimmed, ["trade_time", key], request.limit or None)
     first, last = (parse_day(request.trade_date or day) for day in (request.start_date, request.end_date))
     days = open_days(calendar, exchange, None if first is None else F.lit(first), None if last is None else F.lit(last))
-    midnights = table.sparkSession.range(1).select(F.explode(days).alias("d"))
-    expected = midnights.select(F.explode(F.array(*[F.col("d").cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(m)) for m in session_ends(minutes, sessions)])).alias("end"))
-    expected = expected.where(in_times("end", request.start_time, request.end_time))
-    ends = F.coalesce(expected.agg(F.array_sort(F.collect_list("end"))).scalar(), F.array().cast("array<timestamp_ntz>"))
     wanted = table.sparkSession.createDataFrame([(code,) for code in request.codes], f"{key} string")
-    codes, meta = _meta(trimmed.withColumn("trade_date", F.col("trade_time")), wanted, ends, trimmed, cut, request, key)
-    codes = codes.withColumnRenamed("missing_trade_dates", "missing_trade_times")
-    return QuoteResult(pick_fields(cut, request.fields, fields), detailed(codes, request.meta_detail), meta)
+    ends, full = session_ends(minutes, sessions), option("meta_detail", request.meta_detail) == "full"
+    expected = expected_bits(expected_times(days, ends, table.sparkSession).where(in_times("end", request.start_time, request.end_time)), "end", ends)
+    bits = day_bits(trimmed.where(F.col("close").isNotNull()), [key], "trade_time", ends)
+    coverage = bit_counts(bits, wanted, expected, key)
+    if full:
+        listed = missing_times(missing_bits(bits, wanted, expected, key), key, ends)
+        coverage = coverage.join(listed, key, "left").withColumn("missing_trade_times", F.coalesce("missing_trade_times", F.array().cast("array<timestamp_ntz>")))
+    codes, meta = _meta(coverage, trimmed, cut, request, key)
+    return QuoteResult(pick_fields(cut, request.fields, fields), codes, meta)
+
+
+def expected_times(days, ends: Sequence[int], spark) -> DataFrame:
+    """(end): the bar ends of the expected days, an array."""
+    midnights = spark.range(1).select(F.explode(days).alias("d"))
+    return midnights.select(F.explode(F.array(*[F.col("d").cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(m)) for m in ends])).alias("end"))
 
 
 def _freq_option(key: str) -> str:
@@ -172,10 +182,8 @@ def session_ends(minutes: int, sessions=SESSIONS) -> list[int]:
 
 
 def detailed(codes: DataFrame, meta_detail: str) -> DataFrame:
-    """Per-code completeness; ``summary`` (the default) has counts only, ``full`` the missing days or times too."""
-    if option("meta_detail", meta_detail) == "full":
-        return codes
-    return codes.drop("missing_trade_dates", "missing_trade_times")
+    """Per-code completeness; ``summary`` (the default) has counts only, ``full`` the missing days too."""
+    return codes if option("meta_detail", meta_detail) == "full" else codes.drop("missing_trade_dates")
 
 
 def minute_bars(table: DataFrame, request: QuoteRequest, key: str = "code", sessions=SESSIONS) -> DataFrame:

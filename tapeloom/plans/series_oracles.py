@@ -35,7 +35,19 @@ ORACLES["q06_cut"] = using("bars_sparse", "SELECT COUNT(*) AS total_rows, LEAST(
 ORACLES["q07_exclude_entity"] = using("stock_daily", "SELECT market, code, trade_date, volume FROM stock_daily WHERE (market, code) NOT IN (SELECT (market, code) FROM stock_daily WHERE is_st)")
 ORACLES["q08_skip_suspended"] = using("stock_daily", "SELECT market, code, trade_date, volume FROM stock_daily WHERE (market, code) NOT IN (SELECT (market, code) FROM stock_daily WHERE is_st) AND NOT is_suspended")
 ORACLES["q09_page"] = using("stock_daily", "SELECT trade_date, code, volume FROM stock_daily ORDER BY trade_date, code LIMIT 250 OFFSET 1000")
+ORACLES["q09_deep_page"] = """
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+QUALIFY ROW_NUMBER() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) - 1 - (SELECT 3 * COUNT(*) // 4 FROM lineitem) BETWEEN 0 AND 199"""
 ORACLES["q10_project"] = using("bars_sparse", "SELECT code, trade_date, high FROM bars_sparse")
+_GRID = """
+slots AS (SELECT d + TO_MINUTES(CAST(m AS INT)) AS t0 FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), (SELECT 570 + k AS m FROM RANGE(1, 121) x(k) UNION ALL SELECT 780 + k FROM RANGE(1, 121) x(k))),
+grid AS (SELECT code, t0, ROW_NUMBER() OVER (PARTITION BY code ORDER BY t0) AS n FROM (SELECT DISTINCT code FROM bars_minute), slots)"""
+ORACLES["q11_minute_completeness"] = using("bars_minute", f"""
+WITH {_GRID} SELECT g.code, COUNT(*) AS expected_bar_count, COUNT(b.code) AS actual_bar_count, COUNT(*) - COUNT(b.code) AS missing_count
+FROM grid g LEFT JOIN bars_minute b ON b.code = g.code AND b.bar_time = g.t0 GROUP BY 1""")
+ORACLES["w16_minute_gaps"] = using("bars_minute", f"""
+WITH {_GRID}, gone AS (SELECT code, t0, n - ROW_NUMBER() OVER (PARTITION BY code ORDER BY n) AS island FROM grid g WHERE NOT EXISTS (FROM bars_minute b WHERE b.code = g.code AND b.bar_time = g.t0))
+SELECT code, MIN(t0) AS start_time, MAX(t0) AS end_time, COUNT(*) AS bar_count FROM gone GROUP BY code, island""")
 ORACLES["q11_completeness"] = using("calendar bars_sparse", """
 WITH days AS (SELECT trade_date FROM calendar WHERE YEAR(trade_date) = 1997), codes AS (SELECT DISTINCT p_brand AS code FROM part),
 grid AS (SELECT c.code, d.trade_date, b.close FROM codes c CROSS JOIN days d LEFT JOIN bars_sparse b ON b.code = c.code AND b.trade_date = d.trade_date),
@@ -90,7 +102,7 @@ SELECT brands.code, COUNT(b.trade_date) AS bar_count FROM brands CROSS JOIN days
 ORACLES["j04_valid_join"] = using("stock_daily membership", f"""
 SELECT m.concept_id, s.trade_date, COUNT(*) AS member_count, {_money('s.volume')} AS volume FROM stock_daily s JOIN membership m ON m.stock_market = s.market AND m.stock_code = s.code
  AND s.trade_date >= m.valid_from AND (m.valid_to IS NULL OR s.trade_date <= m.valid_to) GROUP BY 1, 2""")
-ORACLES["j04_valid_join_by_year"] = ORACLES["j04_valid_join"]
+ORACLES["j04_valid_join_by_year"] = ORACLES["j04_valid_join_by_cover"] = ORACLES["j04_valid_join"]
 ORACLES["j05_anti"] = "SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
 ORACLES["j06_members_without_bar"] = using("stock_daily membership", """
 SELECT m.concept_id, m.stock_market, m.stock_code FROM membership m LEFT JOIN stock_daily s ON s.market = m.stock_market AND s.code = m.stock_code AND s.trade_date = DATE '1997-03-03' AND NOT s.is_suspended
@@ -108,7 +120,7 @@ _SIDE = """SELECT p_brand AS code, CAST(DATE_TRUNC('month', l_shipdate) AS DATE)
   CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount, CASE WHEN COUNT(*) % 2 = 0 THEN '{flag}' ELSE '' END AS note
 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = '{flag}' GROUP BY 1, 2"""
 ORACLES["j10_merge"] = f"""
-WITH r AS (SELECT * FROM ({_SIDE.format(flag='R')}) WHERE MONTH(month) <> 4), a AS ({_SIDE.format(flag='A')}), n AS ({_SIDE.format(flag='N')}),
+WITH r AS ({_SIDE.format(flag='R')}), a AS ({_SIDE.format(flag='A')}), n AS ({_SIDE.format(flag='N')}),
 k AS (SELECT code, month FROM r UNION SELECT code, month FROM a UNION SELECT code, month FROM n)
 SELECT k.code, k.month, COALESCE(r.volume, a.volume, n.volume) AS volume, COALESCE(r.amount, a.amount, n.amount) AS amount,
   COALESCE(NULLIF(r.note, ''), NULLIF(a.note, ''), NULLIF(n.note, ''), r.note, a.note, n.note) AS note
@@ -117,7 +129,7 @@ ORACLES["j11_left_two_keys"] = using("stock_daily membership", """
 SELECT m.concept_id, COUNT(*) AS member_count, COUNT(s.volume) AS with_bar FROM membership m LEFT JOIN stock_daily s ON s.market = m.stock_market AND s.code = m.stock_code AND s.trade_date = DATE '1997-03-03' GROUP BY 1""")
 ORACLES["j12_pit_merge"] = using("reports_f reports_p", """
 SELECT code, report_period, announcement_date, f.value AS profit, COALESCE(f.order_count, p.order_count) AS order_count, p.value AS revenue
-FROM (SELECT * FROM reports_f WHERE QUARTER(report_period) <> 2) f FULL OUTER JOIN (SELECT * FROM reports_p WHERE QUARTER(report_period) <> 4) p USING (code, report_period, announcement_date)""")
+FROM reports_f f FULL OUTER JOIN reports_p p USING (code, report_period, announcement_date)""")
 ORACLES["j13_column_exists"] = using("stock_ref", """
 SELECT 'board_type' AS column_name, CAST(0 AS BIGINT) AS missing_column, COUNT(*) FILTER (WHERE board_type = '') AS blank_count FROM stock_ref
 UNION ALL SELECT 'industry', 1, COUNT(*) FROM stock_ref""")
@@ -135,6 +147,10 @@ ORACLES["j17_asof"] = using("reports_f", f"""
 WITH daily AS (SELECT c_nationkey AS code, CAST(o_orderdate AS DATE) AS trade_date, {_money('o_totalprice')} AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
 SELECT d.code, d.trade_date, d.total, r.announcement_date, r.report_period, r.value AS profit FROM daily d ASOF LEFT JOIN reports_f r ON d.code = r.code AND d.trade_date >= r.announcement_date""")
 
+ORACLES["j17_asof_blocks"] = """
+WITH seen AS (SELECT user_id, ts AS seen_at, MAX(event_id) AS seen_id, ARG_MAX(value, event_id) AS seen_value FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+SELECT b.event_id, b.user_id, b.ts, s.seen_at, s.seen_id, s.seen_value FROM (FROM events WHERE event_type = 'purchase') b ASOF LEFT JOIN seen s ON b.user_id = s.user_id AND b.ts >= s.seen_at"""
+
 ORACLES["a01_counts"] = using("membership", "SELECT concept_id, COUNT(*) AS member_count FROM membership GROUP BY 1")
 ORACLES["a02_filtered_count"] = using("stock_daily", "SELECT market, COUNT(*) AS row_count, COUNT(*) FILTER (WHERE is_st) AS st_count, COUNT(*) FILTER (WHERE is_suspended) AS suspended_count FROM stock_daily GROUP BY 1")
 ORACLES["a03_distinct_days"] = "SELECT p_type, COUNT(DISTINCT CAST(l_shipdate AS DATE)) AS day_count FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"

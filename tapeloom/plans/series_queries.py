@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import scalars as S
 from tapeloom.operators import bars as B
-from tapeloom.operators import factors, indicators, merge, predicates as P, selection, series
+from tapeloom.operators import asof, bits, factors, indicators, intervals, merge, predicates as P, selection, series
 from tapeloom.plans.catalog import query, round_columns, rounded
+from tapeloom.plans.quotes import expected_times, session_ends
 from tapeloom.sources.market_tables import MarketTables, exact_sum
 from tapeloom.sources.store import availability
 
@@ -110,6 +111,14 @@ def _(t: MarketTables) -> DataFrame:
     return selection.page(t.stock_daily, ["trade_date", "code"], 250, 1000).select("trade_date", "code", "volume")
 
 
+@query("q09_deep_page")
+def _(t: MarketTables) -> DataFrame:
+    """A page three quarters down all trades, dearest first, from range partitions."""
+    rows = t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    pages = selection.Pages(rows, [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber"])
+    return pages.page(200, 3 * sum(n for _, n in pages.counts) // 4)
+
+
 @query("q10_project")
 def _(t: MarketTables) -> DataFrame:
     return selection.pick_fields(t.bars_sparse, "code, trade_date,high", ("code", "trade_date", "high", "low"))
@@ -124,6 +133,26 @@ def _(t: MarketTables) -> DataFrame:
     return meta.withColumn("missing_trade_dates", F.array_join(F.transform("missing_trade_dates", lambda d: d.cast("string")), ","))
 
 
+def _minute_bits(t: MarketTables):
+    """Bits of all minute bars, the codes, and the expected minutes of the sessions of every day with events."""
+    ends = session_ends(1)
+    days = series.open_days(t.news.select(F.lit("SSE").alias("exchange"), "trade_date", F.lit(True).alias("is_open")).distinct())
+    return bits.day_bits(t.bars_minute, ["code"], "bar_time", ends), t.bars_minute.select("code").distinct(), bits.expected_bits(expected_times(days, ends, t.spark), "end", ends), ends
+
+
+@query("q11_minute_completeness")
+def _(t: MarketTables) -> DataFrame:
+    held, codes, expected, _ = _minute_bits(t)
+    return bits.bit_counts(held, codes, expected, "code")
+
+
+@query("w16_minute_gaps")
+def _(t: MarketTables) -> DataFrame:
+    """Ranges of consecutive session minutes without a bar, over nights and breaks."""
+    held, codes, expected, ends = _minute_bits(t)
+    return bits.missing_bar_ranges(bits.missing_bits(held, codes, expected, "code"), "code", ends)
+
+
 @query("q12_fill")
 def _(t: MarketTables) -> DataFrame:
     return B.fill_suspended(t.bars_sparse, series.open_days(t.calendar))
@@ -225,9 +254,10 @@ def _(t: MarketTables) -> DataFrame:
     return brands.join(counts, "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("bar_count"))
 
 
-def _valid_members(t: MarketTables, horizon) -> DataFrame:
+def _valid_members(t: MarketTables, horizon, cover: bool = False) -> DataFrame:
     members = t.membership.withColumnsRenamed({"stock_market": "market", "stock_code": "code"})
-    joined = merge.interval_join(t.stock_daily, members, ["market", "code"], DAY, horizon=horizon)
+    keys = ["market", "code"]
+    joined = intervals.cover_join(t.stock_daily, members, keys, DAY) if cover else merge.interval_join(t.stock_daily, members, keys, DAY, horizon=horizon)
     return joined.groupBy("concept_id", "trade_date").agg(F.count("*").alias("member_count"), exact_sum("volume").alias("volume"))
 
 
@@ -242,6 +272,12 @@ def _(t: MarketTables) -> DataFrame:
     return _valid_members(t, t.raw("lineitem").agg(F.max("l_shipdate").cast("date")).scalar())
 
 
+@query("j04_valid_join_by_cover")
+def _(t: MarketTables) -> DataFrame:
+    """The same with every interval as its dyadic cover."""
+    return _valid_members(t, None, cover=True)
+
+
 @query("j05_anti")
 def _(t: MarketTables) -> DataFrame:
     return t.raw("customer").join(t.raw("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_nationkey")
@@ -300,8 +336,7 @@ def _side(t: MarketTables, flag: str) -> DataFrame:
 
 @query("j10_merge")
 def _(t: MarketTables) -> DataFrame:
-    high = _side(t, "R").where(F.month("month") != 4)
-    return merge.priority_merge([high, _side(t, "A"), _side(t, "N")], ["code", "month"])
+    return merge.priority_merge([_side(t, "R"), _side(t, "A"), _side(t, "N")], ["code", "month"])
 
 
 @query("j11_left_two_keys")
@@ -323,8 +358,8 @@ def _reports(t: MarketTables, status: str, value: str) -> DataFrame:
 
 
 def pit_sources(t: MarketTables) -> tuple[DataFrame, DataFrame]:
-    """Two sources of quarterly facts: the first has no second quarters, the second no fourth quarters."""
-    return _reports(t, "F", "profit").where(F.quarter("report_period") != 2), _reports(t, "P", "revenue").where(F.quarter("report_period") != 4)
+    """Two sources of quarterly facts, of finished and of pending orders; few quarters have both."""
+    return _reports(t, "F", "profit"), _reports(t, "P", "revenue")
 
 
 @query("j12_pit_merge")
@@ -379,6 +414,15 @@ def _(t: MarketTables) -> DataFrame:
     return merge.as_of_latest(totals, reports, CODE, DAY, "announcement_date")
 
 
+@query("j17_asof_blocks")
+def _(t: MarketTables) -> DataFrame:
+    """Every purchase with the latest view of the same user, carried over blocks of four days: two sides of the same size."""
+    events = t.raw("events").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "value")
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    seen = events.where("event_type = 'view'").select("user_id", F.col("ts").alias("seen_at"), F.col("event_id").alias("seen_id"), F.col("value").alias("seen_value"))
+    return asof.as_of_blocks(bought, seen, ["user_id"], "ts", "seen_at", lambda time: asof.day_blocks(time, 4), tie=["seen_id"])
+
+
 # -- aggregations ------------------------------------------------------------------------------------------------
 
 

@@ -8,17 +8,18 @@ lazy frame of check rows (check_id, title, status, result_text, error_text).
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import invalid_number
 from tapeloom.operators.predicates import recent
 from tapeloom.operators.series import open_days
 from tapeloom.quality.contract import compare_expectations, contract_metrics, duplicate_keys
+from tapeloom.quality.ledger import KeyLedger
 
 # Primary key of each known table.
 PRIMARY_KEYS = {
@@ -63,7 +64,11 @@ MORNING, AFTERNOON = (9 * 60 + 31, 11 * 60 + 30), (13 * 60 + 1, 15 * 60)
 
 @dataclass(frozen=True)
 class Rule:
-    """One configured check. ``reference`` and ``reference_keys`` name the table and columns a key must exist in."""
+    """One configured check. ``reference`` and ``reference_keys`` name the table and columns a key must exist in.
+
+    ``max_members`` and ``member_lookback_days`` bound the contract's recomputation as its definition does (500 members,
+    20 days); without them nothing is left out.
+    """
 
     type: str
     object: str = ""
@@ -82,6 +87,8 @@ class Rule:
     reference: str = ""
     reference_keys: tuple[str, ...] = ()
     max_idle_days: int = 30
+    max_members: int | None = None
+    member_lookback_days: int | None = None
 
 
 @dataclass
@@ -95,6 +102,7 @@ class Checks:
     calendar_name: str = "ref.trade_calendar"
     time_columns: Mapping[str, str] = field(default_factory=lambda: dict(TIME_COLUMNS))
     primary_keys: Mapping[str, Sequence[str]] = field(default_factory=lambda: dict(PRIMARY_KEYS))
+    key_ledger: str = ""  # a folder: key checks of tables stored by day look at changed days only
 
     # -- building blocks ---------------------------------------------------------------------------
 
@@ -174,6 +182,30 @@ class Checks:
         nothing = self.spark.createDataFrame([], CHECK_SCHEMA)
         return reduce(DataFrame.unionByName, [frame.select(*CHECK_FIELDS) for frame in singles] or [nothing])
 
+    def watch(self, df: DataFrame, name: str, rules: Sequence[Rule]) -> tuple[DataFrame, Callable[[], DataFrame]]:
+        """``df`` as it is, and a function that gives the row rules' check rows of all its rows once it has been written.
+
+        The rules' metrics are observed while the rows pass by on their way to an action, so they cost no scan. Rules
+        that compare rows with each other or with other tables cannot be told that way and are an error.
+        """
+        wanted = list({rule.check_id: rule for rule in reversed([self.named(rule) for rule in rules])}.values())[::-1]
+        other = [rule.type for rule in wanted if rule.type not in FOLDED or rule.object != name]
+        if other:
+            raise ValueError(f"cannot be observed on {name}: {', '.join(other)}")
+        parts = [FOLDED[rule.type](self, rule) for rule in wanted]
+        seen = Observation()
+        metrics = [metric.alias(f"m{i}") for i, (metric, _) in enumerate(parts)]
+        watched = df.observe(seen, *metrics) if metrics else df
+
+        def rows() -> DataFrame:
+            nothing = self.spark.createDataFrame([], CHECK_SCHEMA)
+            if not parts:
+                return nothing
+            found = self.spark.createDataFrame([tuple(seen.get[f"m{i}"] for i in range(len(parts)))], df.agg(*metrics).schema)
+            return nothing.unionByName(found.select(F.inline(F.array(*(outcome(F.col(f"m{i}")) for i, (_, outcome) in enumerate(parts))))))
+
+        return watched, rows
+
     def named(self, rule: Rule) -> Rule:
         """Rule with its check id and title filled in."""
         name = rule.object
@@ -336,7 +368,12 @@ def _duplicates(checks: Checks, rule: Rule) -> DataFrame:
     healthy = "无" if rule.type == "primary_key_duplicate_absent" else "正常"
     if not keys:
         return checks.fixed(rule.check_id, rule.title, "not_applicable", "不适用")
-    found = duplicate_keys(checks.table(rule.object), keys).limit(1).agg(F.count("*").alias("n"))
+    table, day = checks.table(rule.object), checks.time_columns.get(rule.object, "trade_date")
+    if checks.key_ledger and dict(table.dtypes).get(day) == "date":
+        repeated = KeyLedger(checks.spark, f"{checks.key_ledger.rstrip('/')}/{rule.object}/{'-'.join(keys)}", keys, day).update(table)
+    else:
+        repeated = duplicate_keys(table, keys)
+    found = repeated.limit(1).agg(F.count("*").alias("n"))
     return found.select(F.inline(F.array(checks.verdict(rule.check_id, rule.title, F.col("n") > 0, F.lit("存在主键重复记录"), healthy))))
 
 
@@ -457,7 +494,8 @@ def _contract(checks: Checks, rule: Rule) -> DataFrame:
     absent = [name for name in required if checks.table(name) is None]
     if absent:
         return checks.fixed(rule.check_id, rule.title, "unknown", "未执行", "缺少依赖表 " + ", ".join(absent))
-    metrics = contract_metrics({short: checks.table(name) for name, short in CONTRACT_TABLES.items()}, rule.index_code)
+    tables = {short: checks.table(name) for name, short in CONTRACT_TABLES.items()}
+    metrics = contract_metrics(tables, rule.index_code, rule.max_members, rule.member_lookback_days, checks.key_ledger)
     compared = compare_expectations(metrics, rule.metrics)
     sign = F.when(F.col("operator") == "gte", ">=").otherwise("=")
     failed = F.col("status") == "unhealthy"

@@ -17,6 +17,7 @@ from tapeloom.functions.scalars import blank, differs, garbled_name, ratio, vali
 from tapeloom.operators.lookback import rows_before
 from tapeloom.operators.predicates import valid_on
 from tapeloom.operators.series import latest_days
+from tapeloom.quality.ledger import KeyLedger
 
 # Metric, expected value, operator, title.
 EXPECTATIONS = (
@@ -72,12 +73,13 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
 
 
-def contract_metrics(tables: Mapping[str, DataFrame], index_code: str, max_members: int | None = None, look_back_days: int | None = None) -> DataFrame:
+def contract_metrics(tables: Mapping[str, DataFrame], index_code: str, max_members: int | None = None, look_back_days: int | None = None, key_ledger: str = "") -> DataFrame:
     """(metric, actual) for the tables index_daily, concept_daily, stock_daily, board_daily, ref_index, ref_stock,
     ref_concept and membership.
 
     ``max_members`` leaves larger concepts out of the recomputation, and ``look_back_days`` looks for a stock's previous
-    bar in so many days only; neither cut is made unless asked for. The target day and the (at most eight) latest concept
+    bar in so many days only; neither cut is made unless asked for. With ``key_ledger``, a folder, duplicate keys are looked
+    for in days that have changed since the last run only (:class:`KeyLedger`). The target day and the (at most eight) latest concept
     days come to the driver, so that every later scan is pruned by literals.
     """
     index, concept, stock, board = (tables[name] for name in ("index_daily", "concept_daily", "stock_daily", "board_daily"))
@@ -96,7 +98,7 @@ def contract_metrics(tables: Mapping[str, DataFrame], index_code: str, max_membe
         _index_bars(index.where((F.col("index_code") == index_code) & (day <= target))),
         _index_reference(ref_index, index_code),
         to_metrics(one.select(F.lit(len(latest[:3])).alias("first_stage_concept_trade_date_count"), F.lit(len(latest)).alias("second_stage_trade_date_count"))),
-        _keys_and_latest({"concept": (concept, ("concept_id",)), "stock": (stock, ("market", "code")), "board": (board, ("board_code",)), "index": (index, ("index_code",))}, target),
+        _keys_and_latest({"concept": (concept, ("concept_id",)), "stock": (stock, ("market", "code")), "board": (board, ("board_code",)), "index": (index, ("index_code",))}, target, key_ledger),
         to_metrics(
             board.where(day == target).agg(
                 F.count_if(any_null("open", "high", "low", "close", "pre_close", "change", "pct_chg", "amount", "volume")).alias("global_board_daily_core_null_count")
@@ -172,10 +174,16 @@ def _index_reference(ref_index: DataFrame, index_code: str) -> DataFrame:
     )
 
 
-def _keys_and_latest(facts: Mapping[str, tuple[DataFrame, Sequence[str]]], target: Column) -> DataFrame:
-    """Duplicate keys and latest day of every fact from one pass over its key columns."""
+def _keys_and_latest(facts: Mapping[str, tuple[DataFrame, Sequence[str]]], target: Column, key_ledger: str) -> DataFrame:
+    """Duplicate keys and latest day of every fact: from one pass over its key columns, or from the ledger of its keys."""
     rows = []
     for name, (df, keys) in facts.items():
+        if key_ledger:
+            ledger = KeyLedger(df.sparkSession, f"{key_ledger.rstrip('/')}/{name}", [*keys, "trade_date"])
+            duplicates = ledger.update(df).agg(F.count("*").alias("duplicates"))
+            latest = ledger.days().where(F.col("day") <= target).agg(F.max("day").alias("latest"))
+            rows.append(duplicates.select("duplicates", latest.scalar().alias("latest"), F.lit(name).alias("fact")))
+            continue
         groups = df.groupBy(*keys, "trade_date").agg(F.count("*").alias("copies"))
         rows.append(
             groups.agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tapeloom.operators.merge import fill_missing_only
-from tapeloom.quality.checks import CHECK_SCHEMA, Rule
+from tapeloom.quality.checks import CHECK_SCHEMA, Checks, Rule
+from tapeloom.sources.commits import Commits
 
 RULE_FIELDS = T.StructType(
     [
@@ -32,6 +33,9 @@ RULE_FIELDS = T.StructType(
         T.StructField("index_code", T.StringType()),
         T.StructField("reference", T.StringType()),
         T.StructField("reference_keys", T.ArrayType(T.StringType())),
+        T.StructField("max_idle_days", T.IntegerType()),
+        T.StructField("max_members", T.IntegerType()),
+        T.StructField("member_lookback_days", T.IntegerType()),
     ]
 )
 PROFILE_FIELDS = T.StructType(
@@ -90,6 +94,12 @@ class MarketStore:
         writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(name))
 
+    def write_checked(self, name: str, df: DataFrame, checks: Checks, rules: Sequence[Rule], partition_by: str = "", sort_by: Sequence[str] = ()) -> DataFrame:
+        """``write``, and the row rules' check rows of what was written, observed on the way and not by another scan."""
+        watched, rows = checks.watch(df, name, rules)
+        self.write(name, watched, partition_by, sort_by)
+        return rows()
+
     def fill_and_write_back(self, name: str, later_sources: Sequence[DataFrame], keys: Sequence[str], partition_by: str) -> DataFrame:
         """Store first: keys the table lacks are taken from later sources, written back, and the whole returned.
 
@@ -163,23 +173,22 @@ def availability(spark: SparkSession, tables: Mapping[str, tuple[DataFrame | Non
 
 
 def write_result(checks: DataFrame, root: str, run_id: str) -> str:
-    """Write the check rows of a run to a folder of its own, then point ``latest`` at it.
+    """Write the check rows of a run to a folder of its own, then commit it as the latest.
 
-    The pointer is a one-row table written last, so a reader never sees half a run.
+    A commit is a file created once that names the folder; nothing a reader may be reading is replaced or deleted.
     """
-    spark, folder = checks.sparkSession, f"{root.rstrip('/')}/run={run_id}"
-    checks.write.mode("overwrite").parquet(folder)
-    pointer = spark.createDataFrame([(json.dumps({"run": run_id}),)], "value string")
-    pointer.coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/latest")
-    return folder
+    folder = f"run={run_id}-{uuid.uuid4().hex}"
+    checks.write.parquet(f"{root.rstrip('/')}/{folder}")
+    Commits(checks.sparkSession, root).add({"run": run_id, "folder": folder})
+    return f"{root.rstrip('/')}/{folder}"
 
 
 def read_result(spark: SparkSession, root: str) -> DataFrame:
-    """Check rows of the latest run; no rows where there is none or it cannot be read."""
+    """Check rows of the latest committed run; no rows where there is none or it cannot be read."""
+    latest = Commits(spark, root).latest()
     try:
-        pointer = spark.read.text(f"{root.rstrip('/')}/latest").select(F.get_json_object("value", "$.run").alias("run")).head()
-        if pointer is not None and pointer.run:
-            return spark.read.parquet(f"{root.rstrip('/')}/run={pointer.run}")
+        if latest is not None:
+            return spark.read.parquet(f"{root.rstrip('/')}/{latest[1]['folder']}")
     except AnalysisException:
         pass
     return spark.createDataFrame([], CHECK_SCHEMA)

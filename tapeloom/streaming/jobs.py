@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tapeloom.operators.bits import WORD, slot_of
 from tapeloom.quality.checks import session_days, session_issues
 
 
@@ -34,6 +36,64 @@ def live_bars(ticks: DataFrame, width: str = "1 minute", delay: str = "10 minute
     return bars.select(key, F.col("window.start").alias("bar_time"), F.col("window.end").alias("bar_end"), "open", "high", "low", "close", "volume", "amount")
 
 
+def coarser_bars(bars: DataFrame, width: str, key: str = "code") -> DataFrame:
+    """Longer bars from a stream of finished shorter ones (``live_bars``, or this): each level keeps its own open windows.
+
+    Levels are chained through their stored bars, so ticks are aggregated once whatever the number of widths, and each
+    level resumes by itself. Finished bars are never late; a window closes when a bar that begins at its end has come.
+    """
+    windowed = bars.withWatermark("bar_time", "0 seconds").groupBy(F.window("bar_time", width), key)
+    longer = windowed.agg(
+        F.min_by("open", "bar_time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "bar_time").alias("close"),
+        F.sum("volume").alias("volume"), F.sum("amount").alias("amount"),
+    )
+    return longer.select(key, F.col("window.start").alias("bar_time"), F.col("window.end").alias("bar_end"), "open", "high", "low", "close", "volume", "amount")
+
+
+def chain_bars(spark: SparkSession, folder: str, checkpoint: str, widths: Sequence[str]) -> None:
+    """Runs the levels above ``folder``/<first width> one after the other, each from the stored bars of the one before."""
+    for finer, width in zip(widths, widths[1:]):
+        path = f"{folder}/{finer.replace(' ', '-')}"
+        bars = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+        append_to(coarser_bars(bars, width), f"{folder}/{width.replace(' ', '-')}", f"{checkpoint}/{width.replace(' ', '-')}").awaitTermination()
+
+
+def session_audit(bars: DataFrame, ends: Sequence[int], key: str = "code") -> DataFrame:
+    """(key, trade_date, minute_count, missing_count, first_minute, last_minute) of each day, once its close has passed.
+
+    ``bars`` are finished minute bars labelled by ``bar_time``, ``ends`` the session's labels in minutes after midnight. An
+    open day's state is one bit per label, and it goes when a bar after the close has come. Days without any session
+    minute of a key have no row; minutes outside the session only move the clock.
+    """
+    close, words = ends[-1] + 1, -(-len(ends) // WORD)
+    timed = bars.withWatermark("bar_time", "0 seconds").withColumn("_slot", slot_of(F.col("bar_time"), ends)).where("_slot is not null")
+    day = F.window("bar_time", "1 day", "1 day", f"{close} minutes")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_slot") % WORD)
+    sets = [F.bit_or(F.when(F.floor(F.col("_slot") / WORD) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"_w{w}") for w in range(words)]
+    days = timed.groupBy(day, key).agg(*sets, F.min("bar_time").alias("_first"), F.max("bar_time").alias("_last"))
+    held = reduce(lambda a, b: a + b, [F.bit_count(f"_w{w}") for w in range(words)]).cast("long")
+    return days.select(
+        key, F.col("window.end").cast("date").alias("trade_date"), held.alias("minute_count"), (F.lit(len(ends)) - held).cast("long").alias("missing_count"),
+        F.date_format("_first", "HH:mm").alias("first_minute"), F.date_format("_last", "HH:mm").alias("last_minute"),
+    )
+
+
+def with_sources(events: DataFrame, sources: DataFrame, keys: Sequence[str], time: str, source_time: str, within: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Every event with each source of its keys from its time on until ``within`` after it; events without one, with nulls.
+
+    Both are streams that may come out of order by ``delay``. Pairs come when the later half has come; an event without
+    a source comes once none can come any more. State holds what may still be met. Columns: the events', then the
+    sources' without the keys.
+    """
+    left, right = events.withWatermark(time, delay), sources.withWatermark(source_time, delay)
+    rest = [c for c in sources.columns if c not in keys]
+    right = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *rest)
+    met = (F.col(source_time) >= F.col(time)) & (F.col(source_time) <= F.col(time) + F.expr(f"interval {within}"))
+    for k in keys:
+        met = met & (F.col(k) == F.col(f"_k_{k}"))
+    return left.join(right, met, "leftOuter").select(*events.columns, *rest)
+
+
 def append_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append finished rows to parquet (exactly once through the file sink's log); drains what is available."""
     return df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

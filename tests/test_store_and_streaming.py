@@ -72,7 +72,7 @@ def test_results_are_read_from_the_latest_whole_run(spark, tmp_path):
     for run, status in (("1", "healthy"), ("2", "warning")):
         write_result(spark.createDataFrame([("c", "t", status, "", "")], schema), root, run)
     assert read_result(spark, root).first().status == "warning"
-    shutil.rmtree(f"{root}/run=2")
+    shutil.rmtree(next((tmp_path / "health").glob("run=2-*")))
     assert read_result(spark, root).count() == 0
 
 
