@@ -2,7 +2,7 @@
 
 Documents become pieces of at most ``size`` tokens. How pieces fit together depends on their lengths alone, of which
 there are ``size``: Spark counts them, the driver searches over bins of like content with multiplicities (at most
-``size`` counts go in, patterns come out), and Spark deals the pieces of each length to the places the patterns hold for
+``size`` counts go in, patterns come out, and the pairs looked at are bounded), and Spark deals the pieces of each length to the places the patterns hold for
 it by their rank, which is found with per-salt counts and offsets, so that no length is ranked in one task.
 """
 
@@ -22,6 +22,9 @@ from tapeloom.llm.tokens import VOCABULARY, encoder
 
 Pattern = tuple[int, ...]
 
+#: Pairs of patterns that the search looks at, at most: some seconds of the driver.
+TRIES = 100_000
+
 
 def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 1024, end_id: int = 2, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row (doc_id, piece, start, length, ids_crc32) per piece of each document's ids and ``end_id``.
@@ -119,38 +122,61 @@ def _swap(small: Pattern, large: Pattern, size: int) -> tuple[Pattern, Pattern]
     return tuple(sorted([*one, *back], reverse=True)), tuple(sorted([*two, *given], reverse=True))
 
 
-def local_search(bins: Counter[Pattern], size: int) -> Counter[Pattern]:
+def local_search(bins: Counter[Pattern], size: int, tries: int = TRIES) -> Counter[Pattern]:
     """Empties underfull bins into others until none can be emptied or the number of bins is the least possible.
 
     The emptiest bin gives to the fullest that can take something; each step raises the sum of squared fills, so the
-    search ends. A bin that can give nothing is set aside until others have changed. Full bins take no part.
+    search ends. Bins of one pattern are changed together, all of the scarcer of the two. A bin that can give nothing is
+    set aside until others have changed. Full bins take no part. The search also ends after ``tries`` looked-at pairs of
+    patterns, which bounds the driver's work whatever the counts; what it then holds is a packing like any other.
     """
     bins = Counter({p: n for p, n in bins.items() if n})
     total = sum(sum(p) * n for p, n in bins.items())
     fewest, used = -(-total // size), sum(bins.values())
     under = Counter({p: n for p, n in bins.items() if sum(p) < size})
     full, aside, gained = bins - under, Counter(), False
-    while used > fewest and (under or gained):
+    order = sorted((sum(p), p) for p in under)
+
+    def change(pattern: Pattern, n: int) -> None:
+        if sum(pattern) == size:
+            full[pattern] += n
+            return
+        if pattern not in under:
+            insort(order, (sum(pattern), pattern))
+        under[pattern] += n
+        if not under[pattern]:
+            drop(pattern)
+
+    def drop(pattern: Pattern) -> int:
+        order.pop(bisect_left(order, (sum(pattern), pattern)))
+        return under.pop(pattern)
+
+    while used > fewest and tries > 0 and (under or gained):
         if not under:  # once more with all that could give nothing, since others have changed
             under, aside, gained = aside, Counter(), False
+            order = sorted((sum(p), p) for p in under)
             continue
-        small = min(under, key=lambda p: (sum(p), p))
+        small = order[0][1]
         if not small:
-            used -= under.pop(small)
+            used -= drop(small)
             continue
-        for large in sorted(under, key=lambda p: (-sum(p), p)):
-            if (large != small or under[small] > 1) and (moved := _swap(small, large, size)):
+        for _, large in reversed(order):
+            if large == small and under[small] < 2:
+                continue
+            tries -= 1
+            moved = _swap(small, large, size)
+            if moved:
                 n = under[small] // 2 if large == small else min(under[small], under[large])
                 for p in (small, large):
-                    under[p] -= n
-                    if not under[p]:
-                        del under[p]
+                    change(p, -n)
                 for p in moved:
-                    (full if sum(p) == size else under)[p] += n
+                    change(p, n)
                 gained = True
                 break
+            if tries <= 0:
+                break
         else:
-            aside[small] += under.pop(small)
+            aside[small] += drop(small)
     return Counter({p: n for p, n in (full + under + aside).items() if p})
 
 
@@ -188,7 +214,7 @@ def pack(found: DataFrame, size: int = 1024, per_salt: int = 100_000) -> DataFra
     bins = local_search(best_fit(counts, size), size)
     places = spark.sparkContext.broadcast(_places(bins))  # patterns x pieces in a bin; follows distinct lengths, not rows
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    begin = by_salt.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_begin"))  # at most size x salts rows
+    begin = by_salt.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_begin")).hint("merge")  # at most size x salts rows, which grow with the input: never broadcast
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = found.withColumn("_rank", F.row_number().over(order) - 1).join(begin, ["length", "_salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_begin")).alias("_rank"))

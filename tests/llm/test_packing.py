@@ -34,6 +34,72 @@ def test_search_keeps_all_pieces_and_empties_bins():
     assert packing.local_search(packing.best_fit({}, 10), 10) == Counter()
 
 
+def fewest(counts, size):
+    """The least number of bins, by trying all ways to place the pieces from the longest on."""
+    pieces, best = sorted(counts.elements(), reverse=True), [len(list(counts.elements()))]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(pieces):
+            best[0] = len(rooms)
+            return
+        for room in sorted({r for r in rooms if r >= pieces[k]}):
+            rest = list(rooms)
+            rest.remove(room)
+            place(k + 1, rest + [room - pieces[k]])
+        place(k + 1, rooms + [size - pieces[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_search_against_the_optimum():
+    """Small instances: never below the optimum, one bin above it at most, and nearly always at it."""
+    draw, above = random.Random(11), 0
+    for _ in range(300):
+        counts = Counter(draw.randint(1, 12) for _ in range(draw.randint(1, 9)))
+        found, best = sum(packing.local_search(packing.best_fit(counts, 12), 12).values()), fewest(counts, 12)
+        assert best <= found <= best + 1
+        above += found > best
+    assert above <= 6
+
+
+def test_search_needs_fewer_bins_than_best_fit_where_it_misses():
+    """Planted: best fit puts the two largest that fit together and cannot undo it; exchanges can, at any multiplicity."""
+    for times in (1, 7, 10**6):
+        start = Counter({(44, 24, 24): times, (22, 21, 17): times, (8, 8, 6, 6): times})
+        assert -(-180 * times // 100) <= sum(packing.local_search(start, 100).values()) <= 2 * times  # three bins each before
+    better = 0
+    draw = random.Random(12)
+    for _ in range(60):
+        counts = Counter()
+        for _ in range(60):  # nearly full bins cut into three parts
+            top = 1024 - draw.randrange(16)
+            cuts = sorted(draw.sample(range(150, 900), 2))
+            counts.update(b - a for a, b in zip([0, *cuts], [*cuts, top]))
+        first = packing.best_fit(counts, 1024)
+        last = packing.local_search(first, 1024)
+        assert held(last) == counts and 59 <= sum(last.values()) <= sum(first.values())
+        better += sum(last.values()) < sum(first.values())
+    assert better > 0
+
+
+def test_search_ends_whatever_the_counts():
+    """Up to 10^9 pieces of each of 1,024 lengths: seconds, all pieces kept."""
+    import time
+
+    draw = random.Random(13)
+    for most in (10**3, 10**6, 10**9):
+        counts = Counter({length: draw.randint(1, most) for length in range(1, 1025)})
+        start = time.process_time()
+        first = packing.best_fit(counts, 1024)
+        bins = packing.local_search(first, 1024)
+        assert time.process_time() - start < 60
+        assert held(bins) == counts and max(map(sum, bins)) <= 1024
+        assert sum(bins.values()) <= sum(first.values())
+
+
 def test_exchanges():
     assert packing._swap((3,), (6,), 10) == ((), (6, 3))  # move
     assert packing._swap((5,), (4, 4), 10) == ((4,), (5, 4))  # one for one
