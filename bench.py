@@ -33,7 +33,8 @@ def main() -> None:
     names = [name for name in wanted.split(",") if name] or HEADLINE
     spark = build_session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"},
+        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
+           "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB"},  # one box: keep small shuffles on all its cores
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

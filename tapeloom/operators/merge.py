@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Types whose aggregation buffers Spark updates in place.
+FIXED_WIDTH = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
+
+
 def _stack(sources: Sequence[DataFrame]) -> DataFrame:
     ranked = [source.withColumn("_source", F.lit(rank)) for rank, source in enumerate(sources)]
     return reduce(lambda left, right: left.unionByName(right), ranked)
@@ -25,9 +29,10 @@ def priority_merge(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFra
 
     def pick(name: str) -> Column:
         value = F.col(name)
-        usable = value.isNotNull() & (value != "") if types[name] == "string" else value.isNotNull()
-        own = F.min_by(F.struct(value.alias("v")), F.col("_source")).getField("v")
-        return F.coalesce(F.min_by(value, F.when(usable, F.col("_source"))), own).alias(name)
+        if types[name] != "string":
+            return F.min_by(value, F.when(value.isNotNull(), F.col("_source"))).alias(name)
+        blank = F.when(F.min_by(value.isNotNull(), F.col("_source")), "")  # the first source's own value, where none is usable
+        return F.coalesce(F.min_by(value, F.when(value != "", F.col("_source"))), blank).alias(name)
 
     values = [name for name in sources[0].columns if name not in keys]
     return _stack(sources).groupBy(*keys).agg(*(pick(name) for name in values)).select(*sources[0].columns)
@@ -36,8 +41,12 @@ def priority_merge(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFra
 def fill_missing_only(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Whole rows from the first source having the key; later sources only fill absent keys."""
     values = [name for name in sources[0].columns if name not in keys]
-    row = F.struct(*values, F.col("_source").alias("source_rank"))
-    merged = _stack(sources).groupBy(*keys).agg(F.min_by(row, F.col("_source")).alias("_row"))
+    types = dict(sources[0].dtypes)
+    rank = F.col("_source")
+    if all(types[name] in FIXED_WIDTH for name in values):  # buffers of fixed width: hashed and not sorted, on the map side too
+        return _stack(sources).groupBy(*keys).agg(*[F.min_by(name, rank).alias(name) for name in values], F.min(rank).alias("source_rank"))
+    row = F.struct(*values, rank.alias("source_rank"))
+    merged = _stack(sources).groupBy(*keys).agg(F.min_by(row, rank).alias("_row"))
     return merged.select(*keys, "_row.*")
 
 
@@ -105,14 +114,23 @@ def as_of_latest(
     return interval_join(facts, spans, keys, day, announced, "_until", "left", horizon).drop("_until")
 
 
-def nest_children(parents: DataFrame, children: DataFrame, key: str, order: str, into: str) -> DataFrame:
+def nest_children(parents: DataFrame, children: DataFrame, key: str, order: str, into: str, most: int | None = None) -> DataFrame:
     """Attach the child rows of each parent as an array of structs ordered by ``order``.
 
-    For children that are few per parent; those of other parents are dropped before they are gathered.
+    Children of other parents are dropped before they are gathered. An array is one value of a row; where a parent may
+    have any number of children, ``most`` bounds it to the first ones and adds ``<into>_total``, their whole number. The
+    rest is read as rows, from ``children`` itself.
     """
     fields = [order, *(name for name in children.columns if name not in (key, order))]
-    nested = children.join(parents.select(key), key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(into))
-    return parents.join(nested, key, "left")
+    own = children.join(parents.select(key), key, "left_semi")
+    if most is None:
+        nested = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(into))
+        return parents.join(nested, key, "left")
+    totals = own.groupBy(key).agg(F.count(F.lit(1)).alias(f"{into}_total"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*fields))
+    first = own.withColumn("_rank", rank).where(F.col("_rank") <= most)
+    nested = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(into))
+    return parents.join(nested, key, "left").join(totals, key, "left").fillna(0, [f"{into}_total"])
 
 
 def absent_rows(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:

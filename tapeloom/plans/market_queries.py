@@ -18,6 +18,7 @@ from tapeloom.plans.views import etf_quote_result, query_view, stock_quote_resul
 from tapeloom.quality.checks import CONTRACT_TABLES, Checks, Rule, completed_days, session_days, session_issues
 from tapeloom.quality.contract import compare_expectations, contract_metrics, weighted_pct
 from tapeloom.quality.health import run_health
+from tapeloom.session import shared_folder
 from tapeloom.sources.bar_store import BarStore
 from tapeloom.sources.market_tables import MarketTables, exact_sum
 from tapeloom.sources.scratch import new_folder, written
@@ -447,8 +448,24 @@ def stored(t: MarketTables, df: DataFrame) -> DataFrame:
     return written(df, "contract")
 
 
+_CONTRACTS: dict[tuple, dict[str, DataFrame]] = {}
+
+
 def contract_tables(t: MarketTables) -> dict[str, DataFrame]:
-    """Contract tables with seeded faults: an amount, a change, a name, a duplicate and a missing reference."""
+    """The contract's tables, stored once per application and state of the given files: the contract queries share them."""
+    files = sorted(f for name in ("lineitem", "part") for f in t.raw(name).inputFiles())
+    path = t.spark._jvm.org.apache.hadoop.fs.Path
+    hadoop = t.spark._jsparkSession.sessionState().newHadoopConf()
+    state = tuple((f, path(f).getFileSystem(hadoop).getFileStatus(path(f)).getModificationTime()) for f in files)
+    key = (t.spark.sparkContext.applicationId, shared_folder(t.spark), state)
+    held = _CONTRACTS.get(key)
+    if held is None or not all(path(f).getFileSystem(hadoop).exists(path(f)) for f in held["concept_daily"].inputFiles()):
+        _CONTRACTS[key] = held = _contract_tables(t)
+    return held
+
+
+def _contract_tables(t: MarketTables) -> dict[str, DataFrame]:
+    """With seeded faults: an amount, a change, a name, a duplicate and a missing reference."""
     changed = stored(t, stock_changes(t))
     twice = changed.unionByName(changed.where((F.col("trade_date") == F.lit("1996-01-01").cast("date")) & F.col("is_st")))
     members = t.membership.withColumnsRenamed({"stock_market": "market", "stock_code": "code"})

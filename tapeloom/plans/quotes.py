@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.scalars import ratio
 from tapeloom.operators.bars import adjust_prices, completeness, fill_suspended, rollup_days, rollup_minutes
 from tapeloom.operators.bits import bit_counts, day_bits, expected_bits, missing_bits, missing_times
-from tapeloom.operators.lookback import rows_before
+from tapeloom.operators.lookback import FIRST_DAYS, rows_before
 from tapeloom.operators.predicates import in_days, in_times, keep_entities, option, parse_day
 from tapeloom.operators.selection import cut_counts, drop_flagged_entities, drop_flagged_rows, last_n, page, pick_fields
 from tapeloom.operators.series import open_days, previous_change, series_window
@@ -60,14 +60,18 @@ def _requested(table: DataFrame, request: QuoteRequest, key: str, time: str) ->
     return rows.where(in_times(time, request.start_time, request.end_time)) if request.start_time or request.end_time else rows
 
 
-def _before_window(table: DataFrame, rows: DataFrame, first_day: str, skip_suspended: bool) -> DataFrame | None:
+#: Days of the first look back for a list of codes: their rows are few, so one step is cheaper than several.
+LISTED_FIRST_DAYS = 512
+
+
+def _before_window(table: DataFrame, rows: DataFrame, first_day: str, skip_suspended: bool, first_days: int = FIRST_DAYS) -> DataFrame | None:
     """(code, _earlier): the close on the last day before the window of each code of ``rows``; none where the window has no start."""
     first = parse_day(first_day)
     if first is None:
         return None
     if skip_suspended and "is_suspended" in table.columns:
         table = drop_flagged_rows(table)
-    return rows_before(table.select("code", "trade_date", "close"), rows, ["code"], first).select("code", F.col("close").alias("_earlier"))
+    return rows_before(table.select("code", "trade_date", "close"), rows, ["code"], first, first_days=first_days).select("code", F.col("close").alias("_earlier"))
 
 
 def window_change(rows: DataFrame, earlier: DataFrame | None) -> DataFrame:
@@ -105,7 +109,7 @@ def day_quotes(table: DataFrame, calendar: DataFrame, request: QuoteRequest, exc
         kept = drop_flagged_entities(kept, ["code"])
     if request.skip_suspended:
         kept = drop_flagged_rows(kept)
-    bars = window_change(kept, _before_window(base, wanted, request.trade_date or request.start_date, request.skip_suspended)) if "pre_close" not in kept.columns else kept
+    bars = window_change(kept, _before_window(base, wanted, request.trade_date or request.start_date, request.skip_suspended, LISTED_FIRST_DAYS)) if "pre_close" not in kept.columns else kept
     if freq == "1d":
         shaped = bars.withColumn("trade_time", F.col("trade_date"))
     else:

@@ -7,6 +7,7 @@ driver or executor resumes where it was.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tapeloom.operators.bits import WORD, slot_of
 from tapeloom.quality.checks import session_days, session_issues
+from tapeloom.sources.commits import Commits
 
 
 def read_events(spark: SparkSession, folder: str, schema, time: str = "ts", files: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -135,11 +137,20 @@ def upsert_into(path: str, keys: Sequence[str], order: str = "", time: str = "")
 
 
 def read_upserts(spark: SparkSession, path: str, keys: Sequence[str], days: Sequence[dt.date] | None = None) -> DataFrame:
-    """Latest version of every key: one map-side combined aggregation, no window.
+    """Latest version of every key: one map-side combined aggregation, no window. Folded days are read from their fold.
 
     ``days`` of a store kept per day limits the read to their partitions.
     """
-    rows = spark.read.parquet(path)
+    folds = _folds(spark, path)
+    beside = f"{path.rstrip('/')}__folded"
+    # all versions may have been deleted after a fold; its files tell the columns then
+    rows = spark.read.schema(spark.read.parquet(f"{beside}/{next(iter(folds.values()))['folder']}").schema).parquet(path) if folds else spark.read.parquet(path)
+    if folds:
+        upto = spark.createDataFrame([(dt.date.fromisoformat(day), fold["batch"]) for day, fold in folds.items()], f"{STORED_DAY} date, _upto long")
+        rows = rows.join(upto, STORED_DAY, "left").where(F.col("_upto").isNull() | (F.col("batch_id") > F.col("_upto"))).select(*rows.columns)
+        for folder, own in _by_folder(folds, days).items():  # each fold holds the newest rows of its days
+            folded = spark.read.parquet(f"{beside}/{folder}").where(F.col(STORED_DAY).isin(own))
+            rows = rows.unionByName(folded.select(*rows.columns))
     if days is not None:
         rows = rows.where(F.col(STORED_DAY).isin(list(days)))
     values = [name for name in rows.columns if name not in (*keys, "batch_id", STORED_DAY)]
@@ -153,27 +164,50 @@ def compact_upserts(spark: SparkSession, path: str, into: str, keys: Sequence[st
     read_upserts(spark, path, keys).hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(into)
 
 
+def _folds(spark: SparkSession, path: str) -> dict[str, dict]:
+    """Folded days of an upsert store: the newest batch of a fold and its folder, by day."""
+    latest = Commits(spark, f"{path.rstrip('/')}__folded").latest()
+    return latest[1]["days"] if latest else {}
+
+
+def _by_folder(folds: dict[str, dict], days: Sequence[dt.date] | None) -> dict[str, list[dt.date]]:
+    out: dict[str, list[dt.date]] = {}
+    for text, fold in folds.items():
+        day = dt.date.fromisoformat(text)
+        if days is None or day in days:
+            out.setdefault(fold["folder"], []).append(day)
+    return out
+
+
 def fold_versions(spark: SparkSession, path: str, keys: Sequence[str], days: Sequence[dt.date]) -> None:
-    """Replace the versions of some days of a store kept per day by one, the newest of each day.
+    """Puts one version, the newest rows, in the place of all versions of some days of a store kept per day.
 
-    The folded rows take the place of the day's newest version, which they agree with, and older versions are deleted
-    after that: a reader sees the same rows at every moment, and a run that breaks off is repeated.
+    The fold is written beside the store and takes effect by a commit; no file that a reader may be reading is replaced
+    or deleted. Batches that come meanwhile are newer than the fold and stay in force. ``delete_folded`` frees the room.
     """
-    staging = f"{path.rstrip('/')}__folded"
     newest = spark.read.parquet(path).where(F.col(STORED_DAY).isin(list(days))).groupBy(STORED_DAY).agg(F.max("batch_id").alias("batch_id"))
-    folded = read_upserts(spark, path, keys, days)
+    batches = {row[STORED_DAY]: row.batch_id for row in newest.collect()}  # a row per day
+    if not batches:
+        return
+    upto = spark.createDataFrame(list(batches.items()), f"{STORED_DAY} date, batch_id long")
+    folded = read_upserts(spark, path, keys, list(batches))
     time = next(name for name, kind in folded.dtypes if name in keys and kind.startswith(("timestamp", "date")))
-    folded.withColumn(STORED_DAY, F.col(time).cast("date")).join(newest, STORED_DAY).write.mode("overwrite").parquet(staging)
-    kept = spark.read.parquet(staging)
-    kept.hint("rebalance", STORED_DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(STORED_DAY, "batch_id").parquet(path)
-    last = {row[STORED_DAY]: row.batch_id for row in kept.select(STORED_DAY, "batch_id").distinct().collect()}  # a row per day
+    folder = uuid.uuid4().hex
+    rows = folded.withColumn(STORED_DAY, F.col(time).cast("date")).join(upto, STORED_DAY)
+    rows.hint("rebalance", STORED_DAY).write.partitionBy(STORED_DAY).parquet(f"{path.rstrip('/')}__folded/{folder}")
+    held = _folds(spark, path)
+    Commits(spark, f"{path.rstrip('/')}__folded").add({"days": {**held, **{day.isoformat(): {"batch": batch, "folder": folder} for day, batch in batches.items()}}})
+
+
+def delete_folded(spark: SparkSession, path: str) -> None:
+    """Deletes the versions that folds have replaced; for a time when no reader that began before the fold is left."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    for day, batch_id in last.items():
+    for day, fold in _folds(spark, path).items():
         folder = hadoop(f"{path.rstrip('/')}/{STORED_DAY}={day}")
         files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        for version in files.listStatus(folder):
+        for version in files.listStatus(folder) if files.exists(folder) else []:
             name = version.getPath().getName()
-            if name.startswith("batch_id=") and int(name.split("=")[1]) < batch_id:
+            if name.startswith("batch_id=") and int(name.split("=")[1]) <= fold["batch"]:
                 files.delete(version.getPath(), True)
     spark.catalog.refreshByPath(path)
 

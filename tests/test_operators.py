@@ -213,3 +213,30 @@ def test_news_nests_sources_of_the_page(spark):
     assert [r.event_id for r in news_events(events, "2024-01-02", stock_code="600000", include_content_text=True).collect()] == [1]
     with pytest.raises(ValueError):
         news_events(events, "")
+
+
+def test_fixed_width_fills_are_hashed_and_not_sorted(spark):
+    one = spark.createDataFrame([("a", 1, None, True), ("b", 2, 2.0, None)], "k string, i int, x double, f boolean")
+    two = spark.createDataFrame([("a", 9, 9.0, False), ("c", 3, 3.0, False)], "k string, i int, x double, f boolean")
+    filled = merge.fill_missing_only([one, two], ["k"])
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+    assert sorted(map(tuple, filled.collect())) == [("a", 1, None, True, 0), ("b", 2, 2.0, None, 0), ("c", 3, 3.0, False, 1)]
+    numbers = merge.priority_merge([one, two], ["k"])
+    assert "SortAggregate" not in numbers._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, numbers.collect())) == [("a", 1, 9.0, True), ("b", 2, 2.0, None), ("c", 3, 3.0, False)]
+
+
+def test_texts_of_a_merge_keep_the_first_source_where_none_is_usable(spark):
+    sources = [spark.createDataFrame(rows, "k int, t string") for rows in ([(1, ""), (2, None), (3, "x"), (4, None), (5, "")], [(1, None), (2, ""), (3, "y"), (4, "z"), (5, "w")])]
+    assert {r.k: r.t for r in merge.priority_merge(sources, ["k"]).collect()} == {1: "", 2: None, 3: "x", 4: "z", 5: "w"}
+
+
+def test_nested_children_can_be_bounded(spark):
+    parents = spark.createDataFrame([("a",), ("b",), ("c",)], "event_id string")
+    children = spark.range(2000).selectExpr("if(id % 2 = 0, 'a', if(id < 4, 'b', 'x')) as event_id", "lpad(cast(2000 - id as string), 4, '0') as source_record_id", "id as n")
+    rows = {r.event_id: r for r in merge.nest_children(parents, children, "event_id", "source_record_id", "sources", most=3).collect()}
+    assert [(x.source_record_id, x.n) for x in rows["a"].sources] == [("0002", 1998), ("0004", 1996), ("0006", 1994)] and rows["a"].sources_total == 1000
+    assert len(rows["b"].sources) == 2 == rows["b"].sources_total and rows["c"].sources is None and rows["c"].sources_total == 0
+    whole = {r.event_id: r for r in merge.nest_children(parents, children, "event_id", "source_record_id", "sources").collect()}
+    assert len(whole["a"].sources) == 1000 and whole["a"].sources[:3] == rows["a"].sources

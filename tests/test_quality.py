@@ -316,3 +316,21 @@ def test_rules_that_cannot_run_say_so(spark):
     assert rows["non_negative:t:"][0] == rows["money_flow_values_valid"][0] == "not_applicable"
     assert rows["reference_valid:t"] == ("unhealthy", "缺少依赖表 ref.absent")
     assert rows["recent_coverage_90d:t"][0] == "unknown"
+
+
+def test_a_profile_can_ask_for_the_bounds_of_the_contract(spark, tmp_path, monkeypatch):
+    """max_members and member_lookback_days of a JSON rule reach the metrics; without them nothing is left out."""
+    inputs, asked = contract_inputs(spark), []
+    monkeypatch.setattr("tapeloom.quality.checks.contract_metrics", lambda *args: asked.append(args[1:4]) or contract_metrics(*args))
+    tables = {name: inputs[short] for name, short in CONTRACT_TABLES.items()}
+    for bounds in ({}, {"max_members": 500, "member_lookback_days": 20}):
+        path = tmp_path / f"{len(bounds)}.json"
+        path.write_text(json.dumps({"capabilities": {"contract": {"checks": [{"type": "market_data_contract", "index_code": "000001", **bounds}, {"type": "long_empty", "required_objects": ["ref.index"], "max_idle_days": 7}]}}}))
+        rules = dict((rule.type, rule) for _, rule in rules_of(read_profiles(spark, str(path))))
+        assert rules["long_empty"].max_idle_days == 7
+        rows = Checks(spark, tables, AS_OF).run([rules["market_data_contract"]]).collect()
+        expected = {r.metric: r.status for r in compare_expectations(contract_metrics(inputs, "000001", *bounds.values())).collect()}
+        assert {r.check_id.rsplit(":", 1)[1]: r.status for r in rows} == expected
+    assert asked == [("000001", None, None), ("000001", 500, 20)]
+    small = {r.metric: r.actual for r in contract_metrics(inputs, "000001", 0).collect()}
+    assert small["second_stage_amount_mismatch_count"] == 0 == small["second_stage_missing_member_stock_count"]

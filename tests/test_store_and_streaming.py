@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.session import shared_folder
@@ -153,4 +154,43 @@ def test_gap_audit_judges_touched_days_on_stored_bars(spark, tmp_path):
     before = sorted(map(str, jobs.read_upserts(spark, bars, keys).collect()))
     jobs.fold_versions(spark, bars, keys, [day(2)])
     assert sorted(map(str, jobs.read_upserts(spark, bars, keys).collect())) == before
-    assert [p.name for p in (tmp_path / "bars" / "stored_day=2024-01-02").glob("batch_id=*")] == ["batch_id=1"]
+    versions = lambda: sorted(p.name for p in (tmp_path / "bars" / "stored_day=2024-01-02").glob("batch_id=*"))
+    assert versions() == ["batch_id=0", "batch_id=1"]
+    jobs.delete_folded(spark, bars)
+    assert versions() == [] and sorted(map(str, jobs.read_upserts(spark, bars, keys).collect())) == before
+
+
+def test_a_reader_sees_the_same_rows_between_all_steps_of_a_fold(spark, tmp_path, monkeypatch):
+    path, keys = str(tmp_path / "bars"), ["code", "bar_time"]
+    at = lambda d, m: dt.datetime(2024, 1, d, 9, m)
+    batch = lambda *rows: spark.createDataFrame(rows, "code string, bar_time timestamp_ntz, close double")
+    store = jobs.upsert_into(path, keys, time="bar_time")
+    seen = lambda days=None: sorted((r.code, r.bar_time.day, r.bar_time.minute, r.close) for r in jobs.read_upserts(spark, path, keys, days).collect())
+    store(batch(("a", at(2, 1), 1.0), ("a", at(2, 2), 2.0), ("a", at(3, 1), 3.0)), 0)
+    store(batch(("a", at(2, 1), 1.5), ("b", at(3, 1), 4.0)), 1)
+    now = [("a", 2, 1, 1.5), ("a", 2, 2, 2.0), ("a", 3, 1, 3.0), ("b", 3, 1, 4.0)]
+    assert seen() == now
+    create = jobs.Commits._create
+    monkeypatch.setattr(jobs.Commits, "_create", lambda self, *a: seen() == now and create(self, *a))  # written, not committed
+    reading = jobs.read_upserts(spark, path, keys)
+    jobs.fold_versions(spark, path, keys, [day(2), day(9)])
+    assert seen() == now and len(reading.collect()) == 4
+
+    def dies(self, *a):
+        raise RuntimeError("lost driver")
+
+    monkeypatch.setattr(jobs.Commits, "_create", dies)
+    store(batch(("a", at(2, 2), 9.0), ("c", at(2, 7), 7.0)), 2)  # newer than the fold
+    now = [("a", 2, 1, 1.5), ("a", 2, 2, 9.0), ("a", 3, 1, 3.0), ("b", 3, 1, 4.0), ("c", 2, 7, 7.0)]
+    assert seen() == now and seen([day(2)]) == [r for r in now if r[1] == 2]
+    with pytest.raises(RuntimeError):
+        jobs.fold_versions(spark, path, keys, [day(2), day(3)])
+    assert seen() == now
+    monkeypatch.setattr(jobs.Commits, "_create", create)
+    jobs.delete_folded(spark, path)  # what the first fold has replaced
+    assert seen() == now and sorted(p.name for p in (tmp_path / "bars" / "stored_day=2024-01-02").glob("batch_id=*")) == ["batch_id=2"]
+    jobs.fold_versions(spark, path, keys, [day(2), day(3)])
+    jobs.delete_folded(spark, path)
+    assert seen() == now and seen([day(3)]) == [r for r in now if r[1] == 3]
+    store(batch(("a", at(3, 1), 8.0)), 3)
+    assert ("a", 3, 1, 8.0) in seen() and len(seen()) == 5
