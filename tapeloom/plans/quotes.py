@@ -109,7 +109,7 @@ def day_quotes(table: DataFrame, calendar: DataFrame, request: QuoteRequest, exc
         kept = drop_flagged_entities(kept, ["code"])
     if request.skip_suspended:
         kept = drop_flagged_rows(kept)
-    bars = window_change(kept, _before_window(base, wanted, request.trade_date or request.start_date, request.skip_suspended, LISTED_FIRST_DAYS)) if "pre_close" not in kept.columns else kept
+    bars = window_change(kept, _before_window(base, requested, request.trade_date or request.start_date, request.skip_suspended, LISTED_FIRST_DAYS)) if "pre_close" not in kept.columns else kept
     if freq == "1d":
         shaped = bars.withColumn("trade_time", F.col("trade_date"))
     else:

@@ -35,6 +35,13 @@ ORACLES["q06_cut"] = using("bars_sparse", "SELECT COUNT(*) AS total_rows, LEAST(
 ORACLES["q07_exclude_entity"] = using("stock_daily", "SELECT market, code, trade_date, volume FROM stock_daily WHERE (market, code) NOT IN (SELECT (market, code) FROM stock_daily WHERE is_st)")
 ORACLES["q08_skip_suspended"] = using("stock_daily", "SELECT market, code, trade_date, volume FROM stock_daily WHERE (market, code) NOT IN (SELECT (market, code) FROM stock_daily WHERE is_st) AND NOT is_suspended")
 ORACLES["q09_page"] = using("stock_daily", "SELECT trade_date, code, volume FROM stock_daily ORDER BY trade_date, code LIMIT 250 OFFSET 1000")
+ORACLES["io6_columns"] = "SELECT table_name, CAST(ordinal_position AS INTEGER) AS position, column_name FROM information_schema.columns WHERE table_name IN ('lineitem', 'orders', 'part')"
+ORACLES["io7_footers"] = """
+SELECT 'lineitem' AS name, true AS table_exists, COUNT(*) AS row_count, CAST(MIN(l_orderkey) AS VARCHAR) AS min_value, CAST(MAX(l_orderkey) AS VARCHAR) AS max_value FROM lineitem
+UNION ALL SELECT 'orders', true, COUNT(*), CAST(MIN(o_orderkey) AS VARCHAR), CAST(MAX(o_orderkey) AS VARCHAR) FROM orders
+UNION ALL SELECT 'customer', true, COUNT(*), CAST(MIN(c_custkey) AS VARCHAR), CAST(MAX(c_custkey) AS VARCHAR) FROM customer
+UNION ALL SELECT 'nowhere', false, 0, '', ''"""
+ORACLES["q16_clamped_limit"] = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000"
 ORACLES["q09_deep_page"] = """
 SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
 QUALIFY ROW_NUMBER() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) - 1 - (SELECT 3 * COUNT(*) // 4 FROM lineitem) BETWEEN 0 AND 199"""

@@ -13,7 +13,7 @@ from tapeloom.operators import asof, bits, factors, indicators, intervals, merge
 from tapeloom.plans.catalog import query, round_columns, rounded
 from tapeloom.plans.quotes import expected_times, session_ends
 from tapeloom.sources.market_tables import MarketTables, exact_sum
-from tapeloom.sources.store import availability
+from tapeloom.sources.store import MarketStore, availability, stored_availability
 
 CODE, DAY = ["code"], "trade_date"
 BRANDS = "Brand#3, Brand#7,,Brand#1"
@@ -111,6 +111,28 @@ def _(t: MarketTables) -> DataFrame:
     return selection.page(t.stock_daily, ["trade_date", "code"], 250, 1000).select("trade_date", "code", "volume")
 
 
+@query("io6_columns")
+def _(t: MarketTables) -> DataFrame:
+    """Column names of three tables and of one that does not exist, as a store tells them."""
+    store = MarketStore(t.spark, tables={name: t.raw(name) for name in ("lineitem", "orders", "part")})
+    rows = [(name, k, column) for name in ("lineitem", "orders", "part", "nowhere") for k, column in enumerate(store.columns(name), 1)]
+    return t.spark.createDataFrame(rows, "table_name string, position int, column_name string")
+
+
+@query("io7_footers")
+def _(t: MarketTables) -> DataFrame:
+    """Availability of stored tables from their files' footers."""
+    columns = {"lineitem": "l_orderkey", "orders": "o_orderkey", "customer": "c_custkey", "nowhere": "x"}
+    return stored_availability(t.spark, {name: (f"{t.folder}/{name}.parquet", column) for name, column in columns.items()})
+
+
+@query("q16_clamped_limit")
+def _(t: MarketTables) -> DataFrame:
+    """A limit beyond the allowed one is cut to it."""
+    rows = t.raw("orders").select("o_orderkey", "o_totalprice")
+    return selection.page(rows, [F.col("o_totalprice").desc(), "o_orderkey"], P.clamp_limit(999_999, 1000))
+
+
 @query("q09_deep_page")
 def _(t: MarketTables) -> DataFrame:
     """A page three quarters down all trades, dearest first, from range partitions."""

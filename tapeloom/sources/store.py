@@ -172,6 +172,33 @@ def availability(spark: SparkSession, tables: Mapping[str, tuple[DataFrame | Non
     return reduce(DataFrame.unionByName, rows)
 
 
+def _footer_aggregates(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """One row (row_count, min_value, max_value) of a parquet table, planned so that its files' footers answer it."""
+    session = spark.newSession()  # the settings are this reader's own
+    session.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return session.read.parquet(path).agg(F.count("*").alias("row_count"), F.min(column).alias("min_value"), F.max(column).alias("max_value"))
+
+
+def stored_availability(spark: SparkSession, tables: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """``availability`` of parquet tables by path: name to (path, column).
+
+    Counts, minima and maxima of integer, floating and date columns come from the footers and no row is read; where the
+    reader cannot do that (texts, a column that is a folder), the column is scanned.
+    """
+    rows = []
+    for name, (path, column) in tables.items():
+        try:
+            found = _footer_aggregates(spark, path, column).first()
+            texts = ["" if value is None else str(value) for value in found[1:]]
+            rows.append((name, True, found.row_count or 0, *texts))  # no file has a count: no rows
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            rows.append((name, False, 0, "", ""))
+    return spark.createDataFrame(rows, "name string, table_exists boolean, row_count long, min_value string, max_value string")
+
+
 def write_result(checks: DataFrame, root: str, run_id: str) -> str:
     """Write the check rows of a run to a folder of its own, then commit it as the latest.
 

@@ -54,6 +54,20 @@ def test_availability_of_absent_tables_only(spark):
     assert availability(spark, {}).count() == 0
 
 
+def test_footers_answer_what_is_asked_without_reading_rows(spark, tmp_path):
+    from tapeloom.sources.store import _footer_aggregates, stored_availability
+
+    path, texts, empty = (str(tmp_path / name) for name in ("t", "texts", "empty"))
+    spark.range(1000).selectExpr("id", "date_add(date'2024-01-01', cast(id % 90 as int)) as d", "concat('x', id) as s").repartition(3).write.parquet(path)
+    spark.range(0).selectExpr("id", "date'2024-01-01' as d").write.parquet(empty)
+    rows = {r.name: tuple(r)[1:] for r in stored_availability(spark, {"a": (path, "id"), "d": (path, "d"), "s": (path, "s"), "none": (empty, "d"), "absent": (str(tmp_path / "no"), "d")}).collect()}
+    assert rows == {"a": (True, 1000, "0", "999"), "d": (True, 1000, "2024-01-01", "2024-03-30"), "s": (True, 1000, "x0", "x999"), "none": (True, 0, "", ""), "absent": (False, 0, "", "")}
+    plan = _footer_aggregates(spark, path, "d")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(d), MAX(d)]" in plan
+    assert {r.name: tuple(r)[1:] for r in availability(spark, {"a": (spark.read.parquet(path), "id")}).collect()}["a"] == rows["a"]
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
 def test_a_fill_leaves_other_partitions_alone(spark, tmp_path):
     store = MarketStore(spark, str(tmp_path))
     store.write("fact.x", frame(spark, ("a", day(1), 1.0), ("a", day(2), 2.0)), "trade_date")
