@@ -36,22 +36,19 @@ def day_bits(rows: DataFrame, keys: Sequence[str], time: str, ends: Sequence[int
 
 
 def expected_bits(times: DataFrame, time: str, ends: Sequence[int]) -> DataFrame:
-    """(day, word, mask, before) of expected times: as ``day_bits``, with the number of expected times before the word.
-
-    As many rows as the calendar has days, times the words of a day; only these are ordered together.
-    """
-    sets = day_bits(times, [], time, ends).withColumnRenamed("bits", "mask")
-    order = Window.orderBy("day", "word").rowsBetween(Window.unboundedPreceding, -1)
-    return sets.withColumn("before", F.coalesce(F.sum(F.bit_count("mask")).over(order), F.lit(0)).cast("long"))
+    """(day, word, mask) of expected times, as ``day_bits``: as many rows as the calendar has days, times the words of a day."""
+    return day_bits(times, [], time, ends).withColumnRenamed("bits", "mask")
 
 
 def missing_bits(bits: DataFrame, entities: DataFrame, expected: DataFrame, key: str) -> DataFrame:
-    """(key, day, word, mask, before, missing) of every expected word of which an entity lacks a bit."""
-    entries = expected.agg(F.array_sort(F.collect_list(F.struct("day", "word", "mask", "before")))).scalar()
+    """(key, day, word, mask, nth, missing) of every expected word of which an entity lacks a bit; ``nth`` counts the days."""
+    listed = expected.agg(F.collect_list(F.struct("day", "word", "mask")).alias("words"), F.array_sort(F.collect_set("day")).alias("days"))
+    nth = F.transform("words", lambda x: F.struct(x["day"].alias("day"), x["word"].alias("word"), x["mask"].alias("mask"), F.array_position("days", x["day"]).alias("nth")))
+    entries = listed.select(nth).scalar()
     grid = entities.select(key).distinct().select(key, F.explode(entries).alias("_e")).select(key, "_e.*")
     held = grid.join(bits, [key, "day", "word"], "left")
     missing = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("long"))))
-    return held.select(key, "day", "word", "mask", "before", missing.alias("missing")).where("missing <> 0")
+    return held.select(key, "day", "word", "mask", "nth", missing.alias("missing")).where("missing <> 0")
 
 
 def _places(bits: str) -> Column:
@@ -81,21 +78,18 @@ def missing_times(missing: DataFrame, key: str, ends: Sequence[int], into: str =
 
 
 def missing_bar_ranges(missing: DataFrame, key: str, ends: Sequence[int]) -> DataFrame:
-    """(key, start_time, end_time, bar_count): ranges of consecutive expected bar ends that are all missing.
+    """(key, start_time, end_time, bar_count): ranges of consecutive bar ends of the expected days that are all missing.
 
     A word that is missing whole is one piece, a bit of any other is one; pieces that follow one another are joined, so
     the work follows the words with something missing and not the bar ends.
     """
     whole = F.col("missing") == F.col("mask")
-    places = F.when(whole, F.array(F.lit(0))).otherwise(_places("missing"))
-    pieces = missing.select("*", F.explode(places).alias("_i"), whole.alias("_whole"))
-    below = F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), F.col("_i")))))
-    pieces = pieces.withColumn("_from", F.when(F.col("_whole"), F.array_min(_places("mask"))).otherwise(F.col("_i"))).withColumn("_to", F.when(F.col("_whole"), F.array_max(_places("mask"))).otherwise(F.col("_i")))
-    low = F.col("before") + F.when(F.col("_whole"), F.lit(0)).otherwise(below)
-    pieces = pieces.select(
-        key, low.alias("_low"), (low + F.when(F.col("_whole"), F.bit_count("mask")).otherwise(F.lit(1))).alias("_high"),
-        _end(F.col("word") * WORD + F.col("_from"), ends).alias("_start"), _end(F.col("word") * WORD + F.col("_to"), ends).alias("_stop"),
-    )
+    first, last = F.when(whole, F.array_min(_places("mask"))), F.when(whole, F.array_max(_places("mask")))
+    bit = F.explode(F.when(whole, F.array(F.lit(0))).otherwise(_places("missing")))
+    pieces = missing.select("*", first.alias("_first"), last.alias("_last"), bit.alias("_i"))
+    low, high = (F.col("word") * WORD + F.coalesce(edge, "_i") for edge in ("_first", "_last"))
+    before = (F.col("nth") - 1) * len(ends)
+    pieces = pieces.select(key, (before + low).alias("_low"), (before + high + 1).alias("_high"), _end(low, ends).alias("_start"), _end(high, ends).alias("_stop"))
     order = Window.partitionBy(key).orderBy("_low")
     fresh = (F.col("_low") != F.lag("_high", 1, -1).over(order)).cast("int")
     islands = pieces.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(order))
